@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df computed now and cut from its lineage, in files that outlive any executor."""
     ready_to_checkpoint(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """df as a table in the shared folder, for rows too large to checkpoint uncompressed."""
+    path = f"{shared_folder(df.sparkSession)}/blockloom-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

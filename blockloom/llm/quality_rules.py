@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import SPACE_CLASS, words_of
+from blockloom.llm.common import checkpointed, words_of, written
 
 #: Words in a window of the repetition count.
 WINDOW = 8
@@ -36,7 +36,7 @@ LEAST_GROUP = 200
 def _with_repeats(df: DataFrame, words: str) -> DataFrame:
     """df with n_repeat_words: words inside windows of WINDOW words that the text has more than once."""
     at = lambda a, i: F.get(F.col(a), i)
-    df = df.withColumn("__wh", F.transform(F.col(words), F.xxhash64))
+    df = df.withColumn("__wh", F.transform(F.col(words), lambda w: F.xxhash64(w)))
     last = F.size(F.col("__wh")) - WINDOW
     windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*(at("__wh", i + k) for k in range(WINDOW))))
     df = df.withColumn("__win", F.when(last >= 0, windows).otherwise(F.array().cast("array<bigint>")))
@@ -137,6 +137,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     counted = measured(docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias("__text"), F.col(lang_col).alias(lang), F.col(source_col).alias(source)), "__text")
     only = [c for c in counted.columns if c != "__text" or text_col in names]
     counted = counted.select(*(F.col(f"`{c}`") for c in only if c != "__text"))
+    counted = written(counted) if text_col in names else checkpointed(counted)  # read twice below, measured once
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     limits = thresholds(sketches(counted, [lang, source]), lang, source, least_group).withColumnsRenamed({lang: "__l", source: "__s"})
     joined = counted.join(limits, counted[lang].eqNullSafe(limits["__l"]) & counted[source].eqNullSafe(limits["__s"]), "left")
