@@ -25,7 +25,7 @@ FENCES = {
     "marks": {"reach": 6, "floor": 15},
     "capitals": {"reach": 6, "floor": 25},
     "dup_lines": {"reach": 6, "floor": 60},
-    "repeats": {"reach": 6, "floor": 30},
+    "repeats": {"reach": 6, "floor": 60},
     "word_length": {"reach": 8, "floor": 400},
 }
 TWO_SIDED = ["word_length"]
