@@ -9,6 +9,12 @@ from blockloom.llm.chat_format import chat_format, chat_read
 from blockloom.llm.common import table
 from blockloom.llm.exact_dedup import exact_dedup
 from blockloom.llm.quality_rules import quality_rules
+from blockloom.llm.substring_dedup import substring_dedup
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +36,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_chat_format, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op8_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": r"""
