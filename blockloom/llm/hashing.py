@@ -67,6 +67,25 @@ class Words:
             i = j
         return out
 
+    def whole(self) -> np.ndarray:
+        """A hash of each text's words in their order."""
+        total = np.zeros(len(self.hashes) + 1, np.uint64)
+        np.cumsum(self.hashes * _powers(_GRAM, len(self.hashes)), out=total[1:])
+        a, z = self.first[:-1], self.first[1:]
+        return mixed((total[z] - total[a]) * _powers(pow(_GRAM, -1, 2**64), len(self.hashes) + 1)[a] + (z - a).astype(np.uint64))
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all texts' windows, text by text with repeats, and where each text's begin (and the end).
+
+        A text of fewer words, but at least one, has one shingle: all its words.
+        """
+        at, hashes = self.windows(size)
+        n = np.diff(self.first)
+        short = np.flatnonzero((n > 0) & (n < size))
+        place = np.searchsorted(at, self.first[short])
+        at, hashes = np.insert(at, place, self.first[short]), np.insert(hashes, place, self.whole()[short])
+        return hashes, np.searchsorted(at, self.first)
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The first word of every window of size words that lies in one text, and the window's hash."""
         n = len(self.hashes)

@@ -1,0 +1,289 @@
+"""Similarity self-join on word n-grams by chosen paths.
+
+Each text's set of n-grams is embedded as SKETCH minhashes. A run picks some positions at random, about one in
+SKETCH * threshold; sets that agree in a chosen position share a node, where the same happens again with other
+positions until a node is small; small nodes are compared by brute force. A pair survives a run's path with a
+probability that grows with its similarity, and the number of runs follows from the recall wanted at the threshold.
+
+The pairs so found only gather what must be compared: their components are then compared set by set, exactly,
+and only pairs of at least the threshold are links. Large components are compared in tiles of bounded size.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from blockloom.llm.chunks import NO_ID, chunked, opened
+from blockloom.llm.common import checkpointed
+from blockloom.llm.components import components
+from blockloom.llm.hashing import Words, mixed, pack_sorted, unpack_sorted
+
+SKETCH = 64
+#: A node of so many sets or fewer is compared by brute force, and any node is after so many choices.
+SMALL_NODE, MAX_DEPTH = 64, 5
+#: Sets of one component in a task; larger components are compared in tiles of two blocks.
+BLOCK = 512
+#: Standard deviations of a sketch's estimate below the threshold at which a pair is still compared exactly.
+SLACK = 4
+_RNG = np.random.Generator(np.random.PCG64(5))
+_MULTIPLIERS = _RNG.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.table([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def chosen(seed: int, threshold: float) -> np.ndarray:
+    """The positions that a node chooses: each with probability 1 / (threshold * SKETCH), and one at least."""
+    h = mixed(np.arange(SKETCH, dtype=np.uint64) + np.uint64(seed % 2**63) * np.uint64(SKETCH))
+    picked = np.flatnonzero(h < np.uint64(int(2**64 / (threshold * SKETCH))))
+    return picked if len(picked) else np.array([int(np.argmin(h))])
+
+
+def runs_for(recall: float, threshold: float, levels: int = 2) -> int:
+    """Runs after which a pair at the threshold has met in a node `levels` choices deep with the wanted probability."""
+    survive = 1.0
+    for _ in range(levels):  # the expected number of chosen positions that the pair agrees in is 1
+        survive = 1 - math.exp(-survive)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survive)))
+
+
+def _sketches(n: int) -> Callable:
+    schema = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("words", pa.int64()), ("whole", pa.int64()), ("sketch", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, data, offsets = opened(row)
+                words = Words(data, offsets)
+                hashes, first = words.shingles(n)
+                full = np.flatnonzero(np.diff(first) > 0)
+                out = np.empty((len(full), SKETCH), np.uint32)
+                for k in range(SKETCH if len(full) else 0):
+                    out[:, k] = np.minimum.reduceat((hashes * _MULTIPLIERS[k]) >> np.uint64(32), first[full]).astype(np.uint32)
+                whole = words.whole().view(np.int64)[full]
+                rows = [(row["chunk"], i, w, h, s.tobytes()) for i, w, h, s in zip(ids[full].tolist(), np.diff(words.first)[full].tolist(), whole.tolist(), out, strict=True)]
+                yield from _arrow(rows, schema).to_batches()
+
+    return run
+
+
+def _nodes(runs: int, threshold: float) -> Callable:
+    """Every set to the nodes that the runs choose at their roots: node, id and a byte of each minhash."""
+    schema = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("bytes", pa.binary())])
+    roots = [(r, int(i)) for r in range(runs) for i in chosen(r, threshold)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0)
+            sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SKETCH)
+            low = pa.array([x.tobytes() for x in (sketch & np.uint32(255)).astype(np.uint8)], pa.binary())
+            for r, i in roots:
+                node = mixed(sketch[:, i].astype(np.uint64) + (np.uint64(r * SKETCH + i) << np.uint64(32)))
+                yield pa.record_batch([pa.array(node.view(np.int64)), ids, low], schema=schema)
+
+    return run
+
+
+class _Join:
+    """The recursion below the roots, in one task; links holds a forest of the pairs that are near by their sketches."""
+
+    def __init__(self, ids: np.ndarray, sketch: np.ndarray, threshold: float) -> None:
+        self.ids, self.sketch, self.threshold = ids, sketch, threshold
+        mean = threshold + (1 - threshold) / 256
+        self.least = math.floor(SKETCH * mean - SLACK * math.sqrt(SKETCH * mean * (1 - mean)))
+        self.parent = np.arange(len(ids))
+        self.links: set[tuple[int, int]] = set()
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[b] = a
+            self.links.add((int(self.ids[i]), int(self.ids[j])))
+
+    def against(self, i: int, others: np.ndarray) -> None:
+        for j in others[(self.sketch[others] == self.sketch[i]).sum(axis=1) >= self.least].tolist():
+            self.link(i, j)
+
+    def solve(self, node: np.ndarray, seed: int, depth: int) -> None:
+        """Link what is near among the given sets, which agree in the positions of a path."""
+        if len(node) < 2:
+            return
+        if len(node) > 2:
+            self.against(int(node[0]), node[1:])
+            roots = np.array([self.root(i) for i in node.tolist()])
+            if (roots == roots[0]).all():
+                return
+        if len(node) <= SMALL_NODE or depth >= MAX_DEPTH:
+            for k in range(len(node) - 1):
+                self.against(int(node[k]), node[k + 1 :])
+            return
+        for i in chosen(seed, self.threshold).tolist():
+            values = self.sketch[node, i]
+            order = np.argsort(values, kind="stable")
+            cuts = np.flatnonzero(np.diff(values[order])) + 1
+            for child in np.split(node[order], cuts):
+                self.solve(child, int(mixed(np.array([seed * 64 + i + int(self.sketch[child[0], i]) * 8191], np.uint64))[0] >> np.uint64(2)), depth + 1)
+
+
+def _solve(threshold: float) -> Callable:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table["id"].to_numpy(), table["node"].to_numpy()))
+        node, ids = table["node"].to_numpy()[order], table["id"].to_numpy()[order]
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(node)]]))
+        if not (sizes > 1).any():
+            return _arrow([], schema)
+        sketch = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
+        own, of = np.unique(ids, return_inverse=True)  # a set may be in many nodes
+        place = np.zeros(len(own), np.int64)
+        place[of] = np.arange(len(ids))
+        join = _Join(own, sketch[place], threshold)
+        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            join.solve(of[s : s + n], int(node[s]) & (2**62 - 1), 1)
+        return _arrow(list(join.links), schema)
+
+    return run
+
+
+_SETS = "key long, tile int, block int, component long, id long, copies long, grams binary"
+
+
+def _gathered(n: int) -> Callable:
+    """The sets of the texts that a chunk is asked for."""
+    schema = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("copies", pa.int64()), ("blocks", pa.int64()), ("grams", pa.binary())])
+
+    def run(chunk: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        wanted = {r["id"]: r for r in asked.to_pylist()}
+        for row in chunk.to_pylist() if wanted else []:
+            ids, data, offsets = opened(row)
+            hashes, first = Words(data, offsets).shingles(n)
+            for k, i in enumerate(ids.tolist()):
+                if (r := wanted.pop(i, None)) is not None:  # of rows with one id, the first
+                    out.append((i, r["component"], r["copies"], r["blocks"], pack_sorted(np.unique(hashes[first[k] : first[k + 1]]))))
+        return _arrow(out, schema)
+
+    return run
+
+
+def _exact(threshold: float) -> Callable:
+    """Links within a task's components; each set's number of linked rows, and the sets joined with their least."""
+    schema = pa.schema([("id", pa.int64()), ("least", pa.int64()), ("linked", pa.int64())])
+    up = round(threshold * 10_000)
+
+    def of(ids: np.ndarray, block: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], cross: bool) -> list[tuple]:
+        sizes = np.array([len(s) for s in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mark, linked, least = np.zeros(flat.max() + 1, bool), np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+        def root(i: int) -> int:
+            while least[i] != i:
+                least[i] = least[least[i]]
+                i = least[i]
+            return i
+
+        for i in np.flatnonzero(block == block.min()).tolist() if cross else range(len(ids) - 1):
+            own = flat[begin[i] : begin[i] + sizes[i]]
+            mark[own] = True
+            j0 = 0 if cross else i + 1
+            common = np.add.reduceat(mark[flat[begin[j0] :]], begin[j0:] - begin[j0], dtype=np.int64)
+            mark[own] = False
+            near = common * 10_000 >= up * (sizes[i] + sizes[j0:] - common)
+            if cross:
+                near &= block != block[i]
+            js = np.flatnonzero(near) + j0
+            linked[i] += copies[js].sum()
+            linked[js] += copies[i]
+            for j in js.tolist():
+                a, b = root(i), root(j)
+                least[max(a, b)] = min(a, b)
+        return [(i, int(ids[root(k)]), n) for k, (i, n) in enumerate(zip(ids.tolist(), linked.tolist(), strict=True))]
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        order = np.lexsort((table["id"].to_numpy(), table["component"].to_numpy()))
+        table = table.take(pa.array(order))
+        component = table["component"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(component)) + 1).tolist(), len(component)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            part = table.slice(a, z - a)
+            sets = [unpack_sorted(x, np.uint64) for x in part["grams"].to_pylist()]
+            block = part["block"].to_numpy()
+            cross = bool(part["tile"][0].as_py())
+            if len(sets) > 1 and not (cross and block.min() == block.max()):
+                out += of(part["id"].to_numpy(), block, part["copies"].to_numpy(), sets, cross)
+        return _arrow(out, schema)
+
+    return run
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """id_col, class_id, n_links: a row for each row of docs.
+
+    Two rows are linked if the Jaccard similarity of their sets of word n-grams is at least the threshold; n_links
+    counts the other rows that a row is linked to, copies included; class_id is the least id that links lead to.
+    Texts of fewer than n words have one gram, all their words; texts without words (null too) are linked to none.
+    Of rows with the same id and different texts one text counts. Null ids are one class of their own, unless
+    they are linked. Other columns are ignored; an empty table gives an empty result.
+
+    recall is the probability, at the threshold, that a pair is compared; nearer pairs and pairs that have
+    common neighbours have more. Every link returned is exact.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunked(docs, id_col, text_col)
+    sketches = checkpointed(chunks.mapInArrow(_sketches(n), "chunk long, id long, words long, whole long, sketch binary"))
+    texts = checkpointed(sketches.groupBy("whole", "words").agg(F.min(F.struct("id", "chunk", "sketch")).alias("first"), F.count(F.lit(1)).alias("copies")).select("whole", "words", "first.*", "copies"))
+    members = sketches.select("id", "whole", "words").join(texts.select("whole", "words", F.col("id").alias("text"), "copies"), ["whole", "words"]).select("id", "text", "copies")
+
+    runs = runs_for(recall, threshold)
+    nodes = texts.select("id", "sketch").mapInArrow(_nodes(runs, threshold), "node long, id long, bytes binary")
+    # Nodes of 20,000 entries and more share tasks; a task's entries are a few megabytes.
+    tasks = max(256, parts, math.ceil(texts.count() * runs * 1.25 / 20_000))
+    near = nodes.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks))).groupBy("task").applyInArrow(_solve(threshold), "a long, b long")
+    found = components(near)
+
+    sized = found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    asked = sized.join(texts.select("id", "chunk", "copies"), "id").select("chunk", "id", "component", "copies", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    sets = chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_gathered(n), "id long, component long, copies long, blocks long, grams binary")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    whole = F.col("blocks") == 1
+    dealt = sets.withColumn("block", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
+    key = F.when(whole, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
+    cross = F.when(whole | (F.col("block") == F.col("other")), 0).otherwise(1)
+    tiles = dealt.select(key.alias("key"), cross.alias("tile"), "block", "component", "id", "copies", "grams")
+    exact = checkpointed(tiles.groupBy("key").applyInArrow(_exact(threshold), "id long, least long, linked long"))
+
+    linked = exact.groupBy("id").agg(F.sum("linked").alias("linked"))
+    classes = components(exact.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    by_text = linked.join(classes, "id", "left").select(F.col("id").alias("text"), "linked", F.coalesce("component", "id").alias("class"))
+    known = members.join(by_text, "text", "left").select("id", F.coalesce("class", "text").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    blank = docs.where(F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", 3), lambda w: w != "")) == 0)
+    rows = known.unionByName(blank.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+    return rows.select(back("id").alias(id_col), back("class_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """The rows of docs whose id is their class's: one for each class where ids are unique."""
+    gone = jaccard_classes(docs, id_col, text_col, n, threshold, recall).where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

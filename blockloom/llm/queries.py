@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.chat_format import chat_format, chat_read
 from blockloom.llm.common import table
 from blockloom.llm.exact_dedup import exact_dedup
+from blockloom.llm.jaccard_join import jaccard_classes
 from blockloom.llm.quality_rules import quality_rules
 from blockloom.llm.substring_dedup import substring_dedup
 
@@ -32,11 +33,15 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op5_ngram_jaccard_join, op8_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": r"""
