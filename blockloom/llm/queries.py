@@ -9,8 +9,15 @@ from blockloom.llm.chat_format import chat_format, chat_read
 from blockloom.llm.common import table
 from blockloom.llm.exact_dedup import exact_dedup
 from blockloom.llm.jaccard_join import jaccard_classes
+from blockloom.llm.mixing import mix_sources
+from blockloom.llm.packing import pack_documents
 from blockloom.llm.quality_rules import quality_rules
 from blockloom.llm.substring_dedup import substring_dedup
+from blockloom.llm.token_counts import token_counts
+
+
+#: A public tokenizer's file; operators take it as a parameter.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +40,27 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op5_ngram_jaccard_join, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": r"""
