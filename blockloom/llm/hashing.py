@@ -30,6 +30,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span; spans ascend and do not overlap."""
+    out = np.empty(len(starts), np.uint64)
+    i, inverse = 0, pow(_BASE, -1, 2**64)
+    while i < len(out):  # in steps, which bounds the memory
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, low + _STEP)))
+        n = int(ends[j - 1] - low)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data[low : low + n]] * _powers(_BASE, n), out=total[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mixed((total[e] - total[s]) * _powers(inverse, n + 1)[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 class Words:
     """The words of texts that lie one after another in a byte array.
 
@@ -48,25 +64,11 @@ class Words:
         end[inner - 1] = ink[inner - 1]
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = self._hashes(data)
+        self.hashes = span_hashes(data, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    def _hashes(self, data: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.starts), np.uint64)
-        i, inverse = 0, pow(_BASE, -1, 2**64)
-        while i < len(out):  # in steps, which bounds the memory
-            low = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.starts, low + _STEP)))
-            n = int(self.ends[j - 1] - low)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTES[data[low : low + n]] * _powers(_BASE, n), out=total[1:])
-            s, e = self.starts[i:j] - low, self.ends[i:j] - low
-            out[i:j] = mixed((total[e] - total[s]) * _powers(inverse, n)[s] + (e - s).astype(np.uint64))
-            i = j
-        return out
-
     def whole(self) -> np.ndarray:
         """A hash of each text's words in their order."""
         total = np.zeros(len(self.hashes) + 1, np.uint64)

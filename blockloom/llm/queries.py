@@ -14,6 +14,7 @@ from blockloom.llm.packing import pack_documents
 from blockloom.llm.quality_rules import quality_rules
 from blockloom.llm.substring_dedup import substring_dedup
 from blockloom.llm.token_counts import token_counts
+from blockloom.llm.token_files import read_token_files, write_token_files
 
 
 #: A public tokenizer's file; operators take it as a parameter.
@@ -60,7 +61,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup, op9_token_files)}
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": r"""
