@@ -1,0 +1,221 @@
+"""Main text of web pages by site style trees.
+
+The pages of a host are merged into one tree of style nodes, each a chain of tags and classes. A node's
+importance is the entropy of what the host's pages have there: of the texts (content) and of the sequences of
+child elements (presentation), each over the logarithm of the number of different pages. A branch that looks and
+reads alike on page after page is of low importance and is removed from each page. What the standard's own elements
+and common class names mark as menus, adverts, forms, comments and so on has no importance by declaration, and
+where a page marks its article, what lies outside has none either.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from blockloom.llm.common import checkpointed
+
+#: Different pages that a host must have at a node before its entropy says something, and the importance below which it goes.
+LEAST_PAGES, LEAST_IMPORTANCE = 10, 0.05
+#: Nodes up to which the list of low ones is broadcast.
+BROADCAST_NODES = 200_000
+
+# Names of elements of the HTML standard, of ARIA roles, and words in the wild's class names.
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+RAW = set("script style textarea title iframe noscript xmp noembed noframes".split())
+SILENT = set("nav footer aside form button select dialog template svg canvas object head menu option datalist".split()) | RAW
+BLOCKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
+CLOSES_P = BLOCKS - set("body br caption dd dt head html legend li summary tbody td tfoot th thead title tr".split())
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+ROLES = set("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
+NOISE = set("ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars sidenav masthead footer comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar teaser teasers".split())
+NOT_AFTER = set("no has with without hide is".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+class Block:
+    __slots__ = ("article", "path", "text")
+
+    def __init__(self, path: int, article: bool, text: str) -> None:
+        self.path, self.article, self.text = path, article, text
+
+
+def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
+    """Whether an element is noise by what it declares, and its class for the style path."""
+    if not attributes.strip():
+        return tag in SILENT or tag == "header" and not in_article, ""
+    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
+    style = found.get("class", "")
+    if tag in SILENT or tag == "header" and not in_article or "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
+        return True, style
+    if found.get("role", "").lower() in ROLES:
+        return True, style
+    if tag not in ("html", "body", "main"):
+        for name in (*style.split(), found.get("id", "")):
+            words = [w.lower() for w in _NAME_WORDS.findall(name)]
+            for k, w in enumerate(words):
+                if (w in NOISE or w == "header" and not in_article and tag != "article") and not (k and words[k - 1] in NOT_AFTER):
+                    return True, style
+    return False, style
+
+
+class _Open:
+    """An open element."""
+
+    __slots__ = ("article", "block", "children", "noise", "path", "tag")
+
+    def __init__(self, tag: str, path: int, block: bool, noise: bool, article: bool) -> None:
+        self.tag, self.path, self.block, self.noise, self.article, self.children = tag, path, block, noise, article, []
+
+
+def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """The page's blocks of text outside of declared noise, and (style path, child sequence) of its elements there.
+
+    Elements left open end where the standard ends them: paragraphs before blocks, items before items, and
+    everything else with the element around it. Inline elements are part of the block around them.
+    """
+    blocks: list[Block] = []
+    styles: list[tuple[int, int]] = []
+    stack, text, raw = [_Open("", 0, True, False, False)], [], ""
+
+    def end_block() -> None:
+        if text:
+            if words := " ".join("".join(text).split()):
+                around = next(e for e in reversed(stack) if e.block)
+                blocks.append(Block(around.path, around.article, words))
+            text.clear()
+
+    def close(k: int) -> None:
+        """Close the element at place k and all inside it."""
+        if any(e.block for e in stack[k:]):
+            end_block()
+        for e in stack[k:]:
+            if e.children and not e.noise:
+                styles.append((e.path, _digest(" ".join(e.children))))
+        del stack[k:]
+
+    def inner(tags: set[str], scope: set[str]) -> int:
+        """The place of the innermost open element of tags, if no element of scope is open inside it; or 0."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in tags:
+                return k
+            if stack[k].tag in scope:
+                break
+        return 0
+
+    for m in _TOKEN.finditer(page):
+        tag = m[2] and m[2].lower()
+        if raw:  # all is the element's text until its end tag
+            if tag == raw and m[1]:
+                raw = ""
+                close(len(stack) - 1)
+            continue
+        if not tag:
+            token = m[0]
+            if (token[0] != "<" or token == "<") and not stack[-1].noise:
+                text.append(html.unescape(token) if "&" in token else token)
+        elif m[1]:
+            if k := inner({tag}, set() if tag in BLOCKS else BLOCKS):
+                close(k)
+        else:
+            block = tag in BLOCKS
+            if block:
+                end_block()
+            if tag in CLOSES_P and (k := inner({"p"}, BLOCKS - {"p"})) or tag in ENDED_BY and (k := inner(ENDED_BY[tag], SCOPES[tag])):
+                close(k)
+            up = stack[-1]
+            up.children.append(tag)
+            if tag not in VOID:
+                silent, style = _silent(tag, m[3], up.article)
+                noise = up.noise or silent
+                article = up.article or not noise and (tag in ("article", "main") or _MAIN_ROLE.search(m[3]) is not None)
+                stack.append(_Open(tag, _digest(f"{up.path}>{tag}.{style}") if block else up.path, block, noise, article))
+                raw = tag if tag in RAW else ""
+    close(0)
+    return blocks, styles
+
+
+def main_blocks(page: str) -> list[Block]:
+    """The blocks of the page's articles, if it marks any, and else of all that is not declared noise."""
+    blocks, _ = parsed(page)
+    article = [b for b in blocks if b.article]
+    return article or blocks
+
+
+_NODES = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("what", pa.int64()), ("page", pa.int64())])
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            blocks, styles = parsed(page or "")
+            article = [b for b in blocks if b.article]
+            blocks = article or blocks
+            paths = {b.path for b in blocks}
+            same = _digest("\n".join(b.text for b in blocks))
+            out += {(host, b.path, 0, _digest(b.text), same) for b in blocks}
+            out += {(host, p, 1, s, same) for p, s in styles if p in paths}
+        yield pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 5, _NODES, strict=True)], schema=_NODES)
+
+
+def low_nodes(pages: DataFrame) -> DataFrame:
+    """host, path: the style nodes of low importance. pages has the columns host and html."""
+    seen = pages.select("host", "html").mapInArrow(_nodes, "host string, path long, kind int, what long, page long").distinct()
+    of = seen.groupBy("host", "path", "kind", "what").agg(F.count(F.lit(1)).alias("n"))
+    entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
+    node = of.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), (entropy / F.log(F.greatest(F.sum("n"), F.lit(2)))).alias("importance"))
+    merged = node.groupBy("host", "path").agg(F.max("importance").alias("importance"), F.max(F.when(F.col("kind") == 0, F.col("m"))).alias("m"))
+    return merged.where((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
+
+
+def _extract(keys: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, low in zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist(), strict=True):
+                blocks = main_blocks(page or "")
+                if low:
+                    gone = set(low)
+                    blocks = [b for b in blocks if b.path not in gone] or blocks
+                out.append(" ".join(b.text for b in blocks))
+            yield pa.record_batch([*batch.columns[:keys], pa.array(out, pa.string())], names=[*batch.schema.names[:keys], "text"])
+
+    return run
+
+
+def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """The kept columns and text: a row for each page.
+
+    Character references are decoded, white space inside a block becomes one space, blocks are joined in page
+    order by one space. A null or empty page, and one that has no text, gives an empty text. Pages without
+    a host are one site. A page whose branches are all of low importance keeps them. Pages that repeat count once
+    in the site's tree and are returned each. An empty table gives an empty result.
+    """
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
+    rows = pages.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)), F.col(html_col).alias("html"), host.alias("host"))
+    low = low_nodes(rows).groupBy("host").agg(F.collect_list("path").alias("low"))  # a site's templates, not its pages
+    low = low.withColumnRenamed("host", "site")
+    low = checkpointed(low)
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES:
+        low = F.broadcast(low)
+    joined = rows.join(low, F.col("host") == F.col("site"), "left")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    out = joined.select(*(f"k{n}" for n in range(len(keep))), "html", "low").mapInArrow(_extract(len(keep)), f"{kinds}{', ' if keep else ''}text string")
+    return out.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), "text")

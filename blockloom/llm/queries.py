@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.chat_format import chat_format, chat_read
 from blockloom.llm.common import table
 from blockloom.llm.exact_dedup import exact_dedup
+from blockloom.llm.html_extract import extract_main_text
 from blockloom.llm.jaccard_join import jaccard_classes
 from blockloom.llm.mixing import mix_sources
 from blockloom.llm.packing import pack_documents
@@ -65,7 +66,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup, op9_token_files)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main_text(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup, op9_token_files, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": r"""
