@@ -15,8 +15,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Labels halve their distance to the least at least, so long chains take a logarithmic number of rounds.
     Each round is checkpointed; nothing but a count comes to the driver.
     """
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = checkpointed(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    ways = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
+    both = checkpointed(links.select(F.inline(ways)).where("u <> v").distinct())
     labels = checkpointed(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
     while True:
         seen = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))

@@ -138,7 +138,7 @@ class _Join:
             order = np.argsort(values, kind="stable")
             cuts = np.flatnonzero(np.diff(values[order])) + 1
             for child in np.split(node[order], cuts):
-                self.solve(child, int(mixed(np.array([seed * 64 + i + int(self.sketch[child[0], i]) * 8191], np.uint64))[0] >> np.uint64(2)), depth + 1)
+                self.solve(child, (seed * 1_000_003 + i * 257 + int(self.sketch[child[0], i]) + 1) % 2**62, depth + 1)
 
 
 def _solve(threshold: float) -> Callable:
