@@ -42,7 +42,7 @@ def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def chosen(seed: int, threshold: float) -> np.ndarray:
     """The positions that a node chooses: each with probability 1 / (threshold * SKETCH), and one at least."""
-    h = mixed(np.arange(SKETCH, dtype=np.uint64) + np.uint64(seed % 2**63) * np.uint64(SKETCH))
+    h = mixed(np.arange(SKETCH, dtype=np.uint64) + np.uint64(seed * SKETCH % 2**64))
     picked = np.flatnonzero(h < np.uint64(int(2**64 / (threshold * SKETCH))))
     return picked if len(picked) else np.array([int(np.argmin(h))])
 

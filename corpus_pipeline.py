@@ -1,7 +1,60 @@
-"""The corpus pipeline: quality rules, exact dedup, near duplicates, mixing, packing."""
+"""The corpus pipeline: quality rules, exact dedup, near duplicates, mixing, packing.
+
+Every stage reads what the stage before it has written, all of it, and its decisions take effect on the rows.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from blockloom.llm.common import table, written
+from blockloom.llm.exact_dedup import drop_exact_copies
+from blockloom.llm.jaccard_join import one_of_each_class
+from blockloom.llm.mixing import mix_sources, repeated
+from blockloom.llm.packing import pack_documents
+from blockloom.llm.quality_rules import quality_rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return drop_exact_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word Jaccard similarity 0.8 connect, the one with the least id stays."""
+    return one_of_each_class(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, or up to three times."""
+    return repeated(mix_sources(docs)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's words lie in which bin; copies never share one."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing", mixture), ("best-fit packing", packed)]
+
+#: Sketch-based candidate search, a flow and best-fit search have no SQL; the tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each but the last written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
