@@ -1,6 +1,432 @@
-"""The registered queries of the engine's own operators, with their SQL."""
+"""The registered queries of the engine's own operators over the supplied tables, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from blockloom.functions.types import duration_column, duration_text
+from blockloom.operators import expansion, graph, hashing, logs, planning
+from blockloom.plans.compiler import select
+from blockloom.plans.parser import parse_expression
+from blockloom.sources import code, dockerfile, files, imports
+from blockloom.streaming.suites import stream_suites
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name, with its SQL."""
+
+    def keep(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def expressions(df: DataFrame, **texts: str) -> DataFrame:
+    return select(df, {k: parse_expression(t) for k, t in texts.items()})
+
+
+# Expressions.
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def expr_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    return df.select("doc_id", "text").transform(lambda d: select(d, {"digest": parse_expression("text | sha256"), "doc_id": parse_expression("doc_id")})).select(F.col("doc_id").cast("long"), "digest")
+
+
+@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\r?\\n'), lambda x: x <> ''), '|') AS lines FROM documents")
+def expr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "documents"), doc_id="doc_id", lines="text | lines")
+    return out.select(F.col("doc_id").cast("long"), F.array_join("lines", "|").alias("lines"))
+
+
+@query("SELECT doc_id, len(list_distinct(string_split(text, ' '))) AS n FROM documents")
+def expr_uniq_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "documents"), doc_id="doc_id", words='text | split(" ") | uniq')
+    return out.select(F.col("doc_id").cast("long"), F.size("words").cast("long").alias("n"))
+
+
+@query(r"SELECT doc_id, regexp_replace(chr(9) || ' ' || chr(10) || text || chr(13) || chr(10), '^\s+|\s+$', '', 'g') AS trimmed FROM documents")
+def expr_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "documents"), doc_id="doc_id", trimmed='"\\t \\n" + text + "\\r\\n" | trim', all='"\\t \\n${text}\\r\\n" | trim')
+    return out.select(F.col("doc_id").cast("long"), F.col("all").alias("trimmed"))
+
+
+@query("SELECT page_id, array_to_string(string_split(url, '/'), '|') AS parts FROM pages")
+def expr_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "pages"), page_id="page_id", parts='url | split("/")')
+    return out.select(F.col("page_id").cast("long"), F.array_join("parts", "|").alias("parts"))
+
+
+_STRIPPED = r"regexp_replace(url, '(/+\.?)+$', '')"
+
+
+@query(rf"SELECT page_id, CASE WHEN b IN ('.', '..') THEN '' ELSE b END AS base FROM (SELECT page_id, regexp_replace({_STRIPPED}, '^.*/', '') AS b FROM pages)")
+def expr_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "pages"), page_id="page_id", base="url | basename")
+    return out.select(F.col("page_id").cast("long"), "base")
+
+
+@query(rf"SELECT page_id, CASE WHEN t NOT LIKE '%/%' THEN '' WHEN u = '' THEN '/' ELSE u END AS dir FROM (SELECT page_id, {_STRIPPED} AS t, regexp_replace(regexp_replace({_STRIPPED}, '/+[^/]*$', ''), '(/+\.)+$', '') AS u FROM pages)")
+def expr_dirname(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "pages"), page_id="page_id", dir="url | dirname")
+    return out.select(F.col("page_id").cast("long"), "dir")
+
+
+@query("SELECT p_partkey, 'part:' || p_name AS before, p_name || '.txt' AS after FROM part")
+def expr_prefix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "part"), p_partkey="p_partkey", before='p_name | prefix("part:")', after='p_name | suffix(".txt")')
+    return out.withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+@query("SELECT p_partkey, p_brand || '/' || CAST(p_size AS VARCHAR) || ' [' || p_type || ', ' || p_name || ']' AS label FROM part")
+def expr_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "part"), p_partkey="p_partkey", label='"${p_brand}/${p_size} ${[p_type, p_name]}"')
+    return out.withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE CASE WHEN o_orderpriority = '1-URGENT' THEN 'now' ELSE 'later' END END AS todo FROM orders")
+def expr_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "orders"), o_orderkey="o_orderkey", todo='if o_orderstatus == "F" then "done" else if o_orderpriority == "1-URGENT" then "now" else "later"')
+    return out.withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query("SELECT l_returnflag = l_linestatus AS same, l_returnflag <> 'N' AS returned, false AS mixed, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def expr_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "lineitem"), same="l_returnflag == l_linestatus", returned='l_returnflag != "N"', mixed="l_linenumber == l_returnflag")
+    return out.groupBy("same", "returned", "mixed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderkey + o_custkey + 1 AS total FROM orders")
+def expr_add_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "orders"), o_orderkey="o_orderkey", total="o_orderkey + o_custkey + 1")
+    return out.select(F.col("o_orderkey").cast("long"), F.col("total").cast("long"))
+
+
+@query("SELECT c_custkey, array_to_string(list_concat([c_name], [c_mktsegment, 'x']), '|') AS parts FROM customer")
+def expr_add_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "customer"), c_custkey="c_custkey", parts='[c_name] + [c_mktsegment, "x"]')
+    return out.select(F.col("c_custkey").cast("long"), F.array_join("parts", "|").alias("parts"))
+
+
+@query("SELECT n_nationkey, 'A' AS picked, n_name = 'x' AS hit FROM nation")
+def expr_map_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "nation").withColumn("m", F.create_map(F.lit("a"), F.lit("A"), F.lit("n"), F.col("n_name")))
+    out = expressions(df, n_nationkey="n_nationkey", picked="m.a", hit='m == { a = "A", n = "x" }')
+    return out.withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def expr_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k STRING"))
+    out = expressions(df, event_id="event_id", k="p.k")
+    return out.withColumn("event_id", F.col("event_id").cast("long"))
+
+
+_UNITS = "CASE event_id % 7 WHEN 0 THEN 'ns' WHEN 1 THEN 'us' WHEN 2 THEN 'ms' WHEN 3 THEN 's' WHEN 4 THEN 'm' WHEN 5 THEN 'h' ELSE 'd' END"
+_SIZES = "CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 WHEN 3 THEN 1000000000 WHEN 4 THEN 60000000000 WHEN 5 THEN 3600000000000 ELSE 86400000000000 END"
+
+
+@query(f"SELECT event_id, CAST((user_id * 2 + 1) * ({_SIZES}) AS BIGINT) // 2 AS ns FROM events")
+def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").withColumn("text", F.expr(f"concat(user_id, '.5', {_UNITS})"))
+    return df.select("event_id", duration_column(F.col("text")).alias("ns"))
+
+
+@query("""SELECT event_id, CASE WHEN ns = 0 THEN '0s' WHEN ns % 86400000000000 = 0 THEN (ns // 86400000000000) || 'd' WHEN ns % 3600000000000 = 0 THEN (ns // 3600000000000) || 'h' WHEN ns % 60000000000 = 0 THEN (ns // 60000000000) || 'm' WHEN ns % 1000000000 = 0 THEN (ns // 1000000000) || 's' WHEN ns % 1000000 = 0 THEN (ns // 1000000) || 'ms' WHEN ns % 1000 = 0 THEN (ns // 1000) || 'us' ELSE ns || 'ns' END AS shown
+FROM (SELECT event_id, event_id * 1500 * (CASE WHEN user_id % 3 = 0 THEN 1 WHEN user_id % 3 = 1 THEN 60000 ELSE 2400000000 END) AS ns FROM events)""")
+def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ns = F.expr("event_id * 1500 * (CASE WHEN user_id % 3 = 0 THEN 1L WHEN user_id % 3 = 1 THEN 60000L ELSE 2400000000L END)")
+    return table(spark, sf_dir, "events").select("event_id", duration_text(ns).alias("shown"))
+
+
+# Expansion.
+
+
+@query("SELECT n_nationkey, n_name || '[' || r || ', ' || s || ']' AS slice FROM nation CROSS JOIN (VALUES ('amd64'), ('arm64')) a(r) CROSS JOIN (VALUES ('F'), ('O'), ('P')) b(s)")
+def matrix_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = {"arch": ["amd64", "arm64"], "status": ["F", "O", "P"]}
+    values = F.array(*(F.struct(F.lit(a).alias("arch"), F.lit(s).alias("status")) for a in keys["arch"] for s in keys["status"]))
+    df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.inline(values))
+    return df.select("n_nationkey", expansion.slice_name(F.col("n_name"), F.col("arch"), F.col("status")).alias("slice"))
+
+
+@query("SELECT a, b, (CASE a WHEN 'x' THEN 0 ELSE 1 END) * 2 + (CASE b WHEN 'p' THEN 0 ELSE 1 END) AS place FROM (VALUES ('x'), ('y')) u(a) CROSS JOIN (VALUES ('p'), ('q')) v(b)")
+def matrix_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expansion.cartesian(spark, {"a": ["x", "y"], "b": ["p", "q"]}).withColumn("place", F.col("place").cast("int"))
+
+
+@query("SELECT a.o_orderstatus AS status, a.o_orderpriority AS priority, a.n AS n, b.total AS total FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) a JOIN (SELECT o_orderstatus, o_orderpriority, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders GROUP BY 1, 2) b USING (o_orderstatus, o_orderpriority)")
+def matrix_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_custkey")
+    keys = ["status", "priority"]
+    return expansion.aligned(o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), o.groupBy(*keys).agg(F.sum("o_custkey").cast("decimal(38,0)").alias("total")), keys, keys).select("status", "priority", "n", F.col("total").cast("long"))
+
+
+# Hashes and changes.
+
+
+@query("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS input_hash FROM orders""")
+def input_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_custkey")
+    return df.select("o_orderkey", hashing.input_hash(df).alias("input_hash"))
+
+
+_MERKLE = """WITH s AS (SELECT o_custkey AS block, string_agg(CAST(o_orderkey AS VARCHAR) || chr(31) || sha256(o_orderstatus), chr(31) ORDER BY CAST(o_orderkey AS VARCHAR)) AS t FROM orders GROUP BY 1)
+SELECT CAST(c_custkey AS VARCHAR) AS block, sha256(sha256(c_name) || chr(30) || coalesce(t, '') || chr(30)) AS content_hash FROM customer LEFT JOIN s ON block = c_custkey"""
+
+
+@query(_MERKLE)
+def merkle_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("block"), F.sha2("c_name", 256).alias("input_hash"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("block"), F.col("o_orderkey").cast("string").alias("key"), F.sha2("o_orderstatus", 256).alias("hash"))
+    return hashing.content_hashes(blocks, orders, spark.createDataFrame([], "block string, parent string, hash string"))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations and customers as a graph; a customer hangs on its nation, every fifth on its region as well."""
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    phase = F.when(F.col("name").rlike("^r"), "pre").when(F.col("name").rlike("^n"), "default").otherwise("post")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    nodes = r.select(name("r", "r_regionkey").alias("name")).unionByName(n.select(name("n", "n_nationkey").alias("name"))).unionByName(c.select(name("c", "c_custkey").alias("name")))
+    edges = n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"), F.lit("dependency").alias("kind"))
+    edges = edges.unionByName(c.select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst"), F.lit("dependency").alias("kind")))
+    far = c.where("c_custkey % 5 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    edges = edges.unionByName(far.select(name("r", "n_regionkey").alias("src"), name("c", "c_custkey").alias("dst"), F.lit("ordering").alias("kind")))
+    return nodes.withColumn("phase", phase), edges
+
+
+_NODES = "nodes AS (SELECT 'r' || r_regionkey AS name FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer)"
+_EDGES = "edges AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'dependency' AS kind FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'dependency' FROM customer UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey, 'ordering' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 = 0)"
+
+
+@query(f"""WITH {_NODES}, {_EDGES}, r AS (SELECT 'r' || r_regionkey AS block, sha256(sha256('r' || r_regionkey) || chr(30) || chr(30)) AS h FROM region),
+n AS (SELECT 'n' || n_nationkey AS block, sha256(sha256('n' || n_nationkey) || chr(30) || chr(30) || r.block || chr(31) || r.h) AS h FROM nation JOIN r ON r.block = 'r' || n_regionkey),
+c AS (SELECT 'c' || c_custkey AS block, sha256(sha256('c' || c_custkey) || chr(30) || chr(30) || n.block || chr(31) || n.h) AS h FROM customer JOIN n ON n.block = 'n' || c_nationkey)
+SELECT block, h AS content_hash FROM r UNION ALL SELECT * FROM n UNION ALL SELECT * FROM c""")
+def merkle_nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _places(spark, sf_dir)
+    blocks = nodes.select(F.col("name").alias("block"), F.sha2("name", 256).alias("input_hash"))
+    return hashing.merkle(blocks, spark.createDataFrame([], "block string, key string, hash string"), nodes, edges)
+
+
+_BEFORE, _AFTER = "o_orderkey % 11 <> 0", "o_orderkey % 13 <> 0"
+_SNAPSHOTS = f"b AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE {_BEFORE}), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS v FROM orders WHERE {_AFTER})"
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders")
+    now = F.when(F.col("o_orderkey") % 7 == 0, "Z").otherwise(F.col("o_orderstatus"))
+    return o.where(_BEFORE).select("o_orderkey", F.col("o_orderstatus").alias("v")), o.where(_AFTER).select("o_orderkey", now.alias("v"))
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT coalesce(b.k, a.k) AS o_orderkey, b.v AS old, a.v AS new, CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'removed' WHEN b.v IS NOT DISTINCT FROM a.v THEN 'same' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.k = b.k")
+def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _snapshots(spark, sf_dir)
+    return planning.state_diff(before, after, "o_orderkey", "v")
+
+
+_KEYS = "b AS (SELECT o_custkey AS block, o_orderkey AS key, o_orderstatus AS h FROM orders WHERE o_orderkey % 11 <> 0), a AS (SELECT o_custkey AS block, o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS h FROM orders WHERE o_orderkey % 13 <> 0), d AS (SELECT coalesce(b.block, a.block) AS block, coalesce(b.key, a.key) AS key, CASE WHEN b.key IS NULL THEN 'new' WHEN a.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.block = b.block AND a.key = b.key WHERE a.h IS DISTINCT FROM b.h)"
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("block"), F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("hash"))
+    number = F.col("key").cast("long")
+    return planning.resolve_diff(o.where(number % 11 != 0), o.where(number % 13 != 0).withColumn("hash", F.when(number % 7 == 0, "Z").otherwise(F.col("hash"))))
+
+
+@query(f"WITH {_KEYS} SELECT CAST(block AS VARCHAR) AS block, CAST(key AS VARCHAR) AS key, change FROM d")
+def resolve_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(spark, sf_dir)
+
+
+@query(f"""WITH {_KEYS}, k AS (SELECT block, count(DISTINCT key || ' ' || change) AS n, string_agg(DISTINCT key || ' ' || change, ', ' ORDER BY key || ' ' || change) AS t FROM d GROUP BY 1)
+SELECT CAST(c_custkey AS VARCHAR) AS block, CASE WHEN c_custkey % 10 = 0 THEN 'n' || c_nationkey || ' changed' WHEN n IS NULL THEN 'inputs changed' WHEN n <= 3 THEN t ELSE n || ' sources changed' END AS reason FROM customer LEFT JOIN k ON k.block = c_custkey""")
+def change_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumn("block", F.col("c_custkey").cast("string"))
+    up = c.where("c_custkey % 10 = 0").select("block", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"))
+    return planning.reasons(c, up, _diff(spark, sf_dir))
+
+
+@query(f"""WITH {_NODES}, {_EDGES}, s AS (SELECT name, CASE WHEN name LIKE '%3' THEN 'old' ELSE 'h' END AS h FROM nodes WHERE name NOT LIKE '%7'),
+differs AS (SELECT n.name FROM nodes n LEFT JOIN s ON s.name = n.name WHERE s.name IS NULL OR s.h <> 'h'),
+d1 AS (SELECT name FROM differs UNION SELECT dst FROM edges JOIN differs ON src = name WHERE kind = 'dependency'),
+d2 AS (SELECT name FROM d1 UNION SELECT dst FROM edges JOIN d1 ON src = name WHERE kind = 'dependency')
+SELECT n.name AS block, CASE WHEN s.name IS NULL THEN 'create' WHEN d2.name IS NOT NULL THEN 'update' ELSE 'none' END AS action, d2.name IS NOT NULL AS dirty FROM nodes n LEFT JOIN s ON s.name = n.name LEFT JOIN d2 ON d2.name = n.name""")
+def plan_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _places(spark, sf_dir)
+    blocks = nodes.select(F.col("name").alias("block"), F.lit("h").alias("content_hash"))
+    state = nodes.where("name NOT LIKE '%7'").select(F.col("name").alias("block"), F.when(F.col("name").like("%3"), "old").otherwise("h").alias("content_hash"))
+    return planning.plan_actions(blocks, state, edges)
+
+
+@query(f"""WITH {_EDGES}, d0 AS (SELECT 'r' || r_regionkey AS name FROM region WHERE r_regionkey < 2 UNION SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 6 = 0),
+d1 AS (SELECT name FROM d0 UNION SELECT dst FROM edges JOIN d0 ON src = name WHERE kind = 'dependency'), d2 AS (SELECT name FROM d1 UNION SELECT dst FROM edges JOIN d1 ON src = name WHERE kind = 'dependency')
+SELECT name AS block FROM d2""")
+def dirty_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = _places(spark, sf_dir)
+    r = table(spark, sf_dir, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("block"))
+    n = table(spark, sf_dir, "nation").where("n_nationkey % 6 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("block"))
+    return planning.dirty(edges, r.unionByName(n))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS block, o_orderpriority AS param FROM orders WHERE o_custkey % 2 = 0 AND o_orderpriority <> '5-LOW' GROUP BY 1, 2")
+def active_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("block"), F.col("o_orderpriority").alias("param")).distinct()
+    active = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("block"))
+    return planning.active_parameters(refs, active, spark.sql("SELECT '5-LOW' AS param"))
+
+
+# Graphs.
+
+
+@query(f"WITH RECURSIVE {_NODES}, {_EDGES}, walk AS (SELECT name AS root, name FROM nodes UNION SELECT root, src FROM walk JOIN edges ON dst = name) SELECT root, name FROM walk")
+def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _places(spark, sf_dir)
+    return graph.closure(edges, nodes.select("name"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, walk AS (SELECT 'r1' AS name UNION SELECT dst FROM walk JOIN edges ON src = name) SELECT name FROM walk")
+def graph_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = _places(spark, sf_dir)
+    return graph.transitive_dependents(edges, spark.sql("SELECT 'r1' AS name"))
+
+
+@query(f"WITH RECURSIVE {_NODES}, {_EDGES}, walk AS (SELECT name, 0 AS depth FROM nodes WHERE name NOT IN (SELECT dst FROM edges) UNION ALL SELECT dst, depth + 1 FROM walk JOIN edges ON src = name) SELECT name, max(depth) AS depth FROM walk GROUP BY name")
+def graph_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.depths(*_places(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT dst AS name, coalesce(min(src) FILTER (kind = 'dependency'), min(src)) AS parent FROM edges GROUP BY dst")
+def graph_primary_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.primary_parents(_places(spark, sf_dir)[1])
+
+
+@query("WITH n AS (SELECT n_name AS name, n_regionkey % 3 AS p FROM nation) SELECT a.name AS src, b.name AS dst, 'ordering' AS kind FROM n a JOIN n b ON a.p < b.p")
+def phase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phase = F.element_at(F.array(F.lit("pre"), F.lit("default"), F.lit("post")), F.col("n_regionkey") % 3 + 1)
+    return graph.phase_edges(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), phase.alias("phase")))
+
+
+# Logs.
+
+
+def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as the lines of a test log: a user is a package, a purchase its end, and some lines are broken."""
+    e = table(spark, sf_dir, "events")
+    action = F.expr("CASE event_type WHEN 'click' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'output' ELSE CASE WHEN event_id % 3 = 0 THEN 'fail' ELSE 'pass' END END")
+    test = F.when(F.col("event_type") != "purchase", F.concat(F.lit("T"), F.expr("event_id % 4")))
+    line = F.to_json(F.struct(action.alias("Action"), F.concat(F.lit("u"), "user_id").alias("Package"), test.alias("Test"), F.lit(0.5).alias("Elapsed"), F.concat(F.lit("v"), F.col("event_id").cast("string"), F.lit("\n")).alias("Output")))
+    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 50 == 0, F.lit("not json")).otherwise(line).alias("line"))
+
+
+_LOG = """e AS (SELECT event_id AS seq, 'u' || user_id AS Package, CASE WHEN event_type <> 'purchase' THEN 'T' || (event_id % 4) END AS Test,
+CASE event_type WHEN 'click' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'output' ELSE CASE WHEN event_id % 3 = 0 THEN 'fail' ELSE 'pass' END END AS Action FROM events WHERE event_id % 50 <> 0)"""
+_RUNS = f"WITH {_LOG}, r AS (SELECT *, coalesce(sum(CASE WHEN Test IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY Package ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e)"
+_SUITES = f"""{_RUNS}, s AS (SELECT Package, CAST(run AS BIGINT) AS run, count(*) FILTER (Action = 'pass' AND Test IS NOT NULL) AS passed, count(*) FILTER (Action = 'fail' AND Test IS NOT NULL) AS failed, count(*) FILTER (Action = 'skip') AS skipped, bool_or(Test IS NULL) AS ended, bool_or(Test IS NULL AND Action = 'pass') AS ok FROM r GROUP BY 1, 2)"""
+
+
+@query(f"{_SUITES} SELECT Package, run, passed, failed, skipped, CAST(0.5 AS DOUBLE) AS elapsed, ok FROM s WHERE ended AND NOT (ok AND passed + failed + skipped = 0)")
+def suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.suite_summary(logs.test_events(_event_lines(spark, sf_dir)))
+
+
+@query(f"""WITH {_LOG}, t AS (SELECT *, coalesce(sum(CASE WHEN Action IN ('pass', 'fail') THEN 1 ELSE 0 END) OVER (PARTITION BY Package, Test ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM e WHERE Test IS NOT NULL)
+SELECT Package, Test, max(seq) FILTER (Action = 'fail') AS seq, coalesce(string_agg('v' || seq, chr(10) ORDER BY seq) FILTER (Action = 'output'), '') AS output FROM t GROUP BY Package, Test, turn HAVING max(seq) FILTER (Action = 'fail') IS NOT NULL""")
+def suite_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.failure_output(logs.test_events(_event_lines(spark, sf_dir)))
+
+
+@query(f"WITH {_LOG} SELECT bool_and(Action = 'pass') AS passed, count(*) > 0 AS had_events FROM e WHERE Test IS NULL")
+def suite_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.verdict(logs.test_events(_event_lines(spark, sf_dir)))
+
+
+@query()
+def stream_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log as a stream; equal to suite_summary but for run, as the tests show."""
+    base = f"{graph_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _event_lines(spark, sf_dir).write.parquet(f"{base}/in")
+    lines = spark.readStream.schema("seq long, line string").parquet(f"{base}/in")
+    done = stream_suites(logs.test_events(lines)).writeStream.format("parquet").option("checkpointLocation", f"{base}/at").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
+    done.awaitTermination()
+    if done.exception():
+        raise done.exception()
+    return spark.read.parquet(f"{base}/out")
+
+
+def graph_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder."""
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at.isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockloom-"))
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return at.get()
+
+
+def _cargo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    line = F.expr("CASE event_type WHEN 'click' THEN concat('test m', user_id, '::t ... ok') WHEN 'error' THEN concat('test m', user_id, '::t ... FAILED') WHEN 'signup' THEN concat('     Running unittests src/u', user_id, '.rs (x)') WHEN 'purchase' THEN concat('test result: ', if(event_id % 2 = 0, 'ok', 'FAILED'), '. ', user_id, ' passed; ', event_id % 5, ' failed; 1 ignored; 0 measured; finished in 0.25s') ELSE 'running 2 tests' END")
+    return e.select(F.col("event_id").alias("seq"), line.alias("line"), F.expr("event_id % 16").alias("log"))
+
+
+@query("""SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'test' WHEN 'error' THEN 'test' WHEN 'signup' THEN 'suite' WHEN 'purchase' THEN 'result' ELSE 'running' END AS kind,
+CASE WHEN event_type IN ('click', 'error') THEN 'm' || user_id || '::t' WHEN event_type = 'signup' THEN 'src/u' || user_id || '.rs' END AS name, CASE event_type WHEN 'click' THEN 'ok' WHEN 'error' THEN 'FAILED' END AS status FROM events""")
+def cargo_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.classified(_cargo_lines(spark, sf_dir)).select("seq", "kind", "name", "status")
+
+
+@query("""WITH l AS (SELECT *, CASE WHEN event_type = 'signup' THEN 'src/u' || user_id || '.rs' END AS s FROM events)
+SELECT event_id AS seq, suite, event_id % 2 = 0 AS ok, user_id AS passed, event_id % 5 AS failed, CAST(1 AS BIGINT) AS ignored, CAST(0.25 AS DOUBLE) AS seconds
+FROM (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY event_id % 16 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suite FROM l) WHERE event_type = 'purchase'""")
+def cargo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.cargo_summary(_cargo_lines(spark, sf_dir), "log")
+
+
+# Sources.
+
+
+@query("""SELECT page_id, (regexp_matches(url, '(^|/)[^/]*-[^/]*($|/)') OR url LIKE '%.html' OR url LIKE '%.html/%') AND NOT (url LIKE '%/en/%' OR url LIKE 'en/%') AS ignored FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS url FROM pages)""")
+def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(files.ignore_rules("# comment\n*-*\n\n!**/en/**\n*.html\n"), "seq int, pattern string, negate boolean")
+    paths = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
+    return files.ignored(paths, rules).select("page_id", "ignored")
+
+
+@query("SELECT page_id, url FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS url FROM pages) WHERE NOT regexp_matches(url, '(^|/)(node_modules|\\.git|dist|build|coverage|\\.next|\\.turbo|\\.cache|out|target|vendor|tmp)/') AND NOT (url LIKE '%.log' OR url LIKE '%.tsbuildinfo' OR url LIKE '%.map')")
+def source_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
+    return code.source_walk(paths).select("page_id", F.col("path").alias("url"))
+
+
+@query("SELECT n_nationkey, 'github.com' AS host, n_name AS owner, 'r' || n_regionkey AS repository, CASE WHEN n_nationkey % 2 = 0 THEN 'a/b' ELSE '' END AS folder, CASE WHEN n_nationkey % 3 = 0 THEN 'v1' ELSE '' END AS ref FROM nation")
+def import_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.expr("concat('github.com/', n_name, '/r', n_regionkey, if(n_nationkey % 2 = 0, '/a/b', ''), if(n_nationkey % 3 = 0, '#v1', ''))")
+    return table(spark, sf_dir, "nation").select("n_nationkey", imports.url_columns(url).alias("u")).select("n_nationkey", "u.*")
+
+
+@query("""SELECT c_custkey AS path, 'fmt' AS import FROM customer UNION ALL SELECT c_custkey, 'example.com/m/n' || c_nationkey FROM customer UNION ALL SELECT c_custkey, 'os' FROM customer WHERE c_custkey % 2 = 0""")
+def go_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("""concat('package x\nimport (\n  "fmt"\n  alias "example.com/m/n', c_nationkey, '" // "no"\n)\n', if(c_custkey % 2 = 0, 'import "os"\n', '// import "none"\n'), 'var s = "http://x"\n')""")
+    return code.go_imports(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), text.alias("text")))
+
+
+@query("SELECT n_nationkey, 'v1/' || n_name || '/d' || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'w' END AS source FROM nation")
+def dockerfile_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat('$V/', n_name, '/${D:-d}', if(n_nationkey % 2 = 0, '', '${V:+w}'))")
+    return table(spark, sf_dir, "nation").select("n_nationkey", dockerfile.expand_column(text, {"V": "v1"}).alias("source"))

@@ -12,6 +12,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockloom.functions.library import Typed, call
 from blockloom.functions.types import BOOL, DURATION, NULL, NUMBER, NUMBER_TYPE, STRING, Duration, Type, display_column, from_spark, list_of, map_of, spark_type, struct_of, type_of
@@ -79,7 +80,12 @@ class Scope:
     @staticmethod
     def of(df: DataFrame) -> Scope:
         """The columns of df."""
-        return Scope({f.name: Typed(F.col(f"`{f.name}`"), from_spark(f.dataType)) for f in df.schema.fields}, {c: "column" for c in df.columns})
+
+        def typed(f: T.StructField) -> Typed:
+            t, col = from_spark(f.dataType), F.col(f"`{f.name}`")
+            return Typed(col.cast(NUMBER_TYPE) if t == NUMBER else col, t)
+
+        return Scope({f.name: typed(f) for f in df.schema.fields}, dict.fromkeys(df.columns, "column"))
 
 
 def _plain(t: Type) -> Type:
