@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: A package that says nothing for so long is given up, so that state does not grow for ever.
-GIVE_UP = "6 hours"
 OUTPUT = "Package STRING, passed LONG, failed LONG, skipped LONG, elapsed DOUBLE, ok BOOLEAN"
 STATE = "passed LONG, failed LONG, skipped LONG"
 _COUNTS = {"pass": 0, "fail": 1, "skip": 2}
 
 
-def _reduce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _reducer(give_up_ms: int | None) -> Callable:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _reduce(key, batches, state, give_up_ms)
+
+    return run
+
+
+def _reduce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, give_up_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -33,15 +38,22 @@ def _reduce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
                 counts = [0, 0, 0]
     if sum(counts):
         state.update(tuple(counts))
-        state.setTimeoutDuration(6 * 3600 * 1000)
+        if give_up_ms:
+            state.setTimeoutDuration(give_up_ms)
     elif state.exists:
         state.remove()
-    yield pd.DataFrame(out, columns=["Package", "passed", "failed", "skipped", "elapsed", "ok"])
+    if out:
+        yield pd.DataFrame(out, columns=["Package", "passed", "failed", "skipped", "elapsed", "ok"])
+
 
+def stream_suites(events: DataFrame, give_up_ms: int | None = None) -> DataFrame:
+    """A streaming DataFrame of suite summaries from one of events (seq, Action, Package, Test, Elapsed).
 
-def stream_suites(events: DataFrame) -> DataFrame:
-    """A streaming DataFrame of suite summaries from one of events (seq, Action, Package, Test, Elapsed)."""
-    return events.select("seq", "Action", "Package", "Test", "Elapsed").groupBy("Package").applyInPandasWithState(_reduce, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    Packages that never end keep a few numbers of state each. A stream that runs for ever should give up those that
+    say nothing for give_up_ms; the timeout makes batches without data, so an availableNow run has none.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if give_up_ms else GroupStateTimeout.NoTimeout
+    return events.select("seq", "Action", "Package", "Test", "Elapsed").groupBy("Package").applyInPandasWithState(_reducer(give_up_ms), OUTPUT, STATE, "append", timeout)
 
 
 def stream_verdict(events: DataFrame) -> DataFrame:
