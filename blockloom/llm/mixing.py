@@ -13,7 +13,7 @@ from collections import defaultdict, deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import checkpointed
+from blockloom.llm.common import checkpointed, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: What the first, second, ... copy of a document costs; it must grow.
@@ -180,5 +180,6 @@ def _last_chosen(docs: DataFrame) -> DataFrame:
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mixed rows, each as often as it is taken, without the mix's own columns."""
     times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0)).cast("int")
-    copies = mixed.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times)))
-    return copies.drop("size", "source_size", "target", "taken", "__copy")
+    names = [F.col(f"`{c}`") for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
+    (copy,) = fresh(mixed, "copy")
+    return mixed.where(times > 0).select("*", F.explode(F.sequence(F.lit(1), times)).alias(copy)).select(*names)

@@ -132,18 +132,16 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     Null languages and sources are groups of their own. An empty table gives an empty result; repeated rows count
     and are judged each. Columns of docs that have the names of result columns are replaced.
     """
-    names = docs.columns if keep is None else keep
-    lang, source = "__lang", "__source"
-    counted = measured(docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias("__text"), F.col(lang_col).alias(lang), F.col(source_col).alias(source)), "__text")
-    only = [c for c in counted.columns if c != "__text" or text_col in names]
-    counted = counted.select(*(F.col(f"`{c}`") for c in only if c != "__text"))
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    row = F.struct(F.lit(0).alias("__"), *(F.col(f"`{c}`").alias(c) for c in names)).alias("row")  # packed, so that no names meet
+    counted = measured(docs.select(row, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")), "text").drop("text")
     counted = written(counted) if text_col in names else checkpointed(counted)  # read twice below, measured once
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    limits = thresholds(sketches(counted, [lang, source]), lang, source, least_group).withColumnsRenamed({lang: "__l", source: "__s"})
-    joined = counted.join(limits, counted[lang].eqNullSafe(limits["__l"]) & counted[source].eqNullSafe(limits["__s"]), "left")
+    limits = thresholds(sketches(counted, ["lang", "source"]), "lang", "source", least_group).withColumnsRenamed({"lang": "l", "source": "s"})
+    joined = counted.join(limits, counted["lang"].eqNullSafe(limits["l"]) & counted["source"].eqNullSafe(limits["s"]), "left")
     fine = F.lit(True)
     for name, value in _metrics().items():
         fine = fine & F.coalesce(value.between(F.col(f"{name}_min"), F.col(f"{name}_max")), F.lit(True))
     out = joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & fine)
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(*(F.col(f"`{c}`") for c in names if c not in [*counts, "base_failed", "kept"]), *counts, "base_failed", "kept")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in names), *added)

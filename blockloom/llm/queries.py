@@ -12,7 +12,7 @@ from blockloom.llm.html_extract import extract_main_text
 from blockloom.llm.jaccard_join import jaccard_classes
 from blockloom.llm.mixing import mix_sources
 from blockloom.llm.packing import pack_documents
-from blockloom.llm.quality_rules import quality_rules
+from blockloom.llm.quality_rules import FENCES, LEAST_GROUP, quality_rules
 from blockloom.llm.substring_dedup import substring_dedup
 from blockloom.llm.token_counts import token_counts
 from blockloom.llm.token_files import read_token_files, write_token_files
@@ -73,7 +73,51 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup, op9_token_files, op10_html_extraction)}
 
+_WORDS = r"""w AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM w)"""
+
+
+def _grams(size: int) -> str:
+    """SQL for the windows of size words: g."""
+    leads = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, size))])
+    return f"g AS (SELECT * FROM (SELECT doc_id, i, n, {leads} AS gram FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE gram IS NOT NULL)"
+
+
+_FENCE = {k: (f["reach"], f["floor"]) for k, f in FENCES.items()}
+_QUALITY = f"""WITH {_WORDS}, {_grams(8)},
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) > 1 AS again FROM g),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, range(0, 8) x(k) WHERE again GROUP BY 1),
+m AS (SELECT d.doc_id, d.lang, d.source, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(array_to_string(w.ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(coalesce(d.text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  length(regexp_replace(coalesce(d.text, ''), '[^!?]', '', 'g')) AS n_marks, length(regexp_replace(coalesce(d.text, ''), '[^\\p{{Lu}}]', '', 'g')) AS n_capitals,
+  list_filter(string_split(coalesce(d.text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(c.n_repeat_words, 0) AS n_repeat_words
+  FROM documents d JOIN w USING (doc_id) LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines FROM m),
+v AS (SELECT doc_id, lang, source, unnest(['symbols', 'marks', 'capitals', 'dup_lines', 'repeats', 'word_length']) AS metric,
+  unnest([1000 * n_symbols // greatest(word_chars, 1), 1000 * n_marks // greatest(word_chars, 1), 1000 * n_capitals // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 1000 * word_chars // greatest(n_words, 1)]) AS value FROM f),
+b AS (SELECT *, CASE WHEN value < 64 THEN value ELSE (length(bin(value)) - 6) * 32 + (value >> (length(bin(value)) - 6)) END AS bucket FROM v),
+x AS (SELECT *, CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 32 - 1) * 32) << CAST(bucket // 32 - 1 AS INTEGER) END AS least FROM b),
+q0 AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(least, [0.25, 0.5, 0.75]) AS q FROM x GROUP BY ALL), q1 AS (SELECT lang, metric, count(*) AS n, quantile_disc(least, [0.25, 0.5, 0.75]) AS q FROM x GROUP BY ALL), q2 AS (SELECT metric, quantile_disc(least, [0.25, 0.5, 0.75]) AS q FROM x GROUP BY ALL),
+u AS (SELECT q0.lang, q0.source, q0.metric, CASE WHEN q0.n >= {LEAST_GROUP} THEN q0.q WHEN q1.n >= {LEAST_GROUP} THEN q1.q ELSE q2.q END AS q FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.metric = q1.metric JOIN q2 ON q0.metric = q2.metric),
+l AS (SELECT lang, source, metric, {" ".join(["CASE metric", *(f"WHEN '{k}' THEN q[2] + {r} * greatest(q[3] - q[2], {fl})" for k, (r, fl) in _FENCE.items()), "END"])} AS up, CASE WHEN metric = 'word_length' THEN q[2] - {_FENCE["word_length"][0]} * greatest(q[2] - q[1], {_FENCE["word_length"][1]}) ELSE -1 END AS down FROM u),
+k AS (SELECT v.doc_id, bool_and(v.value BETWEEN l.down AND l.up) AS fine FROM v JOIN l ON v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source AND v.metric = l.metric GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND fine AS kept FROM f JOIN k USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""WITH {_WORDS}, {_grams(20)},
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) > 1 AS again FROM g),
+        x AS (SELECT DISTINCT doc_id, i + k AS i FROM r, range(0, 20) y(k) WHERE again),
+        z AS (SELECT t.doc_id, count(x.i) AS n_removed, string_agg(CASE WHEN x.i IS NULL THEN word END, ' ' ORDER BY t.i) AS kept FROM t LEFT JOIN x ON x.doc_id = t.doc_id AND x.i = t.i GROUP BY 1)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN z USING (doc_id)""",
+    "op2_quality_rules": _QUALITY,
+    "op5_ngram_jaccard_join": f"""WITH RECURSIVE {_WORDS}, {_grams(5)},
+        s AS (SELECT DISTINCT doc_id, gram FROM g UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+        l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        walk AS (SELECT doc_id AS root, doc_id AS found FROM documents UNION SELECT root, l.b FROM walk JOIN l ON l.a = found)
+        SELECT root AS doc_id, min(found) AS class_id, (SELECT count(*) FROM l WHERE l.a = root) AS n_links FROM walk GROUP BY root""",
     "op3_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),

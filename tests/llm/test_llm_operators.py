@@ -1,0 +1,494 @@
+"""The corpus operators on small fixtures: brute force, round trips, nulls, empty tables, ties and clashing columns."""
+
+import collections
+import hashlib
+import json
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from blockloom.llm import chat_format as chat
+from blockloom.llm import html_extract as html
+from blockloom.llm import mixing, packing, token_counts
+from blockloom.llm.exact_dedup import drop_exact_copies, exact_dedup
+from blockloom.llm.jaccard_join import chosen, jaccard_classes, one_of_each_class, runs_for
+from blockloom.llm.quality_rules import measured, quality_rules
+from blockloom.llm.substring_dedup import substring_dedup
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Columns that have the names of what operators use inside.
+CLASHING = {"id": "x", "n": 1, "sha": "s", "h": 2, "keep": 3, "maybe": True, "chunk": 4, "words": "w", "row": 5, "size": 6, "kept": False, "n_words": 7, "pattern": "p", "__text": "t", "bucket": 8, "class_id": 9, "target": 1.0}
+
+
+def docs_of(spark, rows, clash=True):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return df.withColumns({k: F.lit(v) for k, v in CLASHING.items()}) if clash else df
+
+
+def corpus(seed=1, n=120):
+    """Invented texts with exact and near copies, shared passages, odd white space, nulls, empty and long ones."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choices("abcdeéü", k=r.randint(2, 6))) for _ in range(400)]
+    passage = r.choices(vocabulary, k=60)
+    texts = []
+    for k in range(n):
+        words = r.choices(vocabulary, k=r.choice([1, 3, 4, 5, 19, 20, 21, 60, 150]))
+        if k % 5 == 1 and texts:
+            words = (texts[r.randrange(len(texts))] or "x").split()
+            if words and r.random() < 0.7:
+                words[r.randrange(len(words))] = "changed"
+        if k % 7 == 0:
+            at = r.randrange(len(words) + 1)
+            words = words[:at] + passage[: r.choice([18, 20, 45, 60])] + words[at:]
+        texts.append("".join(w + r.choice([" ", "\n", "\t", "  "]) for w in words))
+    texts += [None, "", " \n ", None, texts[3], texts[3], " ".join(r.choices(vocabulary, k=6000)), "a " * 50]
+    return [(i, t, r.choice(["en", "de", None]), r.choice(["s1", "s2", "s2", "s2", None])) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return docs_of(spark, rows).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+# Substring dedup.
+
+
+def cut(rows, window):
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            x = tuple(w[k : k + window])
+            if x in seen:
+                gone[k : k + window] = [True] * window
+            seen.add(x)
+        out[i] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode())
+    return out
+
+
+@pytest.mark.parametrize("window", [4, 20])
+def test_substring_dedup(docs, rows, window):
+    got = {r.doc_id: r for r in substring_dedup(docs, window=window).collect()}
+    want = cut([(i, t) for i, t, *_ in rows], window)
+    assert {i: (r.n_words, r.n_removed, r.kept_text) for i, r in got.items()} == want
+    assert sum(n for _, n, _ in want.values()) > 100
+    for r in got.values():
+        assert sum(s.stop - s.start for s in r.spans) == r.n_removed
+
+
+def test_substring_dedup_edges(spark, empty):
+    assert substring_dedup(empty).count() == 0
+    text = " ".join(f"w{k}" for k in range(25))
+    got = substring_dedup(docs_of(spark, [(5, text, None, None), (None, text, None, None), (5, text, None, None), (9, text + " " + text, None, None)])).collect()
+    assert {(r.doc_id, r.n_removed) for r in got} == {(None, 0), (5, 25), (9, 50)} and len(got) == 4
+    with pytest.raises(ValueError):
+        substring_dedup(empty, window=5)
+
+
+# Quality rules.
+
+
+def counts(text):
+    w = [x.decode() for x in words(text)]
+    seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    covered = {j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    return (len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
+
+
+def test_measured(spark):
+    texts = [*(t for _, t, *_ in corpus(3, 40)), "a b c d e f g h " * 3, "x\nx\n\n x\ny\n \n", "# |<>& é$", "one two three four five six seven eight nine " * 2 + "tail"]
+    df = measured(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)], clash=False))
+    for r in df.collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(r.text), r.text
+
+
+def test_quality_rules(spark, empty):
+    r = random.Random(2)
+    prose = lambda n: " ".join("".join(r.choices("aeiorstn", k=r.randint(2, 8))) for _ in range(n))
+    good = [(i, prose(r.randint(30, 200)), "en", f"s{i % 3}") for i in range(120)]
+    bad = [(200, " ".join(w + "***" for w in prose(60).split()), "en", "s1"), (201, "SHOUT!! ".join(prose(60).upper().split()), "en", "s1"), (202, "a b c d e f g h " * 20, "en", "s2"), (203, "few words", "en", "s0"), (204, None, None, None), (205, "", "de", "s0")]
+    got = {x.doc_id: x for x in quality_rules(docs_of(spark, good + bad)).collect()}
+    assert all(got[i].kept for i, *_ in good) and not any(got[i].kept for i, *_ in bad)
+    assert [got[i].base_failed for i in range(200, 206)] == [False, False, True, True, True, True]
+    assert set(CLASHING) <= set(quality_rules(docs_of(spark, good[:3])).columns)
+    assert quality_rules(empty).count() == 0
+    twice = quality_rules(docs_of(spark, good[:2] + good[:2]))
+    assert twice.count() == 4
+
+
+# Chat.
+
+
+def test_chat_round_trip(spark):
+    r = random.Random(4)
+    controls = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "[NEXT]", "<\\s>", "[\\\\/ROLE]", "\\", "[", "<", "é", "", "x", "\n"]
+    rows = [(c, t, r.choice(["user", "assistant", "assistant", "system", "", None, "a[NEXT]"]), "".join(r.choices(controls, k=r.randint(0, 6))) if r.random() > 0.1 else None, 1) for c in range(30) for t in range(r.randint(1, 9))]
+    rows += [(99, 0, "user", "same", 1), (99, 0, "user", "same", 1), (99, None, "user", "first", 1), (None, 1, "user", "no conversation", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns int")
+    formatted = chat.chat_format(df)
+    got = {x.conv_id: x for x in chat.chat_read(formatted).collect()}
+    by = collections.defaultdict(list)
+    for c, t, role, text, _ in rows:
+        by[c].append((-1 if t is None else t, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        assert [(t.role, t.text) for t in got[c].turns] == [x[1:] for x in turns]
+        assert got[c].loss_text == "".join(x[2] for x in turns if x[1] == "assistant")
+        assert sum(m.n_chars for m in got[c].mask) == len(got[c].formatted)
+    same = got[99].formatted
+    assert same == "<s>[ROLE]user[/ROLE]first[NEXT]same[NEXT]same</s>"
+    assert chat.chat_format(df.limit(0)).count() == 0
+
+
+def test_mask_must_fit(spark):
+    df = chat.chat_format(spark.sql("SELECT 1L conv_id, 0L turn, 'assistant' role, 'abc' text")).withColumn("formatted", F.replace("formatted", F.lit("abc"), F.lit("abcd")))
+    with pytest.raises(Exception, match="does not fit"):
+        chat.chat_read(df).collect()
+
+
+# Packing.
+
+
+def packs(got, capacity, per_source, rows):
+    source, text = {r[0]: r[3] for r in rows}, {r[0]: r[1] or "" for r in rows}
+    bins = collections.defaultdict(list)
+    for r in got:
+        if r.bin_id is not None:
+            bins[r.bin_id].append(r)
+    for pieces in bins.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at
+            at += p.length
+        assert at <= capacity and {p.bin_used for p in pieces} == {at}
+        assert max(collections.Counter(source[p.doc_id] for p in pieces).values()) <= per_source
+        assert max(collections.Counter(text[p.doc_id] for p in pieces).values()) == 1
+    return bins
+
+
+def test_packing(docs, rows, empty):
+    got = packing.pack_documents(docs, capacity=200, per_source=3).collect()
+    packs(got, 200, 3, rows)
+    size = collections.Counter()
+    for r in got:
+        size[r.doc_id] += r.length
+    assert size == collections.Counter({i: len(words(t)) for i, t, *_ in rows}) and set(size) == {r[0] for r in rows}
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_best_fit_is_the_tightest(spark):
+    r = random.Random(6)
+    pieces = [(r.randint(1, 50), r.randrange(4), r.choice([-1, -1, 0, 1])) for _ in range(300)]
+    got = packing.best_fit(pieces, 100, 2)
+    bins, want = [], [None] * len(pieces)
+    for k in sorted(range(len(pieces)), key=lambda k: (-pieces[k][0], k)):
+        size, source, cluster = pieces[k]
+        fits = [(100 - b["used"], n) for n, b in enumerate(bins) if b["used"] + size <= 100 and b["s"][source] < 2 and not (cluster >= 0 and cluster in b["c"])]
+        if fits:
+            n = min(fits, key=lambda f: f[0])[0]
+        want[k] = n if fits else None
+        at = got[k][0]
+        while len(bins) <= at:
+            bins.append({"used": 0, "s": collections.Counter(), "c": set()})
+        if fits:
+            assert 100 - bins[at]["used"] == want[k]
+        else:
+            assert bins[at]["used"] == 0
+        bins[at]["used"] += size
+        bins[at]["s"][source] += 1
+        bins[at]["c"].add(cluster)
+
+
+def test_equal_rows_never_share_a_bin(spark):
+    df = docs_of(spark, [(7, "a b c", "en", "s")] * 40)
+    got = packing.pack_documents(df, capacity=100).collect()
+    assert len(got) == 40 and len({r.bin_id for r in got}) == 40
+
+
+# Near duplicates.
+
+
+def classes(rows, n=5):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) or frozenset([tuple(w)] if w else [])
+    ids = sorted(sets)
+    near = {(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    label = {i: i for i in ids}
+    while True:
+        new = dict(label)
+        for a, b in near:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            break
+        label = new
+    return {i: (label[i], sum(i in p for p in near)) for i in ids}
+
+
+def test_jaccard_classes(docs, rows, empty):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(docs).collect()}
+    want = classes([(i, t) for i, t, *_ in rows])
+    assert got == want and sum(n for _, n in want.values()) > 10
+    assert jaccard_classes(empty).count() == 0
+    kept = one_of_each_class(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in want.values()}) and kept.columns == docs.columns
+
+
+def test_a_large_group_in_tiles(spark):
+    """More sets than a tile holds, each near to all: every link is counted once."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[: k % 200], f"x{k}", *base[k % 200 + 1 :]]) + f" y{k // 200}") for k in range(700)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {c for c, _ in got.values()} == {0}
+    w = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for _, t in rows]
+    for i in (0, 1, 350, 699):
+        assert got[i][1] == sum(10 * len(w[i] & x) >= 8 * len(w[i] | x) for x in w) - 1
+
+
+def test_runs_and_choices():
+    assert runs_for(0.99, 0.8) > runs_for(0.9, 0.8) >= 1
+    assert sum(len(chosen(s, 0.8)) for s in range(2000)) / 2000 == pytest.approx(1.25 + 0.28, abs=0.15)  # one at least
+
+
+# Mixing.
+
+
+def test_targets():
+    assert mixing.targets({"a": 100, "b": 100}, {"a": 1, "b": 3}, 200) == {"a": 50, "b": 150}
+    assert mixing.targets({"a": 10, "b": 190}, {"a": 1, "b": 1}, 200) == {"a": 30, "b": 170}
+    assert mixing.targets({"a": 0}, {"a": 1}, 0) == {"a": 0}
+    assert mixing.cycled_weights(["b", None, "a", "é", "c"]) == {"a": 1, "b": 2, "c": 3, "é": 1, None: 2}
+
+
+def test_flow_is_the_cheapest():
+    flow = mixing.min_cost_flow({("a",): 10, ("a", "b"): 10, ("b",): 4}, {"a": 14, "b": 12})
+    taken = collections.Counter()
+    for (p, s), n in flow.items():
+        assert s in p
+        taken[p] += n
+    assert sum(flow.values()) == 26 and sum(n for (p, s), n in flow.items() if s == "a") == 14
+    assert taken == {("a",): 10, ("a", "b"): 10, ("b",): 6} or sum(max(0, taken[p] - n) for p, n in ((("a",), 10), (("a", "b"), 10), (("b",), 4))) == 2
+    assert mixing.min_cost_flow({("a",): 5}, {"a": 100}) == {(("a",), "a"): 15}
+    assert mixing.min_cost_flow({}, {"a": 3}) == {}
+
+
+def test_mixing(spark, docs, rows, empty):
+    got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        assert got[i].size == len(words(t)) and 0 <= got[i].taken <= 3 * got[i].size and got[i].taken % max(got[i].size, 1) == 0
+    of = {s: [got[r[0]] for r in rows if r[3] == s] for s in ("s1", "s2", None)}
+    total = sum(r.size for r in got.values())
+    sizes = {s: sum(r.size for r in g) for s, g in of.items()}
+    want = mixing.targets(sizes, {"s1": 1, "s2": 2, None: 3}, total)
+    for s, g in of.items():
+        assert {r.source_size for r in g} == {sizes[s]} and {r.target for r in g} == {want[s]}
+        assert abs(sum(r.taken for r in g) - want[s]) <= max(r.size for r in g)
+    again = {r.doc_id: r.taken for r in mixing.mix_sources(docs.repartition(7)).collect()}
+    assert again == {i: r.taken for i, r in got.items()}
+    assert mixing.mix_sources(empty).count() == 0
+    out = mixing.repeated(mixing.mix_sources(docs.drop("size", "target")))
+    assert collections.Counter(r.doc_id for r in out.collect()) == collections.Counter({i: r.taken // r.size for i, r in got.items() if r.taken})
+
+
+def test_overlapping_sources(spark):
+    r = random.Random(8)
+    rows = [(i, "w " * r.randint(1, 40), r.choice([["a"], ["b"], ["a", "b"], ["b", "c"], ["c"]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = mixing.mix_sources(df, weights={"a": 1, "b": 1, "c": 1}).collect()
+    assert abs(sum(x.taken for x in got) - sum(mixing.targets({s: sum(len(words(t)) for _, t, m in rows if s in m) for s in "abc"}, dict.fromkeys("abc", 1), sum(len(words(t)) for _, t, _ in rows)).values())) < 200
+
+
+# Token counts.
+
+
+def test_token_counts(spark, docs, rows, empty):
+    with open(VOCABULARY, encoding="utf-8") as f:
+        first, rest = token_counts.word_pieces(list(json.load(f)["model"]["vocab"]))
+
+    def greedy(word):
+        n = at = 0
+        while at < len(word):
+            end = len(word)
+            while word[at:end] not in (rest if at else first):
+                end -= 1
+            at, n = end, n + 1
+        return n
+
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.token_counts(docs, VOCABULARY).collect()}
+    assert got == {i: (len(words(t)), sum(map(greedy, words(t)))) for i, t, *_ in rows}
+    assert token_counts.token_counts(empty, VOCABULARY).count() == 0
+    a = token_counts.Automaton({b"ab", b"abcdx", b"a"} | {bytes([b]) for b in range(256)}, {b"cd", b"bc", b"dxyz"} | {bytes([b]) for b in range(256)})
+    assert [a[w] for w in (b"abcdxyz", b"abcdy", b"abc", b"a", b"", b"\xff\xfe")] == [3, 3, 2, 1, 0, 2]
+
+
+# Exact dedup.
+
+
+def test_exact_dedup(docs, rows, empty):
+    by = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        by[t or ""].append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(docs).collect()}
+    assert got == {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in by.items() for i in g}
+    assert exact_dedup(docs, max_filter_bytes=0).count() == len(rows)  # the filter joined, not broadcast
+    kept = drop_exact_copies(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in by.values()) and kept.columns == docs.columns
+    assert exact_dedup(empty).count() == 0 and drop_exact_copies(empty).count() == 0
+
+
+def test_exact_dedup_ties(spark):
+    df = docs_of(spark, [(1, "a", None, None), (1, "a", None, None), (None, "a", None, None), (None, "b", None, None), (2, "c", None, None)])
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(df).collect()), key=str)
+    assert sorted(got, key=str) == sorted([(1, 1, 3, True), (1, 1, 3, False), (None, 1, 3, False), (None, None, 1, True), (2, 2, 1, True)], key=str)
+    assert sorted(r.text for r in drop_exact_copies(df).collect()) == ["a", "b", "c"]
+
+
+# Token files.
+
+
+def test_codes():
+    import numpy as np
+
+    from blockloom.llm.codes import Codes, encoded
+
+    r = np.random.default_rng(1)
+    for n in (0, 1, 511, 512, 513, 3000):
+        v = (r.integers(0, 2**31, n) >> r.integers(0, 31, n)).astype(np.uint64)
+        c = Codes(encoded(v))
+        assert len(c) == n and [c[i] for i in range(n)] == v.tolist()
+        for _ in range(30):
+            a, z = sorted(r.integers(0, n + 1, 2).tolist())
+            assert (c.slice(a, z) == v[a:z]).all()
+    with pytest.raises(IndexError):
+        Codes(encoded(np.array([1])))[1]
+    with pytest.raises(ValueError):
+        Codes(b"nope")
+
+
+def test_token_files(spark, docs, rows, empty):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from blockloom.llm.token_files import read_token_files, write_token_files
+
+    t = Tokenizer.from_file(VOCABULARY)
+    t.encode_special_tokens = True
+    got = sorted(read_token_files(spark, write_token_files(docs, VOCABULARY)).collect())
+    at = 0
+    for (i, text, *_), r in zip(rows, got, strict=True):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert tuple(r) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert read_token_files(spark, write_token_files(empty, VOCABULARY)).count() == 0
+
+
+def test_pieces_never_cut_a_token():
+    from blockloom.llm.token_files import Encoder
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        e = Encoder(f.read())
+    r = random.Random(1)
+    signs = [" ", "  ", "\n", "a", "B", ".", ",", "'s", "é", " ", " ", "3", "|", "!", "\t", "x́", "—", "\r\n", "日", "<|endoftext|>", "\x1c"]
+    texts = ["", " ", *("".join(r.choices(signs, k=r.randint(1, 25))) for _ in range(1500))]
+    ids, n = e.encode([x.encode() for x in texts])
+    at = 0
+    for text, k in zip(texts, n.tolist(), strict=True):
+        assert ids[at : at + k].tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 0], text
+        at += k
+
+
+# HTML.
+
+PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav>menu</nav><div class="cookie-notice">We use</div>
+<div id="content"><article class="post"><header><h1>Ti&amp;tle</h1></header><p>One <b>bo</b>ld &lt;x&gt;  two<p>three<br>four<aside>side</aside><ul><li>a<li>b</ul><form>f<input></form><section class="comments"><p>nope</p></section><span class="ad">AD</span>tail 1 < 2</article></div><aside>q</aside><footer>f</footer></body></html>"""
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (PAGE, "Ti&tle One bold <x> two three four a b tail 1 < 2"),
+        ("plain &amp; <div>x</div><p class='Ad-box'>no</p>y", "plain & x y"),
+        ("", ""), ("<p>", ""), ("<", "<"), ("<p>a<!-- x <p>no --> b</p", "a b"), ("<div hidden>no</div><p>a&nbsp;&#233;</p>", "a é"), ("</p></b>x", "x"), ("<script>never closed", ""),
+    ],
+)
+def test_blocks(page, text):
+    assert " ".join(b.text for b in html.main_blocks(page)) == text
+
+
+def test_site_tree(spark):
+    page = lambda k, host: (k, f"http://{host}/{k}", f"<body><div class='top'>Welcome to the site</div><div class='main'><p>Text number {k} of the site</p><p>{'and more ' * (k % 5)}</p></div></body>")
+    rows = [page(k, "a.com") for k in range(20)] + [page(50, "b.com"), (60, None, None), (61, "nonsense", "<p>x</p>"), (0, "http://a.com/0", page(0, "a.com")[2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "low": F.lit("x"), "text": F.lit("t")})
+    got = [(r.page_id, r.text) for r in html.extract_main_text(df).collect()]
+    assert len(got) == len(rows)
+    text = dict(got)
+    assert text[3].startswith("Text number 3") and text[50].startswith("Welcome")  # one page tells nothing
+    assert text[60] == "" and text[61] == "x"
+    assert html.extract_main_text(df.limit(0)).count() == 0
+
+
+# Queries and pipeline.
+
+
+@pytest.fixture(scope="module")
+def tables(small):
+    return small
+
+
+def test_oracles(spark, tables):
+    from blockloom.llm.queries import ORACLES, QUERIES
+    from comparing import assert_same, connect
+
+    con = connect(tables)
+    for name, sql in ORACLES.items():
+        assert_same(QUERIES[name](spark, tables), con, sql)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_pipeline(spark, tables):
+    import corpus_pipeline as p
+
+    docs = before = spark.read.parquet(f"{tables}/documents.parquet")
+    kept = []
+    for k, (_, stage) in enumerate(p.STAGES):
+        docs = p.written(stage(spark, docs, tables))
+        kept.append(docs)
+        if k < 4:
+            assert docs.columns == before.columns
+    quality, exact, near, mix, packed = kept
+    want = {r.doc_id for r in quality_rules(before).where("kept").collect()}
+    rows = {r.doc_id: r.text for r in quality.collect()}
+    assert set(rows) == want
+    last = {}
+    for i, t in sorted(rows.items()):
+        last[t] = i
+    assert {r.doc_id for r in exact.collect()} == set(last.values())
+    of = classes([(i, rows[i]) for i in last.values()])
+    assert {r.doc_id for r in near.collect()} == {c for c, _ in of.values()}
+    taken = collections.Counter(r.doc_id for r in mix.collect())
+    assert set(taken) <= {c for c, _ in of.values()} and max(taken.values()) <= 3
+    size = collections.Counter()
+    for r in packed.collect():
+        size[r.doc_id] += r.length
+    assert size == collections.Counter({i: n * len(words(rows[i])) for i, n in taken.items()})
