@@ -29,6 +29,8 @@ SKETCH = 64
 SMALL_NODE, MAX_DEPTH = 64, 5
 #: Sets of one component in a task; larger components are compared in tiles of two blocks.
 BLOCK = 512
+#: Sets of one node in a task; larger nodes are divided first, and their list is broadcast up to so many.
+NODE_LIMIT, BROADCAST_NODES = 4096, 10_000
 #: Standard deviations of a sketch's estimate below the threshold at which a pair is still compared exactly.
 SLACK = 4
 _RNG = np.random.Generator(np.random.PCG64(5))
@@ -75,10 +77,21 @@ def _sketches(n: int) -> Callable:
     return run
 
 
-def _nodes(runs: int, threshold: float) -> Callable:
+def _roots(runs: int, threshold: float) -> list[tuple[int, int]]:
+    return [(r, int(i)) for r in range(runs) for i in chosen(r, threshold)]
+
+
+def _root_nodes(sketch: np.ndarray, r: int, i: int) -> np.ndarray:
+    return mixed(sketch[:, i].astype(np.uint64) + (np.uint64(r * SKETCH + i) << np.uint64(32))).view(np.int64)
+
+
+def _child_seed(seed: int, i: int, value: int) -> int:
+    return (seed * 1_000_003 + i * 257 + value + 1) % 2**62
+
+
+def _nodes(roots: list[tuple[int, int]]) -> Callable:
     """Every set to the nodes that the runs choose at their roots: node, id and a byte of each minhash."""
     schema = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("bytes", pa.binary())])
-    roots = [(r, int(i)) for r in range(runs) for i in chosen(r, threshold)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,19 +101,122 @@ def _nodes(runs: int, threshold: float) -> Callable:
             sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SKETCH)
             low = pa.array([x.tobytes() for x in (sketch & np.uint32(255)).astype(np.uint8)], pa.binary())
             for r, i in roots:
-                node = mixed(sketch[:, i].astype(np.uint64) + (np.uint64(r * SKETCH + i) << np.uint64(32)))
-                yield pa.record_batch([pa.array(node.view(np.int64)), ids, low], schema=schema)
+                yield pa.record_batch([pa.array(_root_nodes(sketch, r, i)), ids, low], schema=schema)
+
+    return run
+
+
+def _node_sizes(roots: list[tuple[int, int]]) -> Callable:
+    """node, n: how many sets of each batch go to each node, where they are two or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32).reshape(-1, SKETCH)
+            for r, i in roots:
+                node, n = np.unique(_root_nodes(sketch, r, i), return_counts=True)
+                yield pa.record_batch([pa.array(node), pa.array(n)], names=["node", "n"])
+
+    return run
+
+
+def _least_agreement(threshold: float) -> int:
+    """Bytes of two sketches that must agree for a pair to be near."""
+    mean = threshold + (1 - threshold) / 256
+    return math.floor(SKETCH * mean - SLACK * math.sqrt(SKETCH * mean * (1 - mean)))
+
+
+def _split(threshold: float) -> Callable:
+    """Sets of large nodes: a link to the node's leader for those that are near it, and all to the nodes that the node chooses."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64()), ("bytes", pa.binary()), ("far", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = _least_agreement(threshold)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            leader = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            far = (own == leader).sum(axis=1) < least
+            to = batch.column(3).to_numpy()
+            for n in np.unique(node).tolist():
+                seed = n & (2**62 - 1)
+                at = np.flatnonzero(node == n)
+                for k, i in enumerate(chosen(seed, threshold).tolist()):
+                    child = mixed((own[at, i].astype(np.uint64) << np.uint64(8)) + np.uint64(_child_seed(seed, i, 0))).view(np.int64)
+                    linked = to[at] if k == 0 else ids[at]
+                    yield pa.record_batch([pa.array(np.where(far[at], ids[at], linked)), pa.array(ids[at]), pa.array(child), batch.column(2).take(pa.array(at)), pa.array(far[at])], schema=schema)
 
     return run
 
 
+def _far_against_all(threshold: float) -> Callable:
+    """A block of a node that no more choices divide: the sets that are far from its leader against all."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        least, out = _least_agreement(threshold), []
+        ids, far = table["id"].to_numpy(), np.array(table["far"].to_pylist(), bool)
+        sketch = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        for i in np.flatnonzero(far).tolist():
+            near = np.flatnonzero((sketch == sketch[i]).sum(axis=1) >= least)
+            out += [(int(ids[i]), int(ids[j])) for j in near.tolist() if ids[j] != ids[i]]
+        return _arrow(out, schema)
+
+    return run
+
+
+def _near_links(texts: DataFrame, threshold: float, runs: int, parts: int, node_limit: int) -> DataFrame:
+    """a, b: links that join what the runs find near. Nodes of over node_limit sets are divided before any task gets one whole.
+
+    A large node's sets are first held against its leader, the one with the least id. Those near it are connected
+    by that, so of the nodes it is divided into only those with a set far from it go on; after MAX_DEPTH
+    choices the far sets of a node are compared with all, in blocks.
+    """
+    roots = _roots(runs, threshold)
+    sizes = texts.select("sketch").mapInArrow(_node_sizes(roots), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    hot = checkpointed(sizes.where(F.col("n") > node_limit))
+    rows = texts.select("id", "sketch").mapInArrow(_nodes(roots), "node long, id long, bytes binary").withColumn("depth", F.lit(1))
+    ready, links, depth = [], [], 1
+    while not hot.isEmpty():
+        # As many nodes as node_limit goes into the rows at most, but beyond a size they are joined by a shuffle.
+        small = F.broadcast if hot.count() <= BROADCAST_NODES else (lambda df: df)
+        ready.append(rows.join(small(hot.select("node")), "node", "left_anti"))
+        large = rows.join(small(hot), "node")
+        leaders = checkpointed(large.groupBy("node").agg(F.min(F.struct("id", "bytes")).alias("l"), F.max("n").alias("n")))
+        led = rows.select("node", "id", "bytes").join(small(leaders.select("node", F.col("l.id").alias("leader"), F.col("l.bytes").alias("of"))), "node")
+        split = checkpointed(led.mapInArrow(_split(threshold), "a long, b long, node long, bytes binary, far boolean"))
+        links.append(split.where("a <> b").select("a", "b"))
+        depth += 1
+        children = split.select("node", F.col("b").alias("id"), "bytes", "far")
+        alive = checkpointed(children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).where("far AND n > 1").select("node", "n"))
+        going = checkpointed(children.join(alive, "node"))
+        hot = checkpointed(alive.where(F.col("n") > node_limit))
+        if depth >= MAX_DEPTH and not hot.isEmpty():
+            blocks = F.ceil(F.col("n") / node_limit).cast("int")
+            own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+            where = F.when(F.col("far"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+            dealt = going.where(F.col("n") > node_limit).select("node", "id", "bytes", "far", F.explode(where).alias("block"))
+            links.append(dealt.groupBy("node", "block").applyInArrow(_far_against_all(threshold), "a long, b long"))
+            hot = hot.limit(0)
+            going = going.where(F.col("n") <= node_limit)
+        rows = going.select("node", "id", "bytes", F.lit(depth).alias("depth"))
+    for df in ready:
+        rows = rows.unionByName(df)
+    # A task's entries are a few megabytes.
+    tasks = max(256, parts, math.ceil(texts.count() * len(roots) / 20_000))
+    out = rows.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks))).groupBy("task").applyInArrow(_solve(threshold), "a long, b long")
+    for df in links:
+        out = out.unionByName(df)
+    return out
+
+
 class _Join:
     """The recursion below the roots, in one task; links holds a forest of the pairs that are near by their sketches."""
 
     def __init__(self, ids: np.ndarray, sketch: np.ndarray, threshold: float) -> None:
         self.ids, self.sketch, self.threshold = ids, sketch, threshold
-        mean = threshold + (1 - threshold) / 256
-        self.least = math.floor(SKETCH * mean - SLACK * math.sqrt(SKETCH * mean * (1 - mean)))
+        self.least = _least_agreement(threshold)
         self.parent = np.arange(len(ids))
         self.links: set[tuple[int, int]] = set()
 
@@ -138,7 +254,7 @@ class _Join:
             order = np.argsort(values, kind="stable")
             cuts = np.flatnonzero(np.diff(values[order])) + 1
             for child in np.split(node[order], cuts):
-                self.solve(child, (seed * 1_000_003 + i * 257 + int(self.sketch[child[0], i]) + 1) % 2**62, depth + 1)
+                self.solve(child, _child_seed(seed, i, int(self.sketch[child[0], i])), depth + 1)
 
 
 def _solve(threshold: float) -> Callable:
@@ -146,7 +262,7 @@ def _solve(threshold: float) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort((table["id"].to_numpy(), table["node"].to_numpy()))
-        node, ids = table["node"].to_numpy()[order], table["id"].to_numpy()[order]
+        node, ids, depth = (table[c].to_numpy()[order] for c in ("node", "id", "depth"))
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(node)]]))
         if not (sizes > 1).any():
@@ -157,7 +273,7 @@ def _solve(threshold: float) -> Callable:
         place[of] = np.arange(len(ids))
         join = _Join(own, sketch[place], threshold)
         for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            join.solve(of[s : s + n], int(node[s]) & (2**62 - 1), 1)
+            join.solve(of[s : s + n], int(node[s]) & (2**62 - 1), int(depth[s]))
         return _arrow(list(join.links), schema)
 
     return run
@@ -236,7 +352,7 @@ def _exact(threshold: float) -> Callable:
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99, node_limit: int = NODE_LIMIT) -> DataFrame:
     """id_col, class_id, n_links: a row for each row of docs.
 
     Two rows are linked if the Jaccard similarity of their sets of word n-grams is at least the threshold; n_links
@@ -253,14 +369,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = chunked(docs, id_col, text_col)
     sketches = checkpointed(chunks.mapInArrow(_sketches(n), "chunk long, id long, words long, whole long, sketch binary"))
     texts = checkpointed(sketches.groupBy("whole", "words").agg(F.min(F.struct("id", "chunk", "sketch")).alias("first"), F.count(F.lit(1)).alias("copies")).select("whole", "words", "first.*", "copies"))
-    members = sketches.select("id", "whole", "words").join(texts.select("whole", "words", F.col("id").alias("text"), "copies"), ["whole", "words"]).select("id", "text", "copies")
-
     runs = runs_for(recall, threshold)
-    nodes = texts.select("id", "sketch").mapInArrow(_nodes(runs, threshold), "node long, id long, bytes binary")
-    # Nodes of 20,000 entries and more share tasks; a task's entries are a few megabytes.
-    tasks = max(256, parts, math.ceil(texts.count() * runs * 1.25 / 20_000))
-    near = nodes.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks))).groupBy("task").applyInArrow(_solve(threshold), "a long, b long")
-    found = components(near)
+    found = components(_near_links(texts, threshold, runs, parts, node_limit))
+    tasks = max(256, parts, math.ceil(texts.count() / 20_000))
 
     sized = found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
     asked = sized.join(texts.select("id", "chunk", "copies"), "id").select("chunk", "id", "component", "copies", F.ceil(F.col("size") / BLOCK).alias("blocks"))
@@ -275,8 +386,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     linked = exact.groupBy("id").agg(F.sum("linked").alias("linked"))
     classes = components(exact.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    by_text = linked.join(classes, "id", "left").select(F.col("id").alias("text"), "linked", F.coalesce("component", "id").alias("class"))
-    known = members.join(by_text, "text", "left").select("id", F.coalesce("class", "text").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_text = linked.join(classes, "id", "left").select("id", "linked", F.coalesce("component", "id").alias("class"))
+    known = texts.join(by_text, "id", "left").select("whole", "words", F.coalesce("class", "id").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = sketches.select("id", "whole", "words").join(known, ["whole", "words"]).select("id", "class_id", "n_links")
     blank = docs.where(F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", 3), lambda w: w != "")) == 0)
     rows = known.unionByName(blank.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))

@@ -249,6 +249,8 @@ def test_jaccard_classes(docs, rows, empty):
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(docs).collect()}
     want = classes([(i, t) for i, t, *_ in rows])
     assert got == want and sum(n for _, n in want.values()) > 10
+    divided = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(docs, node_limit=3).collect()}
+    assert divided == want  # nodes are divided by Spark
     assert jaccard_classes(empty).count() == 0
     kept = one_of_each_class(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in want.values()}) and kept.columns == docs.columns
