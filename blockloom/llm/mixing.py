@@ -21,6 +21,8 @@ COPY_COST = (0, 1, 3)
 #: Sets of sources that the driver holds at most: they are as many as configured sources and overlaps, not as documents.
 MAX_PATTERNS = 1_000_000
 _BITS = 12
+#: Documents out of order that a set of sources gets at most to come nearer to its words.
+FILLERS = 3
 
 
 def targets(sizes: dict, weights: dict, total: float, times: int = len(COPY_COST)) -> dict:
@@ -146,35 +148,52 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = [(list(p), sum(of_source[s] for s in p), float(sum(goal[s] for s in p)), taken[p] // n if n else 0, taken[p] % n if n else 0) for p, n in words.items()]
     plan = F.broadcast(checkpointed(spark.createDataFrame(rows, "pattern array<string>, source_size long, target double, times long, rest long")))  # a row for each set of sources
 
-    last = _last_chosen(narrow.where("size > 0").join(plan.select("pattern", "rest"), "pattern"))
-    limits = plan.join(F.broadcast(last.withColumnRenamed("pattern", "lp")), F.col("pattern") == F.col("lp"), "left").drop("lp")
+    having = narrow.where("size > 0").join(plan.select("pattern", "rest"), "pattern").where("rest > 0").withColumn("hi", F.struct("h", F.col("id").cast("string").alias("i")))
+    last = checkpointed(_last_chosen(having))
+    picks = _fillers(having, last)
+    wide = lambda df, name: F.broadcast(df.select(F.col("pattern").alias(name), *(c for c in df.columns if c in ("last", "picks"))))
+    limits = plan.join(wide(last, "lp"), F.col("pattern") == F.col("lp"), "left").join(wide(picks, "op"), F.col("pattern") == F.col("op"), "left").drop("lp", "op")
     out = sized.join(F.broadcast(limits.withColumnRenamed("pattern", "p")), F.col("pattern") == F.col("p"), "left")
-    more = F.coalesce(F.struct("h", F.col("id").cast("string").alias("i")) <= F.col("last"), F.lit(False)).cast("long")
+    own = F.struct("h", F.col("id").cast("string").alias("i"))
+    more = (F.coalesce(own <= F.col("last"), F.lit(False)) | F.coalesce(F.array_contains("picks", own), F.lit(False))).cast("long")
     back = [F.col("_text" if c == text_col else f"_{k}").alias(c) for k, c in enumerate(names)]
     return out.select(*back, "size", "source_size", "target", (F.col("size") * (F.col("times") + more)).alias("taken"))
 
 
 def _last_chosen(docs: DataFrame) -> DataFrame:
-    """pattern, last: the greatest (hash, id) with which a document gets one copy more, so that those copies come nearest to rest.
+    """pattern, last, gap: the greatest (hash, id) up to which documents get one copy more without passing rest, and what is left of rest.
 
     The hashes' first bits narrow it to one bucket of documents for each pattern and then to a bucket of that one,
-    by sums; only the few documents there are put in order.
+    by sums; only the few documents there are put in order. A pattern is absent if none fits, or if all do.
     """
-    docs = docs.where("rest > 0").withColumn("i", F.col("id").cast("string"))
     left = docs.withColumn("before", F.lit(0).cast("long"))
     for level in range(2):
-        bits = F.shiftright("h", 64 - _BITS * (level + 1)).alias("bucket")
-        sums = left.groupBy("pattern", "rest", "before", bits).agg(F.sum("size").alias("words"))
-        run = Window.partitionBy("pattern").orderBy("bucket")
-        upto = sums.withColumn("upto", F.col("before") + F.sum("words").over(run))
-        edge = upto.where("upto >= rest").groupBy("pattern").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("sofar"))).alias("e"))
+        bucket = F.shiftright("h", 64 - _BITS * (level + 1))
+        sums = left.groupBy("pattern", "rest", "before", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+        upto = sums.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket")))
+        edge = upto.where("upto > rest").groupBy("pattern").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("sofar"))).alias("e"))
         edge = F.broadcast(edge.select(F.col("pattern").alias("ep"), F.col("e.bucket").alias("eb"), F.col("e.sofar").alias("sofar")))  # a row for each set of sources
-        left = checkpointed(left.join(edge, (F.col("pattern") == F.col("ep")) & (F.shiftright("h", 64 - _BITS * (level + 1)) == F.col("eb"))).withColumn("before", F.col("sofar")).drop("ep", "eb", "sofar"))
-    run = Window.partitionBy("pattern").orderBy("h", "i").rowsBetween(Window.unboundedPreceding, 0)
+        left = checkpointed(left.join(edge, (F.col("pattern") == F.col("ep")) & (bucket == F.col("eb"))).withColumn("before", F.col("sofar")).drop("ep", "eb", "sofar"))
+    run = Window.partitionBy("pattern").orderBy("hi").rowsBetween(Window.unboundedPreceding, 0)
     near = left.withColumn("upto", F.col("before") + F.sum("size").over(run))
-    inside = F.col("upto") - F.col("size") / 2 <= F.col("rest")
-    before = F.struct(F.min("h").alias("h"), F.lit("").alias("i"))  # before the bucket's first: all documents of earlier buckets
-    return near.groupBy("pattern").agg(F.coalesce(F.max(F.when(inside, F.struct("h", "i"))), before).alias("last"))
+    inside = F.col("upto") <= F.col("rest")
+    none = F.struct(F.min("h").alias("h"), F.lit("").alias("i"))  # before the bucket's first: all documents of earlier buckets
+    last = F.coalesce(F.max(F.when(inside, F.col("hi"))), none).alias("last")
+    return near.groupBy("pattern", "rest").agg(last, F.coalesce(F.max(F.when(inside, F.col("upto"))), F.min("before")).alias("upto")).select("pattern", "last", (F.col("rest") - F.col("upto")).alias("gap"))
+
+
+def _fillers(docs: DataFrame, last: DataFrame) -> DataFrame:
+    """pattern, picks: up to FILLERS further documents, each the one whose size is nearest to what is left."""
+    state = last.withColumn("picks", F.array().cast("array<struct<h: bigint, i: string>>"))
+    state = docs.select("pattern", "rest").distinct().join(F.broadcast(state), "pattern", "left").select("pattern", "last", F.coalesce("gap", "rest").alias("gap"), "picks")
+    state = checkpointed(state)  # a row for each set of sources
+    for _ in range(FILLERS):
+        free = docs.join(F.broadcast(state), "pattern").where((F.col("gap") > 0) & (F.col("last").isNull() | (F.col("hi") > F.col("last"))) & ~F.coalesce(F.array_contains("picks", F.col("hi")), F.lit(False)))
+        off = free.withColumn("off", F.abs(F.col("size") - F.col("gap"))).where(F.col("off") < F.col("gap"))
+        best = off.groupBy("pattern").agg(F.min(F.struct("off", "hi", "size")).alias("m"))
+        picks = F.when(F.col("m").isNull(), F.col("picks")).otherwise(F.concat(F.coalesce("picks", F.array().cast("array<struct<h: bigint, i: string>>")), F.array(F.col("m.hi"))))
+        state = checkpointed(state.join(F.broadcast(best), "pattern", "left").select("pattern", "last", (F.col("gap") - F.coalesce("m.size", F.lit(0))).alias("gap"), picks.alias("picks")))
+    return state.select("pattern", "picks")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ FENCES = {
 TWO_SIDED = ["word_length"]
 #: A group with fewer documents takes the thresholds of its language, and that those of the corpus.
 LEAST_GROUP = 200
+#: Groups up to which their thresholds are broadcast: about 100 bytes each.
+BROADCAST_GROUPS = 50_000
 
 
 def _with_repeats(df: DataFrame, words: str) -> DataFrame:
@@ -139,6 +141,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     counted = written(counted) if text_col in names else checkpointed(counted)  # read twice below, measured once
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     limits = thresholds(sketches(counted, ["lang", "source"]), "lang", "source", least_group).withColumnsRenamed({"lang": "l", "source": "s"})
+    limits = checkpointed(limits)
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
     joined = counted.join(limits, counted["lang"].eqNullSafe(limits["l"]) & counted["source"].eqNullSafe(limits["s"]), "left")
     fine = F.lit(True)
     for name, value in _metrics().items():
