@@ -59,4 +59,7 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder, for rows too large to checkpoint uncompressed."""
     path = f"{shared_folder(df.sparkSession)}/blockloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    jvm = df.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -89,8 +89,9 @@ def _child_seed(seed: int, i: int, value: int) -> int:
     return (seed * 1_000_003 + i * 257 + value + 1) % 2**62
 
 
-def _nodes(roots: list[tuple[int, int]]) -> Callable:
-    """Every set to the nodes that the runs choose at their roots: node, id and a byte of each minhash."""
+def _nodes(roots: list[tuple[int, int]], listed: list[int], inside: bool) -> Callable:
+    """Every set to the nodes that the runs choose at their roots, if they are (or are not) listed: node, id and a byte of each minhash."""
+    marked = np.array(sorted(listed), np.int64)
     schema = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +102,9 @@ def _nodes(roots: list[tuple[int, int]]) -> Callable:
             sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SKETCH)
             low = pa.array([x.tobytes() for x in (sketch & np.uint32(255)).astype(np.uint8)], pa.binary())
             for r, i in roots:
-                yield pa.record_batch([pa.array(_root_nodes(sketch, r, i)), ids, low], schema=schema)
+                node = _root_nodes(sketch, r, i)
+                out = pa.record_batch([pa.array(node), ids, low], schema=schema)
+                yield out.filter(pa.array(np.isin(node, marked) == inside)) if len(marked) else out
 
     return run
 
@@ -173,34 +176,39 @@ def _near_links(texts: DataFrame, threshold: float, runs: int, parts: int, node_
     by that, so of the nodes it is divided into only those with a set far from it go on; after MAX_DEPTH
     choices the far sets of a node are compared with all, in blocks.
     """
-    roots = _roots(runs, threshold)
+    roots, kinds = _roots(runs, threshold), "node long, id long, bytes binary"
     sizes = texts.select("sketch").mapInArrow(_node_sizes(roots), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    hot = checkpointed(sizes.where(F.col("n") > node_limit))
-    rows = texts.select("id", "sketch").mapInArrow(_nodes(roots), "node long, id long, bytes binary").withColumn("depth", F.lit(1))
+    hot = checkpointed(sizes.where(F.col("n") > node_limit).select("node"))
+    rows = texts.select("id", "sketch")
+    listed = [r[0] for r in hot.limit(BROADCAST_NODES + 1).collect()]
+    if len(listed) <= BROADCAST_NODES:  # sent with the tasks, 8 bytes each
+        large, rows = rows.mapInArrow(_nodes(roots, listed, True), kinds), rows.mapInArrow(_nodes(roots, listed, False), kinds)
+    else:
+        whole = rows.mapInArrow(_nodes(roots, [], False), kinds)
+        large, rows = whole.join(hot, "node", "left_semi"), whole.join(hot, "node", "left_anti")
     ready, links, depth = [], [], 1
-    while not hot.isEmpty():
-        # As many nodes as node_limit goes into the rows at most, but beyond a size they are joined by a shuffle.
-        small = F.broadcast if hot.count() <= BROADCAST_NODES else (lambda df: df)
-        ready.append(rows.join(small(hot.select("node")), "node", "left_anti"))
-        large = rows.join(small(hot), "node")
-        leaders = checkpointed(large.groupBy("node").agg(F.min(F.struct("id", "bytes")).alias("l"), F.max("n").alias("n")))
-        led = rows.select("node", "id", "bytes").join(small(leaders.select("node", F.col("l.id").alias("leader"), F.col("l.bytes").alias("of"))), "node")
+    while listed:
+        large = checkpointed(large)
+        leaders = checkpointed(large.groupBy("node").agg(F.min(F.struct("id", "bytes")).alias("l")).select("node", F.col("l.id").alias("leader"), F.col("l.bytes").alias("of")))
+        led = large.join(F.broadcast(leaders) if leaders.count() <= BROADCAST_NODES else leaders, "node").select("node", "id", "bytes", "leader", "of")
         split = checkpointed(led.mapInArrow(_split(threshold), "a long, b long, node long, bytes binary, far boolean"))
         links.append(split.where("a <> b").select("a", "b"))
         depth += 1
         children = split.select("node", F.col("b").alias("id"), "bytes", "far")
-        alive = checkpointed(children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).where("far AND n > 1").select("node", "n"))
+        alive = children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("any")).where("any AND n > 1").select("node", "n")
         going = checkpointed(children.join(alive, "node"))
-        hot = checkpointed(alive.where(F.col("n") > node_limit))
-        if depth >= MAX_DEPTH and not hot.isEmpty():
+        ready.append(going.where(F.col("n") <= node_limit).select("node", "id", "bytes", F.lit(depth).alias("depth")))
+        over = going.where(F.col("n") > node_limit)
+        if over.isEmpty():
+            break
+        if depth >= MAX_DEPTH:
             blocks = F.ceil(F.col("n") / node_limit).cast("int")
-            own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-            where = F.when(F.col("far"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-            dealt = going.where(F.col("n") > node_limit).select("node", "id", "bytes", "far", F.explode(where).alias("block"))
+            where = F.when(F.col("far"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks).cast("int")))
+            dealt = over.select("node", "id", "bytes", "far", F.explode(where).alias("block"))
             links.append(dealt.groupBy("node", "block").applyInArrow(_far_against_all(threshold), "a long, b long"))
-            hot = hot.limit(0)
-            going = going.where(F.col("n") <= node_limit)
-        rows = going.select("node", "id", "bytes", F.lit(depth).alias("depth"))
+            break
+        large = over.select("node", "id", "bytes")
+    rows = rows.withColumn("depth", F.lit(1))
     for df in ready:
         rows = rows.unionByName(df)
     # A task's entries are a few megabytes.
@@ -246,8 +254,11 @@ class _Join:
             if (roots == roots[0]).all():
                 return
         if len(node) <= SMALL_NODE or depth >= MAX_DEPTH:
-            for k in range(len(node) - 1):
-                self.against(int(node[k]), node[k + 1 :])
+            # What is already connected need not be compared among itself: the largest part only with the others.
+            roots = np.array([self.root(i) for i in node.tolist()])
+            parts, n = np.unique(roots, return_counts=True)
+            for i in node[roots != parts[np.argmax(n)]].tolist():
+                self.against(i, node[node != i])
             return
         for i in chosen(seed, self.threshold).tolist():
             values = self.sketch[node, i]
