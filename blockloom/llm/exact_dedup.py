@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.common import checkpointed
+
 #: Bits in a block of the filter: as many as one aggregate bitmap holds.
 BLOCK_BITS = 32_768
 BITS_PER_ROW = 16
@@ -48,8 +50,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = probed.where(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("nth"))
     maybe = probed.where("maybe").select("id", "sha")
     # Rows alike in id and text are counted and written out again, so that nothing after the join needs a text's rows in one task.
-    each = maybe.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("c"))
-    groups = each.groupBy("sha").agg(F.max("id").alias("keep"), F.sum("c").alias("n"))
+    # Both sides are checkpointed: then Spark can split the join where one text has very many rows.
+    each = checkpointed(maybe.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("c")))
+    groups = checkpointed(each.groupBy("sha").agg(F.max("id").alias("keep"), F.sum("c").alias("n")))
     found = each.join(groups, "sha").select("id", "sha", "keep", "n", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nth"))
     return alone.unionByName(found).select(
         F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep")) & (F.col("nth") == 1)).alias("kept"), F.col("sha").alias("text_sha256"),
