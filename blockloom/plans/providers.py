@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
+import types
+import typing
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import library
-from blockloom.functions.types import ANY, BOOL, NUMBER, STRING, Type, from_json_value, list_of, map_of, optional, spark_type, union_of
+from blockloom.functions.types import ANY, BOOL, DURATION, NUMBER, STRING, Duration, Type, from_json_value, list_of, map_of, optional, spark_type, struct_of, union_of
 from blockloom.sources import files
 
 CREATE, UPDATE, NONE = "create", "update", "none"
@@ -61,6 +65,30 @@ class Resource(ABC):
         return T.StructType([T.StructField(n, spark_type(t), t.kind == "optional", {"type": str(t)}) for n, t in self.inputs.items()])
 
 
+def schema_of(cls: type) -> dict[str, Type]:
+    """The fields of a dataclass as a resource's schema."""
+    simple = {str: STRING, bool: BOOL, int: NUMBER, float: NUMBER, Decimal: NUMBER, Duration: DURATION}
+
+    def of(t: object) -> Type:
+        if t in simple:
+            return simple[t]
+        origin, args = typing.get_origin(t), typing.get_args(t)
+        if origin is list:
+            return list_of(of(args[0]))
+        if origin is dict:
+            return map_of(of(args[1]))
+        if origin in (typing.Union, types.UnionType):
+            members = [of(a) for a in args if a is not type(None)]
+            one = members[0] if len(members) == 1 else union_of(*members)
+            return optional(one) if type(None) in args else one
+        if dataclasses.is_dataclass(t):
+            return struct_of(schema_of(t))
+        return ANY
+
+    hints = typing.get_type_hints(cls)
+    return {f.name: of(hints[f.name]) for f in dataclasses.fields(cls)}
+
+
 class Registry:
     def __init__(self) -> None:
         self._found: dict[tuple[str, str], Resource] = {}

@@ -93,3 +93,17 @@ def image_sources(paths: DataFrame, text: str, build_args: dict[str, str] | None
     for s in sources(text, build_args):
         out = out.unionByName(expanded(paths, s, rules))
     return out.distinct()
+
+
+#: A health check's defaults: interval, timeout and retries; fixed values.
+HEALTH = (1_000_000_000, 5_000_000_000, 3)
+
+
+def health_deadline(interval: int = HEALTH[0], timeout: int = HEALTH[1], retries: int = HEALTH[2], start_period: int = 0) -> int:
+    """Nanoseconds after which a container that is not healthy has failed."""
+    return start_period + interval * retries + timeout
+
+
+def extra_hosts(given: dict[str, str], linux: bool) -> list[tuple[str, str]]:
+    """The hosts that a container knows, in order; on Linux the host machine is one of them."""
+    return sorted((({"host.docker.internal": "host-gateway"} if linux else {}) | given).items())

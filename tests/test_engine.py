@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from blockloom.operators.graph import GraphError
@@ -138,6 +140,7 @@ def test_destroy(spark):
     e.apply()
     assert e.destroy("a") == ["c", "a"]
     assert set(store.all()) == {"b", "d"}
+    assert e.destroy("b", force=True) == ["b"]
 
 
 def test_parquet_store(spark, tmp_path):
@@ -147,6 +150,9 @@ def test_parquet_store(spark, tmp_path):
     again = ParquetStore(spark, str(tmp_path / "s"))
     assert again.all() == store.all()
     assert actions(engine(spark, text, again).apply()) == {"a": "none"}
+    (tmp_path / "s" / "current").rename(tmp_path / "s" / "next")  # as a crash between writing and renaming leaves it
+    again = ParquetStore(spark, str(tmp_path / "s"))
+    assert again.all() == store.all()
     again.remove("a")
     assert ParquetStore(spark, str(tmp_path / "s")).all() == {}
 
@@ -167,3 +173,35 @@ def test_listings(spark):
     assert e.graph.nodes_df(spark).count() == 1 and e.plan_df().first().action == "none"
     assert default_registry().catalog(spark, "table").count() > 5
     assert [r.kind for r in statements_df(spark, "# d\na = value {}\noutput o = a.x\n").collect()] == ["block", "output"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from blockloom.cli import main
+
+    file = tmp_path / "p.loom"
+    file.write_text('param n = 1\na = value { x = n }\nb = value { y = a.x }\ntarget default = [b]\noutput o = b.y\n')
+    run = lambda *args: (main(["-C", str(file), "--state", str(tmp_path / "s"), *args], spark), capsys.readouterr().out)[1]
+    assert "a: create" in run("--plan") and "b: create" in run("-P", "n=2", "-j", "2")
+    assert "b: none" in run("-P", "n=2") and '"2"' in run("--dump")
+    assert "a" in run("--list").split() and "a -> b" in run("--graph")
+    assert "param n" in run("--info") and "table.sql" in run("--schema", "table") and json.loads(run("--schema", "table", "--json"))
+    assert "b: destroyed" in run("--clean", "a")
+    with pytest.raises(SystemExit):
+        main(["-C", str(file), "--plan", "--test"], spark)
+
+
+def test_reflected_schema():
+    from dataclasses import dataclass, field
+
+    from blockloom.plans.providers import schema_of
+
+    @dataclass
+    class Inputs:
+        path: str = field(metadata={"doc": "where"})
+        tags: list[str] = field(default_factory=list)
+        limit: int | None = None
+        both: str | bool = ""
+        env: dict[str, str] = field(default_factory=dict)
+
+    got = {n: str(t) for n, t in schema_of(Inputs).items()}
+    assert got == {"path": "string", "tags": "[string]", "limit": "number?", "both": "string | bool", "env": "{string = string}"}

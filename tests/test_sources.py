@@ -61,6 +61,12 @@ def test_dockerfile(spark):
     assert names(dockerfile.image_sources(p, DOCKER, {"NAME": "n"}, rules)) == ["go.mod", "lib/x", "n-1.0.txt", "src/a"]
 
 
+def test_containers():
+    assert dockerfile.health_deadline() == 8_000_000_000 and dockerfile.health_deadline(1, 2, 3, 4) == 9
+    assert dockerfile.extra_hosts({"b": "1"}, linux=True) == [("b", "1"), ("host.docker.internal", "host-gateway")]
+    assert dockerfile.extra_hosts({}, linux=False) == []
+
+
 def test_go(spark):
     src = spark.createDataFrame(
         [("main.go", 'package main\nimport "ex.com/m/a"\n// import "ex.com/m/none"\n'), ("main_test.go", 'import "ex.com/m/t"'), ("a/a.go", 'import (\n x "ex.com/m/b"\n "fmt"\n)\n//go:embed all:static "t.txt"\n'), ("a/a_test.go", 'import "ex.com/m/t"'), ("b/b.go", "package b"), ("t/t.go", "package t"), ("c/c.go", "package c"), ("vendor/v/v.go", "")],
