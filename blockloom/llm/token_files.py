@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from blockloom.llm.codes import Codes, encoded
 from blockloom.llm.common import shared_folder
 from blockloom.llm.hashing import joined, span_hashes
+from blockloom.llm.token_counts import byte_alphabet
 
 #: Ids in a shard, and bytes of text that are encoded at once.
 SHARD_IDS, STEP_BYTES = 4 << 20, 4 << 20
 #: Distinct pieces that a worker remembers at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: Shards up to which their directory (24 bytes each) is broadcast.
 BROADCAST_SHARDS = 500_000
 
@@ -36,7 +37,7 @@ _KINDS = np.zeros(256, np.uint8)
 _KINDS[0x21:0x7F] = _INK
 _KINDS[0x80:] = _INK
 _KINDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] |= _WORD
-_KINDS[list(b".,!?;:|")] |= _MARK
+_KINDS[[b for b in range(0x21, 0x7F) if not _KINDS[b] & _WORD and b != 0x27]] |= _MARK  # an apostrophe may be part of a contraction
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -46,6 +47,8 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(data == lead)
         for k in range(more + 1):
             kind[np.minimum(at + k, len(data) - 1)] = 0
+    latin = np.flatnonzero(data[:-1] == 0xC3) + 1  # the letters of Latin-1, and two signs
+    kind[latin[(data[latin] != 0x97) & (data[latin] != 0xB7)]] |= _WORD
     ink = (kind & _INK) > 0
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = ink[:-1], ink[1:]
@@ -59,6 +62,10 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+#: How the vocabulary writes each byte.
+_LETTERS = {b: c for c, b in byte_alphabet().items()}
+
+
 class Encoder:
     """Ids of many texts at once; equal to the library's ids of each text."""
 
@@ -76,7 +83,14 @@ class Encoder:
         self.begin, self.size, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint32)
 
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found, rest, tokens = [None] * len(pieces), [], self.tokenizer.model.tokenize
+        for k, piece in enumerate(pieces):
+            if piece.removeprefix(" ").isalpha():  # one word: the model alone gives its tokens, at half the cost
+                found[k] = [t.id for t in tokens(piece.encode().decode("latin-1").translate(_LETTERS))]
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
         size = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
         at = np.searchsorted(self.keys, keys)

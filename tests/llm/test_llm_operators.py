@@ -411,7 +411,7 @@ def test_pieces_never_cut_a_token():
     with open(VOCABULARY, encoding="utf-8") as f:
         e = Encoder(f.read())
     r = random.Random(1)
-    signs = [" ", "  ", "\n", "a", "B", ".", ",", "'s", "é", " ", " ", "3", "|", "!", "\t", "x́", "—", "\r\n", "日", "<|endoftext|>", "\x1c"]
+    signs = ["&", "*", "'", "_", "×", "Ã", "ß", "'ll", " ", "  ", "\n", "a", "B", ".", ",", "'s", "é", " ", " ", "3", "|", "!", "\t", "x́", "—", "\r\n", "日", "<|endoftext|>", "\x1c"]
     texts = ["", " ", *("".join(r.choices(signs, k=r.randint(1, 25))) for _ in range(1500))]
     ids, n = e.encode([x.encode() for x in texts])
     at = 0
