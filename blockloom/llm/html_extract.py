@@ -29,6 +29,7 @@ BROADCAST_NODES = 200_000
 # Names of elements of the HTML standard, of ARIA roles, and words in the wild's class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title iframe noscript xmp noembed noframes".split())
+FOREIGN = {"svg", "math"}  # where elements are never raw and may close themselves
 SILENT = set("nav footer aside form button select dialog template svg canvas object head menu option datalist".split()) | RAW
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCKS - set("body br caption dd dt head html legend li summary tbody td tfoot th thead title tr".split())
@@ -40,6 +41,8 @@ NOT_AFTER = set("no has with without hide is".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(?=[/a-zA-Z!?])[^>]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Where a raw element ends; in scripts, also what opens and ends a comment in which a script may stand.
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW - {"script"}} | {"script": re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)}
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -75,6 +78,26 @@ def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
     return False, style
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where the raw element whose content begins at a place is over: behind its end tag, or the page's end.
+
+    A script in a comment of a script has an end tag of its own, as the standard has it.
+    """
+    find = _RAW_END[tag].search
+    comment = inner = False
+    while m := find(page, at):
+        at = m.end()
+        if tag != "script" or m[1] and not inner:
+            return _TOKEN.match(page, m.start()).end()
+        if m[0] == "-->":
+            comment = inner = False
+        elif m[0] == "<!--":
+            comment, at = True, at if comment else at - 2  # its dashes may end it
+        else:
+            inner = comment and not m[1]
+    return len(page)
+
+
 class _Open:
     """An open element."""
 
@@ -92,7 +115,7 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     """
     blocks: list[Block] = []
     styles: list[tuple[int, int]] = []
-    stack, text, raw = [_Open("", 0, True, False, False)], [], ""
+    stack, text = [_Open("", 0, True, False, False)], []
 
     def end_block() -> None:
         if text:
@@ -119,34 +142,35 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
                 break
         return 0
 
-    for m in _TOKEN.finditer(page):
-        tag = m[2] and m[2].lower()
-        if raw:  # all is the element's text until its end tag
-            if tag == raw and m[1]:
-                raw = ""
-                close(len(stack) - 1)
-            continue
-        if not tag:
-            token = m[0]
-            if (token[0] != "<" or token == "<") and not stack[-1].noise:
-                text.append(html.unescape(token) if "&" in token else token)
-        elif m[1]:
-            if k := inner({tag}, set() if tag in BLOCKS else BLOCKS):
-                close(k)
-        else:
-            block = tag in BLOCKS
-            if block:
-                end_block()
-            if tag in CLOSES_P and (k := inner({"p"}, BLOCKS - {"p"})) or tag in ENDED_BY and (k := inner(ENDED_BY[tag], SCOPES[tag])):
-                close(k)
-            up = stack[-1]
-            up.children.append(tag)
-            if tag not in VOID:
-                silent, style = _silent(tag, m[3], up.article)
-                noise = up.noise or silent
-                article = up.article or not noise and (tag in ("article", "main") or _MAIN_ROLE.search(m[3]) is not None)
-                stack.append(_Open(tag, _digest(f"{up.path}>{tag}.{style}") if block else up.path, block, noise, article))
-                raw = tag if tag in RAW else ""
+    at = 0
+    while at < len(page):
+        for m in _TOKEN.finditer(page, at):
+            at = m.end()
+            tag = m[2] and m[2].lower()
+            if not tag:
+                token = m[0]
+                if (token[0] != "<" or token == "<") and not stack[-1].noise:
+                    text.append(html.unescape(token) if "&" in token else token)
+            elif m[1]:
+                if k := inner({tag}, set() if tag in BLOCKS else BLOCKS):
+                    close(k)
+            else:
+                block = tag in BLOCKS
+                if block:
+                    end_block()
+                if tag in CLOSES_P and (k := inner({"p"}, BLOCKS - {"p"})) or tag in ENDED_BY and (k := inner(ENDED_BY[tag], SCOPES[tag])):
+                    close(k)
+                up = stack[-1]
+                up.children.append(tag)
+                foreign = (tag in RAW or m[3].endswith("/")) and any(e.tag in FOREIGN for e in stack)
+                if tag in RAW and not foreign:  # all is the element's text until its end tag
+                    at = _raw_end(page, tag, at)
+                    break
+                if tag not in VOID and not (foreign and m[3].endswith("/")):
+                    silent, style = _silent(tag, m[3], up.article)
+                    noise = up.noise or silent
+                    article = up.article or not noise and (tag in ("article", "main") or _MAIN_ROLE.search(m[3]) is not None)
+                    stack.append(_Open(tag, _digest(f"{up.path}>{tag}.{style}") if block else up.path, block, noise, article))
     close(0)
     return blocks, styles
 

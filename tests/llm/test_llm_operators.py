@@ -438,6 +438,18 @@ def test_blocks(page, text):
     assert " ".join(b.text for b in html.main_blocks(page)) == text
 
 
+@pytest.mark.parametrize(
+    "script",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if(a<b.length)</SCRIPT >", "<script>s='it is <b title=\"'</script>", "<script>s='<!--'</script>", "<style>a<b</style>", "<title>a<b</title>", "<textarea>x<y</p></textarea>",
+        "<iframe><p 'x</iframe>", "<script><!--\nf('<script>g()</script>')\n--></script>", "<script><!-->f('<script>')</script>", "<script>s='</scripts>'</script\n>", "<svg><title/><style/></svg>",
+    ],
+)
+def test_text_after_raw_elements(script):
+    assert [b.text for b in html.main_blocks(f"<body>{script}<article><p>one</p>{script}<p>two</p></article>")] == ["one", "two"]
+    assert html.main_blocks("<p>a" + script.rsplit("</", 1)[0])[0].text == "a"
+
+
 def test_site_tree(spark):
     page = lambda k, host: (k, f"http://{host}/{k}", f"<body><div class='top'>Welcome to the site</div><div class='main'><p>Text number {k} of the site</p><p>{'and more ' * (k % 5)}</p></div></body>")
     rows = [page(k, "a.com") for k in range(20)] + [page(50, "b.com"), (60, None, None), (61, "nonsense", "<p>x</p>"), (0, "http://a.com/0", page(0, "a.com")[2])]
