@@ -31,6 +31,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title iframe noscript xmp noembed noframes".split())
 FOREIGN = {"svg", "math"}  # where elements are never raw and may close themselves
 SILENT = set("nav footer aside form button select dialog template svg canvas object head menu option datalist".split()) | RAW
+IN_HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCKS - set("body br caption dd dt head html legend li summary tbody td tfoot th thead title tr".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -110,8 +111,8 @@ class _Open:
 def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     """The page's blocks of text outside of declared noise, and (style path, child sequence) of its elements there.
 
-    Elements left open end where the standard ends them: paragraphs before blocks, items before items, and
-    everything else with the element around it. Inline elements are part of the block around them.
+    Elements left open end where the standard ends them: the head before what it may not hold, paragraphs before
+    blocks, items before items, and everything else with the element around it. Inline elements are part of the block around them.
     """
     blocks: list[Block] = []
     styles: list[tuple[int, int]] = []
@@ -149,6 +150,8 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
             tag = m[2] and m[2].lower()
             if not tag:
                 token = m[0]
+                if stack[-1].tag == "head" and (token[0] != "<" or token == "<") and not token.isspace():
+                    close(len(stack) - 1)
                 if (token[0] != "<" or token == "<") and not stack[-1].noise:
                     text.append(html.unescape(token) if "&" in token else token)
             elif m[1]:
@@ -160,6 +163,8 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
                     end_block()
                 if tag in CLOSES_P and (k := inner({"p"}, BLOCKS - {"p"})) or tag in ENDED_BY and (k := inner(ENDED_BY[tag], SCOPES[tag])):
                     close(k)
+                if stack[-1].tag == "head" and tag not in IN_HEAD:
+                    close(len(stack) - 1)
                 up = stack[-1]
                 up.children.append(tag)
                 foreign = (tag in RAW or m[3].endswith("/")) and any(e.tag in FOREIGN for e in stack)

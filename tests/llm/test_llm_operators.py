@@ -450,6 +450,17 @@ def test_text_after_raw_elements(script):
     assert html.main_blocks("<p>a" + script.rsplit("</", 1)[0])[0].text == "a"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><meta charset=x><title>t</title><body><article>a</article>", "<html><head> <link><script>s</script><article>a</article>", "<head><style>p{}</style>\n a", "<head><p>a", "<head><template><p>no</p></template><body><p>a",
+        "<head><noscript><p>no</p></noscript><base><b>a</b>", "<head><title>t</title></head><body>a",
+    ],
+)
+def test_a_head_left_open(page):
+    assert [b.text for b in html.main_blocks(page)] == ["a"]
+
+
 def test_site_tree(spark):
     page = lambda k, host: (k, f"http://{host}/{k}", f"<body><div class='top'>Welcome to the site</div><div class='main'><p>Text number {k} of the site</p><p>{'and more ' * (k % 5)}</p></div></body>")
     rows = [page(k, "a.com") for k in range(20)] + [page(50, "b.com"), (60, None, None), (61, "nonsense", "<p>x</p>"), (0, "http://a.com/0", page(0, "a.com")[2])]
