@@ -1,9 +1,9 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree of style nodes, each a chain of tags and classes. A node's
-importance is the entropy of what the host's pages have there: of the texts (content) and of the sequences of
-child elements (presentation), each over the logarithm of the number of different pages. A branch that looks and
-reads alike on page after page is of low importance and is removed from each page. What the standard's own elements
+The pages of a host are merged into one tree of style nodes, each a chain of tags and classes, with the texts that
+the host's pages have there. A text's importance is 1 less its entropy over the node's different pages: it is on n of
+m pages evenly, so 1 - log n / log m, which is 0 for what all have and 1 for what one has. Texts of low importance
+are removed from each page; a branch goes with the last of its texts. What the standard's own elements
 and common class names mark as menus, adverts, forms, comments and so on has no importance by declaration, and
 where a page marks its article, what lies outside has none either.
 """
@@ -11,6 +11,7 @@ where a page marks its article, what lies outside has none either.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import checkpointed
 
-#: Different pages that a host must have at a node before its entropy says something, and the importance below which it goes.
+#: Different pages that a host must have at a node before entropy says something, and the importance below which a text goes.
 LEAST_PAGES, LEAST_IMPORTANCE = 10, 0.05
-#: Nodes up to which the list of low ones is broadcast.
-BROADCAST_NODES = 200_000
+#: Texts up to which the list of low ones is broadcast.
+BROADCAST_TEXTS = 200_000
 
 # Names of elements of the HTML standard, of ARIA roles, and words in the wild's class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,6 +60,10 @@ class Block:
     def __init__(self, path: int, article: bool, text: str) -> None:
         self.path, self.article, self.text = path, article, text
 
+    def place(self) -> int:
+        """The text at its style path."""
+        return _digest(f"{self.path} {self.text}")
+
 
 def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
     """Whether an element is noise by what it declares, and its class for the style path."""
@@ -102,20 +107,19 @@ def _raw_end(page: str, tag: str, at: int) -> int:
 class _Open:
     """An open element."""
 
-    __slots__ = ("article", "block", "children", "noise", "path", "tag")
+    __slots__ = ("article", "block", "noise", "path", "tag")
 
     def __init__(self, tag: str, path: int, block: bool, noise: bool, article: bool) -> None:
-        self.tag, self.path, self.block, self.noise, self.article, self.children = tag, path, block, noise, article, []
+        self.tag, self.path, self.block, self.noise, self.article = tag, path, block, noise, article
 
 
-def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
-    """The page's blocks of text outside of declared noise, and (style path, child sequence) of its elements there.
+def parsed(page: str) -> list[Block]:
+    """The page's blocks of text outside of declared noise.
 
     Elements left open end where the standard ends them: the head before what it may not hold, paragraphs before
     blocks, items before items, and everything else with the element around it. Inline elements are part of the block around them.
     """
     blocks: list[Block] = []
-    styles: list[tuple[int, int]] = []
     stack, text = [_Open("", 0, True, False, False)], []
 
     def end_block() -> None:
@@ -129,9 +133,6 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         """Close the element at place k and all inside it."""
         if any(e.block for e in stack[k:]):
             end_block()
-        for e in stack[k:]:
-            if e.children and not e.noise:
-                styles.append((e.path, _digest(" ".join(e.children))))
         del stack[k:]
 
     def inner(tags: set[str], scope: set[str]) -> int:
@@ -166,7 +167,6 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
                 if stack[-1].tag == "head" and tag not in IN_HEAD:
                     close(len(stack) - 1)
                 up = stack[-1]
-                up.children.append(tag)
                 foreign = (tag in RAW or m[3].endswith("/")) and any(e.tag in FOREIGN for e in stack)
                 if tag in RAW and not foreign:  # all is the element's text until its end tag
                     at = _raw_end(page, tag, at)
@@ -177,41 +177,39 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
                     article = up.article or not noise and (tag in ("article", "main") or _MAIN_ROLE.search(m[3]) is not None)
                     stack.append(_Open(tag, _digest(f"{up.path}>{tag}.{style}") if block else up.path, block, noise, article))
     close(0)
-    return blocks, styles
+    return blocks
 
 
 def main_blocks(page: str) -> list[Block]:
     """The blocks of the page's articles, if it marks any, and else of all that is not declared noise."""
-    blocks, _ = parsed(page)
+    blocks = parsed(page)
     article = [b for b in blocks if b.article]
     return article or blocks
 
 
-_NODES = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("what", pa.int64()), ("page", pa.int64())])
+_NODES = pa.schema([("host", pa.string()), ("path", pa.int64()), ("what", pa.int64()), ("page", pa.int64())])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which page has which text at which path; without a text, which has the path."""
     for batch in batches:
         out = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks, styles = parsed(page or "")
-            article = [b for b in blocks if b.article]
-            blocks = article or blocks
-            paths = {b.path for b in blocks}
+            blocks = main_blocks(page or "")
             same = _digest("\n".join(b.text for b in blocks))
-            out += {(host, b.path, 0, _digest(b.text), same) for b in blocks}
-            out += {(host, p, 1, s, same) for p, s in styles if p in paths}
-        yield pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 5, _NODES, strict=True)], schema=_NODES)
+            out += {(host, b.path, b.place(), same) for b in blocks}
+            out += {(host, b.path, None, same) for b in blocks}
+        yield pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, _NODES, strict=True)], schema=_NODES)
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """host, path: the style nodes of low importance. pages has the columns host and html."""
-    seen = pages.select("host", "html").mapInArrow(_nodes, "host string, path long, kind int, what long, page long").distinct()
-    of = seen.groupBy("host", "path", "kind", "what").agg(F.count(F.lit(1)).alias("n"))
-    entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
-    node = of.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), (entropy / F.log(F.greatest(F.sum("n"), F.lit(2)))).alias("importance"))
-    merged = node.groupBy("host", "path").agg(F.max("importance").alias("importance"), F.max(F.when(F.col("kind") == 0, F.col("m"))).alias("m"))
-    return merged.where((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
+def low_texts(pages: DataFrame) -> DataFrame:
+    """host, what: the texts of low importance, as Block.place has them. pages has the columns host and html."""
+    seen = pages.select("host", "html").mapInArrow(_nodes, "host string, path long, what long, page long").distinct()
+    often = math.floor(LEAST_PAGES ** (1 - LEAST_IMPORTANCE))  # a text of low importance is on more pages than m ** (1 - LEAST_IMPORTANCE)
+    of = checkpointed(seen.groupBy("host", "path", "what").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often))
+    node = of.where(F.col("what").isNull() & (F.col("n") >= LEAST_PAGES)).select("host", "path", F.col("n").alias("m"))
+    text = of.where(F.col("what").isNotNull()).join(node, ["host", "path"])
+    return text.where(1 - F.log("n") / F.log("m") < LEAST_IMPORTANCE).select("host", "what")
 
 
 def _extract(keys: int) -> Callable:
@@ -222,7 +220,7 @@ def _extract(keys: int) -> Callable:
                 blocks = main_blocks(page or "")
                 if low:
                     gone = set(low)
-                    blocks = [b for b in blocks if b.path not in gone] or blocks
+                    blocks = [b for b in blocks if b.place() not in gone] or blocks
                 out.append(" ".join(b.text for b in blocks))
             yield pa.record_batch([*batch.columns[:keys], pa.array(out, pa.string())], names=[*batch.schema.names[:keys], "text"])
 
@@ -234,15 +232,15 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined in page
     order by one space. A null or empty page, and one that has no text, gives an empty text. Pages without
-    a host are one site. A page whose branches are all of low importance keeps them. Pages that repeat count once
+    a host are one site. A page whose texts are all of low importance keeps them. Pages that repeat count once
     in the site's tree and are returned each. An empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
     rows = pages.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)), F.col(html_col).alias("html"), host.alias("host"))
-    low = low_nodes(rows).groupBy("host").agg(F.collect_list("path").alias("low"))  # a site's templates, not its pages
+    low = low_texts(rows).groupBy("host").agg(F.collect_list("what").alias("low"))  # a site's templates, not its pages
     low = low.withColumnRenamed("host", "site")
     low = checkpointed(low)
-    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES:
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_TEXTS:
         low = F.broadcast(low)
     joined = rows.join(low, F.col("host") == F.col("site"), "left")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])

@@ -473,6 +473,22 @@ def test_site_tree(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_site_tree_removes_repeated_branches(spark):
+    menu = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(5))
+    odd = "<div class=note><p>Only on a few</p></div>"
+
+    def page(k):
+        links = menu.replace("<a href=/2>Item 2</a>", "<b>Item 2</b>") if k % 7 == 0 else menu  # the place where one is looks different
+        return k, f"http://a.com/{k}", f"<body><ul class=links>{links}</ul><div class=text><p>Text {k}<p>As ever<p>Tail {k}</div>{odd if k % 12 == 0 else ''}<div class=bottom><p>First line<p>Second line<p>Text 7</div>"
+
+    rows = [page(k) for k in range(100)]
+    few = [(1000 + k, f"http://b.com/{k}", f"<p>Same<p>Also same<p>{'abc'[k % 3]}") for k in range(30)]  # three different pages
+    df = spark.createDataFrame(rows + few, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in html.extract_main_text(df).collect()}
+    assert all(text[k] == f"Text {k} Tail {k}" + " Only on a few" * (k % 12 == 0) for k in range(100))
+    assert text[1001] == "Same Also same b"
+
+
 # Queries and pipeline.
 
 
