@@ -4,8 +4,9 @@ The pages of a host are merged into one tree of style nodes, each a chain of tag
 the host's pages have there. A text's importance is 1 less its entropy over the node's different pages: it is on n of
 m pages evenly, so 1 - log n / log m, which is 0 for what all have and 1 for what one has. Texts of low importance
 are removed from each page; a branch goes with the last of its texts. What the standard's own elements
-and common class names mark as menus, adverts, forms, comments and so on has no importance by declaration, and
-where a page marks its article, what lies outside has none either.
+and roles mark as menus, forms and so on has no importance by declaration. A class name that is common for adverts,
+comments and so on lowers a node's importance to its share of the page's text, so that it goes unless it holds most of
+the text; articles are not lowered. Where the articles that a page marks hold most of what is left, they are the text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -55,33 +56,33 @@ def _digest(text: str) -> int:
 
 
 class Block:
-    __slots__ = ("article", "path", "text")
+    __slots__ = ("article", "parts", "path", "text")
 
-    def __init__(self, path: int, article: bool, text: str) -> None:
-        self.path, self.article, self.text = path, article, text
+    def __init__(self, path: int, article: bool, parts: list[tuple[str, int]]) -> None:
+        self.path, self.article, self.parts, self.text = path, article, parts, ""
 
     def place(self) -> int:
         """The text at its style path."""
         return _digest(f"{self.path} {self.text}")
 
 
-def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is noise by what it declares, and its class for the style path."""
+def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
+    """Whether an element is noise by what it declares, whether its names say so, and its class for the style path."""
     if not attributes.strip():
-        return tag in SILENT or tag == "header" and not in_article, ""
+        return tag in SILENT or tag == "header" and not in_article, False, ""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     style = found.get("class", "")
     if tag in SILENT or tag == "header" and not in_article or "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
-        return True, style
+        return True, False, style
     if found.get("role", "").lower() in ROLES:
-        return True, style
-    if tag not in ("html", "body", "main"):
+        return True, False, style
+    if tag not in ("html", "body", "main", "article") and found.get("role", "").lower() not in ("main", "article"):
         for name in (*style.split(), found.get("id", "")):
             words = [w.lower() for w in _NAME_WORDS.findall(name)]
             for k, w in enumerate(words):
-                if (w in NOISE or w == "header" and not in_article and tag != "article") and not (k and words[k - 1] in NOT_AFTER):
-                    return True, style
-    return False, style
+                if (w in NOISE or w == "header" and not in_article) and NOT_AFTER.isdisjoint(words[:k]):
+                    return False, True, style
+    return False, False, style
 
 
 def _raw_end(page: str, tag: str, at: int) -> int:
@@ -107,26 +108,45 @@ def _raw_end(page: str, tag: str, at: int) -> int:
 class _Open:
     """An open element."""
 
-    __slots__ = ("article", "block", "noise", "path", "tag")
+    __slots__ = ("article", "block", "low", "noise", "path", "tag")
 
-    def __init__(self, tag: str, path: int, block: bool, noise: bool, article: bool) -> None:
-        self.tag, self.path, self.block, self.noise, self.article = tag, path, block, noise, article
+    def __init__(self, tag: str, path: int, block: bool, noise: bool, article: bool, low: int) -> None:
+        self.tag, self.path, self.block, self.noise, self.article, self.low = tag, path, block, noise, article, low
+
+
+def _weighed(blocks: list[Block], around: list[int]) -> list[Block]:
+    """The blocks with their texts, without the elements whose names lower them, but for those with most of the text.
+
+    around has for each such element, by number, the one around it; number 0 is the page.
+    """
+    gone = [False] * len(around)
+    if len(around) > 1:
+        size = [0] * len(around)
+        for b in blocks:
+            for part, low in b.parts:
+                size[low] += sum(map(len, part.split()))
+        for k in range(len(around) - 1, 0, -1):
+            size[around[k]] += size[k]
+        for k in range(1, len(around)):
+            gone[k] = gone[around[k]] or 2 * size[k] <= size[0]
+    for b in blocks:
+        b.text = " ".join("".join(part for part, low in b.parts if not gone[low]).split())
+    return [b for b in blocks if b.text]
 
 
 def parsed(page: str) -> list[Block]:
-    """The page's blocks of text outside of declared noise.
+    """The page's blocks of text outside of declared noise and of low elements.
 
     Elements left open end where the standard ends them: the head before what it may not hold, paragraphs before
     blocks, items before items, and everything else with the element around it. Inline elements are part of the block around them.
     """
     blocks: list[Block] = []
-    stack, text = [_Open("", 0, True, False, False)], []
+    stack, text, lows = [_Open("", 0, True, False, False, 0)], [], [0]
 
     def end_block() -> None:
         if text:
-            if words := " ".join("".join(text).split()):
-                around = next(e for e in reversed(stack) if e.block)
-                blocks.append(Block(around.path, around.article, words))
+            around = next(e for e in reversed(stack) if e.block)
+            blocks.append(Block(around.path, around.article, text.copy()))
             text.clear()
 
     def close(k: int) -> None:
@@ -154,7 +174,7 @@ def parsed(page: str) -> list[Block]:
                 if stack[-1].tag == "head" and (token[0] != "<" or token == "<") and not token.isspace():
                     close(len(stack) - 1)
                 if (token[0] != "<" or token == "<") and not stack[-1].noise:
-                    text.append(html.unescape(token) if "&" in token else token)
+                    text.append((html.unescape(token) if "&" in token else token, stack[-1].low))
             elif m[1]:
                 if k := inner({tag}, set() if tag in BLOCKS else BLOCKS):
                     close(k)
@@ -172,19 +192,24 @@ def parsed(page: str) -> list[Block]:
                     at = _raw_end(page, tag, at)
                     break
                 if tag not in VOID and not (foreign and m[3].endswith("/")):
-                    silent, style = _silent(tag, m[3], up.article)
+                    silent, lowered, style = _silent(tag, m[3], up.article)
+                    if lowered and not up.noise:
+                        lows.append(up.low)
                     noise = up.noise or silent
                     article = up.article or not noise and (tag in ("article", "main") or _MAIN_ROLE.search(m[3]) is not None)
-                    stack.append(_Open(tag, _digest(f"{up.path}>{tag}.{style}") if block else up.path, block, noise, article))
+                    stack.append(_Open(tag, _digest(f"{up.path}>{tag}.{style}") if block else up.path, block, noise, article, len(lows) - 1 if lowered and not up.noise else up.low))
     close(0)
-    return blocks
+    return _weighed(blocks, lows)
 
 
-def main_blocks(page: str) -> list[Block]:
-    """The blocks of the page's articles, if it marks any, and else of all that is not declared noise."""
+def main_blocks(page: str, low: Iterable[int] = ()) -> list[Block]:
+    """The page's blocks but for the texts of low importance, unless all are; of its articles only, if they hold most of that."""
     blocks = parsed(page)
+    if low:
+        gone = set(low)
+        blocks = [b for b in blocks if b.place() not in gone] or blocks
     article = [b for b in blocks if b.article]
-    return article or blocks
+    return article if 2 * sum(len(b.text) for b in article) > sum(len(b.text) for b in blocks) else blocks
 
 
 _NODES = pa.schema([("host", pa.string()), ("path", pa.int64()), ("what", pa.int64()), ("page", pa.int64())])
@@ -195,7 +220,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks = main_blocks(page or "")
+            blocks = parsed(page or "")
             same = _digest("\n".join(b.text for b in blocks))
             out += {(host, b.path, b.place(), same) for b in blocks}
             out += {(host, b.path, None, same) for b in blocks}
@@ -217,11 +242,7 @@ def _extract(keys: int) -> Callable:
         for batch in batches:
             out = []
             for page, low in zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist(), strict=True):
-                blocks = main_blocks(page or "")
-                if low:
-                    gone = set(low)
-                    blocks = [b for b in blocks if b.place() not in gone] or blocks
-                out.append(" ".join(b.text for b in blocks))
+                out.append(" ".join(b.text for b in main_blocks(page or "", low or ())))
             yield pa.record_batch([*batch.columns[:keys], pa.array(out, pa.string())], names=[*batch.schema.names[:keys], "text"])
 
     return run

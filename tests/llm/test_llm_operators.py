@@ -473,6 +473,25 @@ def test_site_tree(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+STORY = "A story of some length that is most of what the page has to say"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *((f"<body><nav>m</nav><article class='{c}'><p>{STORY}</article><p>x", STORY) for c in ("post category-announcements", "tag-social", "category-promotion")),
+        *((f"<body><div id=wrapper class='{c}'><article><p>{STORY}</article><div class=sidebar>no</div></div>", STORY) for c in ("right-sidebar", "has-left-sidebar", "layout--with-ads")),
+        (f"<body><div class='content right-sidebar'><p>{STORY}</div><div class=sidebar>no</div>", STORY),
+        (f"<body><div class=content><p>{STORY}</div><div class=cards><article>Card</article><article>More</article></div>", f"{STORY} Card More"),
+        (f"<body><div class=content><p>{STORY} <span class=share>no</span></div><div class=related><article>Card</article></div>", STORY),
+        ("<body><p class=ad>All there is</p>", "All there is"),
+        (f"<body><div class=has-left-sidebar><p>short</div><p>{STORY}", f"short {STORY}"),
+    ],
+)
+def test_names_lower_but_do_not_delete(page, text):
+    assert " ".join(b.text for b in html.main_blocks(page)) == text
+
+
 def test_site_tree_removes_repeated_branches(spark):
     menu = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(5))
     odd = "<div class=note><p>Only on a few</p></div>"
