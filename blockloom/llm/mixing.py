@@ -2,7 +2,8 @@
 
 Documents are aggregated by the set of sources they belong to. The flow takes each set's words, at a cost for
 each further repetition that grows, to the quotas of its sources. Its result says how many words of each set
-are taken; whole repetitions go to all its documents and the rest to those with the least seeded hashes.
+are taken; whole repetitions go to all its documents and the rest, in the order of a seeded hash, to each document
+that fits into what is left. When none fits any more, the one that comes nearest closes the gap, if it does any good.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict, deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import checkpointed, fresh
@@ -21,8 +22,8 @@ COPY_COST = (0, 1, 3)
 #: Sets of sources that the driver holds at most: they are as many as configured sources and overlaps, not as documents.
 MAX_PATTERNS = 1_000_000
 _BITS = 12
-#: Documents out of order that a set of sources gets at most to come nearer to its words.
-FILLERS = 3
+#: Documents up to which an edge's bucket is put in order, and repeated ids up to which their sizes are broadcast.
+ORDERED_ROWS, BROADCAST_IDS = 100_000, 200_000
 
 
 def targets(sizes: dict, weights: dict, total: float, times: int = len(COPY_COST)) -> dict:
@@ -148,52 +149,71 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = [(list(p), sum(of_source[s] for s in p), float(sum(goal[s] for s in p)), taken[p] // n if n else 0, taken[p] % n if n else 0) for p, n in words.items()]
     plan = F.broadcast(checkpointed(spark.createDataFrame(rows, "pattern array<string>, source_size long, target double, times long, rest long")))  # a row for each set of sources
 
-    having = narrow.where("size > 0").join(plan.select("pattern", "rest"), "pattern").where("rest > 0").withColumn("hi", F.struct("h", F.col("id").cast("string").alias("i")))
-    last = checkpointed(_last_chosen(having))
-    picks = _fillers(having, last)
-    wide = lambda df, name: F.broadcast(df.select(F.col("pattern").alias(name), *(c for c in df.columns if c in ("last", "picks"))))
-    limits = plan.join(wide(last, "lp"), F.col("pattern") == F.col("lp"), "left").join(wide(picks, "op"), F.col("pattern") == F.col("op"), "left").drop("lp", "op")
-    out = sized.join(F.broadcast(limits.withColumnRenamed("pattern", "p")), F.col("pattern") == F.col("p"), "left")
     own = F.struct("h", F.col("id").cast("string").alias("i"))
-    more = (F.coalesce(own <= F.col("last"), F.lit(False)) | F.coalesce(F.array_contains("picks", own), F.lit(False))).cast("long")
+    units = narrow.where("size > 0").join(plan.select("pattern", "rest").where("rest > 0"), "pattern").groupBy("pattern", "rest", own.alias("hi")).agg(F.sum("size").alias("unit"), F.count(F.lit(1)).alias("rows"))
+    units = checkpointed(units)  # rows alike in id are one
+    chosen = F.broadcast(_chosen(units).withColumnRenamed("pattern", "cp"))
+    limits = plan.join(chosen, F.col("pattern") == F.col("cp"), "left").drop("cp")
+    out = sized.join(F.broadcast(limits.withColumnRenamed("pattern", "p")), F.col("pattern") == F.col("p"), "left").withColumn("hi", own)
+    many_rows = units.where("rows > 1").select(F.col("pattern").alias("up"), F.col("hi").alias("uh"), "unit")
+    if n := many_rows.count():
+        out = out.join(F.broadcast(many_rows) if n <= BROADCAST_IDS else many_rows, (F.col("pattern") == F.col("up")) & (F.col("hi") == F.col("uh")), "left").withColumn("unit", F.coalesce("unit", "size"))
+    else:
+        out = out.withColumn("unit", F.col("size"))
     back = [F.col("_text" if c == text_col else f"_{k}").alias(c) for k, c in enumerate(names)]
-    return out.select(*back, "size", "source_size", "target", (F.col("size") * (F.col("times") + more)).alias("taken"))
+    return out.select(*back, "size", "source_size", "target", (F.col("size") * (F.col("times") + _more().cast("long"))).alias("taken"))
 
 
-def _last_chosen(docs: DataFrame) -> DataFrame:
-    """pattern, last, gap: the greatest (hash, id) up to which documents get one copy more without passing rest, and what is left of rest.
+def _more() -> Column:
+    """Whether hi of size unit gets one copy more by its pattern's rounds and pick."""
+    inside = lambda x: (x["after"].isNull() | (F.col("hi") > x["after"])) & (x["end"].isNull() | (F.col("hi") < x["end"])) & (F.col("unit") <= x["most"])
+    return F.coalesce(F.exists("rounds", inside), F.lit(False)) | F.coalesce(F.col("hi") == F.col("pick"), F.lit(False))
+
+
+def _chosen(units: DataFrame) -> DataFrame:
+    """pattern, rounds, pick: which documents get one copy more, so that their words come as near to rest as they can.
+
+    In a round all documents between after and end that are no longer than most are taken; end is the first
+    that no longer fits. It and all that are longer than what is then left are passed over for good. pick is the
+    document that overshoots least, if that is nearer to rest than to go without.
+    """
+    kinds = "array<struct<after: struct<h: bigint, i: string>, end: struct<h: bigint, i: string>, most: bigint>>"
+    nowhere = F.lit(None).cast("struct<h: bigint, i: string>")
+    state = checkpointed(units.select("pattern", "rest").distinct().select("pattern", F.col("rest").alias("gap"), nowhere.alias("after"), F.array().cast(kinds).alias("rounds"), F.lit(True).alias("open")))  # a row for each set of sources
+    while state.where("open").limit(1).count():
+        free = units.drop("rest").join(F.broadcast(state.where("open").select("pattern", "gap", "after")), "pattern").where((F.col("unit") <= F.col("gap")) & (F.col("after").isNull() | (F.col("hi") > F.col("after"))))
+        edge = _first_not_fitting(free).withColumnRenamed("pattern", "ep")
+        after = state.join(F.broadcast(edge), F.col("pattern") == F.col("ep"), "left")
+        rounds = F.when(F.col("ep").isNull(), F.col("rounds")).otherwise(F.concat("rounds", F.array(F.struct("after", "end", F.col("gap").alias("most")))))
+        state = checkpointed(after.select("pattern", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.col("end").alias("after"), rounds.alias("rounds"), F.col("end").isNotNull().alias("open")))
+    near = units.drop("rest").join(F.broadcast(state.select("pattern", "gap", "rounds").withColumn("pick", nowhere)), "pattern").where((F.col("unit") < 2 * F.col("gap")) & ~_more())
+    pick = near.groupBy("pattern").agg(F.min(F.struct("unit", "hi")).alias("m")).select(F.col("pattern").alias("pp"), F.col("m.hi").alias("pick"))
+    return checkpointed(state.join(F.broadcast(pick), F.col("pattern") == F.col("pp"), "left").select("pattern", "rounds", "pick"))
+
+
+def _first_not_fitting(free: DataFrame) -> DataFrame:
+    """pattern, end, used: the least hi with which documents pass gap, and the words before it; no end if all fit. A pattern without documents is absent.
 
     The hashes' first bits narrow it to one bucket of documents for each pattern and then to a bucket of that one,
-    by sums; only the few documents there are put in order. A pattern is absent if none fits, or if all do.
+    by sums; only the few documents there are put in order.
     """
-    left = docs.withColumn("before", F.lit(0).cast("long"))
+    left, whole = free.select("pattern", "gap", "hi", "unit").withColumn("before", F.lit(0).cast("long")), None
     for level in range(2):
-        bucket = F.shiftright("h", 64 - _BITS * (level + 1))
-        sums = left.groupBy("pattern", "rest", "before", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+        bucket = F.shiftright("hi.h", 64 - _BITS * (level + 1))
+        sums = left.groupBy("pattern", "gap", "before", bucket.alias("bucket")).agg(F.sum("unit").alias("words"))
         upto = sums.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket")))
-        edge = upto.where("upto > rest").groupBy("pattern").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("sofar"))).alias("e"))
-        edge = F.broadcast(edge.select(F.col("pattern").alias("ep"), F.col("e.bucket").alias("eb"), F.col("e.sofar").alias("sofar")))  # a row for each set of sources
+        edge = upto.groupBy("pattern").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("sofar")))).alias("e"), F.max("upto").alias("used"))
+        edge = checkpointed(edge)  # a row for each set of sources
+        whole = edge.where("e IS NULL").select("pattern", "used") if level == 0 else whole
+        edge = F.broadcast(edge.where("e IS NOT NULL").select(F.col("pattern").alias("ep"), F.col("e.bucket").alias("eb"), F.col("e.sofar").alias("sofar")))
         left = checkpointed(left.join(edge, (F.col("pattern") == F.col("ep")) & (bucket == F.col("eb"))).withColumn("before", F.col("sofar")).drop("ep", "eb", "sofar"))
+        if left.count() <= ORDERED_ROWS:
+            break
     run = Window.partitionBy("pattern").orderBy("hi").rowsBetween(Window.unboundedPreceding, 0)
-    near = left.withColumn("upto", F.col("before") + F.sum("size").over(run))
-    inside = F.col("upto") <= F.col("rest")
-    none = F.struct(F.min("h").alias("h"), F.lit("").alias("i"))  # before the bucket's first: all documents of earlier buckets
-    last = F.coalesce(F.max(F.when(inside, F.col("hi"))), none).alias("last")
-    return near.groupBy("pattern", "rest").agg(last, F.coalesce(F.max(F.when(inside, F.col("upto"))), F.min("before")).alias("upto")).select("pattern", "last", (F.col("rest") - F.col("upto")).alias("gap"))
-
-
-def _fillers(docs: DataFrame, last: DataFrame) -> DataFrame:
-    """pattern, picks: up to FILLERS further documents, each the one whose size is nearest to what is left."""
-    state = last.withColumn("picks", F.array().cast("array<struct<h: bigint, i: string>>"))
-    state = docs.select("pattern", "rest").distinct().join(F.broadcast(state), "pattern", "left").select("pattern", "last", F.coalesce("gap", "rest").alias("gap"), "picks")
-    state = checkpointed(state)  # a row for each set of sources
-    for _ in range(FILLERS):
-        free = docs.join(F.broadcast(state), "pattern").where((F.col("gap") > 0) & (F.col("last").isNull() | (F.col("hi") > F.col("last"))) & ~F.coalesce(F.array_contains("picks", F.col("hi")), F.lit(False)))
-        off = free.withColumn("off", F.abs(F.col("size") - F.col("gap"))).where(F.col("off") < F.col("gap"))
-        best = off.groupBy("pattern").agg(F.min(F.struct("off", "hi", "size")).alias("m"))
-        picks = F.when(F.col("m").isNull(), F.col("picks")).otherwise(F.concat(F.coalesce("picks", F.array().cast("array<struct<h: bigint, i: string>>")), F.array(F.col("m.hi"))))
-        state = checkpointed(state.join(F.broadcast(best), "pattern", "left").select("pattern", "last", (F.col("gap") - F.coalesce("m.size", F.lit(0))).alias("gap"), picks.alias("picks")))
-    return state.select("pattern", "picks")
+    near = left.withColumn("upto", F.col("before") + F.sum("unit").over(run))
+    passed = F.col("upto") > F.col("gap")
+    ends = near.groupBy("pattern").agg(F.min(F.when(passed, F.col("hi"))).alias("end"), F.coalesce(F.max(F.when(~passed, F.col("upto"))), F.min("before")).alias("used"))
+    return checkpointed(ends.unionByName(whole, allowMissingColumns=True))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -321,6 +321,17 @@ def test_overlapping_sources(spark):
     assert abs(sum(x.taken for x in got) - sum(mixing.targets({s: sum(len(words(t)) for _, t, m in rows if s in m) for s in "abc"}, dict.fromkeys("abc", 1), sum(len(words(t)) for _, t, _ in rows)).values())) < 200
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_a_very_long_document_keeps_no_others_out(spark, seed):
+    rows = [(0, "w " * 20_000, "a"), *((k, "w " * 10, "a") for k in range(1, 1001)), *((k, "w " * 50, "b") for k in range(2000, 2400)), (3000, "w " * 25, "c"), (3000, "w " * 35, "c"), (None, "w " * 40, "c"), *((k, "w " * 9, "c") for k in range(3001, 3051))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, weights={"a": 8_000, "b": 42_000, "c": 400}, seed=seed, keep=["doc_id", "source"]).collect()
+    for s, nearest in (("a", 5), ("b", 25), ("c", 4.5)):
+        target = next(r.target for r in got if r.source == s)
+        assert abs(sum(r.taken for r in got if r.source == s) - target) <= nearest + 0.5
+    assert len({r.taken // r.size for r in got if r.doc_id == 3000}) == 1
+
+
 # Token counts.
 
 
