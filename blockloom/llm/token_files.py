@@ -1,7 +1,7 @@
 """Token ids of documents in files of directly addressable codes, and their way back.
 
 The text is cut where no token of a byte-level vocabulary can lie across (before a single space, around a single
-line end, between a letter or digit and a mark), each distinct piece is encoded once by the tokenizers library
+line end, between a letter or digit and a mark, around the tokenizer's added tokens), each distinct piece is encoded once by the tokenizers library
 and remembered, and the ids are gathered by array operations.
 
 A file is a Parquet file, so that Spark commits it as a whole on any store, with a row for each shard: its place in
@@ -11,6 +11,7 @@ the order, the documents' ids and token numbers, and the payload in the layout o
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -40,8 +41,8 @@ _KINDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] |= _WORD
 _KINDS[[b for b in range(0x21, 0x7F) if not _KINDS[b] & _WORD and b != 0x27]] |= _MARK  # an apostrophe may be part of a contraction
 
 
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the pieces of texts that lie one after another begin."""
+def piece_starts(data: np.ndarray, offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Where the pieces of texts that lie one after another begin; spans (begin, end) are pieces of their own."""
     kind = _KINDS[data]
     for lead, more in ((0xC2, 1), (0xE1, 2), (0xE2, 2), (0xE3, 2)):  # Unicode's white space begins with these
         at = np.flatnonzero(data == lead)
@@ -59,6 +60,10 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut[1:] |= ((kind[1:] & _MARK) > 0) & ((kind[:-1] & _WORD) > 0)
     starts = offsets[:-1]
     cut[starts[starts < len(data)]] = True
+    for begin, end in spans:
+        cut[begin] = True
+        cut[begin + 1 : end] = False
+        cut[end : end + 1] = True
     return np.flatnonzero(cut)
 
 
@@ -74,7 +79,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.names = {t.content for t in added}
+        longest_first = sorted((x.encode() for x in self.names), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, longest_first))) if self.names else None
+        # Where tokens depend on what is around them or on each other, a text that has one is a piece.
+        self.whole = any(t.single_word or t.lstrip or t.rstrip for t in added) or len({t.normalized for t in added}) > 1
         self.forget()
 
     def forget(self) -> None:
@@ -85,7 +95,7 @@ class Encoder:
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         found, rest, tokens = [None] * len(pieces), [], self.tokenizer.model.tokenize
         for k, piece in enumerate(pieces):
-            if piece.removeprefix(" ").isalpha():  # one word: the model alone gives its tokens, at half the cost
+            if piece.removeprefix(" ").isalpha() and not self.whole and piece not in self.names:  # one word: the model alone gives its tokens, at half the cost
                 found[k] = [t.id for t in tokens(piece.encode().decode("latin-1").translate(_LETTERS))]
             else:
                 rest.append(k)
@@ -99,10 +109,18 @@ class Encoder:
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
 
+    def added_spans(self, texts: list[bytes], offsets: list[int]) -> list[tuple[int, int]]:
+        """Where added tokens begin and end in texts that lie one after another."""
+        found = [(at + m.start(), at + m.end()) for at, text in zip(offsets, texts, strict=False) for m in self.added.finditer(text)]
+        if self.whole:
+            found = [(at, at + len(text)) for at, text in zip(offsets, texts, strict=False) if self.added.search(text)]
+        return found
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with 0 after each text, and how many each text has."""
         data, offsets = joined(texts)
-        starts = piece_starts(data, offsets) if len(data) else np.zeros(0, np.int64)
+        spans = self.added_spans(texts, offsets.tolist()) if self.added else []
+        starts = piece_starts(data, offsets, spans) if len(data) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         distinct, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > REMEMBERED:

@@ -431,6 +431,28 @@ def test_pieces_never_cut_a_token():
         at += k
 
 
+def test_added_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    from blockloom.llm.token_files import Encoder
+
+    from tokenizers import AddedToken
+
+    t, end = Tokenizer.from_file(VOCABULARY), "<|endoftext|>"
+    assert t.encode(f"a {end} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    r = random.Random(2)
+    signs = [end, end, "<|endof", "text|>", "<", "|>", "a", "é", " ", "  ", "\n", "'s", "3", "|", "\t", "日", "\u3000", ".", "pad", "PAD"]
+    texts = [f"a {end} b", end, end * 2, f"a{end}b", "<|endof", "text|> x", f" {end} ", f"\n{end}\n", "", *("".join(r.choices(signs, k=r.randint(1, 20))) for _ in range(1500))]
+    for more in ([], [AddedToken("pad", normalized=False)], [AddedToken("PAD", normalized=False, lstrip=True)], [AddedToken("pad", normalized=False), AddedToken("PAD", single_word=True)]):
+        t.add_tokens(more)
+        e = Encoder(t.to_str())
+        ids, n = e.encode([x.encode() for x in texts])
+        at = 0
+        for text, k in zip(texts, n.tolist(), strict=True):
+            assert ids[at : at + k].tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], text
+            at += k
+
+
 # HTML.
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav>menu</nav><div class="cookie-notice">We use</div>
