@@ -35,11 +35,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def ready_to_checkpoint(spark: SparkSession) -> None:
-    """Point the context at the cluster's checkpoint folder; only where none is named, as in tests, at one of our own."""
+    """Point the context at the cluster's checkpoint folder; where none is named, a local session gets one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="blockloom-"))
 
 
@@ -56,10 +58,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """df as a table in the shared folder, for rows too large to checkpoint uncompressed."""
+    """df as a table in the shared folder: for rows too large to checkpoint uncompressed, and for what dropped() can delete."""
     path = f"{shared_folder(df.sparkSession)}/blockloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    jvm = df.sparkSession.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _files(df.sparkSession, path, "deleteOnExit")
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what written() has put down, where nothing reads it any more."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            _files(df.sparkSession, path, "delete", True)
+
+
+def _files(spark: SparkSession, path: str, call: str, *more: bool) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), call)(at, *more)
+
+
+#: Rows of one key above which looked_up() sends the key's value to all tasks, and how many keys can have so many at most.
+HOT_ROWS, HOT_KEYS = 500, 50_000
+
+
+def looked_up(df: DataFrame, key: str, values: DataFrame, n: int | None = None) -> DataFrame:
+    """df with the columns of values, whose rows are unique in key; null where values has none.
+
+    df is read twice, so it should be written or checkpointed; n is its number of rows. Keys with over n / HOT_KEYS rows
+    (and over HOT_ROWS) cannot be more than HOT_KEYS, so their values are broadcast and their rows stay where
+    they are. The others are joined by key, and no key brings a task more rows than that.
+    """
+    least = max(HOT_ROWS, (df.count() if n is None else n) // HOT_KEYS)
+    often = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select(key)
+    hot = checkpointed(often.join(values, key, "left"))
+    if hot.isEmpty():
+        return df.join(values, key, "left")
+    added = [c for c in values.columns if c != key]
+    hot = F.broadcast(hot)
+    many = df.join(hot, key).select(*df.columns, *added)
+    return df.join(F.broadcast(hot.select(key)), key, "left_anti").join(values, key, "left").select(*df.columns, *added).unionByName(many)
