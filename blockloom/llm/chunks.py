@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import written
 
 CHUNK_BYTES = 4 << 20
-#: Stands for a null id, before all others.
+#: Stands for a null id, before all others; a real id of this value counts as null.
 NO_ID = -(1 << 63)
+#: A row's number is its chunk's and then its place there, in so many bits: a chunk has fewer rows, as each counts 16 bytes and more.
+PLACE_BITS = 20
 SCHEMA = "chunk long, ids binary, lengths binary, texts binary"
 _ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("texts", pa.large_binary())])
 
@@ -26,7 +28,7 @@ _ARROW = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("lengths", pa.
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    base, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+    base, n, held, size = TaskContext.get().partitionId() << PLACE_BITS, 0, [], 0
 
     def flush() -> pa.RecordBatch:
         nonlocal n, held, size
@@ -50,7 +52,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A written table of chunks, each of whole texts in ascending order of id; null texts are empty."""
+    """A written table of chunks, each of whole texts in ascending order of id; null texts are empty.
+
+    Ids must be whole numbers; for others, number the rows first.
+    """
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be a whole number, not {dict(docs.dtypes)[id_col]}")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     return written(rows.mapInArrow(_chunks, SCHEMA), "none")
 

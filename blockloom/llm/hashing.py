@@ -2,79 +2,87 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 import zstandard
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTES = np.random.Generator(np.random.PCG64(20)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Multipliers of the polynomial hashes: odd, so that they have inverses modulo 2**64.
-_BASE, _GRAM = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Odd multipliers, one to join two hashes and one for each size of a window.
+_JOIN, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of a text that are split into words at once.
 _STEP = 1 << 20
-
-
-def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006  a cache
-    if base not in kept or len(kept[base]) < n:
-        full = np.full(max(n, 1024), base, np.uint64)
-        full[0] = 1
-        kept[base] = np.cumprod(full, dtype=np.uint64)
-    return kept[base][:n]
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit over all bits; one to one."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span; spans ascend and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    i, inverse = 0, pow(_BASE, -1, 2**64)
-    while i < len(out):  # in steps, which bounds the memory
-        low = starts[i]
-        j = max(i + 1, int(np.searchsorted(starts, low + _STEP)))
-        n = int(ends[j - 1] - low)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data[low : low + n]] * _powers(_BASE, n), out=total[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mixed((total[e] - total[s]) * _powers(inverse, n + 1)[s] + (e - s).astype(np.uint64))
-        i = j
-    return out
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """The text in parts that no word lies across, of bounded size unless a word is longer."""
+    at = 0
+    while len(text) - at > _STEP:
+        m = _SPACE.search(text, at + _STEP)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def hashed_words(text: bytes) -> np.ndarray:
+    """64 bits of each word, by a hash of its bytes that is no sum of theirs: no family of texts collides in it by design."""
+    return np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, part.split()), np.uint64) for part in _parts(text)])
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * _JOIN + b)
+
+
+def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every window of size hashes: windows of 1, 2, 4, ... are mixed in pairs, and those that make up size."""
+    n = len(hashes) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out, at, width, power = None, 0, 1, hashes
+    while True:
+        if size & width:
+            part = power[at : at + n]
+            out = part if out is None else _pair(out, part)
+            at += width
+        if 2 * width > size:
+            return mixed(out + np.uint64(size) * _SIZE)
+        power = _pair(power[:-width], power[width:])
+        width *= 2
 
 
 class Words:
     """The words of texts that lie one after another in a byte array.
 
-    starts, ends: of each word, in bytes; first: of each text, the number of its first word, and the
-    number of all words at the end; hashes: 64 bits of each word.
+    first: of each text, the number of its first word, and the number of all words at the end; hashes: 64 bits of each word.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        ink = ~_SPACE[data]
-        begin, end = ink.copy(), ink.copy()
-        begin[1:] &= ~ink[:-1]
-        end[:-1] &= ~ink[1:]
-        inner = offsets[1:-1]
-        inner = inner[(inner > 0) & (inner < len(data))]
-        begin[inner] = ink[inner]
-        end[inner - 1] = ink[inner - 1]
-        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = span_hashes(data, self.starts, self.ends)
+        raw, at = data.tobytes(), offsets.tolist()
+        each = [hashed_words(raw[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
+        self.first = np.zeros(len(each) + 1, np.int64)
+        np.cumsum([len(x) for x in each], out=self.first[1:])
+        self.hashes = np.concatenate([*each, np.zeros(0, np.uint64)])
 
     def __len__(self) -> int:
-        return len(self.starts)
+        return len(self.hashes)
 
-    def whole(self) -> np.ndarray:
-        """A hash of each text's words in their order."""
-        total = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(self.hashes * _powers(_GRAM, len(self.hashes)), out=total[1:])
-        a, z = self.first[:-1], self.first[1:]
-        return mixed((total[z] - total[a]) * _powers(pow(_GRAM, -1, 2**64), len(self.hashes) + 1)[a] + (z - a).astype(np.uint64))
+    def whole(self) -> list[bytes]:
+        """128 bits of each text's words in their order."""
+        at = self.first.tolist()
+        return [xxhash.xxh3_128_digest(self.hashes[a:z].tobytes()) for a, z in zip(at[:-1], at[1:], strict=True)]
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all texts' windows, text by text with repeats, and where each text's begin (and the end).
@@ -85,7 +93,9 @@ class Words:
         n = np.diff(self.first)
         short = np.flatnonzero((n > 0) & (n < size))
         place = np.searchsorted(at, self.first[short])
-        at, hashes = np.insert(at, place, self.first[short]), np.insert(hashes, place, self.whole()[short])
+        begin = self.first[:-1]
+        all_words = np.array([int(rolled(self.hashes[begin[k] : begin[k] + n[k]], int(n[k]))[0]) for k in short], np.uint64)
+        at, hashes = np.insert(at, place, self.first[short]), np.insert(hashes, place, all_words)
         return hashes, np.searchsorted(at, self.first)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +103,12 @@ class Words:
         n = len(self.hashes)
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * _powers(_GRAM, n), out=total[1:])
-        h = mixed((total[size:] - total[:-size]) * _powers(pow(_GRAM, -1, 2**64), n)[: n - size + 1] + np.uint64(size))
         inside = np.ones(n - size + 1, bool)
         for back in range(1, size):  # windows that begin less than size words before a text's end run into the next
             cut = self.first[1:-1] - back
             inside[cut[(cut >= 0) & (cut < len(inside))]] = False
         at = np.flatnonzero(inside)
-        return at, h[at]
+        return at, rolled(self.hashes, size)[at]
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.codes import Codes, encoded
 from blockloom.llm.common import shared_folder
-from blockloom.llm.hashing import joined, span_hashes
+from blockloom.llm.hashing import joined
 from blockloom.llm.token_counts import byte_alphabet
 
 #: Ids in a shard, and bytes of text that are encoded at once.
 SHARD_IDS, STEP_BYTES = 4 << 20, 4 << 20
-#: Distinct pieces that a worker remembers at most.
-REMEMBERED = 2_000_000
+#: Distinct pieces that a worker remembers at most, by their bytes: about 160 MB.
+REMEMBERED = 1_000_000
 #: Shards up to which their directory (24 bytes each) is broadcast.
 BROADCAST_SHARDS = 500_000
 
@@ -89,10 +89,12 @@ class Encoder:
 
     def forget(self) -> None:
         """Entry 0 is the end of a document, id 0."""
-        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
         self.begin, self.size, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint32)
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def learn(self, raw: list[bytes]) -> None:
+        """Encode pieces that are not known yet."""
+        pieces = [p.decode("utf-8", "replace") for p in raw]
         found, rest, tokens = [None] * len(pieces), [], self.tokenizer.model.tokenize
         for k, piece in enumerate(pieces):
             if piece.removeprefix(" ").isalpha() and not self.whole and piece not in self.names:  # one word: the model alone gives its tokens, at half the cost
@@ -103,9 +105,7 @@ class Encoder:
             found[k] = e.ids
         size = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.entry = np.insert(self.entry, at, len(self.begin) + np.arange(len(keys)))
+        self.known |= zip(raw, range(len(self.begin), len(self.begin) + len(raw)), strict=True)
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
 
@@ -121,20 +121,15 @@ class Encoder:
         data, offsets = joined(texts)
         spans = self.added_spans(texts, offsets.tolist()) if self.added else []
         starts = piece_starts(data, offsets, spans) if len(data) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        distinct, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > REMEMBERED:
+        raw, at = data.tobytes(), [*starts.tolist(), len(data)]
+        pieces = [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
             self.forget()
-        place = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == distinct[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            self.learn(distinct[new], [raw[starts[first[k]] : ends[first[k]]].decode("utf-8", "replace") for k in new.tolist()])
-            place = np.searchsorted(self.keys, distinct)
-        entry = self.entry[place][of] if len(distinct) else np.zeros(0, np.int64)
+            new = list(dict.fromkeys(pieces))
+        if new:
+            self.learn(new)
+        entry = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         first_piece = np.searchsorted(starts, offsets)
         entry = np.insert(entry, first_piece[1:], 0)
         size = self.size[entry]
@@ -195,17 +190,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     """Encode every row's text, in ascending order of id, and write the files; returns their path.
 
     Every document ends with id 0. Null ids come first, null texts are empty, rows alike in id are in order of
-    their texts. Other columns are ignored; an empty table writes no rows. path defaults to a new folder in
+    a hash of their texts, so that they may lie in several files. Ids must be whole numbers. Other columns are ignored; an empty table writes no rows. path defaults to a new folder in
     the cluster's shared one. The tokenizer's file is read by the driver and sent with the tasks.
     """
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be a whole number, not {dict(docs.dtypes)[id_col]}")
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = f.read()
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (32 << 20)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    ordered = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     kinds = "part int, seq int, n_docs long, n_ids long, ids binary, known binary, counts binary, codes binary"
     ordered.mapInArrow(_shards(tokenizer), kinds).write.option("compression", "zstd").parquet(path)
     return path
