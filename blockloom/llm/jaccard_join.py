@@ -2,15 +2,18 @@
 
 Each text's set of n-grams is embedded as SKETCH minhashes. A run picks some positions at random, about one in
 SKETCH * threshold; sets that agree in a chosen position share a node, where the same happens again with other
-positions until a node is small; small nodes are compared by brute force. A pair survives a run's path with a
-probability that grows with its similarity, and the number of runs follows from the recall wanted at the threshold.
+positions, BRANCH times as many, until a node is small; small nodes are compared by brute force. A pair survives a run's path with a
+probability that grows with its similarity, and the number of runs follows from the recall wanted at the threshold in nodes of any depth.
 
 The pairs so found only gather what must be compared: their components are then compared set by set, exactly,
 and only pairs of at least the threshold are links. Large components are compared in tiles of bounded size.
+
+Every row has a number of its own, its chunk and its place there; links are between these, and ids come in at the end.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -19,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.chunks import NO_ID, chunked, opened
-from blockloom.llm.common import checkpointed
+from blockloom.llm.chunks import NO_ID, PLACE_BITS, chunked, opened
+from blockloom.llm.common import checkpointed, dropped, looked_up
 from blockloom.llm.components import components
+from blockloom.llm.exact_dedup import without
 from blockloom.llm.hashing import Words, mixed, pack_sorted, unpack_sorted
 
 SKETCH = 64
 #: A node of so many sets or fewer is compared by brute force, and any node is after so many choices.
 SMALL_NODE, MAX_DEPTH = 64, 5
+#: Below the root, how many of the positions that it chooses a pair at the threshold agrees in, on average; at the root it is one.
+BRANCH = 2
 #: Sets of one component in a task; larger components are compared in tiles of two blocks.
 BLOCK = 512
 #: Sets of one node in a task; larger nodes are divided first, and their list is broadcast up to so many.
@@ -42,23 +48,23 @@ def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def chosen(seed: int, threshold: float) -> np.ndarray:
-    """The positions that a node chooses: each with probability 1 / (threshold * SKETCH), and one at least."""
+def chosen(seed: int, threshold: float, branch: float = 1) -> np.ndarray:
+    """The positions that a node chooses: each with probability branch / (threshold * SKETCH), and one at least."""
     h = mixed(np.arange(SKETCH, dtype=np.uint64) + np.uint64(seed * SKETCH % 2**64))
-    picked = np.flatnonzero(h < np.uint64(int(2**64 / (threshold * SKETCH))))
+    picked = np.flatnonzero(h < np.uint64(int(2**64 * min(0.999, branch / (threshold * SKETCH)))))
     return picked if len(picked) else np.array([int(np.argmin(h))])
 
 
-def runs_for(recall: float, threshold: float, levels: int = 2) -> int:
-    """Runs after which a pair at the threshold has met in a node `levels` choices deep with the wanted probability."""
+def runs_for(recall: float, threshold: float, levels: int = MAX_DEPTH) -> int:
+    """Runs after which a pair at the threshold has met in a node `levels` choices deep with the wanted probability; nodes are no deeper."""
     survive = 1.0
-    for _ in range(levels):  # the expected number of chosen positions that the pair agrees in is 1
-        survive = 1 - math.exp(-survive)
+    for level in range(levels, 0, -1):
+        survive = 1 - math.exp(-survive * (BRANCH if level > 1 else 1))
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survive)))
 
 
 def _sketches(n: int) -> Callable:
-    schema = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("words", pa.int64()), ("whole", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("sha", pa.binary()), ("whole", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,8 +76,10 @@ def _sketches(n: int) -> Callable:
                 out = np.empty((len(full), SKETCH), np.uint32)
                 for k in range(SKETCH if len(full) else 0):
                     out[:, k] = np.minimum.reduceat((hashes * _MULTIPLIERS[k]) >> np.uint64(32), first[full]).astype(np.uint32)
-                whole = words.whole().view(np.int64)[full]
-                rows = [(row["chunk"], i, w, h, s.tobytes()) for i, w, h, s in zip(ids[full].tolist(), np.diff(words.first)[full].tolist(), whole.tolist(), out, strict=True)]
+                sketch = dict(zip(full.tolist(), out, strict=True))
+                raw, whole, base = data.tobytes(), words.whole(), row["chunk"] << PLACE_BITS
+                at = offsets.tolist()
+                rows = [(base + k, i, hashlib.sha256(raw[at[k] : at[k + 1]]).digest(), whole[k] if k in sketch else None, sketch[k].tobytes() if k in sketch else None) for k, i in enumerate(ids.tolist())]
                 yield from _arrow(rows, schema).to_batches()
 
     return run
@@ -145,7 +153,7 @@ def _split(threshold: float) -> Callable:
             for n in np.unique(node).tolist():
                 seed = n & (2**62 - 1)
                 at = np.flatnonzero(node == n)
-                for k, i in enumerate(chosen(seed, threshold).tolist()):
+                for k, i in enumerate(chosen(seed, threshold, BRANCH).tolist()):
                     child = mixed((own[at, i].astype(np.uint64) << np.uint64(8)) + np.uint64(_child_seed(seed, i, 0))).view(np.int64)
                     linked = to[at] if k == 0 else ids[at]
                     yield pa.record_batch([pa.array(np.where(far[at], ids[at], linked)), pa.array(ids[at]), pa.array(child), batch.column(2).take(pa.array(at)), pa.array(far[at])], schema=schema)
@@ -154,16 +162,17 @@ def _split(threshold: float) -> Callable:
 
 
 def _far_against_all(threshold: float) -> Callable:
-    """A block of a node that no more choices divide: the sets that are far from its leader against all."""
+    """A tile of a node that no more choices divide: one block of the sets that are far from its leader against one block of all."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         least, out = _least_agreement(threshold), []
-        ids, far = table["id"].to_numpy(), np.array(table["far"].to_pylist(), bool)
+        ids, far = table["id"].to_numpy(), np.array(table["side"].to_pylist(), bool)
         sketch = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        others, theirs = ids[~far], sketch[~far]
         for i in np.flatnonzero(far).tolist():
-            near = np.flatnonzero((sketch == sketch[i]).sum(axis=1) >= least)
-            out += [(int(ids[i]), int(ids[j])) for j in near.tolist() if ids[j] != ids[i]]
+            near = np.flatnonzero((theirs == sketch[i]).sum(axis=1) >= least)
+            out += [(int(ids[i]), int(others[j])) for j in near.tolist() if others[j] != ids[i]]
         return _arrow(out, schema)
 
     return run
@@ -190,22 +199,24 @@ def _near_links(texts: DataFrame, threshold: float, runs: int, parts: int, node_
     while listed:
         large = checkpointed(large)
         leaders = checkpointed(large.groupBy("node").agg(F.min(F.struct("id", "bytes")).alias("l")).select("node", F.col("l.id").alias("leader"), F.col("l.bytes").alias("of")))
-        led = large.join(F.broadcast(leaders) if leaders.count() <= BROADCAST_NODES else leaders, "node").select("node", "id", "bytes", "leader", "of")
+        led = looked_up(large, "node", leaders).select("node", "id", "bytes", "leader", "of")
         split = checkpointed(led.mapInArrow(_split(threshold), "a long, b long, node long, bytes binary, far boolean"))
         links.append(split.where("a <> b").select("a", "b"))
         depth += 1
         children = split.select("node", F.col("b").alias("id"), "bytes", "far")
-        alive = children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("any")).where("any AND n > 1").select("node", "n")
-        going = checkpointed(children.join(alive, "node"))
+        alive = children.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count_if("far").alias("n_far")).where("n_far > 0 AND n > 1")
+        going = checkpointed(looked_up(children, "node", alive).where("n IS NOT NULL"))
         ready.append(going.where(F.col("n") <= node_limit).select("node", "id", "bytes", F.lit(depth).alias("depth")))
         over = going.where(F.col("n") > node_limit)
         if over.isEmpty():
             break
         if depth >= MAX_DEPTH:
-            blocks = F.ceil(F.col("n") / node_limit).cast("int")
-            where = F.when(F.col("far"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks).cast("int")))
-            dealt = over.select("node", "id", "bytes", "far", F.explode(where).alias("block"))
-            links.append(dealt.groupBy("node", "block").applyInArrow(_far_against_all(threshold), "a long, b long"))
+            count = lambda c: F.ceil(F.col(c) / node_limit).cast("int")
+            block = lambda c: F.pmod(F.xxhash64("id"), count(c)).cast("int")
+            each = lambda c: F.sequence(F.lit(0), count(c) - 1)
+            whole = over.select("node", "id", "bytes", F.lit(False).alias("side"), block("n").alias("all_block"), F.explode(each("n_far")).alias("far_block"))
+            apart = over.where("far").select("node", "id", "bytes", F.lit(True).alias("side"), F.explode(each("n")).alias("all_block"), block("n_far").alias("far_block"))
+            links.append(whole.unionByName(apart).groupBy("node", "far_block", "all_block").applyInArrow(_far_against_all(threshold), "a long, b long"))
             break
         large = over.select("node", "id", "bytes")
     rows = rows.withColumn("depth", F.lit(1))
@@ -260,7 +271,7 @@ class _Join:
             for i in node[roots != parts[np.argmax(n)]].tolist():
                 self.against(i, node[node != i])
             return
-        for i in chosen(seed, self.threshold).tolist():
+        for i in chosen(seed, self.threshold, BRANCH).tolist():
             values = self.sketch[node, i]
             order = np.argsort(values, kind="stable")
             cuts = np.flatnonzero(np.diff(values[order])) + 1
@@ -290,22 +301,19 @@ def _solve(threshold: float) -> Callable:
     return run
 
 
-_SETS = "key long, tile int, block int, component long, id long, copies long, grams binary"
-
-
 def _gathered(n: int) -> Callable:
     """The sets of the texts that a chunk is asked for."""
-    schema = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("copies", pa.int64()), ("blocks", pa.int64()), ("grams", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("component", pa.int64()), ("copies", pa.int64()), ("blocks", pa.int64()), ("grams", pa.binary())])
 
     def run(chunk: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
-        wanted = {r["id"]: r for r in asked.to_pylist()}
-        for row in chunk.to_pylist() if wanted else []:
-            ids, data, offsets = opened(row)
+        asked = asked.to_pylist()
+        for row in chunk.to_pylist() if asked else []:
+            _, data, offsets = opened(row)
             hashes, first = Words(data, offsets).shingles(n)
-            for k, i in enumerate(ids.tolist()):
-                if (r := wanted.pop(i, None)) is not None:  # of rows with one id, the first
-                    out.append((i, r["component"], r["copies"], r["blocks"], pack_sorted(np.unique(hashes[first[k] : first[k + 1]]))))
+            for r in asked:
+                k = r["row"] & (1 << PLACE_BITS) - 1
+                out.append((r["row"], r["component"], r["copies"], r["blocks"], pack_sorted(np.unique(hashes[first[k] : first[k + 1]]))))
         return _arrow(out, schema)
 
     return run
@@ -313,7 +321,7 @@ def _gathered(n: int) -> Callable:
 
 def _exact(threshold: float) -> Callable:
     """Links within a task's components; each set's number of linked rows, and the sets joined with their least."""
-    schema = pa.schema([("id", pa.int64()), ("least", pa.int64()), ("linked", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("least", pa.int64()), ("linked", pa.int64())])
     up = round(threshold * 10_000)
 
     def of(ids: np.ndarray, block: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], cross: bool) -> list[tuple]:
@@ -347,7 +355,7 @@ def _exact(threshold: float) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         out = []
-        order = np.lexsort((table["id"].to_numpy(), table["component"].to_numpy()))
+        order = np.lexsort((table["row"].to_numpy(), table["component"].to_numpy()))
         table = table.take(pa.array(order))
         component = table["component"].to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(component)) + 1).tolist(), len(component)]
@@ -357,56 +365,63 @@ def _exact(threshold: float) -> Callable:
             block = part["block"].to_numpy()
             cross = bool(part["tile"][0].as_py())
             if len(sets) > 1 and not (cross and block.min() == block.max()):
-                out += of(part["id"].to_numpy(), block, part["copies"].to_numpy(), sets, cross)
+                out += of(part["row"].to_numpy(), block, part["copies"].to_numpy(), sets, cross)
         return _arrow(out, schema)
 
     return run
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, node_limit: int) -> DataFrame:
+    """id, sha, row, class_id, class_row, n_links of every row: what jaccard_classes says, and which row has the class's id."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunked(docs, id_col, text_col)
+    sketches = checkpointed(chunks.mapInArrow(_sketches(n), "row long, id long, sha binary, whole binary, sketch binary"))
+    texts = checkpointed(sketches.where("whole IS NOT NULL").groupBy("whole").agg(F.min(F.struct("id", "row", "sketch")).alias("first"), F.count(F.lit(1)).alias("copies")).select("whole", "first.*", "copies"))
+    n_texts = texts.count()
+    found = components(_near_links(texts.select(F.col("row").alias("id"), "sketch"), threshold, runs_for(recall, threshold), parts, node_limit))
+    tasks = max(256, parts, math.ceil(n_texts / 20_000))
+
+    sized = looked_up(found, "component", found.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+    asked = sized.withColumnRenamed("id", "row").join(texts.select("row", "copies"), "row").select(F.shiftright("row", PLACE_BITS).alias("chunk"), "row", "component", "copies", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    sets = chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_gathered(n), "row long, component long, copies long, blocks long, grams binary")
+    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    whole = F.col("blocks") == 1
+    dealt = sets.withColumn("block", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
+    key = F.when(whole, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
+    cross = F.when(whole | (F.col("block") == F.col("other")), 0).otherwise(1)
+    tiles = dealt.select(key.alias("key"), cross.alias("tile"), "block", "component", "row", "copies", "grams")
+    exact = checkpointed(tiles.groupBy("key").applyInArrow(_exact(threshold), "row long, least long, linked long"))
+    dropped(chunks, found)
+
+    linked = exact.groupBy("row").agg(F.sum("linked").alias("linked"))
+    classes = components(exact.where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))).withColumnRenamed("id", "row")
+    by_text = checkpointed(texts.select("whole", "row", "id", "copies").join(linked, "row", "left").join(classes, "row", "left").withColumn("component", F.coalesce("component", "row")))
+    firsts = by_text.groupBy("component").agg(F.min(F.struct("id", "row")).alias("least"))
+    known = looked_up(by_text, "component", firsts, n_texts).select("whole", "least", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = looked_up(sketches.select("row", "id", "sha", "whole"), "whole", checkpointed(known))
+    return rows.select("id", "sha", "row", F.coalesce("least.id", "id").alias("class_id"), F.coalesce("least.row", "row").alias("class_row"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99, node_limit: int = NODE_LIMIT) -> DataFrame:
     """id_col, class_id, n_links: a row for each row of docs.
 
     Two rows are linked if the Jaccard similarity of their sets of word n-grams is at least the threshold; n_links
     counts the other rows that a row is linked to, copies included; class_id is the least id that links lead to.
-    Texts of fewer than n words have one gram, all their words; texts without words (null too) are linked to none.
-    Of rows with the same id and different texts one text counts. Null ids are one class of their own, unless
-    they are linked. Other columns are ignored; an empty table gives an empty result.
+    Texts of fewer than n words have one gram, all their words; texts without words (null too) are linked to none and are each their own class.
+    Rows that repeat an id, with the same text or another, are rows of their own. Ids are whole numbers; null sorts
+    before all others. Other columns are ignored; an empty table gives an empty result.
 
     recall is the probability, at the threshold, that a pair is compared; nearer pairs and pairs that have
-    common neighbours have more. Every link returned is exact.
+    common neighbours have more. Every link returned is exact, but for collisions of 64-bit hashes of n-grams.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunked(docs, id_col, text_col)
-    sketches = checkpointed(chunks.mapInArrow(_sketches(n), "chunk long, id long, words long, whole long, sketch binary"))
-    texts = checkpointed(sketches.groupBy("whole", "words").agg(F.min(F.struct("id", "chunk", "sketch")).alias("first"), F.count(F.lit(1)).alias("copies")).select("whole", "words", "first.*", "copies"))
-    runs = runs_for(recall, threshold)
-    found = components(_near_links(texts, threshold, runs, parts, node_limit))
-    tasks = max(256, parts, math.ceil(texts.count() / 20_000))
-
-    sized = found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
-    asked = sized.join(texts.select("id", "chunk", "copies"), "id").select("chunk", "id", "component", "copies", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    sets = chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_gathered(n), "id long, component long, copies long, blocks long, grams binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    whole = F.col("blocks") == 1
-    dealt = sets.withColumn("block", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
-    key = F.when(whole, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
-    cross = F.when(whole | (F.col("block") == F.col("other")), 0).otherwise(1)
-    tiles = dealt.select(key.alias("key"), cross.alias("tile"), "block", "component", "id", "copies", "grams")
-    exact = checkpointed(tiles.groupBy("key").applyInArrow(_exact(threshold), "id long, least long, linked long"))
-
-    linked = exact.groupBy("id").agg(F.sum("linked").alias("linked"))
-    classes = components(exact.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    by_text = linked.join(classes, "id", "left").select("id", "linked", F.coalesce("component", "id").alias("class"))
-    known = texts.join(by_text, "id", "left").select("whole", "words", F.coalesce("class", "id").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = sketches.select("id", "whole", "words").join(known, ["whole", "words"]).select("id", "class_id", "n_links")
-    blank = docs.where(F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", 3), lambda w: w != "")) == 0)
-    rows = known.unionByName(blank.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return rows.select(back("id").alias(id_col), back("class_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
+    return _classes(docs, id_col, text_col, n, threshold, recall, node_limit).select(back("id").alias(id_col), back("class_id").alias("class_id"), "n_links")
 
 
-def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """The rows of docs whose id is their class's: one for each class where ids are unique."""
-    gone = jaccard_classes(docs, id_col, text_col, n, threshold, recall).where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99, node_limit: int = NODE_LIMIT) -> DataFrame:
+    """Of each class of docs one row with its least id, and all rows without words."""
+    rows = _classes(docs, id_col, text_col, n, threshold, recall, node_limit)
+    stays = F.max(F.col("row") == F.col("class_row"))
+    decided = rows.groupBy(F.nullif("id", F.lit(NO_ID)).alias("id"), "sha").agg(stays.alias("one"), F.min("class_row").alias("first"), F.max("class_row").alias("last"), F.count(F.lit(1)).alias("c"))
+    # Rows alike in id and text are of one class, or without words and each of its own.
+    return without(docs, decided.where("NOT one OR c > 1 AND first = last").select("id", "sha", "one"), id_col, text_col)
