@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: What the first, second, ... copy of a document costs; it must grow.
 COPY_COST = (0, 1, 3)
 #: Sets of sources that the driver holds at most: they are as many as configured sources and overlaps, not as documents.
-MAX_PATTERNS = 1_000_000
+MAX_PATTERNS = 200_000
 _BITS = 12
 #: Documents up to which an edge's bucket is put in order, and repeated ids up to which their sizes are broadcast.
 ORDERED_ROWS, BROADCAST_IDS = 100_000, 200_000
@@ -71,9 +71,7 @@ def min_cost_flow(words: dict[tuple, int], quotas: dict, costs: tuple[int, ...]
 
 
 def _flow(patterns: list[tuple], words: dict[tuple, int], quotas: dict, costs: tuple[int, ...]) -> dict:
-    if len(patterns) == 1 and len(patterns[0]) == 1:
-        p = patterns[0]
-        return {(p, p[0]): min(quotas[p[0]], len(costs) * words[p])}
+    """Cheapest paths from the patterns' words to the quotas until none is left; an arc's cost is that of the copy that it stands for."""
     start, end = ("start",), ("end",)
     arcs: list[list] = []  # head, room, cost; an arc's reverse is its neighbour
     leaving = defaultdict(list)
@@ -127,9 +125,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(source_col), F.array(F.lit(None).cast("string"))))) if many else F.array(F.col(source_col).cast("string"))
     hashed = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
     sized = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(names) if c != text_col), *([F.col(text_col).alias("_text")] if text_col in names else []), pattern.alias("pattern"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("h"), F.col(id_col).alias("id"))
-    narrow = checkpointed(sized.select("pattern", "size", "h", "id"))
-    if text_col not in names:
+    if text_col in names:  # texts are not written again; their words are counted once more at the end
+        narrow = checkpointed(sized.select("pattern", "size", "h", "id"))
+    else:
         sized = checkpointed(sized)
+        narrow = sized.select("pattern", "size", "h", "id")
 
     totals = narrow.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
