@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import checkpointed, words_of, written
+from blockloom.llm.common import checkpointed, fresh, words_of, written
 
 #: Words in a window of the repetition count.
 WINDOW = 8
@@ -24,54 +24,58 @@ FENCES = {
     "symbols": {"reach": 6, "floor": 10},
     "marks": {"reach": 6, "floor": 15},
     "capitals": {"reach": 6, "floor": 25},
-    "dup_lines": {"reach": 6, "floor": 60},
-    "repeats": {"reach": 6, "floor": 60},
+    "dup_lines": {"reach": 6, "floor": 50},
+    "repeats": {"reach": 6, "floor": 45},
     "word_length": {"reach": 8, "floor": 400},
 }
 TWO_SIDED = ["word_length"]
-#: A group with fewer documents takes the thresholds of its language, and that those of the corpus.
-LEAST_GROUP = 200
+#: A group's quantiles count as many times as it has documents, and its language's as so many; the same holds for languages and the corpus.
+PRIOR = 200
 #: Groups up to which their thresholds are broadcast: about 100 bytes each.
 BROADCAST_GROUPS = 50_000
 
 
 def _with_repeats(df: DataFrame, words: str) -> DataFrame:
     """df with n_repeat_words: words inside windows of WINDOW words that the text has more than once."""
+    hashes, wins, ordered, places = fresh(df, "hashes", "wins", "ordered", "places")
     at = lambda a, i: F.get(F.col(a), i)
-    df = df.withColumn("__wh", F.transform(F.col(words), lambda w: F.xxhash64(w)))
-    last = F.size(F.col("__wh")) - WINDOW
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*(at("__wh", i + k) for k in range(WINDOW))))
-    df = df.withColumn("__win", F.when(last >= 0, windows).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(hashes, F.transform(F.col(words), lambda w: F.xxhash64(w)))
+    last = F.size(F.col(hashes)) - WINDOW
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(F.col(hashes), i, F.lit(WINDOW))))
+    # Without a word that is there twice, no window is; such texts have none.
+    again = (last > 0) & (F.size(F.array_distinct(F.col(hashes))) < F.size(F.col(hashes)))
+    df = df.withColumn(wins, F.when(again, windows).otherwise(F.array().cast("array<bigint>")))
     # Most texts repeat nothing; they skip the sort.
-    sort = F.array_sort(F.transform(F.col("__win"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("__sorted", F.when(F.size(F.array_distinct(F.col("__win"))) < F.size(F.col("__win")), sort))
-    near = lambda s, j: s["h"].eqNullSafe(at("__sorted", j)["h"])
-    twice = F.filter(F.col("__sorted"), lambda s, j: ((j > 0) & near(s, F.greatest(j - 1, F.lit(0)))) | near(s, j + 1))
-    df = df.withColumn("__at", F.array_sort(F.transform(twice, lambda s: s["i"])))
-    covered = F.transform(F.col("__at"), lambda p, j: F.least(F.lit(WINDOW), F.coalesce(at("__at", j + 1) - p, F.lit(WINDOW))))
+    sort = F.array_sort(F.transform(F.col(wins), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn(ordered, F.when(F.size(F.array_distinct(F.col(wins))) < F.size(F.col(wins)), sort))
+    near = lambda s, j: s["h"].eqNullSafe(at(ordered, j)["h"])
+    twice = F.filter(F.col(ordered), lambda s, j: ((j > 0) & near(s, F.greatest(j - 1, F.lit(0)))) | near(s, j + 1))
+    df = df.withColumn(places, F.array_sort(F.transform(twice, lambda s: s["i"])))
+    covered = F.transform(F.col(places), lambda p, j: F.least(F.lit(WINDOW), F.coalesce(at(places, j + 1) - p, F.lit(WINDOW))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("__wh", "__win", "__sorted", "__at")
+    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop(hashes, wins, ordered, places)
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_marks, n_capitals (long).
 
-    A null text has no words. Columns of these names are replaced.
+    A null text has no words. Columns of these names are replaced; all others stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("__words", words_of(F.col(text_col)))
-    df = df.withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = _with_repeats(df, "__words")
+    words, lines = fresh(docs, "words", "lines")
+    df = docs.withColumn(words, words_of(F.col(text_col)))
+    df = df.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = _with_repeats(df, words)
     long = lambda c: c.cast("long")
     return df.withColumns({
-        "n_words": long(F.size("__words")),
-        "word_chars": long(F.length(F.array_join("__words", ""))),
+        "n_words": long(F.size(words)),
+        "word_chars": long(F.length(F.array_join(words, ""))),
         "n_symbols": long(F.regexp_count(text, F.lit("[#*$%&|<>]"))),
         "n_marks": long(F.regexp_count(text, F.lit("[!?]"))),
         "n_capitals": long(F.regexp_count(text, F.lit(r"\p{Lu}"))),
-        "n_lines": long(F.size("__lines")),
-        "n_dup_lines": long(F.size("__lines") - F.size(F.array_distinct("__lines"))),
-    }).drop("__words", "__lines")
+        "n_lines": long(F.size(lines)),
+        "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
+    }).drop(words, lines)
 
 
 def _metrics() -> dict[str, Column]:
@@ -109,26 +113,31 @@ def quantiles(sketch: DataFrame, groups: list[str], at: dict[str, float]) -> Dat
     return run.groupBy(*groups, "metric").agg(F.max("total").alias("total"), *picks)
 
 
-def thresholds(sketch: DataFrame, lang: str, source: str, least_group: int = LEAST_GROUP) -> DataFrame:
-    """lang, source and <metric>_max, <metric>_min for every group of the sketch."""
+def thresholds(sketch: DataFrame, lang: str, source: str, prior: int = PRIOR) -> DataFrame:
+    """lang, source and <metric>_max, <metric>_min for every group of the sketch.
+
+    Quantiles of a group are averaged with those of its language, which are averaged with the corpus', by number of documents: small
+    groups lean on larger ones, and none changes over at some size.
+    """
     at = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     by_lang = merged(sketch, [lang])
     levels = [quantiles(sketch, [lang, source], at), quantiles(by_lang, [lang], at), quantiles(merged(by_lang, []), [], at)]
     named = [df.select(*(c for c in (lang, source) if c in df.columns), "metric", F.struct("total", *at).alias(f"of{k}")) for k, df in enumerate(levels)]
     fine = named[0].alias("a").join(named[1].alias("b"), F.col(f"a.{lang}").eqNullSafe(F.col(f"b.{lang}")) & (F.col("a.metric") == F.col("b.metric")))
     fine = fine.select(f"a.{lang}", f"a.{source}", "a.metric", "of0", "of1").join(F.broadcast(named[2]), "metric")  # a row for each metric
-    enough = lambda k: F.col(f"of{k}.total") >= least_group
-    used = fine.select(lang, source, "metric", F.when(enough(0), F.col("of0")).when(enough(1), F.col("of1")).otherwise(F.col("of2")).alias("q"))
+    mean = lambda n, own, wider: F.expr(f"({n} * {own} + {prior} * {wider}) div ({n} + {prior})")
+    for q in at:
+        fine = fine.withColumn(f"{q}_lang", mean("of1.total", f"of1.{q}", f"of2.{q}")).withColumn(q, mean("of0.total", f"of0.{q}", f"{q}_lang"))
     out = []
     for name, fence in FENCES.items():
         this = F.col("metric") == name
-        up = F.col("q.q50") + fence["reach"] * F.greatest(F.col("q.q75") - F.col("q.q50"), F.lit(fence["floor"]))
-        down = F.col("q.q50") - fence["reach"] * F.greatest(F.col("q.q50") - F.col("q.q25"), F.lit(fence["floor"])) if name in TWO_SIDED else F.lit(-1)
+        up = F.col("q50") + fence["reach"] * F.greatest(F.col("q75") - F.col("q50"), F.lit(fence["floor"]))
+        down = F.col("q50") - fence["reach"] * F.greatest(F.col("q50") - F.col("q25"), F.lit(fence["floor"])) if name in TWO_SIDED else F.lit(-1)
         out += [F.max(F.when(this, up)).cast("long").alias(f"{name}_max"), F.max(F.when(this, down)).cast("long").alias(f"{name}_min")]
-    return used.groupBy(lang, source).agg(*out)
+    return fine.groupBy(lang, source).agg(*out)
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_group: int = LEAST_GROUP, keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: int = PRIOR, keep: list[str] | None = None) -> DataFrame:
     """docs with the counts of measured(), base_failed and kept; keep names the columns of docs to return (default: all).
 
     Null languages and sources are groups of their own. An empty table gives an empty result; repeated rows count
@@ -140,7 +149,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     counted = measured(docs.select(row, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")), "text").drop("text")
     counted = written(counted) if text_col in names else checkpointed(counted)  # read twice below, measured once
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    limits = thresholds(sketches(counted, ["lang", "source"]), "lang", "source", least_group).withColumnsRenamed({"lang": "l", "source": "s"})
+    limits = thresholds(sketches(counted, ["lang", "source"]), "lang", "source", prior).withColumnsRenamed({"lang": "l", "source": "s"})
     limits = checkpointed(limits)
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +13,14 @@ from blockloom.llm.html_extract import extract_main_text
 from blockloom.llm.jaccard_join import jaccard_classes
 from blockloom.llm.mixing import mix_sources
 from blockloom.llm.packing import pack_documents
-from blockloom.llm.quality_rules import FENCES, LEAST_GROUP, quality_rules
+from blockloom.llm.quality_rules import FENCES, PRIOR, quality_rules
 from blockloom.llm.substring_dedup import substring_dedup
 from blockloom.llm.token_counts import token_counts
 from blockloom.llm.token_files import read_token_files, write_token_files
 
 
 #: A public tokenizer's file; operators take it as a parameter.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +99,8 @@ v AS (SELECT doc_id, lang, source, unnest(['symbols', 'marks', 'capitals', 'dup_
 b AS (SELECT *, CASE WHEN value < 64 THEN value ELSE (length(bin(value)) - 6) * 32 + (value >> (length(bin(value)) - 6)) END AS bucket FROM v),
 x AS (SELECT *, CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 32 - 1) * 32) << CAST(bucket // 32 - 1 AS INTEGER) END AS least FROM b),
 q0 AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(least, [0.25, 0.5, 0.75]) AS q FROM x GROUP BY ALL), q1 AS (SELECT lang, metric, count(*) AS n, quantile_disc(least, [0.25, 0.5, 0.75]) AS q FROM x GROUP BY ALL), q2 AS (SELECT metric, quantile_disc(least, [0.25, 0.5, 0.75]) AS q FROM x GROUP BY ALL),
-u AS (SELECT q0.lang, q0.source, q0.metric, CASE WHEN q0.n >= {LEAST_GROUP} THEN q0.q WHEN q1.n >= {LEAST_GROUP} THEN q1.q ELSE q2.q END AS q FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.metric = q1.metric JOIN q2 ON q0.metric = q2.metric),
+p1 AS (SELECT q1.lang, q1.metric, list_transform([1, 2, 3], lambda i: (q1.n * q1.q[i] + {PRIOR} * q2.q[i]) // (q1.n + {PRIOR})) AS q FROM q1 JOIN q2 USING (metric)),
+u AS (SELECT q0.lang, q0.source, q0.metric, list_transform([1, 2, 3], lambda i: (q0.n * q0.q[i] + {PRIOR} * p1.q[i]) // (q0.n + {PRIOR})) AS q FROM q0 JOIN p1 ON q0.lang IS NOT DISTINCT FROM p1.lang AND q0.metric = p1.metric),
 l AS (SELECT lang, source, metric, {" ".join(["CASE metric", *(f"WHEN '{k}' THEN q[2] + {r} * greatest(q[3] - q[2], {fl})" for k, (r, fl) in _FENCE.items()), "END"])} AS up, CASE WHEN metric = 'word_length' THEN q[2] - {_FENCE["word_length"][0]} * greatest(q[2] - q[1], {_FENCE["word_length"][1]}) ELSE -1 END AS down FROM u),
 k AS (SELECT v.doc_id, bool_and(v.value BETWEEN l.down AND l.up) AS fine FROM v JOIN l ON v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source AND v.metric = l.metric GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND fine AS kept FROM f JOIN k USING (doc_id)"""
