@@ -1,12 +1,23 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree of style nodes, each a chain of tags and classes, with the texts that
-the host's pages have there. A text's importance is 1 less its entropy over the node's different pages: it is on n of
-m pages evenly, so 1 - log n / log m, which is 0 for what all have and 1 for what one has. Texts of low importance
-are removed from each page; a branch goes with the last of its texts. What the standard's own elements
+The pages of a host are merged into one tree. Its nodes are the block elements by their chain of tags and classes; a node knows the
+sequences of children that it has on the pages, its presentations, and the texts, words, links and images that are
+its content there. Importance comes from entropy over the pages:
+
+* of a content node (one text at one style node): 1 - log n / log m, if n of the node's m pages have it;
+* of a style node's own content: 1 less the mean entropy of its words, links and images over its pages, so 0 if all pages have the same, 1 if
+  each has its own;
+* of its presentations: their entropy, which has the more weight the more there are;
+* of a branch: all of these, from the leaves up, each child by the number of pages that have it.
+
+What little a node's importance falls short of 1 on few pages proves nothing, so the lack is weighted by the number of pages. A branch goes if it lacks
+RATIO times what the host's main content lacks, that of most words of importance, or more; what pages declare as
+article goes only if it is of hardly any importance, and so does a content node. What the standard's own elements
 and roles mark as menus, forms and so on has no importance by declaration. A class name that is common for adverts,
 comments and so on lowers a node's importance to its share of the page's text, so that it goes unless it holds most of
 the text; articles are not lowered. Where the articles that a page marks hold most of what is left, they are the text.
+
+Pages are parsed once. Their features go to the counts as packed arrays, by hash, so a host's or a word's many pages are few rows.
 """
 
 from __future__ import annotations
@@ -14,19 +25,28 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import checkpointed
+from blockloom.llm.chunks import bucket_bits
+from blockloom.llm.common import checkpointed, looked_up, written
+from blockloom.llm.hashing import mixed
 
-#: Different pages that a host must have at a node before entropy says something, and the importance below which a text goes.
-LEAST_PAGES, LEAST_IMPORTANCE = 10, 0.05
-#: Texts up to which the list of low ones is broadcast.
-BROADCAST_TEXTS = 200_000
+#: The importance below which a content node goes, and articles do.
+LEAST_IMPORTANCE = 0.05
+#: A branch goes if it lacks so many times the importance that the host's main content lacks, or more, and so much at least.
+RATIO, FLOOR = 2.0, 0.05
+#: A lack of importance counts by 1 - m ** -EVIDENCE on m pages; a node's children count by GAMMA to the power of its presentations but one.
+EVIDENCE, GAMMA = 1.3, 0.9
+#: Low nodes and texts up to which their list is broadcast, and entries that a task adds up at a time.
+BROADCAST_LOW, HELD = 200_000, 2_000_000
 
 # Names of elements of the HTML standard, of ARIA roles, and words in the wild's class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,14 +76,35 @@ def _digest(text: str) -> int:
 
 
 class Block:
-    __slots__ = ("article", "parts", "path", "text")
+    """A text of its own: all of it, what name-lowered elements leave of it, the style node it lies in, and what is declared there."""
+
+    __slots__ = ("all", "article", "node", "noise", "parts", "text")
 
-    def __init__(self, path: int, article: bool, parts: list[tuple[str, int]]) -> None:
-        self.path, self.article, self.parts, self.text = path, article, parts, ""
+    def __init__(self, node: int, noise: bool, article: bool, parts: list[tuple[str, int]]) -> None:
+        self.node, self.noise, self.article, self.parts = node, noise, article, parts
+        self.all = " ".join("".join(part for part, _ in parts).split())
+        self.text = self.all
 
     def place(self) -> int:
-        """The text at its style path."""
-        return _digest(f"{self.path} {self.text}")
+        """The content node: the text at its style node."""
+        return _digest(f"{self.node} {self.all}")
+
+
+#: What is declared of a style node: noise, article, or that it is the page itself and no branch.
+NOISE_NODE, ARTICLE_NODE, PAGE_NODE = 1, 2, 4
+
+
+class Style:
+    """A style node on one page: its ancestors with itself at first, what it declares, its presentations and its content's features."""
+
+    __slots__ = ("above", "chars", "declared", "features", "places", "shows")
+
+    def __init__(self, above: tuple[int, ...], declared: int) -> None:
+        self.above, self.declared = above, declared
+        self.shows: set[int] = set()  # digests of sequences of children; 0 has none
+        self.features: Counter = Counter()
+        self.places: set[int] = set()
+        self.chars = 0
 
 
 def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
@@ -106,53 +147,75 @@ def _raw_end(page: str, tag: str, at: int) -> int:
 
 
 class _Open:
-    """An open element."""
+    """An open element; kids are the styles of the block elements and texts in it, repeats left out."""
 
-    __slots__ = ("article", "block", "low", "noise", "path", "tag")
+    __slots__ = ("article", "block", "kids", "low", "noise", "node", "tag")
 
-    def __init__(self, tag: str, path: int, block: bool, noise: bool, article: bool, low: int) -> None:
-        self.tag, self.path, self.block, self.noise, self.article, self.low = tag, path, block, noise, article, low
+    def __init__(self, tag: str, node: int, block: bool, noise: bool, article: bool, low: int) -> None:
+        self.tag, self.node, self.block, self.noise, self.article, self.low = tag, node, block, noise, article, low
+        self.kids: list[str] = []
 
+    def has(self, kid: str) -> None:
+        if self.kids[-1:] != [kid]:
+            self.kids.append(kid)
 
-def _weighed(blocks: list[Block], around: list[int]) -> list[Block]:
-    """The blocks with their texts, without the elements whose names lower them, but for those with most of the text.
+
+def _weighed(blocks: list[Block], around: list[int]) -> None:
+    """Take from the blocks' texts the elements whose names lower them, but for those with most of the text.
 
     around has for each such element, by number, the one around it; number 0 is the page.
     """
-    gone = [False] * len(around)
-    if len(around) > 1:
-        size = [0] * len(around)
-        for b in blocks:
-            for part, low in b.parts:
-                size[low] += sum(map(len, part.split()))
-        for k in range(len(around) - 1, 0, -1):
-            size[around[k]] += size[k]
-        for k in range(1, len(around)):
-            gone[k] = gone[around[k]] or 2 * size[k] <= size[0]
+    if len(around) == 1:
+        return
+    size, gone = [0] * len(around), [False] * len(around)
+    for b in blocks:
+        for part, low in b.parts if not b.noise else ():
+            size[low] += sum(map(len, part.split()))
+    for k in range(len(around) - 1, 0, -1):
+        size[around[k]] += size[k]
+    for k in range(1, len(around)):
+        gone[k] = gone[around[k]] or 2 * size[k] <= size[0]
     for b in blocks:
         b.text = " ".join("".join(part for part, low in b.parts if not gone[low]).split())
-    return [b for b in blocks if b.text]
 
 
-def parsed(page: str) -> list[Block]:
-    """The page's blocks of text outside of declared noise and of low elements.
+def parsed(page: str, site: str = "") -> tuple[list[Block], dict[int, Style]]:
+    """The page's blocks of text, and its style nodes in the site's tree.
 
     Elements left open end where the standard ends them: the head before what it may not hold, paragraphs before
-    blocks, items before items, and everything else with the element around it. Inline elements are part of the block around them.
+    blocks, items before items, and everything else with the element around it. Inline elements are part of the block around them;
+    inline ones that are noise by declaration, and raw elements, have no text.
     """
     blocks: list[Block] = []
-    stack, text, lows = [_Open("", 0, True, False, False, 0)], [], [0]
+    top = _digest(site)
+    styles = {top: Style((top,), PAGE_NODE)}
+    stack, text, lows, seen = [_Open("", top, True, False, False, 0)], [], [0], []
 
     def end_block() -> None:
+        if not text and not seen:
+            return
+        around = next(e for e in reversed(stack) if e.block)
         if text:
-            around = next(e for e in reversed(stack) if e.block)
-            blocks.append(Block(around.path, around.article, text.copy()))
+            b = Block(around.node, around.noise, around.article, text.copy())
+            if b.all:
+                blocks.append(b)
+                around.has("#text")
+                style = styles[around.node]
+                style.features.update(b.all.split())
+                style.places.add(b.place())
+                style.chars += len(b.all)
             text.clear()
+        if seen:
+            styles[around.node].features.update(seen)
+            seen.clear()
 
     def close(k: int) -> None:
         """Close the element at place k and all inside it."""
         if any(e.block for e in stack[k:]):
             end_block()
+        for e in stack[k:]:
+            if e.block:
+                styles[e.node].shows.add(_digest(" ".join(e.kids)) if any(x != "#text" for x in e.kids) else 0)
         del stack[k:]
 
     def inner(tags: set[str], scope: set[str]) -> int:
@@ -171,9 +234,10 @@ def parsed(page: str) -> list[Block]:
             tag = m[2] and m[2].lower()
             if not tag:
                 token = m[0]
-                if stack[-1].tag == "head" and (token[0] != "<" or token == "<") and not token.isspace():
+                shown = token[0] != "<" or token == "<"
+                if shown and stack[-1].tag == "head" and not token.isspace():
                     close(len(stack) - 1)
-                if (token[0] != "<" or token == "<") and not stack[-1].noise:
+                if shown and (stack[-1].block or not stack[-1].noise or next(e for e in reversed(stack) if e.block).noise):
                     text.append((html.unescape(token) if "&" in token else token, stack[-1].low))
             elif m[1]:
                 if k := inner({tag}, set() if tag in BLOCKS else BLOCKS):
@@ -191,79 +255,253 @@ def parsed(page: str) -> list[Block]:
                 if tag in RAW and not foreign:  # all is the element's text until its end tag
                     at = _raw_end(page, tag, at)
                     break
+                if tag in ("a", "img"):
+                    seen.extend(f"{x[1].lower()}={html.unescape(x[2] or x[3] or x[4] or '')}" for x in _ATTRIBUTE.finditer(m[3]) if x[1].lower() in ("href", "src"))
                 if tag not in VOID and not (foreign and m[3].endswith("/")):
                     silent, lowered, style = _silent(tag, m[3], up.article)
                     if lowered and not up.noise:
                         lows.append(up.low)
                     noise = up.noise or silent
                     article = up.article or not noise and (tag in ("article", "main") or _MAIN_ROLE.search(m[3]) is not None)
-                    stack.append(_Open(tag, _digest(f"{up.path}>{tag}.{style}") if block else up.path, block, noise, article, len(lows) - 1 if lowered and not up.noise else up.low))
+                    node, kid = up.node, f"{tag}.{style}"
+                    if block:
+                        next(e for e in reversed(stack) if e.block).has(kid)
+                        node = _digest(f"{up.node}>{kid}")
+                        if node not in styles:
+                            styles[node] = Style((node, *styles[up.node].above), NOISE_NODE * noise | ARTICLE_NODE * article | PAGE_NODE * (tag in ("html", "body")))
+                    stack.append(_Open(tag, node, block, noise, article, len(lows) - 1 if lowered and not up.noise else up.low))
     close(0)
-    return _weighed(blocks, lows)
+    _weighed(blocks, lows)
+    return blocks, styles
 
 
-def main_blocks(page: str, low: Iterable[int] = ()) -> list[Block]:
-    """The page's blocks but for the texts of low importance, unless all are; of its articles only, if they hold most of that."""
-    blocks = parsed(page)
-    if low:
-        gone = set(low)
-        blocks = [b for b in blocks if b.place() not in gone] or blocks
+def kept_blocks(blocks: list[Block], low: Iterable[int] = ()) -> list[Block]:
+    """The blocks that are no declared noise, not low by their style node or text, and of articles only, if these hold most of that."""
+    gone = set(low)
+    blocks = [b for b in blocks if not b.noise and b.text and b.node not in gone and b.place() not in gone]
     article = [b for b in blocks if b.article]
     return article if 2 * sum(len(b.text) for b in article) > sum(len(b.text) for b in blocks) else blocks
 
 
-_NODES = pa.schema([("host", pa.string()), ("path", pa.int64()), ("what", pa.int64()), ("page", pa.int64())])
+def main_blocks(page: str) -> list[Block]:
+    """The blocks of a page that says all there is to know of its site."""
+    return kept_blocks(parsed(page)[0])
+
+
+# What the tree counts, as entries (kind, node, what, n, s): a word, link or image of a node (uses, and the sum of uses on a page times
+# their logarithm), a presentation (pages), a text (pages), an ancestor (pages, distance), content (pages, characters).
+WORDS, SHOWS, TEXTS, ABOVE, CONTENT = range(5)
+_ENTRY = np.dtype([("kind", "u1"), ("declared", "u1"), ("node", "<u8"), ("what", "<u8"), ("n", "<i8"), ("s", "<f4")])
+
+
+def entries(styles: dict[int, Style]) -> np.ndarray:
+    """A page's entries, of the style nodes that hold something."""
+    full = {w for x in styles.values() if x.features for w in x.above}
+    kind, declared, node, what, n, s = [], [], [], [], [], []
+
+    def add(k: int, x: Style, of: list[int], numbers: list[int], sums: list[float], says: int = 0) -> None:
+        kind.extend([k] * len(of))
+        declared.extend([says] * len(of))
+        node.extend([x.above[0]] * len(of))
+        what.extend(of)
+        n.extend(numbers)
+        s.extend(sums)
+
+    for x in (styles[w] for w in full):
+        uses = list(x.features.values())
+        add(WORDS, x, [_digest(w) for w in x.features], uses, [k * math.log(k) if k > 1 else 0.0 for k in uses])
+        add(SHOWS, x, list(x.shows), [1] * len(x.shows), [0.0] * len(x.shows))
+        add(TEXTS, x, list(x.places), [1] * len(x.places), [0.0] * len(x.places))
+        add(ABOVE, x, list(x.above), [1] * len(x.above), list(range(len(x.above))), x.declared)
+        if x.features:
+            add(CONTENT, x, [0], [1], [x.chars])
+    out = np.empty(len(kind), _ENTRY)
+    for name, column in zip(_ENTRY.names, (kind, declared, node, what, n, s), strict=True):
+        out[name] = column
+    return out
+
+
+def _added(rows: np.ndarray) -> np.ndarray:
+    """Entries that are alike added up; distances are not."""
+    order = np.lexsort((rows["what"], rows["node"], rows["kind"]))
+    rows = rows[order]
+    fresh = np.ones(len(rows), bool)
+    for c in ("kind", "node", "what"):
+        same = rows[c][1:] == rows[c][:-1]
+        fresh[1:] = ~same if c == "kind" else fresh[1:] | ~same
+    first = np.flatnonzero(fresh)
+    if not len(first):
+        return rows
+    out = rows[first]
+    out["n"] = np.add.reduceat(rows["n"], first)
+    out["s"] = np.where(out["kind"] == ABOVE, out["s"], np.add.reduceat(rows["s"].astype(np.float64), first))
+    return out
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Entries, field by field, so that what repeats lies together."""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), _ENTRY[c].itemsize).T.tobytes() for c in _ENTRY.names))
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n, at = len(raw) // _ENTRY.itemsize, 0
+    out = np.empty(n, _ENTRY)
+    for c in _ENTRY.names:
+        kind = _ENTRY[c]
+        out[c] = np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel()
+        at += n * kind.itemsize
+    return out
+
+
+def _tallied(bits: int) -> Callable:
+    """The entries of many pages added up, in parts by a hash of what they count."""
+    schema = pa.schema([("bucket", pa.int64()), ("entries", pa.binary())])
+
+    def dealt(rows: np.ndarray) -> pa.RecordBatch:
+        rows = _added(rows)
+        bucket = (mixed(rows["node"] * np.uint64(0x9E3779B97F4A7C15) + rows["what"]) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, start = np.unique(bucket[order], return_index=True)
+        return pa.record_batch([pa.array(found), pa.array([_packed(x) for x in np.split(rows[order], start[1:])], pa.binary())], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                held.append(_unpacked(blob))
+                n += len(held[-1])
+                if n >= HELD:
+                    yield dealt(np.concatenate(held))
+                    held, n = [], 0
+        if n:
+            yield dealt(np.concatenate(held))
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which page has which text at which path; without a text, which has the path."""
-    for batch in batches:
-        out = []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks = parsed(page or "")
-            same = _digest("\n".join(b.text for b in blocks))
-            out += {(host, b.path, b.place(), same) for b in blocks}
-            out += {(host, b.path, None, same) for b in blocks}
-        yield pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, _NODES, strict=True)], schema=_NODES)
-
+    return run
 
-def low_texts(pages: DataFrame) -> DataFrame:
-    """host, what: the texts of low importance, as Block.place has them. pages has the columns host and html."""
-    seen = pages.select("host", "html").mapInArrow(_nodes, "host string, path long, what long, page long").distinct()
-    often = math.floor(LEAST_PAGES ** (1 - LEAST_IMPORTANCE))  # a text of low importance is on more pages than m ** (1 - LEAST_IMPORTANCE)
-    of = checkpointed(seen.groupBy("host", "path", "what").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often))
-    node = of.where(F.col("what").isNull() & (F.col("n") >= LEAST_PAGES)).select("host", "path", F.col("n").alias("m"))
-    text = of.where(F.col("what").isNotNull()).join(node, ["host", "path"])
-    return text.where(1 - F.log("n") / F.log("m") < LEAST_IMPORTANCE).select("host", "what")
 
+_COUNTS = "kind int, declared int, node long, what long, n long, s double"
+_COUNTS_ARROW = pa.schema([("kind", pa.int32()), ("declared", pa.int32()), ("node", pa.int64()), ("what", pa.int64()), ("n", pa.int64()), ("s", pa.float64())])
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """A bucket's entries added up: of words and presentations, their number and sums of logarithms for each node."""
+    rows = _added(np.concatenate([_unpacked(x) for x in table["entries"].to_pylist()]))
+    n, s, what = rows["n"], rows["s"].astype(np.float64), rows["what"].copy()
+    declared = rows["declared"].astype(np.int64)
+    words, shows = rows["kind"] == WORDS, rows["kind"] == SHOWS
+    s = np.where(words, np.log(n) - s / n, np.where(shows, n * np.log(n), s))  # a word's entropy; a presentation's part of that of all
+    declared = np.where(shows, what != 0, declared)  # how many presentations have children
+    n = np.where(words, 1, n)
+    what[words | shows] = 0
+    keep = (rows["kind"] != TEXTS) | (rows["n"] > 1)
+    key = np.flatnonzero(keep)
+    kind, node, what = rows["kind"][key], rows["node"][key], what[key]
+    new = np.ones(len(key), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (node[1:] != node[:-1]) | (what[1:] != what[:-1])
+    first = np.flatnonzero(new)
+    total = lambda x: np.add.reduceat(x[key], first) if len(first) else x[:0]
+    columns = [kind[first].astype(np.int32), total(declared).astype(np.int32), node[first].view(np.int64), what[first].view(np.int64), total(n), total(s)]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _COUNTS_ARROW, strict=True)], schema=_COUNTS_ARROW)
+
+
+def _proof(m: Column) -> Column:
+    return 1 - F.pow(m, F.lit(-EVIDENCE))
+
+
+def importance(counts: DataFrame) -> DataFrame:
+    """A row for each style node: node, site, m (pages), declared, chars, own (of its content, or null), importance (of its branch)."""
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)))
+    itself = (F.col("kind") == ABOVE) & (F.col("s") == 0)
+    stats = counts.where(F.col("kind") != TEXTS).groupBy("node").agg(
+        F.max(F.when((F.col("kind") == ABOVE) & (F.col("s") == 1), F.col("what"))).alias("parent"), F.sum(F.when(itself, F.col("n"))).alias("m"), F.max(F.when(itself, F.col("declared"))).alias("declared"),
+        F.max(F.when(F.col("kind") == ABOVE, F.struct("s", F.col("what").alias("site"))))["site"].alias("site"),
+        F.coalesce(of(CONTENT, "n"), F.lit(0)).alias("with_content"), F.coalesce(of(CONTENT, "s"), F.lit(0.0)).alias("chars"),
+        of(WORDS, "s").alias("entropy"), of(WORDS, "n").alias("features"), of(SHOWS, "n").alias("shown"), of(SHOWS, "s").alias("nlogn"), F.coalesce(of(SHOWS, "declared"), F.lit(0)).alias("kinds"),
+    )
+    stats = checkpointed(stats)
+    kids = stats.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.sum("m").alias("with_kids"))
+    own = F.when(F.col("features") > 0, F.when(F.col("m") < 2, 1.0).otherwise(1 - F.col("entropy") / F.col("features") / F.log("m")))
+    show = F.when(F.col("shown") < 2, 1.0).otherwise((F.log("shown") - F.col("nlogn") / F.col("shown")) / F.log("shown"))
+    weight = F.pow(F.lit(GAMMA), F.greatest(F.col("kinds") - 1, F.lit(0)))
+    parts = F.greatest(F.coalesce("with_kids", F.lit(0)) + F.col("with_content"), F.lit(1))
+    found = stats.join(kids, "node", "left").withColumn("own", own)
+    found = found.withColumn("part", (1 - weight) * show + weight * F.coalesce(F.col("own") * F.col("with_content"), F.lit(0.0)) / parts).withColumn("share", F.log(weight / parts))
+    found = checkpointed(found.select("node", "parent", "site", "m", "declared", "chars", "own", "part", "share"))
+    # A branch's importance adds up the parts of all nodes in it, each times the shares from there up to the branch: products, taken from the root on.
+    step = looked_up(found, "parent", found.select(F.col("node").alias("parent"), F.col("share").alias("of_parent")))
+    step = checkpointed(step.select("node", (F.coalesce(F.col("of_parent") + F.log("m"), F.lit(0.0))).alias("log"), "part"))
+    above = checkpointed(counts.where(F.col("kind") == ABOVE).groupBy("node", "what").agg(F.max("s").alias("s")).select("node", "what"))
+    logs = step.select(F.col("node").alias("what"), "log")
+    down = checkpointed(looked_up(above, "what", logs).groupBy("node").agg(F.sum("log").alias("down")))
+    inside = above.join(down.join(step.select("node", "part"), "node"), "node").select("what", (F.col("part") * F.exp("down")).alias("x"))
+    whole = inside.groupBy(F.col("what").alias("node")).agg(F.sum("x").alias("x")).join(down, "node").select("node", (F.col("x") * F.exp(-F.col("down"))).alias("importance"))
+    return checkpointed(found.join(whole, "node").select("node", "site", "m", "declared", "chars", "own", F.least(F.col("importance"), F.lit(1.0)).alias("importance")))
+
+
+def low_branches(counts: DataFrame, tree: DataFrame) -> DataFrame:
+    """site, what: the style nodes that lie in branches of low importance, and the content nodes that are of low importance. tree is importance() of counts."""
+    says = lambda bit: F.col("declared").bitwiseAND(F.lit(bit)) != 0
+    best = tree.where(F.col("own").isNotNull() & ~says(NOISE_NODE)).groupBy("site").agg(F.max(F.struct((F.col("chars") * F.col("own")).alias("mass"), F.col("own").alias("own")))["own"].alias("main"))
+    ruled = looked_up(tree, "site", best)
+    lack = _proof(F.col("m")) * (1 - F.col("importance"))
+    limit = F.when(says(ARTICLE_NODE), 1 - LEAST_IMPORTANCE).otherwise(F.least(F.greatest(F.lit(FLOOR), RATIO * (1 - F.coalesce("main", F.lit(1.0)))), F.lit(1 - LEAST_IMPORTANCE)))
+    low = checkpointed(ruled.where(~says(PAGE_NODE) & (lack > limit)).select(F.col("node").alias("what"), F.lit(True).alias("low")))
+    above = looked_up(counts.where(F.col("kind") == ABOVE).select("node", "what"), "what", low).where("low").select("node").distinct()
+    nodes = above.join(tree.select("node", "site"), "node").select("site", F.col("node").alias("what"))
+    texts = looked_up(counts.where(F.col("kind") == TEXTS).select("node", "what", "n"), "node", tree.select("node", "site", "m"))
+    return nodes.unionByName(texts.where((F.col("m") > 1) & (_proof(F.col("m")) * F.log("n") / F.log("m") > 1 - LEAST_IMPORTANCE)).select("site", "what"))
+
+
+def _parse(keys: int) -> Callable:
+    """Of each page, after the kept columns: site, a digest of its text, its blocks packed, and its entries."""
 
-def _extract(keys: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page, low in zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist(), strict=True):
-                out.append(" ".join(b.text for b in main_blocks(page or "", low or ())))
-            yield pa.record_batch([*batch.columns[:keys], pa.array(out, pa.string())], names=[*batch.schema.names[:keys], "text"])
+            site, same, blocks, counted = [], [], [], []
+            for host, page in zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist(), strict=True):
+                found, styles = parsed(page or "", host)
+                mine = [b for b in found if not b.noise and b.text]
+                site.append(_digest(host))
+                same.append(_digest("\n".join(b.text for b in mine)))
+                blocks.append([{"node": b.node, "place": b.place(), "article": b.article, "text": b.text} for b in mine])
+                counted.append(_packed(entries(styles)))
+            kind = pa.list_(pa.struct([("node", pa.int64()), ("place", pa.int64()), ("article", pa.bool_()), ("text", pa.string())]))
+            yield pa.record_batch([*batch.columns[:keys], pa.array(site, pa.int64()), pa.array(same, pa.int64()), pa.array(blocks, kind), pa.array(counted, pa.binary())], names=[*batch.schema.names[:keys], "site", "same", "blocks", "entries"])
 
     return run
 
 
+def site_counts(pages: DataFrame) -> DataFrame:
+    """The entries of all different pages of pages(site, same, entries), added up."""
+    total = pages.agg(F.sum(F.octet_length("entries"))).first()[0] or 0
+    bits = bucket_bits(4 * total)
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    once = pages.groupBy("site", "same").agg(F.first("entries").alias("entries")).select("entries")
+    dealt = once.mapInArrow(_tallied(bits), "bucket long, entries binary")
+    return checkpointed(dealt.repartition(max(parts, min(2**bits, 4 * parts)), "bucket").groupBy("bucket").applyInArrow(_counted, _COUNTS))
+
+
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns and text: a row for each page.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined in page
-    order by one space. A null or empty page, and one that has no text, gives an empty text. Pages without
-    a host are one site. A page whose texts are all of low importance keeps them. Pages that repeat count once
-    in the site's tree and are returned each. An empty table gives an empty result.
+    order by one space. A null or empty page, one that has no text, and one that has only what all pages of its site
+    have, gives an empty text. Pages without a host are one site. Pages of a site with the same text count once
+    in the site's tree and are returned each. An empty table gives an empty result. A very long page is parsed by one task, as a row.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
-    rows = pages.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)), F.col(html_col).alias("html"), host.alias("host"))
-    low = low_texts(rows).groupBy("host").agg(F.collect_list("what").alias("low"))  # a site's templates, not its pages
-    low = low.withColumnRenamed("host", "site")
-    low = checkpointed(low)
-    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_TEXTS:
+    rows = pages.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)), host.alias("host"), F.col(html_col).alias("html"))
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "site long, same long, blocks array<struct<node: long, place: long, article: boolean, text: string>>, entries binary"])
+    read = written(rows.mapInArrow(_parse(len(keep)), kinds), "zstd")
+    counts = site_counts(read.select("site", "same", "entries"))
+    low = checkpointed(low_branches(counts, importance(counts)).groupBy("site").agg(F.collect_set("what").alias("low")))  # a site's templates, not its pages
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_LOW:
         low = F.broadcast(low)
-    joined = rows.join(low, F.col("host") == F.col("site"), "left")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    out = joined.select(*(f"k{n}" for n in range(len(keep))), "html", "low").mapInArrow(_extract(len(keep)), f"{kinds}{', ' if keep else ''}text string")
-    return out.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), "text")
+    gone = lambda c: F.coalesce(F.array_contains("low", c), F.lit(False))
+    left = F.filter("blocks", lambda b: ~gone(b["node"]) & ~gone(b["place"]))
+    joined = read.drop("entries", "same").join(low, "site", "left").withColumn("left", left)
+    article = F.filter("left", lambda b: b["article"])
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    text = F.when(2 * chars(article) > chars(F.col("left")), F.array_join(article["text"], " ")).otherwise(F.array_join(F.col("left")["text"], " "))
+    return joined.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), text.alias("text"))
