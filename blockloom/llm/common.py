@@ -34,6 +34,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns of the given names under others, and the way back for withColumnsRenamed."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    new = fresh(docs, *clash)
+    return docs.withColumnsRenamed(dict(zip(clash, new, strict=True))), dict(zip(new, clash, strict=True))
+
+
 def ready_to_checkpoint(spark: SparkSession) -> None:
     """Point the context at the cluster's checkpoint folder; where none is named, a local session gets one of its own."""
     sc = spark.sparkContext

@@ -10,7 +10,7 @@ import xxhash
 import zstandard
 
 #: Odd multipliers, one to join two hashes and one for each size of a window.
-_JOIN, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_JOIN, _SIZE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 #: Bytes of a text that are split into words at once.
 _STEP = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -58,7 +58,7 @@ def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
             out = part if out is None else _pair(out, part)
             at += width
         if 2 * width > size:
-            return mixed(out + np.uint64(size) * _SIZE)
+            return mixed(out + np.uint64(size * _SIZE % 2**64))
         power = _pair(power[:-width], power[width:])
         width *= 2
 

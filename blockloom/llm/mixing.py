@@ -161,7 +161,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         out = out.withColumn("unit", F.col("size"))
     back = [F.col("_text" if c == text_col else f"_{k}").alias(c) for k, c in enumerate(names)]
-    return out.select(*back, "size", "source_size", "target", (F.col("size") * (F.col("times") + _more().cast("long"))).alias("taken"))
+    out = out.withColumn("_taken", F.col("size") * (F.col("times") + _more().cast("long")))  # before names of docs come back
+    return out.select(*back, "size", "source_size", "target", F.col("_taken").alias("taken"))
 
 
 def _more() -> Column:

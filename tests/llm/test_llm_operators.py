@@ -537,7 +537,7 @@ def test_site_tree_removes_repeated_branches(spark):
     few = [(1000 + k, f"http://b.com/{k}", f"<p>Same<p>Also same<p>{'abc'[k % 3]}") for k in range(30)]  # three different pages
     df = spark.createDataFrame(rows + few, "page_id long, url string, html string")
     text = {r.page_id: r.text for r in html.extract_main_text(df).collect()}
-    assert all(text[k] == f"Text {k} Tail {k}" + " Only on a few" * (k % 12 == 0) for k in range(100))
+    assert all(text[k] == f"Text {k} Tail {k}" for k in range(100))  # a note that is the same wherever it is goes too
     assert text[1001] == "Same Also same b"
 
 
