@@ -2,7 +2,7 @@
 
 The text is cut where no token of a byte-level vocabulary can lie across (before a single space, around a single
 line end, between a letter or digit and a mark, around the tokenizer's added tokens), each distinct piece is encoded once by the tokenizers library
-and remembered, and the ids are gathered by array operations.
+and remembered by a hash and its bytes, and the ids are gathered by array operations.
 
 A file is a Parquet file, so that Spark commits it as a whole on any store, with a row for each shard: its place in
 the order, the documents' ids and token numbers, and the payload in the layout of blockloom.llm.codes.
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.codes import Codes, encoded
 from blockloom.llm.common import shared_folder
-from blockloom.llm.hashing import joined
+from blockloom.llm.hashing import joined, mixed
 from blockloom.llm.token_counts import byte_alphabet
 
 #: Ids in a shard, and bytes of text that are encoded at once.
 SHARD_IDS, STEP_BYTES = 4 << 20, 4 << 20
-#: Distinct pieces that a worker remembers at most, by their bytes: about 160 MB.
-REMEMBERED = 1_000_000
+#: Distinct pieces that a worker remembers at most, with their bytes.
+REMEMBERED = 2_000_000
 #: Shards up to which their directory (24 bytes each) is broadcast.
 BROADCAST_SHARDS = 500_000
 
@@ -67,6 +67,34 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray, spans: list[tuple[int, i
     return np.flatnonzero(cut)
 
 
+_BASE, _STEP = 0x9E3779B97F4A7C15, 1 << 20
+_LETTER = np.random.Generator(np.random.PCG64(20)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006  a cache
+    if base not in kept or len(kept[base]) < n:
+        full = np.full(max(n, 1024), base, np.uint64)
+        full[0] = 1
+        kept[base] = np.cumprod(full, dtype=np.uint64)
+    return kept[base][:n]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A cheap hash of the bytes of each span; spans ascend and do not overlap. Unequal spans may share it: bytes are compared as well."""
+    out = np.empty(len(starts), np.uint64)
+    i, inverse = 0, pow(_BASE, -1, 2**64)
+    while i < len(out):  # in steps, which bounds the memory
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, low + _STEP)))
+        n = int(ends[j - 1] - low)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_LETTER[data[low : low + n]] * _powers(_BASE, n), out=total[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mixed((total[e] - total[s]) * _powers(inverse, n + 1)[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 #: How the vocabulary writes each byte.
 _LETTERS = {b: c for c, b in byte_alphabet().items()}
 
@@ -88,12 +116,13 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Entry 0 is the end of a document, id 0."""
-        self.known: dict[bytes, int] = {}
+        """Entry 0 is the end of a document, id 0. Of each entry: its tokens in flat, and its bytes in raw."""
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.size, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint32)
+        self.raw_begin, self.raw_size, self.raw = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint8)
 
-    def learn(self, raw: list[bytes]) -> None:
-        """Encode pieces that are not known yet."""
+    def learn(self, raw: list[bytes]) -> np.ndarray:
+        """Encode pieces; their entries."""
         pieces = [p.decode("utf-8", "replace") for p in raw]
         found, rest, tokens = [None] * len(pieces), [], self.tokenizer.model.tokenize
         for k, piece in enumerate(pieces):
@@ -103,11 +132,29 @@ class Encoder:
                 rest.append(k)
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
             found[k] = e.ids
-        size = np.array([len(x) for x in found], np.int64)
+        size, long = np.array([len(x) for x in found], np.int64), np.array([len(x) for x in raw], np.int64)
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        self.known |= zip(raw, range(len(self.begin), len(self.begin) + len(raw)), strict=True)
+        new = len(self.begin) + np.arange(len(raw))
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.raw_begin = np.concatenate([self.raw_begin, len(self.raw) + np.cumsum(long) - long])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        self.raw_size, self.raw = np.concatenate([self.raw_size, long]), np.concatenate([self.raw, np.frombuffer(b"".join(raw), np.uint8)])
+        return new
+
+    def unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which pieces have other bytes than their entries, by number: those whose hash met another's."""
+        size = ends - starts
+        other = size != self.raw_size[entry]
+        if not other.any() and len(size):  # pieces lie one after another, so their entries' bytes laid out so must be the text
+            at = self.raw_begin[entry] - starts
+            differs = self.raw[np.repeat(at, size) + np.arange(starts[0], ends[-1])] != data[starts[0] : ends[-1]]
+            if differs.any():
+                other[np.unique(np.searchsorted(starts, np.flatnonzero(differs) + starts[0], "right") - 1)] = True
+        elif len(size):
+            raw, kept = data.tobytes(), self.raw.tobytes()
+            begin = self.raw_begin[entry]
+            other |= np.array([raw[a:z] != kept[b : b + z - a] for a, z, b in zip(starts.tolist(), ends.tolist(), begin.tolist(), strict=True)], bool)
+        return np.flatnonzero(other)
 
     def added_spans(self, texts: list[bytes], offsets: list[int]) -> list[tuple[int, int]]:
         """Where added tokens begin and end in texts that lie one after another."""
@@ -121,15 +168,23 @@ class Encoder:
         data, offsets = joined(texts)
         spans = self.added_spans(texts, offsets.tolist()) if self.added else []
         starts = piece_starts(data, offsets, spans) if len(data) else np.zeros(0, np.int64)
-        raw, at = data.tobytes(), [*starts.tolist(), len(data)]
-        pieces = [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        distinct, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > REMEMBERED:
             self.forget()
-            new = list(dict.fromkeys(pieces))
-        if new:
-            self.learn(new)
-        entry = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == distinct[inside]
+        new, raw = np.flatnonzero(~known), data.tobytes()
+        if len(new):
+            entries = self.learn([raw[starts[first[k]] : ends[first[k]]] for k in new.tolist()])
+            at = np.searchsorted(self.keys, distinct[new])
+            self.keys, self.entry = np.insert(self.keys, at, distinct[new]), np.insert(self.entry, at, entries)
+            place = np.searchsorted(self.keys, distinct)
+        entry = self.entry[place][of] if len(distinct) else np.zeros(0, np.int64)
+        if len(lost := self.unlike(data, starts, ends, entry)):
+            entry[lost] = self.learn([raw[starts[k] : ends[k]] for k in lost.tolist()])
         first_piece = np.searchsorted(starts, offsets)
         entry = np.insert(entry, first_piece[1:], 0)
         size = self.size[entry]
