@@ -17,7 +17,7 @@ and roles mark as menus, forms and so on has no importance by declaration. A cla
 comments and so on lowers a node's importance to its share of the page's text, so that it goes unless it holds most of
 the text; articles are not lowered. Where the articles that a page marks hold most of what is left, they are the text.
 
-Pages are parsed once. Their features go to the counts as packed arrays, by hash, so a host's or a word's many pages are few rows.
+Pages are parsed once, and their blocks and style nodes written. The features go to the counts as packed arrays, by hash, so a host's or a word's many pages are few rows.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.chunks import bucket_bits
 from blockloom.llm.common import checkpointed, looked_up, written
 from blockloom.llm.hashing import mixed
 
@@ -95,17 +94,32 @@ NOISE_NODE, ARTICLE_NODE, PAGE_NODE = 1, 2, 4
 
 
 class Style:
-    """A style node on one page: its ancestors with itself at first, what it declares, its presentations and its content's features."""
+    """A style node on one page: its ancestors with itself at first, what it declares, its presentations, links and texts."""
 
-    __slots__ = ("above", "chars", "declared", "features", "places", "shows")
+    __slots__ = ("above", "chars", "declared", "features", "links", "places", "shows")
 
     def __init__(self, above: tuple[int, ...], declared: int) -> None:
         self.above, self.declared = above, declared
         self.shows: set[int] = set()  # digests of sequences of children; 0 has none
-        self.features: Counter = Counter()
+        self.links: list[str] = []
+        self.features: Counter = Counter()  # words, links and images
         self.places: set[int] = set()
         self.chars = 0
 
+    def add(self, place: int, text: str) -> None:
+        self.places.add(place)
+        self.features.update(text.split())
+        self.chars += len(text)
+
+
+def filled(styles: dict[int, Style], texts: Iterable[tuple[int, int, str]]) -> dict[int, Style]:
+    """styles with their links and texts (node, place, text) as content."""
+    for x in styles.values():
+        x.features.update(x.links)
+    for node, place, text in texts:
+        styles[node].add(place, text)
+    return styles
+
 
 def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
     """Whether an element is noise by what it declares, whether its names say so, and its class for the style path."""
@@ -200,13 +214,9 @@ def parsed(page: str, site: str = "") -> tuple[list[Block], dict[int, Style]]:
             if b.all:
                 blocks.append(b)
                 around.has("#text")
-                style = styles[around.node]
-                style.features.update(b.all.split())
-                style.places.add(b.place())
-                style.chars += len(b.all)
             text.clear()
         if seen:
-            styles[around.node].features.update(seen)
+            styles[around.node].links.extend(seen)
             seen.clear()
 
     def close(k: int) -> None:
@@ -292,6 +302,8 @@ def main_blocks(page: str) -> list[Block]:
 # their logarithm), a presentation (pages), a text (pages), an ancestor (pages, distance), content (pages, characters).
 WORDS, SHOWS, TEXTS, ABOVE, CONTENT = range(5)
 _ENTRY = np.dtype([("kind", "u1"), ("declared", "u1"), ("node", "<u8"), ("what", "<u8"), ("n", "<i8"), ("s", "<f4")])
+#: Bits of a word's, link's or image's hash: two of a node are taken for one once in 10 ** 10 pairs.
+WORD_BITS = 36
 
 
 def entries(styles: dict[int, Style]) -> np.ndarray:
@@ -309,7 +321,7 @@ def entries(styles: dict[int, Style]) -> np.ndarray:
 
     for x in (styles[w] for w in full):
         uses = list(x.features.values())
-        add(WORDS, x, [_digest(w) for w in x.features], uses, [k * math.log(k) if k > 1 else 0.0 for k in uses])
+        add(WORDS, x, [_digest(w) & (1 << WORD_BITS) - 1 for w in x.features], uses, [k * math.log(k) if k > 1 else 0.0 for k in uses])
         add(SHOWS, x, list(x.shows), [1] * len(x.shows), [0.0] * len(x.shows))
         add(TEXTS, x, list(x.places), [1] * len(x.places), [0.0] * len(x.places))
         add(ABOVE, x, list(x.above), [1] * len(x.above), list(range(len(x.above))), x.declared)
@@ -339,8 +351,12 @@ def _added(rows: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: np.ndarray) -> bytes:
-    """Entries, field by field, so that what repeats lies together."""
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), _ENTRY[c].itemsize).T.tobytes() for c in _ENTRY.names))
+    """Sorted entries, field by field and byte by byte, the hashes as differences, so that what is alike lies together."""
+    planes = []
+    for c in _ENTRY.names:
+        values = np.diff(rows[c], prepend=np.zeros(1, _ENTRY[c])) if c == "what" else np.ascontiguousarray(rows[c])
+        planes.append(values.view(np.uint8).reshape(len(rows), _ENTRY[c].itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -351,33 +367,31 @@ def _unpacked(blob: bytes) -> np.ndarray:
         kind = _ENTRY[c]
         out[c] = np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel()
         at += n * kind.itemsize
+    out["what"] = np.cumsum(out["what"])
     return out
 
 
-def _tallied(bits: int) -> Callable:
-    """The entries of many pages added up, in parts by a hash of what they count."""
-    schema = pa.schema([("bucket", pa.int64()), ("entries", pa.binary())])
+class _Tally:
+    """The entries of many pages, added up and dealt to buckets by a hash of what they count."""
 
-    def dealt(rows: np.ndarray) -> pa.RecordBatch:
-        rows = _added(rows)
-        bucket = (mixed(rows["node"] * np.uint64(0x9E3779B97F4A7C15) + rows["what"]) >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        found, start = np.unique(bucket[order], return_index=True)
-        return pa.record_batch([pa.array(found), pa.array([_packed(x) for x in np.split(rows[order], start[1:])], pa.binary())], schema=schema)
+    def __init__(self, bits: int) -> None:
+        self.bits, self.held, self.n = bits, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                held.append(_unpacked(blob))
-                n += len(held[-1])
-                if n >= HELD:
-                    yield dealt(np.concatenate(held))
-                    held, n = [], 0
-        if n:
-            yield dealt(np.concatenate(held))
+    def add(self, rows: np.ndarray) -> bool:
+        """Whether there are so many now that they must be dealt."""
+        self.held.append(rows)
+        self.n += len(rows)
+        return self.n >= HELD
 
-    return run
+    def dealt(self) -> tuple[list[int], list[bytes]]:
+        if not self.n:
+            return [], []
+        rows = _added(np.concatenate(self.held))
+        self.held, self.n = [], 0
+        bucket = (mixed(rows["node"] * np.uint64(0x9E3779B97F4A7C15) + rows["what"]) >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, start = np.unique(bucket[order], return_index=True)
+        return found.tolist(), [_packed(x) for x in np.split(rows[order], start[1:])]
 
 
 _COUNTS = "kind int, declared int, node long, what long, n long, s double"
@@ -405,6 +419,11 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, _COUNTS_ARROW, strict=True)], schema=_COUNTS_ARROW)
 
 
+def tree_bits(total: int) -> int:
+    """So many bits of a hash choose a bucket of entries that it gets those of 16 million characters of text; 16 buckets at least."""
+    return max(4, math.ceil(math.log2(max(1, total) / 16e6)))
+
+
 def _proof(m: Column) -> Column:
     return 1 - F.pow(m, F.lit(-EVIDENCE))
 
@@ -453,32 +472,78 @@ def low_branches(counts: DataFrame, tree: DataFrame) -> DataFrame:
     return nodes.unionByName(texts.where((F.col("m") > 1) & (_proof(F.col("m")) * F.log("n") / F.log("m") > 1 - LEAST_IMPORTANCE)).select("site", "what"))
 
 
+_BLOCKS = pa.list_(pa.struct([("node", pa.int64()), ("place", pa.int64()), ("article", pa.bool_()), ("noise", pa.bool_()), ("text", pa.string()), ("whole", pa.string())]))
+_STYLES = pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("declared", pa.int8()), ("shows", pa.list_(pa.int64())), ("links", pa.list_(pa.string()))]))
+_PAGES = (
+    "site long, same long, number long, blocks array<struct<node: long, place: long, article: boolean, noise: boolean, text: string, whole: string>>, "
+    "styles array<struct<node: long, parent: long, declared: tinyint, shows: array<long>, links: array<string>>>"
+)
+
+
 def _parse(keys: int) -> Callable:
-    """Of each page, after the kept columns: site, a digest of its text, its blocks packed, and its entries."""
+    """Of each page, after the kept columns: its site, a digest of its text, its number, its blocks and its style nodes with something in them.
+
+    whole is all of a block's text, where text is what name-lowered elements leave of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            site, same, blocks, counted = [], [], [], []
+            site, same, blocks, nodes = [], [], [], []
             for host, page in zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist(), strict=True):
                 found, styles = parsed(page or "", host)
-                mine = [b for b in found if not b.noise and b.text]
                 site.append(_digest(host))
-                same.append(_digest("\n".join(b.text for b in mine)))
-                blocks.append([{"node": b.node, "place": b.place(), "article": b.article, "text": b.text} for b in mine])
-                counted.append(_packed(entries(styles)))
-            kind = pa.list_(pa.struct([("node", pa.int64()), ("place", pa.int64()), ("article", pa.bool_()), ("text", pa.string())]))
-            yield pa.record_batch([*batch.columns[:keys], pa.array(site, pa.int64()), pa.array(same, pa.int64()), pa.array(blocks, kind), pa.array(counted, pa.binary())], names=[*batch.schema.names[:keys], "site", "same", "blocks", "entries"])
+                same.append(_digest("\n".join(b.text for b in found if not b.noise and b.text)))
+                blocks.append([{"node": b.node, "place": b.place(), "article": b.article, "noise": b.noise, "text": b.text, "whole": None if b.all == b.text else b.all} for b in found])
+                full = {w for n in {b.node for b in found} | {n for n, x in styles.items() if x.links} for w in styles[n].above}
+                nodes.append([{"node": n, "parent": x.above[1] if len(x.above) > 1 else None, "declared": x.declared, "shows": list(x.shows), "links": x.links} for n, x in styles.items() if n in full])
+            numbers = np.arange(number, number + len(site))
+            number += len(site)
+            yield pa.record_batch([*batch.columns[:keys], pa.array(site, pa.int64()), pa.array(same, pa.int64()), pa.array(numbers), pa.array(blocks, _BLOCKS), pa.array(nodes, _STYLES)], names=[*batch.schema.names[:keys], "site", "same", "number", "blocks", "styles"])
 
     return run
 
 
-def site_counts(pages: DataFrame) -> DataFrame:
-    """The entries of all different pages of pages(site, same, entries), added up."""
-    total = pages.agg(F.sum(F.octet_length("entries"))).first()[0] or 0
-    bits = bucket_bits(4 * total)
-    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    once = pages.groupBy("site", "same").agg(F.first("entries").alias("entries")).select("entries")
-    dealt = once.mapInArrow(_tallied(bits), "bucket long, entries binary")
+def _restored(nodes: list[dict], blocks: list[dict]) -> dict[int, Style]:
+    """A page's style nodes as _parse has put them down; those around come before those inside."""
+    styles: dict[int, Style] = {}
+    for x in nodes:
+        style = styles[x["node"]] = Style((x["node"], *(styles[x["parent"]].above if x["parent"] is not None else ())), x["declared"])
+        style.shows, style.links = set(x["shows"]), x["links"]
+    return filled(styles, ((b["node"], b["place"], b["text"] if b["whole"] is None else b["whole"]) for b in blocks))
+
+
+def _tallied(bits: int) -> Callable:
+    """The entries of pages (blocks, styles), by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(bits)
+        send = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(tally.dealt(), (pa.int64(), pa.binary()), strict=True)], names=["bucket", "entries"])
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):  # some pages at a time as Python's lists
+                part = batch.slice(k, 256)
+                for blocks, nodes in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if tally.add(entries(_restored(nodes, blocks))):
+                        yield send()
+        yield send()
+
+    return run
+
+
+def site_counts(read: DataFrame, bits: int) -> DataFrame:
+    """The entries of all different pages of read, which _parse makes, added up. Of pages of a site with the same text the first counts.
+
+    The numbers of the others are broadcast up to BROADCAST_LOW; more are joined, for which the pages' blocks are shuffled.
+    """
+    key = F.struct("site", "same")
+    first = read.groupBy(key.alias("key")).agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    others = checkpointed(looked_up(read.select(key.alias("key"), "number"), "key", first).where("number <> first").select("number"))
+    n = others.count()
+    once = read.join(F.broadcast(others) if n <= BROADCAST_LOW else others, "number", "left_anti") if n else read
+    dealt = once.select("blocks", "styles").mapInArrow(_tallied(bits), "bucket long, entries binary")
+    parts = max(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return checkpointed(dealt.repartition(max(parts, min(2**bits, 4 * parts)), "bucket").groupBy("bucket").applyInArrow(_counted, _COUNTS))
 
 
@@ -491,17 +556,18 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     in the site's tree and are returned each. An empty table gives an empty result. A very long page is parsed by one task, as a row.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
-    rows = pages.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)), host.alias("host"), F.col(html_col).alias("html"))
-    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "site long, same long, blocks array<struct<node: long, place: long, article: boolean, text: string>>, entries binary"])
+    kept = [F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)]
+    rows = pages.select(*kept, host.alias("host"), F.col(html_col).alias("html"))
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), _PAGES])
     read = written(rows.mapInArrow(_parse(len(keep)), kinds), "zstd")
-    counts = site_counts(read.select("site", "same", "entries"))
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+    counts = site_counts(read, tree_bits(read.agg(F.sum(chars(F.col("blocks")))).first()[0] or 0))
     low = checkpointed(low_branches(counts, importance(counts)).groupBy("site").agg(F.collect_set("what").alias("low")))  # a site's templates, not its pages
     if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_LOW:
         low = F.broadcast(low)
     gone = lambda c: F.coalesce(F.array_contains("low", c), F.lit(False))
-    left = F.filter("blocks", lambda b: ~gone(b["node"]) & ~gone(b["place"]))
-    joined = read.drop("entries", "same").join(low, "site", "left").withColumn("left", left)
+    left = F.filter("blocks", lambda b: ~b["noise"] & (b["text"] != "") & ~gone(b["node"]) & ~gone(b["place"]))
+    joined = read.drop("styles", "same", "number").join(low, "site", "left").withColumn("left", left)
     article = F.filter("left", lambda b: b["article"])
-    chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
     text = F.when(2 * chars(article) > chars(F.col("left")), F.array_join(article["text"], " ")).otherwise(F.array_join(F.col("left")["text"], " "))
     return joined.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), text.alias("text"))

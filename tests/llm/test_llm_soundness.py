@@ -226,6 +226,7 @@ def plain_tree(pages):
     sites = collections.defaultdict(dict)
     for site, page in pages:
         blocks, styles = html.parsed(page, site)
+        html.filled(styles, ((b.node, b.place(), b.all) for b in blocks))
         sites[site].setdefault("\n".join(b.text for b in blocks if not b.noise and b.text), styles)
     low, weights = {}, {}
     for site, different in sites.items():
@@ -318,11 +319,9 @@ def test_site_tree_against_a_plain_one(spark):
 def test_importance_of_every_branch(spark):
     pages = [*templated(5, "a.com", 40), *templated(6, "b.org", 12, articles=True), *templated(7, "c.net", 1)]
     _, weights = plain_tree([(s, p) for s, p, _ in pages])
-    rows = []
-    for s, p, _ in pages:
-        blocks, styles = html.parsed(p, s)
-        rows.append((html._digest(s), html._digest("\n".join(b.text for b in blocks if not b.noise and b.text)), bytearray(html._packed(html.entries(styles)))))
-    counts = html.site_counts(spark.createDataFrame(rows, "site long, same long, entries binary").repartition(5))
+    pages += pages[:3] + pages[1:2]  # copies
+    rows = spark.createDataFrame([(s, p) for s, p, _ in pages], "host string, html string").repartition(5)
+    counts = html.site_counts(rows.mapInArrow(html._parse(0), html._PAGES).cache(), 4)
     got = {r.node: r.importance for r in html.importance(counts).collect()}
     want = {w: i for of in weights.values() for w, i in of.items()}
     assert got.keys() == want.keys()
