@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import checkpointed, fresh, words_of, written
 
-#: Words in a window of the repetition count.
+#: Words in a window of the repetition count, a power of two.
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -35,16 +35,21 @@ PRIOR = 200
 BROADCAST_GROUPS = 50_000
 
 
+def _pairs(hashes: Column, width: int) -> Column:
+    """Of hashes of all windows of width words, those of windows twice as long."""
+    n = F.greatest(F.size(hashes) - width, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(width + 1), n), lambda a, b: F.xxhash64(a, b))
+
+
 def _with_repeats(df: DataFrame, words: str) -> DataFrame:
     """df with n_repeat_words: words inside windows of WINDOW words that the text has more than once."""
-    hashes, wins, ordered, places = fresh(df, "hashes", "wins", "ordered", "places")
+    wins, ordered, places = fresh(df, "wins", "ordered", "places")
     at = lambda a, i: F.get(F.col(a), i)
-    df = df.withColumn(hashes, F.transform(F.col(words), lambda w: F.xxhash64(w)))
-    last = F.size(F.col(hashes)) - WINDOW
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(F.col(hashes), i, F.lit(WINDOW))))
-    # Without a word that is there twice, no window is; such texts have none.
-    again = (last > 0) & (F.size(F.array_distinct(F.col(hashes))) < F.size(F.col(hashes)))
-    df = df.withColumn(wins, F.when(again, windows).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(wins, F.transform(F.col(words), lambda w: F.xxhash64(w)))
+    width = 1
+    while width < WINDOW:  # a column for each step, so that none is worked out twice
+        df = df.withColumn(wins, _pairs(F.col(wins), width))
+        width *= 2
     # Most texts repeat nothing; they skip the sort.
     sort = F.array_sort(F.transform(F.col(wins), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn(ordered, F.when(F.size(F.array_distinct(F.col(wins))) < F.size(F.col(wins)), sort))
@@ -53,7 +58,7 @@ def _with_repeats(df: DataFrame, words: str) -> DataFrame:
     df = df.withColumn(places, F.array_sort(F.transform(twice, lambda s: s["i"])))
     covered = F.transform(F.col(places), lambda p, j: F.least(F.lit(WINDOW), F.coalesce(at(places, j + 1) - p, F.lit(WINDOW))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop(hashes, wins, ordered, places)
+    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop(wins, ordered, places)
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
