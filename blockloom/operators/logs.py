@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENT = "Action STRING, Package STRING, Test STRING, Elapsed DOUBLE, Output STRING"
@@ -13,81 +13,114 @@ def test_events(lines: DataFrame) -> DataFrame:
     return lines.select("seq", F.from_json("line", EVENT).alias("e")).select("seq", "e.*").where("Action IS NOT NULL AND Package IS NOT NULL")
 
 
-def suite_summary(events: DataFrame) -> DataFrame:
-    """Package, passed, failed, skipped, elapsed, ok: the packages that have ended, without those that passed with no test.
+#: Numbers of lines for which a running value is worked out at once; what it is before them comes from a table with a row for so many lines.
+RANGE = 1_000_000
+
 
-    A package may run again after its end; each run is a row, numbered from 0 by run.
+def carried(df: DataFrame, mark: Column, name: str, by: str | None = None) -> DataFrame:
+    """df with a column: the last mark that is not null, so far by seq (in each log of by).
+
+    No task gets a whole log: ranges of seq are worked out on their own, and start from the last mark of those before.
     """
-    ends = F.col("Test").isNull() & F.col("Action").isin("pass", "fail")
+    keys = [by] if by else []
+    df = df.withColumn("__part", F.floor(F.col("seq") / RANGE)).withColumn("__mark", mark)
+    ends = df.groupBy(*keys, "__part").agg(F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.col("seq"))).alias("__end"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+    for k in keys:
+        ends = ends.withColumnRenamed(k, "__by")
+    same = F.col("l.__part") == F.col("r.__part")
+    met = df.alias("l").join(ends.alias("r"), same & F.col(f"l.{by}").eqNullSafe(F.col("r.__by")) if by else same, "left").select("l.*", "r.__before")
+    inside = Window.partitionBy(*keys, "__part").orderBy("seq")
+    out = met.withColumn(name, F.coalesce(F.last("__mark", ignorenulls=True).over(inside), F.col("__before")))
+    return out.drop("__part", "__mark", "__before")
+
+
+#: What ends a package's run; a package that is skipped as a whole has no counts.
+ENDS = ("pass", "fail", "skip")
+
+
+def _runs(events: DataFrame) -> DataFrame:
+    """events with run: how many times the package has ended before."""
+    ends = F.col("Test").isNull() & F.col("Action").isin(*ENDS)
     before = Window.partitionBy("Package").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    run = F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0))
+    return events.withColumn("run", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)))
+
+
+def suite_summary(events: DataFrame) -> DataFrame:
+    """Package, run, passed, failed, skipped, elapsed, ok: the packages that have ended, without those that passed with no test.
+
+    A package may run again after its end; each run is a row, numbered from 0 by run. ok is null, and the counts are 0, for a package that was skipped.
+    """
+    ends = F.col("Test").isNull() & F.col("Action").isin(*ENDS)
     of = lambda a: F.count_if((F.col("Action") == a) & F.col("Test").isNotNull())
-    out = events.withColumn("run", run).groupBy("Package", "run").agg(
+    ok = F.when(F.col("Action") != "skip", F.col("Action") == "pass")
+    out = _runs(events).groupBy("Package", "run").agg(
         of("pass").alias("passed"), of("fail").alias("failed"), of("skip").alias("skipped"),
-        F.max(F.when(ends, F.struct(F.coalesce("Elapsed", F.lit(0.0)).alias("elapsed"), (F.col("Action") == "pass").alias("ok")))).alias("end"),
+        F.max(F.when(ends, F.struct(F.coalesce("Elapsed", F.lit(0.0)).alias("elapsed"), ok.alias("ok")))).alias("end"),
     )
-    out = out.where("end IS NOT NULL").select("Package", "run", "passed", "failed", "skipped", "end.elapsed", "end.ok")
-    return out.where("NOT (ok AND passed + failed + skipped = 0)")
+    count = lambda c: F.when(F.col("end.ok").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c)
+    out = out.where("end IS NOT NULL").select("Package", "run", count("passed"), count("failed"), count("skipped"), "end.elapsed", "end.ok")
+    return out.where("NOT (coalesce(ok, false) AND passed + failed + skipped = 0)")
 
 
 def failure_output(events: DataFrame) -> DataFrame:
-    """Package, Test, seq, output: what each failed test had printed since it last ended, without the runner's own lines."""
+    """Package, Test, seq, output: what each failed test had printed since it or its package last ended, without the runner's own lines."""
     ended = F.col("Action").isin("pass", "fail")
-    before = Window.partitionBy("Package", "Test").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    tests = events.where("Test IS NOT NULL").withColumn("turn", F.coalesce(F.sum(ended.cast("int")).over(before), F.lit(0)))
+    before = Window.partitionBy("Package", "run", "Test").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    tests = _runs(events).where("Test IS NOT NULL").withColumn("turn", F.coalesce(F.sum(ended.cast("int")).over(before), F.lit(0)))
     text = F.regexp_replace(F.col("Output"), r"\n+$", "")
     own = (F.col("Action") == "output") & F.col("Output").isNotNull() & ~F.startswith(text, F.lit("--- ")) & ~F.startswith(text, F.lit("=== "))
-    out = tests.groupBy("Package", "Test", "turn").agg(F.array_sort(F.collect_list(F.when(own, F.struct("seq", text.alias("text"))))).alias("lines"), F.max(F.when(F.col("Action") == "fail", F.col("seq"))).alias("seq"))
+    out = tests.groupBy("Package", "Test", "run", "turn").agg(F.array_sort(F.collect_list(F.when(own, F.struct("seq", text.alias("text"))))).alias("lines"), F.max(F.when(F.col("Action") == "fail", F.col("seq"))).alias("seq"))
     return out.where("seq IS NOT NULL").select("Package", "Test", "seq", F.array_join(F.col("lines")["text"], "\n").alias("output"))
 
 
 def verdict(events: DataFrame, exit_ok: bool = True) -> DataFrame:
-    """passed, had_events: false if a package failed; without a package's end, the exit status."""
-    ends = events.where(F.col("Test").isNull() & F.col("Action").isin("pass", "fail"))
-    agg = ends.agg(F.bool_and(F.col("Action") == "pass").alias("ok"), F.count(F.lit(1)).alias("n"))
+    """passed, had_events: false if a package failed; without a package's end, the exit status. A skipped package is an end that fails nothing."""
+    ends = events.where(F.col("Test").isNull() & F.col("Action").isin(*ENDS))
+    agg = ends.agg(F.bool_and(F.col("Action") != "fail").alias("ok"), F.count(F.lit(1)).alias("n"))
     return agg.select(F.coalesce("ok", F.lit(exit_ok)).alias("passed"), (F.col("n") > 0).alias("had_events"))
 
 
-def classified(lines: DataFrame) -> DataFrame:
-    """seq, line, kind, name, status, counts of lines(seq, line) of a cargo test log.
+def classified(lines: DataFrame, by: str | None = None) -> DataFrame:
+    """seq, line, kind, name, status, counts of lines(seq, line) of a cargo test log, and by, a column that tells logs apart.
 
     kind is running, test, result, failures, header, suite or other; status is ok, FAILED or ignored; suite
-    lines name the binary whose tests follow.
+    lines name the binary whose tests follow, or the crate whose doc-tests do.
     """
     line = F.trim(F.regexp_replace("line", r"\r$", ""))
     test = r"^test (.+) \.\.\. (ok|FAILED|ignored)$"
     header = r"^---- (.+) stdout ----$"
-    suite = r"^(?:Running (?:unittests )?(\S+)|Doc-tests (\S+))"
+    suite = r"^(?:Running (?:unittests )?([^(]*[^(\s])|Doc-tests (.+))"
     kind = (
         F.when(F.regexp_extract(line, test, 1) != "", "test").when(line.rlike(r"^running \d+ tests?$"), "running").when(line.rlike("^test result: "), "result")
         .when(line == "failures:", "failures").when(line.rlike(header), "header").when(line.rlike(suite), "suite").otherwise("other")
     )
-    name = F.when(F.col("kind") == "test", F.regexp_extract("t", test, 1)).when(F.col("kind") == "header", F.regexp_extract("t", header, 1)).when(F.col("kind") == "suite", F.concat(F.regexp_extract("t", suite, 1), F.regexp_extract("t", suite, 2)))
+    name = F.when(F.col("kind") == "test", F.regexp_extract("t", test, 1)).when(F.col("kind") == "header", F.regexp_extract("t", header, 1)).when(F.col("kind") == "suite", F.concat(F.regexp_extract("t", suite, 1), F.when(F.regexp_extract("t", suite, 2) != "", F.concat(F.lit("doc-tests "), F.regexp_extract("t", suite, 2))).otherwise("")))
     number = lambda what: F.nullif(F.regexp_extract("t", rf"(\d+) {what}", 1), F.lit("")).cast("long")
-    df = lines.select("seq", "line", line.alias("t")).withColumn("kind", kind)
+    keys = [by] if by else []
+    df = lines.select(*keys, "seq", "line", line.alias("t")).withColumn("kind", kind)
     result = F.when(F.col("kind") == "result", F.struct((F.regexp_extract("t", r"^test result: (\w+)\.", 1) == "ok").alias("ok"), number("passed").alias("passed"), number("failed").alias("failed"), number("ignored").alias("ignored"), F.nullif(F.regexp_extract("t", r"finished in ([\d.]+)s", 1), F.lit("")).cast("double").alias("seconds")))
-    return df.select("seq", "line", "kind", name.alias("name"), F.when(F.col("kind") == "test", F.regexp_extract("t", test, 2)).alias("status"), result.alias("result"))
+    return df.select(*keys, "seq", "line", "kind", name.alias("name"), F.when(F.col("kind") == "test", F.regexp_extract("t", test, 2)).alias("status"), result.alias("result"))
 
 
 def attributed(lines: DataFrame, by: str | None = None) -> DataFrame:
     """classified() with suite, the last suite line's name so far. by is a column that tells logs apart."""
-    marks = classified(lines) if by is None else classified(lines).join(lines.select("seq", by), "seq")
-    order = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("seq")
-    return marks.withColumn("suite", F.last(F.when(F.col("kind") == "suite", F.col("name")), ignorenulls=True).over(order))
+    return carried(classified(lines, by), F.when(F.col("kind") == "suite", F.col("name")), "suite", by)
 
 
 def cargo_summary(lines: DataFrame, by: str | None = None) -> DataFrame:
-    """A row for each result line: seq, suite, ok, passed, failed, ignored, seconds."""
-    return attributed(lines, by).where("kind = 'result'").select("seq", "suite", "result.*")
+    """A row for each result line: by, seq, suite, ok, passed, failed, ignored, seconds."""
+    return attributed(lines, by).where("kind = 'result'").select(*([by] if by else []), "seq", "suite", "result.*")
 
 
-def cargo_failures(lines: DataFrame) -> DataFrame:
-    """name, output: each test's part of a failures section, up to the next header or the section's end."""
-    order = Window.partitionBy(F.lit(0)).orderBy("seq")
-    marks = classified(lines).withColumn("part", F.count_if(F.col("kind").isin("header", "failures", "result")).over(order)).withColumn("open", F.last(F.when(F.col("kind") == "header", F.col("name")).when(F.col("kind").isin("failures", "result"), F.lit("")), ignorenulls=True).over(order))
-    inside = marks.where("open <> '' AND kind <> 'header'")
-    out = marks.where("kind = 'header'").select("part", "name").join(inside.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines")), "part", "left")
-    return out.select("name", F.coalesce(F.array_join(F.col("lines")["line"], "\n"), F.lit("")).alias("output"))
+def cargo_failures(lines: DataFrame, by: str | None = None) -> DataFrame:
+    """by, name, output: each test's part of a failures section, up to the next header or the section's end."""
+    keys = [by] if by else []
+    edge = F.when(F.col("kind").isin("header", "failures", "result"), F.struct(F.col("seq").alias("at"), (F.col("kind") == "header").alias("open")))
+    marks = carried(classified(lines, by), edge, "part", by).where("part.open").withColumn("at", F.col("part.at"))
+    out = marks.groupBy(*keys, "at").agg(F.max(F.when(F.col("kind") == "header", F.col("name"))).alias("name"), F.array_sort(F.collect_list(F.when(F.col("kind") != "header", F.struct("seq", "line")))).alias("lines"))
+    return out.select(*keys, "name", F.array_join(F.col("lines")["line"], "\n").alias("output"))
 
 
 def cargo_verdict(lines: DataFrame, exit_ok: bool = True) -> DataFrame:
@@ -103,7 +136,7 @@ def last_binary(lines: DataFrame) -> DataFrame:
 
 
 def rendered(summary: DataFrame) -> DataFrame:
-    """summary with text, a line for each suite."""
-    mark = F.when(F.col("ok"), "ok  ").otherwise("FAIL")
+    """summary with text, a line for each suite; one that was skipped has no counts."""
+    mark = F.when(F.col("ok"), "ok  ").when(F.col("ok").isNull(), "skip").otherwise("FAIL")
     counts = F.concat_ws(", ", *(F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {c}"))) for c in ("passed", "failed", "skipped") if c in summary.columns))
     return summary.withColumn("text", F.concat(mark, F.lit(" "), F.col(summary.columns[0]).cast("string"), F.lit(": "), counts))

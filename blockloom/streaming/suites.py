@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from blockloom.operators.logs import ENDS
+
 OUTPUT = "Package STRING, passed LONG, failed LONG, skipped LONG, elapsed DOUBLE, ok BOOLEAN"
 STATE = "passed LONG, failed LONG, skipped LONG"
 _COUNTS = {"pass": 0, "fail": 1, "skip": 2}
@@ -27,15 +29,17 @@ def _reduce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, give
         return
     counts = list(state.get) if state.exists else [0, 0, 0]
     out = []
-    for pdf in sorted((b for b in batches), key=lambda b: b["seq"].min() if len(b) else 0):
-        for e in pdf.sort_values("seq").itertuples(index=False):
-            if isinstance(e.Test, str):
-                if e.Action in _COUNTS:
-                    counts[_COUNTS[e.Action]] += 1
-            elif e.Action in ("pass", "fail"):
-                if not (e.Action == "pass" and not sum(counts)):
-                    out.append((key[0], *counts, 0.0 if pd.isna(e.Elapsed) else float(e.Elapsed), e.Action == "pass"))
+    got = [b for b in batches if len(b)]  # a package's events of one micro-batch; Arrow cuts them at its own limit, not by seq
+    for e in pd.concat(got).sort_values("seq").itertuples(index=False) if got else ():
+        if isinstance(e.Test, str):
+            if e.Action in _COUNTS:
+                counts[_COUNTS[e.Action]] += 1
+        elif e.Action in ENDS:
+            if e.Action == "skip":
                 counts = [0, 0, 0]
+            if e.Action != "pass" or sum(counts):
+                out.append((key[0], *counts, 0.0 if pd.isna(e.Elapsed) else float(e.Elapsed), None if e.Action == "skip" else e.Action == "pass"))
+            counts = [0, 0, 0]
     if sum(counts):
         state.update(tuple(counts))
         if give_up_ms:
@@ -43,7 +47,7 @@ def _reduce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, give
     elif state.exists:
         state.remove()
     if out:
-        yield pd.DataFrame(out, columns=["Package", "passed", "failed", "skipped", "elapsed", "ok"])
+        yield pd.DataFrame(out, columns=["Package", "passed", "failed", "skipped", "elapsed", "ok"]).astype({"ok": "boolean"})
 
 
 def stream_suites(events: DataFrame, give_up_ms: int | None = None) -> DataFrame:
@@ -58,5 +62,5 @@ def stream_suites(events: DataFrame, give_up_ms: int | None = None) -> DataFrame
 
 def stream_verdict(events: DataFrame) -> DataFrame:
     """passed, packages of a stream of events: a running aggregate of the packages' ends, in complete mode."""
-    ends = events.where(F.col("Test").isNull() & F.col("Action").isin("pass", "fail"))
-    return ends.groupBy().agg(F.bool_and(F.col("Action") == "pass").alias("passed"), F.count(F.lit(1)).alias("packages"))
+    ends = events.where(F.col("Test").isNull() & F.col("Action").isin(*ENDS))
+    return ends.groupBy().agg(F.bool_and(F.col("Action") != "fail").alias("passed"), F.count(F.lit(1)).alias("packages"))

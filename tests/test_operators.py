@@ -157,3 +157,50 @@ def test_cargo_log(spark):
     assert tuple(logs.cargo_verdict(lines).first()) == (False, True)
     assert logs.last_binary(lines).first()[0] == "/t/b"
     assert "FAIL" in logs.rendered(logs.cargo_summary(lines).select("suite", "ok", "passed", "failed")).first().text
+
+
+def events_of(spark, *rows):
+    return spark.createDataFrame(rows, "seq long, Action string, Package string, Test string, Elapsed double, Output string")
+
+
+def test_a_skipped_package_ends_its_run(spark):
+    e = events_of(spark, (1, "pass", "p", "A", 0.1, None), (2, "skip", "p", None, 0.2, None), (3, "output", "p", "B", None, "old\n"), (4, "fail", "p", None, 0.3, None), (5, "output", "p", "B", None, "new\n"), (6, "fail", "p", "B", 0.1, None), (7, "fail", "p", None, 0.4, None))
+    got = [(r.run, r.passed, r.failed, r.skipped, r.ok) for r in logs.suite_summary(e).orderBy("run").collect()]
+    assert got == [(0, 0, 0, 0, None), (1, 0, 0, 0, False), (2, 0, 1, 0, False)]
+    assert [r.text for r in logs.rendered(logs.suite_summary(e)).orderBy("run").collect()] == ["skip p: ", "FAIL p: ", "FAIL p: 1 failed"]
+    assert [(r.seq, r.output) for r in logs.failure_output(e).collect()] == [(6, "new")]  # what it printed before its package ended is gone
+    only = logs.verdict(e.where("seq < 3"), exit_ok=False).first()
+    assert only.passed and only.had_events
+
+
+def test_logs_are_told_apart_and_carried_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(logs, "RANGE", 3)
+    lines = ["Running unittests src/lib.rs (target/x)", "test a ... ok", "running 1 test", "test result: ok. 1 passed; 0 failed; 0 ignored; finished in 0.1s", "   Doc-tests crate", "x", "y", "z", "test result: FAILED. 0 passed; 1 failed; 2 ignored"]
+    one = [(k, x, "one") for k, x in enumerate(lines)]
+    two = [(k, x.replace("src/lib.rs", "tests/it.rs"), "two") for k, x in enumerate(lines[:4])]
+    df = spark.createDataFrame([*one, *two, (9, lines[3], None)], "seq long, line string, log string")
+    got = sorted(((r.log or "", r.seq, r.suite, r.ok, r.failed) for r in logs.cargo_summary(df, "log").collect()))
+    assert got == [("", 9, None, True, 0), ("one", 3, "src/lib.rs", True, 0), ("one", 8, "doc-tests crate", False, 1), ("two", 3, "tests/it.rs", True, 0)]
+    alone = logs.cargo_summary(df.where("log = 'one'").drop("log")).orderBy("seq").collect()
+    assert [r.suite for r in alone] == ["src/lib.rs", "doc-tests crate"]
+    part = ["failures:", "---- a stdout ----", "l1", "l2", "l3", "l4", "---- b stdout ----", "failures:", "    a"]
+    found = logs.cargo_failures(spark.createDataFrame(list(enumerate(part)), "seq long, line string")).collect()
+    assert {(r["name"], r["output"]) for r in found} == {("a", "l1\nl2\nl3\nl4"), ("b", "")}
+
+
+def test_a_stream_sorts_what_arrow_has_cut():
+    import pandas as pd
+
+    from blockloom.streaming.suites import _reduce
+
+    class State:
+        exists, hasTimedOut = False, False
+
+        def update(self, value):
+            self.value = value
+
+    names = ["seq", "Action", "Package", "Test", "Elapsed"]
+    a = pd.DataFrame([(1, "pass", "p", "A", 0.1), (4, "pass", "p", None, 0.4), (5, "fail", "p", "B", 0.1)], columns=names)
+    b = pd.DataFrame([(2, "pass", "p", "C", 0.1), (3, "skip", "p", "D", 0.1), (6, "fail", "p", None, 0.6), (7, "skip", "p", None, 0.0)], columns=names)
+    out = pd.concat(_reduce(("p",), iter([b, a]), State(), None))
+    assert out.drop(columns="Package").astype(object).where(out.drop(columns="Package").notna(), None).values.tolist() == [[2, 0, 1, 0.4, True], [0, 1, 0, 0.6, False], [0, 0, 0, 0.0, None]]
