@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from blockloom.operators.graph import closure
 
-#: Folders and endings that source walks pass by; fixed values.
-SKIPPED_FOLDERS = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".turbo", ".cache", "out", "target", "vendor", "tmp")
-SKIPPED_ENDINGS = (".log", ".tsbuildinfo", ".map")
-SKIPPED_GO = r"(^|/)(\.[^/]+|_[^/]*|vendor|testdata)/"
+# Folders, endings and file names that source walks pass by.
+SKIPPED_FOLDERS = ("node_modules", ".git", "dist", "build", "out", ".next", ".nuxt", ".turbo", ".vite", ".svelte-kit", "coverage", ".cache")
+SKIPPED_ENDINGS = (".tsbuildinfo",)
+SKIPPED_NAMES = (".DS_Store",)
+SKIPPED_GO = r"(^|/)(\.[^/]+|vendor|testdata)/"
 
 
 def module_path(go_mod: str) -> str | None:
@@ -55,7 +56,7 @@ def go_embeds(sources: DataFrame) -> DataFrame:
 
 
 def go_packages(paths: DataFrame, package: str, module: str = "") -> DataFrame:
-    """folder: the packages of paths(path), relative to the module's root, that ./..., ./x, or an import path means."""
+    """folder: the packages of paths(path), relative to the module's root, that ./..., ./x, or an import path means; an unknown folder is an error."""
     go = paths.where(F.endswith("path", F.lit(".go")) & ~F.col("path").rlike(SKIPPED_GO))
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
     folders = go.select(folder.alias("folder")).distinct()
@@ -63,7 +64,10 @@ def go_packages(paths: DataFrame, package: str, module: str = "") -> DataFrame:
     if name == "..." or name.endswith("/..."):
         base = name.removesuffix("...").strip("/")
         return folders if not base else folders.where((F.col("folder") == base) | F.startswith("folder", F.lit(f"{base}/")))
-    return folders.where(F.col("folder") == ("" if name == "." else name))
+    name = "" if name == "." else name
+    if name and paths.where(F.startswith("path", F.lit(f"{name}/"))).isEmpty():
+        raise ValueError(f"package directory not found: {name}")
+    return folders.where(F.col("folder") == name)
 
 
 def go_closure(sources: DataFrame, module: str, package: str, tests: bool = False) -> DataFrame:
@@ -102,11 +106,12 @@ def workspace_packages(yaml: str, manifests: dict[str, str]) -> dict[str, str]:
 
 
 def source_walk(paths: DataFrame, root: str = "", excluded: tuple[str, ...] = ()) -> DataFrame:
-    """The files of paths(path) below root, without skipped folders, skipped endings and excluded paths."""
+    """The files of paths(path) below root, without skipped folders, endings and names, and without excluded paths."""
     skipped = rf"(^|/)({'|'.join(map(re.escape, SKIPPED_FOLDERS))})/"
     out = paths.where(~F.col("path").rlike(skipped))
     for ending in SKIPPED_ENDINGS:
         out = out.where(~F.endswith("path", F.lit(ending)))
+    out = out.where(~F.regexp_extract("path", "([^/]*)$", 1).isin(*SKIPPED_NAMES))
     for e in excluded:
         out = out.where((F.col("path") != e) & ~F.startswith("path", F.lit(f"{e}/")))
     return out.where(F.startswith("path", F.lit(f"{root}/"))) if root else out

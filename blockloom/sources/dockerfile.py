@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from blockloom.sources.files import expanded
 
 _VARIABLE = re.compile(r"\$(?:\{([A-Za-z_]\w*)(?:(:[-+])([^}]*))?\}|([A-Za-z_]\w*))")
-#: Machine names and the builder's names for them; fixed values.
-ARCHITECTURES = {"x86_64": "amd64", "aarch64": "arm64", "arm64": "arm64", "armv7l": "arm", "i686": "386"}
+# Machine names, and the builder's names of architecture and variant for them; others keep their own name.
+ARCHITECTURES = {
+    "x86_64": ("amd64", ""), "amd64": ("amd64", ""), "aarch64": ("arm64", ""), "arm64": ("arm64", ""), "arm": ("arm", "v7"), "armv7l": ("arm", "v7"), "s390x": ("s390x", ""),
+    "powerpc64": ("ppc64le", ""), "ppc64le": ("ppc64le", ""), "riscv64": ("riscv64", ""),
+}
+#: Systems on which the builder makes images of another.
+SYSTEMS = {"darwin": "linux", "macos": "linux"}
 
 
 class UnresolvedError(ValueError):
@@ -21,9 +26,11 @@ class UnresolvedError(ValueError):
 
 def platform_variables(machine: str | None = None, system: str | None = None) -> dict[str, str]:
     """The variables that a build has of its own accord."""
-    arch = ARCHITECTURES.get(machine or platform.machine(), machine or platform.machine())
-    os = (system or platform.system()).lower()
-    return {f"{side}{name}": value for side in ("TARGET", "BUILD") for name, value in (("PLATFORM", f"{os}/{arch}"), ("OS", os), ("ARCH", arch), ("VARIANT", ""))}
+    machine, os = (machine or platform.machine()).lower(), (system or platform.system()).lower()
+    arch, variant = ARCHITECTURES.get(machine, (machine, ""))
+    os = SYSTEMS.get(os, os)
+    whole = f"{os}/{arch}/{variant}" if variant else f"{os}/{arch}"
+    return {f"{side}{name}": value for side in ("TARGET", "BUILD") for name, value in (("PLATFORM", whole), ("OS", os), ("ARCH", arch), ("VARIANT", variant))}
 
 
 def expand(text: str, variables: dict[str, str]) -> str:

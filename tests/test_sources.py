@@ -56,6 +56,9 @@ def test_dockerfile(spark):
     assert dockerfile.variables(DOCKER, {})["MODE"] == "x y"
     assert dockerfile.expand("${A:-d}${B:+w}$B", {"B": "b"}) == "dwb"
     assert dockerfile.platform_variables("x86_64", "Linux")["TARGETPLATFORM"] == "linux/amd64"
+    assert dockerfile.platform_variables("arm64", "Darwin")["BUILDPLATFORM"] == "linux/arm64"
+    assert {k: v for k, v in dockerfile.platform_variables("armv7l", "Linux").items() if k.startswith("TARGET")} == {"TARGETPLATFORM": "linux/arm/v7", "TARGETOS": "linux", "TARGETARCH": "arm", "TARGETVARIANT": "v7"}
+    assert [dockerfile.platform_variables(m, "Linux")["TARGETARCH"] for m in ("s390x", "ppc64le", "riscv64")] == ["s390x", "ppc64le", "riscv64"]
     p = paths_of(spark, "go.mod", "src/a", "src/b.log", "lib/x", "other", "n-1.0.txt")
     rules = spark.createDataFrame([(0, "*.log", False)], "seq int, pattern string, negate boolean")
     assert names(dockerfile.image_sources(p, DOCKER, {"NAME": "n"}, rules)) == ["go.mod", "lib/x", "n-1.0.txt", "src/a"]
@@ -91,8 +94,8 @@ def test_cargo_and_workspace(spark):
     yaml = "packages:\n  - 'packages/*'\n  - apps/web\n  - '!packages/old'\n"
     manifests = {"packages/a": '{"name": "a"}', "packages/old": '{"name": "old"}', "apps/web": '{"name": "web"}', "packages/a/deep": '{"name": "deep"}'}
     assert code.workspace_packages(yaml, manifests) == {"web": "apps/web", "a": "packages/a"}
-    files_ = paths_of(spark, "pnpm-lock.yaml", "package.json", "packages/a/src/x.ts", "packages/a/node_modules/y.js", "packages/a/dist/z.js", "packages/a/x.log", "other/q.ts")
-    assert names(code.run_sources(files_, "packages/a")) == ["packages/a/src/x.ts", "pnpm-lock.yaml"]
+    files_ = paths_of(spark, "pnpm-lock.yaml", "package.json", "packages/a/src/x.ts", "packages/a/node_modules/y.js", "packages/a/dist/z.js", "packages/a/x.log", "packages/a/vendor/v.ts", "packages/a/.svelte-kit/k", "packages/a/t.tsbuildinfo", "packages/a/.DS_Store", "other/q.ts")
+    assert names(code.run_sources(files_, "packages/a")) == ["packages/a/src/x.ts", "packages/a/vendor/v.ts", "packages/a/x.log", "pnpm-lock.yaml"]
     assert names(code.run_sources(files_, None, ("other/*.ts",), install=True)) == ["other/q.ts", "package.json", "pnpm-lock.yaml"]
     assert names(code.with_config(paths_of(spark, "rustfmt.toml", "a.rs"), paths_of(spark, "a.rs"))) == ["a.rs", "rustfmt.toml"]
 
@@ -109,3 +112,23 @@ def test_imports(tmp_path):
     assert list(imports.module_folders("./m", str(tmp_path))) == ["x"]
     with pytest.raises(ValueError):
         imports.module_folders("./gone", str(tmp_path))
+
+
+def test_packages_of_a_tree(spark):
+    tree = paths_of(spark, "_c/f.go", "a/f.go", "a/vendor/v.go", ".e/f.go", "a/testdata/t.go", "b/readme")
+    assert sorted(r.folder for r in code.go_packages(tree, "./...").collect()) == ["_c", "a"]
+    assert code.go_packages(tree, "./b").count() == 0
+    with pytest.raises(ValueError, match="not found"):
+        code.go_packages(tree, "./none")
+
+
+def test_folder_hashes_follow_names_lengths_and_times(spark, tmp_path):
+    for name, text in (("a/x", "1"), ("a/y", "2"), ("b/z", "3")):
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(text)
+    look = lambda: {r.path.rsplit("/", 1)[-1]: r.hash for r in files.folder_hashes(spark, str(tmp_path)).collect()}
+    before = look()
+    assert set(before) == {"a", "b"} and look() == before
+    (tmp_path / "a/x").write_text("11")
+    assert look()["a"] != before["a"] and look()["b"] == before["b"]
