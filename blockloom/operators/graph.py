@@ -21,14 +21,27 @@ class GraphError(ValueError):
     """A graph that is none: unknown names, names given twice, or a cycle."""
 
 
+def ready_to_checkpoint(spark: SparkSession) -> None:
+    """Point the context at the cluster's checkpoint folder; where none is named, a local session gets one of its own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="blockloom-"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed now and cut from its lineage, in the folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockloom-"))
+    ready_to_checkpoint(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Rounds after which what was found in all of them becomes one checkpoint, and levels of a graph that one job works out.
+MERGED_ROUNDS, LEVELS = 16, 6
+
+
 def check_nodes(nodes: DataFrame) -> None:
     twice = nodes.groupBy("name").count().where("count > 1").select("name").limit(3).collect()
     if twice:
@@ -71,12 +84,14 @@ def closure(edges: DataFrame, start: DataFrame | None = None, down: bool = False
         start = edges.select(F.explode(F.array("src", "dst")).alias("name"))
     front = checkpointed(start.select(F.col("name").alias("root"), "name").distinct())
     found = front
-    for _ in range(most):
+    for n in range(most):
         new = front.join(step, "name").select("root", F.col("next").alias("name")).distinct()
         front = checkpointed(new.join(found, ["root", "name"], "left_anti"))
         if front.isEmpty():
             return found
         found = found.unionByName(front)
+        if (n + 1) % MERGED_ROUNDS == 0:
+            found = checkpointed(found)
     raise GraphError(f"the graph is deeper than {most}")
 
 
@@ -89,22 +104,32 @@ def transitive_dependents(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, depth: the length of the longest path from a node without parents. Raises on a cycle."""
-    step = edges.select("src", "dst").distinct()
+    """name, depth: the length of the longest path from a node without parents. Raises on a cycle.
+
+    LEVELS levels are worked out in one plan and written together, so a deep graph takes a job for so many of them.
+    """
+    step = checkpointed(edges.select("src", "dst").distinct())
     level = checkpointed(nodes.select("name").join(step.select(F.col("dst").alias("name")), "name", "left_anti").withColumn("depth", F.lit(0)))
     out, n, most = level, 0, nodes.count()
-    while True:
-        n += 1
-        level = checkpointed(level.select(F.col("name").alias("src")).join(step, "src").select(F.col("dst").alias("name")).distinct().withColumn("depth", F.lit(n)))
+    while n <= most:
+        some, front = [], level
+        for k in range(1, LEVELS + 1):
+            front = front.select(F.col("name").alias("src")).join(step, "src").select(F.col("dst").alias("name")).distinct().withColumn("depth", F.lit(n + k))
+            some.append(front)
+        n += LEVELS
+        next_ones = some[0]
+        for df in some[1:]:
+            next_ones = next_ones.unionByName(df)
+        next_ones = checkpointed(next_ones)
+        out = checkpointed(out.unionByName(next_ones).groupBy("name").agg(F.max("depth").alias("depth")))
+        level = next_ones.where(F.col("depth") == n)
         if level.isEmpty():
             break
-        if n >= most:
-            raise GraphError("the graph has a cycle")
-        out = out.unionByName(level)
-    found = out.groupBy("name").agg(F.max("depth").alias("depth"))
-    if found.count() < most:
+    else:
         raise GraphError("the graph has a cycle")
-    return found
+    if out.count() < most:
+        raise GraphError("the graph has a cycle")
+    return out
 
 
 def topological_order(names: list[str], edges: list[tuple[str, str]]) -> list[str]:
