@@ -123,14 +123,14 @@ class Value(Resource):
 
 
 class File(Resource):
-    """Files of one format, read by Spark; their contents are its sources."""
+    """Files of one format, read by Spark. Its sources are its folders, by the names, lengths and times of their files; with contents, the files by what is in them."""
 
-    inputs = {"path": STRING, "format": optional(STRING)}
+    inputs = {"path": STRING, "format": optional(STRING), "contents": optional(BOOL)}
     outputs = {"path": STRING, "format": STRING}
 
     def resolve(self, ctx: Context, inputs: dict) -> dict[str, str]:
-        rows = files.tree_hashes(ctx.spark, inputs["path"]).collect()  # a row for each file named by this block
-        return {r["path"]: r["hash"] for r in rows}
+        found = files.tree_hashes(ctx.spark, inputs["path"]) if inputs.get("contents") else files.folder_hashes(ctx.spark, inputs["path"])
+        return {r["path"]: r["hash"] for r in found.collect()}  # a row for each folder, or for each file that this block names
 
     def apply(self, ctx: Context, inputs: dict, prior: dict | None) -> Applied:
         return Applied({"path": inputs["path"], "format": inputs.get("format") or "parquet"})
@@ -196,20 +196,6 @@ class Exec(Resource):
         return Applied({"stdout": library.run_command(inputs["command"])})
 
 
-class ExecTest(Exec):
-    kind = "test"
-    outputs = {"passed": BOOL}
-
-    def apply(self, ctx: Context, inputs: dict, prior: dict | None) -> Applied:
-        try:
-            super().apply(ctx, inputs, prior)
-        except library.FunctionError:
-            raise
-        except Exception as e:  # the command's failure is the test's result
-            return Applied({"passed": False}, passed=False, message=str(e))
-        return Applied({"passed": True}, passed=True)
-
-
 class Custom(Resource):
     """A resource from a function of (context, inputs) that returns outputs."""
 
@@ -222,7 +208,10 @@ class Custom(Resource):
 
 
 def default_registry() -> Registry:
+    """All resources that come with the library."""
+    from blockloom.plans.tools import add_tools
+
     r = Registry()
-    for provider, name, resource in (("value", "value", Value()), ("module", "outputs", Value()), ("table", "file", File()), ("table", "sql", Sql()), ("table", "expect", Expect()), ("exec", "exec", Exec()), ("exec", "test", ExecTest())):
+    for provider, name, resource in (("value", "value", Value()), ("module", "outputs", Value()), ("table", "file", File()), ("table", "sql", Sql()), ("table", "expect", Expect())):
         r.add(provider, name, resource)
-    return r
+    return add_tools(r)
