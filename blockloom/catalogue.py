@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -63,8 +62,20 @@ def expr_uniq_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, regexp_replace(chr(9) || ' ' || chr(10) || text || chr(13) || chr(10), '^\s+|\s+$', '', 'g') AS trimmed FROM documents")
 def expr_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = expressions(table(spark, sf_dir, "documents"), doc_id="doc_id", trimmed='"\\t \\n" + text + "\\r\\n" | trim', all='"\\t \\n${text}\\r\\n" | trim')
-    return out.select(F.col("doc_id").cast("long"), F.col("all").alias("trimmed"))
+    out = expressions(table(spark, sf_dir, "documents"), doc_id="doc_id", trimmed='"\\t \\n${text}\\r\\n" | trim')
+    return out.select(F.col("doc_id").cast("long"), "trimmed")
+
+
+@query("SELECT p_partkey, p_brand || ': ' || p_name || '!' AS label FROM part")
+def expr_add_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "part"), p_partkey="p_partkey", label='p_brand + ": " + p_name + "!"')
+    return out.withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+@query("SELECT n_nationkey, (n_regionkey = 1 OR n_name = 'CHINA') AS known, CASE WHEN n_regionkey = 1 THEN 'R' ELSE 'other' END AS label FROM nation")
+def expr_bool_and_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = expressions(table(spark, sf_dir, "nation"), n_nationkey="n_nationkey", known='if n_regionkey == 1 then true else n_name == "CHINA"', label="if n_regionkey == 1 then 'R' else 'other'")
+    return out.withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
 
 
 @query("SELECT page_id, array_to_string(string_split(url, '/'), '|') AS parts FROM pages")
@@ -323,40 +334,64 @@ def phase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.phase_edges(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), phase.alias("phase")))
 
 
+_STEPS = 110
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers in chains of 110, each with a shorter way past every tenth: long ways and diamonds."""
+    c = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS k")
+    name = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    last = f"k div {_STEPS}"
+    ways = c.join(c.select(F.col("k").alias("j")), F.expr(f"j = k + 1 AND j div {_STEPS} = {last}")).unionByName(c.where("k % 10 = 0").join(c.select(F.col("k").alias("j")), F.expr(f"j = k + 5 AND j div {_STEPS} = {last}")))
+    return c.select(name(F.col("k")).alias("name")), ways.select(name(F.col("k")).alias("src"), name(F.col("j")).alias("dst"), F.lit("dependency").alias("kind"))
+
+
+@query(f"SELECT 'c' || c_custkey AS name, c_custkey % {_STEPS} - CASE WHEN c_custkey < {_STEPS} THEN (SELECT min(c_custkey) FROM customer) ELSE 0 END AS depth FROM customer")
+def graph_deep_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.depths(*_chains(spark, sf_dir))
+
+
 # Logs.
 
 
 def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as the lines of a test log: a user is a package, a purchase its end, and some lines are broken."""
     e = table(spark, sf_dir, "events")
-    action = F.expr("CASE event_type WHEN 'click' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'output' ELSE CASE WHEN event_id % 3 = 0 THEN 'fail' ELSE 'pass' END END")
+    action = F.expr("CASE event_type WHEN 'click' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'output' ELSE CASE WHEN event_id % 7 = 0 THEN 'skip' WHEN event_id % 3 = 0 THEN 'fail' ELSE 'pass' END END")
     test = F.when(F.col("event_type") != "purchase", F.concat(F.lit("T"), F.expr("event_id % 4")))
     line = F.to_json(F.struct(action.alias("Action"), F.concat(F.lit("u"), "user_id").alias("Package"), test.alias("Test"), F.lit(0.5).alias("Elapsed"), F.concat(F.lit("v"), F.col("event_id").cast("string"), F.lit("\n")).alias("Output")))
     return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 50 == 0, F.lit("not json")).otherwise(line).alias("line"))
 
 
 _LOG = """e AS (SELECT event_id AS seq, 'u' || user_id AS Package, CASE WHEN event_type <> 'purchase' THEN 'T' || (event_id % 4) END AS Test,
-CASE event_type WHEN 'click' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'output' ELSE CASE WHEN event_id % 3 = 0 THEN 'fail' ELSE 'pass' END END AS Action FROM events WHERE event_id % 50 <> 0)"""
+CASE event_type WHEN 'click' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'output' ELSE CASE WHEN event_id % 7 = 0 THEN 'skip' WHEN event_id % 3 = 0 THEN 'fail' ELSE 'pass' END END AS Action FROM events WHERE event_id % 50 <> 0)"""
 _RUNS = f"WITH {_LOG}, r AS (SELECT *, coalesce(sum(CASE WHEN Test IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY Package ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e)"
-_SUITES = f"""{_RUNS}, s AS (SELECT Package, CAST(run AS BIGINT) AS run, count(*) FILTER (Action = 'pass' AND Test IS NOT NULL) AS passed, count(*) FILTER (Action = 'fail' AND Test IS NOT NULL) AS failed, count(*) FILTER (Action = 'skip') AS skipped, bool_or(Test IS NULL) AS ended, bool_or(Test IS NULL AND Action = 'pass') AS ok FROM r GROUP BY 1, 2)"""
+_SUITES = f"""{_RUNS}, s AS (SELECT Package, CAST(run AS BIGINT) AS run, count(*) FILTER (Action = 'pass' AND Test IS NOT NULL) AS passed, count(*) FILTER (Action = 'fail' AND Test IS NOT NULL) AS failed, count(*) FILTER (Action = 'skip' AND Test IS NOT NULL) AS skipped, bool_or(Test IS NULL) AS ended, max(CASE WHEN Test IS NULL THEN Action END) AS verdict FROM r GROUP BY 1, 2), f AS (SELECT *, CASE verdict WHEN 'skip' THEN NULL ELSE verdict = 'pass' END AS ok, verdict = 'skip' AS whole FROM s)"""
 
 
-@query(f"{_SUITES} SELECT Package, run, passed, failed, skipped, CAST(0.5 AS DOUBLE) AS elapsed, ok FROM s WHERE ended AND NOT (ok AND passed + failed + skipped = 0)")
+@query(f"{_SUITES} SELECT Package, run, CASE WHEN whole THEN 0 ELSE passed END AS passed, CASE WHEN whole THEN 0 ELSE failed END AS failed, CASE WHEN whole THEN 0 ELSE skipped END AS skipped, CAST(0.5 AS DOUBLE) AS elapsed, verdict FROM f WHERE ended AND NOT (coalesce(ok, false) AND passed + failed + skipped = 0)")
 def suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.suite_summary(logs.test_events(_event_lines(spark, sf_dir)))
+    out = logs.suite_summary(logs.test_events(_event_lines(spark, sf_dir)))
+    return out.withColumn("verdict", F.when(F.col("ok").isNull(), "skip").when(F.col("ok"), "pass").otherwise("fail")).drop("ok")
 
 
-@query(f"""WITH {_LOG}, t AS (SELECT *, coalesce(sum(CASE WHEN Action IN ('pass', 'fail') THEN 1 ELSE 0 END) OVER (PARTITION BY Package, Test ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM e WHERE Test IS NOT NULL)
-SELECT Package, Test, max(seq) FILTER (Action = 'fail') AS seq, coalesce(string_agg('v' || seq, chr(10) ORDER BY seq) FILTER (Action = 'output'), '') AS output FROM t GROUP BY Package, Test, turn HAVING max(seq) FILTER (Action = 'fail') IS NOT NULL""")
+@query(f"""{_RUNS}, t AS (SELECT *, coalesce(sum(CASE WHEN Action IN ('pass', 'fail') THEN 1 ELSE 0 END) OVER (PARTITION BY Package, run, Test ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM r WHERE Test IS NOT NULL)
+SELECT Package, Test, max(seq) FILTER (Action = 'fail') AS seq, coalesce(string_agg('v' || seq, chr(10) ORDER BY seq) FILTER (Action = 'output'), '') AS output FROM t GROUP BY Package, Test, run, turn HAVING max(seq) FILTER (Action = 'fail') IS NOT NULL""")
 def suite_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.failure_output(logs.test_events(_event_lines(spark, sf_dir)))
 
 
-@query(f"WITH {_LOG} SELECT bool_and(Action = 'pass') AS passed, count(*) > 0 AS had_events FROM e WHERE Test IS NULL")
+@query(f"WITH {_LOG} SELECT bool_and(Action <> 'fail') AS passed, count(*) > 0 AS had_events FROM e WHERE Test IS NULL")
 def suite_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.verdict(logs.test_events(_event_lines(spark, sf_dir)))
 
 
+@query(f"""{_SUITES} SELECT Package, run, CASE WHEN ok IS NULL THEN 'skip' WHEN ok THEN 'ok  ' ELSE 'FAIL' END || ' ' || Package || ': ' || CASE WHEN whole THEN '' ELSE concat_ws(', ', CASE WHEN passed > 0 THEN passed || ' passed' END, CASE WHEN failed > 0 THEN failed || ' failed' END, CASE WHEN skipped > 0 THEN skipped || ' skipped' END) END AS text
+FROM f WHERE ended AND NOT (coalesce(ok, false) AND passed + failed + skipped = 0)""")
+def suite_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.rendered(logs.suite_summary(logs.test_events(_event_lines(spark, sf_dir)))).select("Package", "run", "text")
+
+
 @query()
 def stream_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log as a stream; equal to suite_summary but for run, as the tests show."""
@@ -372,32 +407,51 @@ def stream_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_folder(spark: SparkSession) -> str:
     """The cluster's shared folder."""
-    at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not at.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockloom-"))
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return at.get()
+    graph.ready_to_checkpoint(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def _cargo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    line = F.expr("CASE event_type WHEN 'click' THEN concat('test m', user_id, '::t ... ok') WHEN 'error' THEN concat('test m', user_id, '::t ... FAILED') WHEN 'signup' THEN concat('     Running unittests src/u', user_id, '.rs (x)') WHEN 'purchase' THEN concat('test result: ', if(event_id % 2 = 0, 'ok', 'FAILED'), '. ', user_id, ' passed; ', event_id % 5, ' failed; 1 ignored; 0 measured; finished in 0.25s') ELSE 'running 2 tests' END")
+    line = F.expr("CASE event_type WHEN 'click' THEN concat('test m', user_id, '::t ... ok') WHEN 'error' THEN concat('test m', user_id, '::t ... FAILED') WHEN 'signup' THEN if(event_id % 3 = 0, concat('   Doc-tests u', user_id), concat('     Running unittests src/u', user_id, '.rs (x)')) WHEN 'purchase' THEN concat('test result: ', if(event_id % 2 = 0, 'ok', 'FAILED'), '. ', user_id, ' passed; ', event_id % 5, ' failed; 1 ignored; 0 measured; finished in 0.25s') ELSE 'running 2 tests' END")
     return e.select(F.col("event_id").alias("seq"), line.alias("line"), F.expr("event_id % 16").alias("log"))
 
 
 @query("""SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'test' WHEN 'error' THEN 'test' WHEN 'signup' THEN 'suite' WHEN 'purchase' THEN 'result' ELSE 'running' END AS kind,
-CASE WHEN event_type IN ('click', 'error') THEN 'm' || user_id || '::t' WHEN event_type = 'signup' THEN 'src/u' || user_id || '.rs' END AS name, CASE event_type WHEN 'click' THEN 'ok' WHEN 'error' THEN 'FAILED' END AS status FROM events""")
+CASE WHEN event_type IN ('click', 'error') THEN 'm' || user_id || '::t' WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'doc-tests u' || user_id WHEN event_type = 'signup' THEN 'src/u' || user_id || '.rs' END AS name, CASE event_type WHEN 'click' THEN 'ok' WHEN 'error' THEN 'FAILED' END AS status FROM events""")
 def cargo_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.classified(_cargo_lines(spark, sf_dir)).select("seq", "kind", "name", "status")
 
 
-@query("""WITH l AS (SELECT *, CASE WHEN event_type = 'signup' THEN 'src/u' || user_id || '.rs' END AS s FROM events)
-SELECT event_id AS seq, suite, event_id % 2 = 0 AS ok, user_id AS passed, event_id % 5 AS failed, CAST(1 AS BIGINT) AS ignored, CAST(0.25 AS DOUBLE) AS seconds
+@query("""WITH l AS (SELECT *, CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'doc-tests u' || user_id WHEN event_type = 'signup' THEN 'src/u' || user_id || '.rs' END AS s FROM events)
+SELECT event_id % 16 AS log, event_id AS seq, suite, event_id % 2 = 0 AS ok, user_id AS passed, event_id % 5 AS failed, CAST(1 AS BIGINT) AS ignored, CAST(0.25 AS DOUBLE) AS seconds
 FROM (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY event_id % 16 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suite FROM l) WHERE event_type = 'purchase'""")
 def cargo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.cargo_summary(_cargo_lines(spark, sf_dir), "log")
 
 
+@query("SELECT bool_and(event_id % 2 = 0) AS passed, count(*) > 0 AS had_events FROM events WHERE event_type = 'purchase'")
+def cargo_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.cargo_verdict(_cargo_lines(spark, sf_dir))
+
+
+_SECTIONS = "CASE event_type WHEN 'click' THEN 'header' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'failures' ELSE 'result' END END"
+
+
+@query(f"""WITH k AS (SELECT event_id AS seq, event_id % 8 AS log, user_id, {_SECTIONS} AS kind FROM events), p AS (SELECT *, max(CASE WHEN kind IS NOT NULL THEN seq END) OVER (PARTITION BY log ORDER BY seq) AS at FROM k)
+SELECT p.log, 'm' || h.user_id || '::t' AS name, coalesce(string_agg('line ' || p.seq, chr(10) ORDER BY p.seq) FILTER (p.kind IS NULL), '') AS output FROM p JOIN k h ON h.seq = p.at AND h.kind = 'header' GROUP BY p.log, p.at, h.user_id""")
+def cargo_failure_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.expr(f"CASE {_SECTIONS} WHEN 'header' THEN concat('---- m', user_id, '::t stdout ----') WHEN 'failures' THEN 'failures:' WHEN 'result' THEN 'test result: FAILED. 1 passed; 2 failed; 0 ignored' ELSE concat('line ', event_id) END")
+    return logs.cargo_failures(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), line.alias("line"), F.expr("event_id % 8").alias("log")), "log")
+
+
+@query("SELECT '/bin/u' || user_id AS executable FROM events WHERE event_type = 'click' ORDER BY event_id DESC LIMIT 1")
+def cargo_last_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "bin").otherwise("lib")
+    line = F.to_json(F.struct(F.lit("compiler-artifact").alias("reason"), F.concat(F.lit("/bin/u"), "user_id").alias("executable"), F.struct(F.array(kind).alias("kind"), F.lit("x").alias("name")).alias("target")))
+    return logs.last_binary(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), line.alias("line")))
+
+
 # Sources.
 
 
@@ -408,10 +462,65 @@ def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.ignored(paths, rules).select("page_id", "ignored")
 
 
-@query("SELECT page_id, url FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS url FROM pages) WHERE NOT regexp_matches(url, '(^|/)(node_modules|\\.git|dist|build|coverage|\\.next|\\.turbo|\\.cache|out|target|vendor|tmp)/') AND NOT (url LIKE '%.log' OR url LIKE '%.tsbuildinfo' OR url LIKE '%.map')")
+_WALKED = """SELECT page_id, concat('p/', CASE page_id % 17 WHEN 0 THEN 'node_modules' WHEN 1 THEN '.git' WHEN 2 THEN 'dist' WHEN 3 THEN 'build' WHEN 4 THEN 'out' WHEN 5 THEN '.next' WHEN 6 THEN '.nuxt' WHEN 7 THEN '.turbo'
+WHEN 8 THEN '.vite' WHEN 9 THEN '.svelte-kit' WHEN 10 THEN 'coverage' WHEN 11 THEN '.cache' WHEN 12 THEN 'vendor' WHEN 13 THEN 'target' WHEN 14 THEN 'tmp' ELSE 'src' END, '/', page_id, CASE page_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsbuildinfo'
+WHEN 2 THEN '.map' WHEN 3 THEN '.log' ELSE '/.DS_Store' END) AS path FROM pages"""
+
+
+@query(f"SELECT page_id, path FROM ({_WALKED}) WHERE split_part(path, '/', 2) IN ('vendor', 'target', 'tmp', 'src') AND NOT (path LIKE '%.tsbuildinfo' OR path LIKE '%/.DS_Store')")
 def source_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
-    return code.source_walk(paths).select("page_id", F.col("path").alias("url"))
+    return code.source_walk(spark.sql(_WALKED.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages")))
+
+
+_TREE = "SELECT concat('m/', CASE c_custkey % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'a/b' WHEN 2 THEN '_c' WHEN 3 THEN 'vendor/d' WHEN 4 THEN '.e' ELSE 'testdata' END, c_nationkey, '/f', c_custkey, CASE c_custkey % 4 WHEN 0 THEN '.txt' ELSE '.go' END) AS path FROM customer"
+
+
+def _tree(spark: SparkSession, sf_dir: str, text: str = _TREE) -> DataFrame:
+    return spark.sql(text.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+
+
+@query(f"SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM ({_TREE}) WHERE path LIKE '%.go' AND NOT regexp_matches(path, '(^|/)(\\.[^/]+|vendor|testdata)/')")
+def go_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.go_packages(_tree(spark, sf_dir), "./...")
+
+
+@query("SELECT c_custkey AS path, unnest(CASE WHEN c_custkey % 3 = 0 THEN ['t' || c_nationkey || '.txt', 'd' || c_nationkey] ELSE ['x' || c_nationkey, 'y'] END) AS pattern FROM customer WHERE c_custkey % 3 < 2")
+def go_embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat('package x\n', CASE c_custkey % 3 WHEN 0 THEN concat('//go:embed t', c_nationkey, '.txt all:d', c_nationkey, '\n') WHEN 1 THEN concat('//go:embed x', c_nationkey, ' y\n') ELSE '// go: embed z\n' END, 'var a string\n')")
+    return code.go_embeds(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), text.alias("text")))
+
+
+@query("""WITH RECURSIVE need AS (SELECT 1 AS k UNION SELECT u.k FROM need JOIN (SELECT n_nationkey AS k, n_nationkey // 2 AS of FROM nation) u ON u.of = need.k)
+SELECT 'n' || n_nationkey || '/a.go' AS path FROM nation WHERE n_nationkey IN (SELECT k FROM need) UNION ALL SELECT 'n1/a_test.go'""")
+def go_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    imports_ = F.expr("concat_ws('', transform(filter(array(2 * n_nationkey, 2 * n_nationkey + 1), k -> k < 25), k -> concat('  \"ex.com/m/n', k, '\"\n')))")
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("f"), F.concat(F.lit('package x\nimport (\n  "fmt"\n'), imports_, F.lit(")\n")).alias("text"))
+    files_ = n.select(F.concat("f", F.lit("/a.go")).alias("path"), "text").unionByName(n.select(F.concat("f", F.lit("/a_test.go")).alias("path"), F.lit("package x\n").alias("text")))
+    return code.go_closure(files_, "ex.com/m", "./n1", tests=True)
+
+
+@query("SELECT 'w/' || n_name || '/src/lib.rs' AS path, n_name AS name FROM nation WHERE n_regionkey < 3 UNION ALL SELECT 'w/' || n_name || '/Cargo.toml', n_name FROM nation WHERE n_regionkey < 3")
+def cargo_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    inner = F.explode(F.array(*(F.concat(F.lit("w/"), F.col("n_name"), F.lit(x)) for x in ("/src/lib.rs", "/Cargo.toml", "/README.md"))))
+    return code.cargo_sources(n.select(inner.alias("path")), n.where("n_regionkey < 3").select(F.col("n_name").alias("name"), F.concat(F.lit("w/"), F.col("n_name")).alias("folder")))
+
+
+@query(f"SELECT path FROM ({_TREE}) WHERE path LIKE 'm/a3/%' OR path = 'm/a/b7/f7.go' OR regexp_matches(path, '^m/[^/]*/f1[^/]*\\.txt$') GROUP BY path")
+def run_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.run_sources(_tree(spark, sf_dir), "m/a3", ("m/*/f1*.txt",), ("m/a/b7/f7.go",))
+
+
+@query("SELECT path FROM (SELECT regexp_replace(url, '^https?://', '') AS path FROM pages) WHERE regexp_matches(path, '^(.*/)?en/[^/]*[^/]$')")
+def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://", "").alias("path"))
+    return paths.where(F.col("path").rlike(files.pattern_regex("**/en/*?")))
+
+
+@query(f"SELECT path FROM ({_TREE}) WHERE path LIKE 'm/a/%' AND path NOT LIKE '%.txt'")
+def expand_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(files.ignore_rules("*.txt\n"), "seq int, pattern string, negate boolean")
+    return files.expanded(_tree(spark, sf_dir), "./m/a/", rules)
 
 
 @query("SELECT n_nationkey, 'github.com' AS host, n_name AS owner, 'r' || n_regionkey AS repository, CASE WHEN n_nationkey % 2 = 0 THEN 'a/b' ELSE '' END AS folder, CASE WHEN n_nationkey % 3 = 0 THEN 'v1' ELSE '' END AS ref FROM nation")
