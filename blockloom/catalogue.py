@@ -369,10 +369,16 @@ _RUNS = f"WITH {_LOG}, r AS (SELECT *, coalesce(sum(CASE WHEN Test IS NULL THEN
 _SUITES = f"""{_RUNS}, s AS (SELECT Package, CAST(run AS BIGINT) AS run, count(*) FILTER (Action = 'pass' AND Test IS NOT NULL) AS passed, count(*) FILTER (Action = 'fail' AND Test IS NOT NULL) AS failed, count(*) FILTER (Action = 'skip' AND Test IS NOT NULL) AS skipped, bool_or(Test IS NULL) AS ended, max(CASE WHEN Test IS NULL THEN Action END) AS verdict FROM r GROUP BY 1, 2), f AS (SELECT *, CASE verdict WHEN 'skip' THEN NULL ELSE verdict = 'pass' END AS ok, verdict = 'skip' AS whole FROM s)"""
 
 
-@query(f"{_SUITES} SELECT Package, run, CASE WHEN whole THEN 0 ELSE passed END AS passed, CASE WHEN whole THEN 0 ELSE failed END AS failed, CASE WHEN whole THEN 0 ELSE skipped END AS skipped, CAST(0.5 AS DOUBLE) AS elapsed, verdict FROM f WHERE ended AND NOT (coalesce(ok, false) AND passed + failed + skipped = 0)")
+_ENDED = "CASE WHEN whole THEN 0 ELSE passed END AS passed, CASE WHEN whole THEN 0 ELSE failed END AS failed, CASE WHEN whole THEN 0 ELSE skipped END AS skipped, CAST(0.5 AS DOUBLE) AS elapsed, verdict FROM f WHERE ended AND NOT (coalesce(ok, false) AND passed + failed + skipped = 0)"
+
+
+def _with_verdict(df: DataFrame) -> DataFrame:
+    return df.withColumn("verdict", F.when(F.col("ok").isNull(), "skip").when(F.col("ok"), "pass").otherwise("fail")).drop("ok")
+
+
+@query(f"{_SUITES} SELECT Package, run, {_ENDED}")
 def suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = logs.suite_summary(logs.test_events(_event_lines(spark, sf_dir)))
-    return out.withColumn("verdict", F.when(F.col("ok").isNull(), "skip").when(F.col("ok"), "pass").otherwise("fail")).drop("ok")
+    return _with_verdict(logs.suite_summary(logs.test_events(_event_lines(spark, sf_dir))))
 
 
 @query(f"""{_RUNS}, t AS (SELECT *, coalesce(sum(CASE WHEN Action IN ('pass', 'fail') THEN 1 ELSE 0 END) OVER (PARTITION BY Package, run, Test ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM r WHERE Test IS NOT NULL)
@@ -392,7 +398,7 @@ def suite_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.rendered(logs.suite_summary(logs.test_events(_event_lines(spark, sf_dir)))).select("Package", "run", "text")
 
 
-@query()
+@query(f"{_SUITES} SELECT Package, {_ENDED}")
 def stream_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log as a stream; equal to suite_summary but for run, as the tests show."""
     base = f"{graph_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -402,7 +408,7 @@ def stream_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     done.awaitTermination()
     if done.exception():
         raise done.exception()
-    return spark.read.parquet(f"{base}/out")
+    return _with_verdict(spark.read.parquet(f"{base}/out"))
 
 
 def graph_folder(spark: SparkSession) -> str:
