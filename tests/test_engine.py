@@ -150,13 +150,31 @@ def test_parquet_store(spark, tmp_path):
     again = ParquetStore(spark, str(tmp_path / "s"))
     assert again.all() == store.all()
     assert actions(engine(spark, text, again).apply()) == {"a": "none"}
-    (tmp_path / "s" / "current").rename(tmp_path / "s" / "next")  # as a crash between writing and renaming leaves it
+    (tmp_path / "s" / "current").rename(tmp_path / "s" / "current.part")  # as a crash between writing and renaming leaves it
     again = ParquetStore(spark, str(tmp_path / "s"))
     assert again.all() == store.all()
+    (tmp_path / "s" / "log").mkdir(exist_ok=True)
+    (tmp_path / "s" / "log" / "000000000009.json.part").write_text('[["a"')  # as a crash within a change leaves it
+    assert ParquetStore(spark, str(tmp_path / "s")).all() == store.all()
     again.remove("a")
     assert ParquetStore(spark, str(tmp_path / "s")).all() == {}
 
 
+def test_a_change_of_state_is_a_small_file(spark, tmp_path):
+    from blockloom.plans.state import BlockState
+
+    store = ParquetStore(spark, str(tmp_path / "s"))
+    for k in range(12):
+        store.save(BlockState(f"b{k}", {"x": "é"}, {"y": k}, f"h{k}", passed=k % 2 == 0))
+    store.remove("b3")
+    store.save(BlockState("b4", content_hash="new"))
+    assert not list((tmp_path / "s").glob("v*")) and len(list((tmp_path / "s" / "log").glob("*.json"))) == 14
+    again = ParquetStore(spark, str(tmp_path / "s"))
+    want = {k: v for k, v in store.all().items()}
+    assert {k: (v.content_hash, v.passed) for k, v in again.all().items()} == {k: (v.content_hash, v.passed) for k, v in want.items()} and "b3" not in again.all()
+    assert not list((tmp_path / "s" / "log").glob("*.json")) and again.version == 1
+
+
 def test_json_keeps_types():
     from decimal import Decimal
 
