@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import tempfile
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 MERGED_ROUNDS, LEVELS = 16, 6
 
 
+def written_by_depth(df: DataFrame) -> tuple[str, DataFrame]:
+    """df, which has a column depth, as a table with a folder for each depth, in the shared folder: a level reads its own rows only."""
+    ready_to_checkpoint(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/blockloom-{uuid.uuid4().hex}"
+    df.write.partitionBy("depth").parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def check_nodes(nodes: DataFrame) -> None:
     twice = nodes.groupBy("name").count().where("count > 1").select("name").limit(3).collect()
     if twice:
@@ -193,20 +207,24 @@ def primary_parents(edges: DataFrame) -> DataFrame:
 
 
 def tree(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> list[str]:
-    """Lines of the tree of primary parents, each with its other parents."""
+    """Lines of the tree of primary parents: each block with its type and the first line of its doc, if nodes has these, and its other parents by content."""
     primary = {r[0]: r[1] for r in primary_parents(edges).collect()}
     others = defaultdict(list)
-    for r in edges.select("src", "dst").distinct().collect():
+    for r in edges.where(F.col("kind") == DEPENDENCY).select("src", "dst").distinct().collect():
         if primary.get(r[1]) != r[0]:
             others[r[1]].append(r[0])
-    below = defaultdict(list)
-    for r in nodes.select("name").collect():
-        below[primary.get(r[0])].append(r[0])
+    below, told = defaultdict(list), {}
+    for r in nodes.select("name", *(c for c in ("provider", "resource", "doc") if c in nodes.columns)).collect():
+        below[primary.get(r["name"])].append(r["name"])
+        told[r["name"]] = r.asDict()
     out = []
 
     def walk(name: str, indent: int) -> None:
+        first, *more = (told[name].get("doc") or "").splitlines() or [""]
+        kind = f" ({told[name]['provider']}.{told[name]['resource']})" if told[name].get("provider") else ""
+        doc = f" — {first}{'…' if more else ''}" if first else ""
         also = f" (also: {', '.join(sorted(others[name]))})" if others[name] else ""
-        out.append("  " * indent + name + also)
+        out.append("  " * indent + name + kind + doc + also)
         for child in sorted(below[name]):
             walk(child, indent + 1)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.operators.graph import DEPENDENCY, checkpointed, depths
+from blockloom.operators.graph import DEPENDENCY, MERGED_ROUNDS, checkpointed, deleted, depths, written_by_depth
 
 
 def canonical(col: Column, t: T.DataType) -> Column:
@@ -45,9 +45,13 @@ def content_hashes(blocks: DataFrame, resolved: DataFrame, parents: DataFrame, d
     sources = _ordered(resolved, "block", "key", "hash", between).withColumnRenamed("text", "sources")
     above = _ordered(parents, "block", "parent", "hash", between).withColumnRenamed("text", "above")
     joined = blocks.join(sources, "block", "left").join(above, "block", "left")
-    parts = [F.col("input_hash"), F.coalesce("sources", F.lit("")), F.coalesce("above", F.lit(""))]
-    whole = F.concat(parts[0], F.lit("\x1e"), parts[1], F.lit("\x1e"), parts[2]) if delimited else F.concat(*parts)
-    return joined.select("block", F.sha2(whole, 256).alias("content_hash"))
+    return joined.select("block", _whole("input_hash", "sources", "above", delimited).alias("content_hash"))
+
+
+def _whole(own: str, sources: str, above: str, delimited: bool) -> Column:
+    """The content hash of a block's three parts."""
+    parts = [F.col(own), F.coalesce(F.col(sources), F.lit("")), F.coalesce(F.col(above), F.lit(""))]
+    return F.sha2(F.concat(parts[0], F.lit("\x1e"), parts[1], F.lit("\x1e"), parts[2]) if delimited else F.concat(*parts), 256)
 
 
 def dependency_hashes(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -57,14 +61,32 @@ def dependency_hashes(edges: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def merkle(blocks: DataFrame, resolved: DataFrame, nodes: DataFrame, edges: DataFrame, delimited: bool = True) -> DataFrame:
-    """block, content_hash for a whole graph, level by level: one join and one aggregation for each depth."""
-    content = edges.where(F.col("kind") == DEPENDENCY)
-    level = checkpointed(depths(nodes, edges))
+    """block, content_hash for a whole graph, level by level: one join and one aggregation for each depth.
+
+    Sources are put in order once, for all blocks; blocks and edges lie in a folder for each depth, so a level reads its own.
+    """
+    between = "\x1f" if delimited else ""
+    spark = blocks.sparkSession
+    level = checkpointed(depths(nodes, edges).withColumnRenamed("name", "block"))
     deepest = level.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return blocks.select("block", F.col("input_hash").alias("content_hash")).limit(0)
+    sources = _ordered(resolved, "block", "key", "hash", between).withColumnRenamed("text", "sources")
+    at, own = written_by_depth(blocks.join(sources, "block", "left").join(level, "block").select("block", "input_hash", "sources", "depth"))
+    ways = edges.where(F.col("kind") == DEPENDENCY).select(F.col("dst").alias("block"), F.col("src").alias("parent")).distinct()
+    ways_at, ways = written_by_depth(ways.join(level, "block").select("block", "parent", "depth"))
     done = None
-    for d in range((deepest if deepest is not None else -1) + 1):
-        own = blocks.join(level.where(F.col("depth") == d).select(F.col("name").alias("block")), "block", "left_semi")
-        above = dependency_hashes(content, done) if done is not None else content.select(F.col("dst").alias("block"), F.col("src").alias("parent"), F.lit("").alias("hash")).limit(0)
-        here = checkpointed(content_hashes(own, resolved.join(own, "block", "left_semi"), above.join(own, "block", "left_semi"), delimited))
-        done = here if done is None else done.unionByName(here)
-    return done if done is not None else blocks.select("block", F.col("input_hash").alias("content_hash")).limit(0)
+    for d in range(deepest + 1):
+        here = own.where(F.col("depth") == d).drop("depth")
+        if done is None:
+            above = here.select("block", F.lit("").alias("above"))
+        else:
+            stored = ways.where(F.col("depth") == d).join(done.select(F.col("block").alias("parent"), F.col("content_hash").alias("hash")), "parent")
+            above = _ordered(stored, "block", "parent", "hash", between).withColumnRenamed("text", "above")
+        hashed = checkpointed(here.join(above, "block", "left").select("block", _whole("input_hash", "sources", "above", delimited).alias("content_hash")))
+        done = hashed if done is None else done.unionByName(hashed)
+        if (d + 1) % MERGED_ROUNDS == 0:
+            done = checkpointed(done)
+    deleted(spark, at)
+    deleted(spark, ways_at)
+    return done
