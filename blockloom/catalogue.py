@@ -172,7 +172,8 @@ def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name || '[' || r || ', ' || s || ']' AS slice FROM nation CROSS JOIN (VALUES ('amd64'), ('arm64')) a(r) CROSS JOIN (VALUES ('F'), ('O'), ('P')) b(s)")
 def matrix_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = {"arch": ["amd64", "arm64"], "status": ["F", "O", "P"]}
-    values = F.array(*(F.struct(F.lit(a).alias("arch"), F.lit(s).alias("status")) for a in keys["arch"] for s in keys["status"]))
+    slices = expansion.cartesian(spark, keys).orderBy("place").collect()  # a matrix of configured values
+    values = F.array(*(F.struct(*(F.lit(r[k]).alias(k) for k in keys)) for r in slices))
     df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.inline(values))
     return df.select("n_nationkey", expansion.slice_name(F.col("n_name"), F.col("arch"), F.col("status")).alias("slice"))
 

@@ -92,9 +92,11 @@ def cargo_packages(spark: SparkSession, metadata: str) -> DataFrame:
 
 
 def cargo_sources(paths: DataFrame, packages: DataFrame) -> DataFrame:
-    """path, name: Rust files and manifests of paths(path) in each package's folder."""
-    folders = packages.select("name", "folder").distinct()  # of a document that the driver has read
-    return paths.where(F.col("path").rlike(r"(\.rs|(^|/)Cargo\.(toml|lock))$")).join(F.broadcast(folders), F.startswith(F.col("path"), F.concat("folder", F.lit("/")))).select("path", "name")
+    """path, name: Rust files and manifests of paths(path) in each package's folder, at any depth: joined by each folder around a file."""
+    kept = paths.where(F.col("path").rlike(r"(\.rs|(^|/)Cargo\.(toml|lock))$"))
+    parts = F.split("path", "/")
+    around = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n - 1), "/")))
+    return kept.select("path", around.alias("folder")).join(packages.select("name", "folder").distinct(), "folder").select("path", "name")
 
 
 def workspace_packages(yaml: str, manifests: dict[str, str]) -> dict[str, str]:
