@@ -33,7 +33,8 @@ def chat_format(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     mask is the loss mask as run lengths, an array of (n_chars, loss) whose lengths add up to the string's;
     it covers the texts of loss_roles and nothing else. Null roles and texts count as empty, a null turn
     sorts first, turns alike sort by role and text, and repeated rows all stay. A null conversation is one
-    conversation; other columns are ignored; an empty table gives an empty result.
+    conversation; other columns are ignored; an empty table gives an empty result. A conversation becomes one string, so
+    all of it must fit into one task's memory (2 GB at most): groups without a conversation's bound, such as all null ones of a damaged table, must be split before.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = rows.select(F.col(conv_col).alias("conv"), turn.alias("t")).groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))

@@ -25,7 +25,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -46,6 +45,8 @@ RATIO, FLOOR = 2.0, 0.05
 EVIDENCE, GAMMA = 1.3, 0.9
 #: Low nodes and texts up to which their list is broadcast, and entries that a task adds up at a time.
 BROADCAST_LOW, HELD = 200_000, 2_000_000
+#: Pages whose entries are made at once.
+AT_ONCE = 512
 
 # Names of elements of the HTML standard, of ARIA roles, and words in the wild's class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -94,31 +95,14 @@ NOISE_NODE, ARTICLE_NODE, PAGE_NODE = 1, 2, 4
 
 
 class Style:
-    """A style node on one page: its ancestors with itself at first, what it declares, its presentations, links and texts."""
+    """A style node on one page: its ancestors with itself at first, what it declares, its presentations, and its links and images."""
 
-    __slots__ = ("above", "chars", "declared", "features", "links", "places", "shows")
+    __slots__ = ("above", "declared", "links", "shows")
 
     def __init__(self, above: tuple[int, ...], declared: int) -> None:
         self.above, self.declared = above, declared
         self.shows: set[int] = set()  # digests of sequences of children; 0 has none
         self.links: list[str] = []
-        self.features: Counter = Counter()  # words, links and images
-        self.places: set[int] = set()
-        self.chars = 0
-
-    def add(self, place: int, text: str) -> None:
-        self.places.add(place)
-        self.features.update(text.split())
-        self.chars += len(text)
-
-
-def filled(styles: dict[int, Style], texts: Iterable[tuple[int, int, str]]) -> dict[int, Style]:
-    """styles with their links and texts (node, place, text) as content."""
-    for x in styles.values():
-        x.features.update(x.links)
-    for node, place, text in texts:
-        styles[node].add(place, text)
-    return styles
 
 
 def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
@@ -306,33 +290,57 @@ _ENTRY = np.dtype([("kind", "u1"), ("declared", "u1"), ("node", "<u8"), ("what",
 WORD_BITS = 36
 
 
-def entries(styles: dict[int, Style]) -> np.ndarray:
-    """A page's entries, of the style nodes that hold something."""
-    full = {w for x in styles.values() if x.features for w in x.above}
-    kind, declared, node, what, n, s = [], [], [], [], [], []
-
-    def add(k: int, x: Style, of: list[int], numbers: list[int], sums: list[float], says: int = 0) -> None:
-        kind.extend([k] * len(of))
-        declared.extend([says] * len(of))
-        node.extend([x.above[0]] * len(of))
-        what.extend(of)
-        n.extend(numbers)
-        s.extend(sums)
-
-    for x in (styles[w] for w in full):
-        uses = list(x.features.values())
-        add(WORDS, x, [_digest(w) & (1 << WORD_BITS) - 1 for w in x.features], uses, [k * math.log(k) if k > 1 else 0.0 for k in uses])
-        add(SHOWS, x, list(x.shows), [1] * len(x.shows), [0.0] * len(x.shows))
-        add(TEXTS, x, list(x.places), [1] * len(x.places), [0.0] * len(x.places))
-        add(ABOVE, x, list(x.above), [1] * len(x.above), list(range(len(x.above))), x.declared)
-        if x.features:
-            add(CONTENT, x, [0], [1], [x.chars])
-    out = np.empty(len(kind), _ENTRY)
+def _rows(kind: int, node: np.ndarray, what: object, n: object, s: object, declared: object = 0) -> np.ndarray:
+    out = np.empty(len(node), _ENTRY)
     for name, column in zip(_ENTRY.names, (kind, declared, node, what, n, s), strict=True):
         out[name] = column
     return out
 
 
+def entries(pages: pa.RecordBatch, known: dict[int, tuple[tuple[int, ...], int]]) -> np.ndarray:
+    """The entries of pages (blocks, styles). known holds what is above a style node and declared of it, for all that were met before."""
+    blocks, styles = pages.column(0), pages.column(1)
+    b, s = blocks.flatten(), styles.flatten()
+    page = lambda x: np.repeat(np.arange(pages.num_rows), x.value_lengths().to_numpy(zero_copy_only=False))
+    node = s.field("node").to_numpy()
+    for k, (x, up) in enumerate(zip(node.tolist(), s.field("parent").to_pylist(), strict=True)):  # those around come before those inside
+        if x not in known:
+            known[x] = (x, *(known[up][0] if up is not None else ())), s.field("declared")[k].as_py()
+    # Of each block, the row of its style node on its page.
+    names, of_style = np.unique(node, return_inverse=True)
+    place_of = page(styles) * len(names) + of_style
+    order = np.argsort(place_of)
+    row = order[np.searchsorted(place_of, page(blocks) * len(names) + np.searchsorted(names, b.field("node").to_numpy()), sorter=order)]
+    tokens, words, chars = [], [], []
+    for text, whole in zip(b.field("text").to_pylist(), b.field("whole").to_pylist(), strict=True):
+        text = text if whole is None else whole
+        mine = text.split()
+        tokens += mine
+        words.append(len(mine))
+        chars.append(len(text))
+    links, shows = s.field("links"), s.field("shows")
+    tokens += links.flatten().to_pylist()
+    lengths = lambda x: np.repeat(np.arange(len(s)), x.value_lengths().to_numpy(zero_copy_only=False))
+    owner = np.concatenate([np.repeat(row, np.array(words, np.int64)), lengths(links)]).astype(np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens)) & np.uint64((1 << WORD_BITS) - 1)
+    used, n = np.unique(owner << np.uint64(WORD_BITS) | hashes, return_counts=True)
+    with_words = (used >> np.uint64(WORD_BITS)).astype(np.int64)
+    full = np.unique(with_words)
+    at = np.lexsort((b.field("place").to_numpy(), row))
+    texts = np.stack([row[at], b.field("place").to_numpy()[at]])
+    texts = texts[:, np.append(True, (texts[:, 1:] != texts[:, :-1]).any(axis=0))[: texts.shape[1]]]
+    times = np.bincount(of_style, minlength=len(names)).tolist()
+    above = [(x, w, m, k, known[x][1]) for x, m in zip(names.tolist(), times, strict=True) for k, w in enumerate(known[x][0])]
+    up = np.array(above, np.int64).reshape(-1, 5)
+    return np.concatenate([
+        _rows(WORDS, node[with_words], used & np.uint64((1 << WORD_BITS) - 1), n, n * np.log(n)),
+        _rows(SHOWS, node[lengths(shows)], shows.flatten().to_numpy(), 1, 0),
+        _rows(TEXTS, node[texts[0]], texts[1], 1, 0),
+        _rows(ABOVE, up[:, 0], up[:, 1], up[:, 2], up[:, 3], up[:, 4]),
+        _rows(CONTENT, node[full], 0, 1, np.bincount(row, chars, len(s))[full]),
+    ])
+
+
 def _added(rows: np.ndarray) -> np.ndarray:
     """Entries that are alike added up; distances are not."""
     order = np.lexsort((rows["what"], rows["node"], rows["kind"]))
@@ -506,27 +514,17 @@ def _parse(keys: int) -> Callable:
     return run
 
 
-def _restored(nodes: list[dict], blocks: list[dict]) -> dict[int, Style]:
-    """A page's style nodes as _parse has put them down; those around come before those inside."""
-    styles: dict[int, Style] = {}
-    for x in nodes:
-        style = styles[x["node"]] = Style((x["node"], *(styles[x["parent"]].above if x["parent"] is not None else ())), x["declared"])
-        style.shows, style.links = set(x["shows"]), x["links"]
-    return filled(styles, ((b["node"], b["place"], b["text"] if b["whole"] is None else b["whole"]) for b in blocks))
-
-
 def _tallied(bits: int) -> Callable:
     """The entries of pages (blocks, styles), by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally(bits)
         send = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(tally.dealt(), (pa.int64(), pa.binary()), strict=True)], names=["bucket", "entries"])
+        known: dict[int, tuple[tuple[int, ...], int]] = {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):  # some pages at a time as Python's lists
-                part = batch.slice(k, 256)
-                for blocks, nodes in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if tally.add(entries(_restored(nodes, blocks))):
-                        yield send()
+            for k in range(0, batch.num_rows, AT_ONCE):
+                if tally.add(entries(batch.slice(k, AT_ONCE), known)):
+                    yield send()
         yield send()
 
     return run

@@ -183,6 +183,59 @@ def test_runs_hold_at_any_depth():
     assert 1 - (1 - survive) ** runs_for(0.99, 0.8) >= 0.99
 
 
+# Texts over a chunk, and many chunks.
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """13 MB in one partition: chunks of 4 MB, a text over a chunk, and passages that they share."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    base = [word() for _ in range(100_000)]
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(base[:90_000]), " ".join([*base[:90_000], "end"])]
+    for k in range(9):
+        texts.append(" ".join(word() for _ in range(70_000)) + f" {passage} " + " ".join(word() for _ in range(60_000)) * (1 + 4 * (k == 4)))
+    return list(enumerate(texts))
+
+
+def test_repeats_across_chunks(spark, long_rows):
+    df = docs_of(spark, long_rows).coalesce(1)
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup(df).select("doc_id", "n_words", "n_removed").collect()}
+    seen, want = set(), {}
+    for i, text in long_rows:
+        words = text.split()
+        gone = bytearray(len(words))
+        for k in range(len(words) - 19):
+            window = " ".join(words[k : k + 20])
+            if window in seen:
+                gone[k : k + 20] = b"\1" * 20
+            else:
+                seen.add(window)
+        want[i] = (len(words), sum(gone))
+    assert got == want and want[1][1] == 90_000 and all(want[k][1] >= 60 for k in range(3, 11))
+
+
+def test_links_and_equal_texts_across_chunks(spark, long_rows):
+    rows = [*long_rows, (50, long_rows[6][1] + " tail"), (51, long_rows[6][1])]
+    df = docs_of(spark, rows).coalesce(1)
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard_classes(df).collect()}
+    assert got == {i: (i, 0) for i, _ in long_rows} | {0: (0, 1), 1: (0, 1), 6: (6, 2), 50: (6, 2), 51: (6, 2)}
+    kept = exact_dedup(df).where("kept").select("doc_id").collect()
+    assert {x.doc_id for x in kept} == {i for i, _ in rows} - {6}
+
+
+def test_a_very_long_page_and_turn(spark, long_rows):
+    from blockloom.llm import chat_format as chat
+
+    text = long_rows[6][1]
+    page = spark.createDataFrame([(1, "http://x.com/1", f"<nav>m</nav><p>{text}</p>")], "page_id long, url string, html string")
+    assert html.extract_main_text(page).first()["text"] == text
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text + "</s>")], "conv_id long, turn long, role string, text string")
+    read = chat.chat_read(chat.chat_format(turns)).first()
+    assert read.loss_text == text + "</s>" and [t.text for t in read.turns] == [text, text + "</s>"]
+
+
 # The flow against all flows.
 
 
@@ -218,15 +271,69 @@ def test_flow_against_all_flows(seed):
     assert (sum(flow.values()), price) == cheapest(words, quotas, mixing.COPY_COST)
 
 
+def plain_mix(rows, seed_hash, weights):
+    """How many words of each id the mix takes: by one walk over each source's documents in the order of their hashes."""
+    sizes = collections.defaultdict(lambda: collections.Counter())
+    for i, text, _, source in rows:
+        sizes[source][i] += len((text or "").split())
+    words = {s: sum(c.values()) for s, c in sizes.items()}
+    goal = mixing.targets(words, weights, sum(words.values()))
+    out = {}
+    for s, c in sizes.items():
+        much = min(round(goal[s]), 3 * words[s])
+        times, gap = divmod(much, words[s]) if words[s] else (0, 0)
+        order = sorted((i for i in c if c[i]), key=lambda i: (seed_hash[i], str(i)))
+        more = set()
+        for i in order:
+            if gap and c[i] <= gap:
+                more.add(i)
+                gap -= c[i]
+        left = [(c[i], seed_hash[i], str(i), i) for i in order if i not in more and c[i] < 2 * gap]
+        if left:
+            more.add(min(left)[3])
+        out |= {(s, i): (times + (i in more)) for i in c}
+    return out, goal
+
+
+@pytest.mark.parametrize("seed", [0, 5])
+def test_mix_against_a_plain_walk(spark, seed):
+    import corpus_pipeline as p
+
+    r = random.Random(seed)
+    rows = [(i, " ".join("w" * r.randint(1, 3) for _ in range(int(r.paretovariate(0.7)) % 3000)) or None, None, r.choice(["a", "b", "b", "b", "c", None])) for i in range(500)] + [(600, "x y", None, "d")]
+    df = docs_of(spark, rows)
+    hashes = {x[0]: x[1] for x in df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))).collect()}
+    weights = mixing.cycled_weights(list({x[3] for x in rows}))
+    want, goal = plain_mix(rows, hashes, weights)
+    got = mixing.mix_sources(df, seed=seed, keep=["doc_id", "source"]).collect()
+    assert {(x.source, x.doc_id): x.taken // x.size if x.size else 0 for x in got} == {k: n if (dict((i, t) for i, t, *_ in rows)[k[1]]) else 0 for k, n in want.items()}
+    assert all(x.target == goal[x.source] for x in got)
+    if seed == 0:
+        stage = collections.Counter(x.doc_id for x in p.mixture(spark, df, "").collect())
+        assert stage == collections.Counter({x.doc_id: x.taken // x.size for x in got if x.taken})
+
+
 # The site style tree against a plain recursion.
 
 
+class Filled:
+    """A style node of a page with its content."""
+
+    def __init__(self, style):
+        self.above, self.declared, self.shows = style.above, style.declared, style.shows
+        self.features, self.places, self.chars = collections.Counter(style.links), set(), 0
+
+
 def plain_tree(pages):
     """What is low of each site of (site, page): style nodes and texts; and the importance of nodes."""
     sites = collections.defaultdict(dict)
     for site, page in pages:
         blocks, styles = html.parsed(page, site)
-        html.filled(styles, ((b.node, b.place(), b.all) for b in blocks))
+        styles = {n: Filled(x) for n, x in styles.items()}
+        for b in blocks:
+            styles[b.node].features.update(b.all.split())
+            styles[b.node].places.add(b.place())
+            styles[b.node].chars += len(b.all)
         sites[site].setdefault("\n".join(b.text for b in blocks if not b.noise and b.text), styles)
     low, weights = {}, {}
     for site, different in sites.items():
