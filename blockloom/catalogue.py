@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from blockloom.functions.types import duration_column, duration_text
 from blockloom.operators import expansion, graph, hashing, logs, planning
 from blockloom.plans.compiler import select
+from blockloom.plans.engine import ApplyError, Engine
+from blockloom.plans.loader import load
 from blockloom.plans.parser import parse_expression
+from blockloom.plans.providers import Custom, Registry, default_registry
+from blockloom.plans.state import MemoryStore
 from blockloom.sources import code, dockerfile, files, imports
 from blockloom.streaming.suites import stream_suites
 
@@ -166,6 +170,49 @@ def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", duration_text(ns).alias("shown"))
 
 
+@query(f"SELECT user_id, CAST(sum(CAST((user_id * 2 + 1) * ({_SIZES}) AS BIGINT) // 2) AS BIGINT) AS ns FROM events GROUP BY user_id")
+def duration_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").withColumn("text", F.expr(f"concat(user_id, '.5', {_UNITS})"))
+    return df.groupBy("user_id").agg(F.sum(duration_column(F.col("text"))).cast("long").alias("ns"))
+
+
+# Whole pipelines.
+
+
+def _pipeline(spark: SparkSession, text: str, store: MemoryStore | None = None, registry: Registry | None = None) -> Engine:
+    registry = registry or default_registry()
+    return Engine(spark, load(spark, text, registry), registry, store or MemoryStore(), f"{graph_folder(spark)}/blocks-{uuid.uuid4().hex}")
+
+
+@query("""SELECT 'at[' || r_name || ']' AS block, 'path' AS field, 'data/' || r_name || '.parquet' AS value FROM region UNION ALL SELECT 'name[' || r_name || ']', 'low', r_name || '.parquet' FROM region
+UNION ALL SELECT 'one', 'picked', 'ASIA.parquet' UNION ALL SELECT 'all', 'n', 'done'""")
+def pipeline_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline with a slice for each region: expanded, aligned by key, applied, and read from its state."""
+    regions = ", ".join(f'"{r[0]}"' for r in table(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect())
+    text = f'let r = [{regions}]\nat[r] = value {{ path = "data/${{r}}.parquet" }}\nname[r] = value {{ low = at.path | basename }}\none = value {{ picked = name["ASIA"].low }}\nall = value {{ n = "done", depends_on = [name] }}\n'
+    engine = _pipeline(spark, text)
+    engine.apply(jobs=4)
+    return spark.createDataFrame([(b, k, str(v)) for b, s in engine.store.all().items() for k, v in s.outputs.items()], "block string, field string, value string")
+
+
+@query("""SELECT * FROM (VALUES (1, 'base', 'create', ''), (1, 'gate', 'failed', ''), (2, 'base', 'none', ''), (2, 'gate', 'update', 'failed before'), (2, 'last', 'create', ''), (3, 'base', 'none', ''), (3, 'gate', 'none', ''), (3, 'last', 'none', ''),
+(4, 'base', 'update', 'inputs changed'), (4, 'gate', 'update', 'base changed'), (4, 'last', 'update', 'gate changed')) t(run, block, action, reason)""")
+def pipeline_reruns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test that fails once, is run again, rests, and follows a change of what it stands on."""
+    store, registry, failing, rows = MemoryStore(), default_registry(), [True], []
+    registry.add("check", "nations", Custom(lambda ctx, inputs: {"passed": table(spark, sf_dir, "nation").count() > 0 and not failing[0]}, "test"))
+    text = 'base = value { x = "%s" }\ngate = check.nations { of = base.x }\nlast = value { y = "end", depends_on = [gate] }\n'
+    for run, x in ((1, "1"), (2, "1"), (3, "1"), (4, "2")):
+        engine = _pipeline(spark, text % x, store, registry)
+        planned = {s.block: s for s in engine.plan()}
+        try:
+            rows += [(run, s.block, s.action, s.reason) for s in engine.apply()]
+        except ApplyError:
+            rows += [(run, "base", planned["base"].action, ""), (run, "gate", "failed", "")]
+        failing[0] = False
+    return spark.createDataFrame(rows, "run int, block string, action string, reason string")
+
+
 # Expansion.
 
 
