@@ -15,13 +15,10 @@ def connect(folder):
     return con
 
 
-def rows(df):
-    df = df[sorted(df.columns)]
-    plain = lambda v: v.item() if hasattr(v, "item") else v
-    return sorted(tuple(repr(plain(v)) for v in r) for r in df.itertuples(index=False))
-
-
 def assert_same(spark_df, con, sql):
-    a, b = spark_df.toPandas(), con.execute(sql).df()
-    assert sorted(a.columns) == sorted(b.columns)
-    assert rows(a) == rows(b)
+    """Equal names and equal rows, nulls and repeats included, in any order."""
+    names = sorted(spark_df.columns)
+    wanted = con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
+    assert sorted(d[0] for d in con.execute(f"SELECT * FROM ({sql}) LIMIT 0").description) == names
+    got, want = (sorted(tuple(map(repr, r)) for r in found) for found in (spark_df.select(*names).collect(), wanted))
+    assert got == want
