@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from blockloom.llm.chat_format import chat_format, chat_read
 from blockloom.llm.common import table
 from blockloom.llm.exact_dedup import exact_dedup
+from blockloom.llm.fill_in_middle import fill_in_middle, restored
 from blockloom.llm.html_extract import extract_main_text
 from blockloom.llm.jaccard_join import jaccard_classes
 from blockloom.llm.mixing import mix_sources
 from blockloom.llm.packing import pack_documents
 from blockloom.llm.quality_rules import FENCES, PRIOR, quality_rules
+from blockloom.llm.spelling import spelling_groups
 from blockloom.llm.substring_dedup import substring_dedup
 from blockloom.llm.token_counts import token_counts
 from blockloom.llm.token_files import read_token_files, write_token_files
@@ -72,7 +74,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup, op9_token_files, op10_html_extraction)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup, op9_token_files, op10_html_extraction, op12_fill_in_middle, op13_spelling_groups)}
 
 _WORDS = r"""w AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM w)"""
@@ -131,6 +142,14 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(t + CASE WHEN again THEN length('[NEXT]') ELSE length('<s>[ROLE][/ROLE]</s>') + r END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts, sha256('42:' || doc_id) AS s FROM documents),
+        h AS (SELECT *, len(ts) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(s, k, 8) AS UBIGINT)) AS h FROM d),
+        f AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+              CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        c AS (SELECT *, array_to_string(ts[1:a], '') AS p, array_to_string(ts[a + 1:b], '') AS m, array_to_string(ts[b + 1:n], '') AS t FROM f)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || t || '<M>' || m ELSE '<S>' || t || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c""",
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
