@@ -13,6 +13,7 @@ from blockloom.llm.fill_in_middle import fill_in_middle, restored
 from blockloom.llm.html_extract import extract_main_text
 from blockloom.llm.jaccard_join import jaccard_classes
 from blockloom.llm.mixing import mix_sources
+from blockloom.llm.neighbours import nearest_neighbours
 from blockloom.llm.packing import pack_documents
 from blockloom.llm.quality_rules import FENCES, PRIOR, quality_rules
 from blockloom.llm.spelling import spelling_groups
@@ -74,6 +75,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
@@ -83,7 +88,7 @@ def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup, op9_token_files, op10_html_extraction, op12_fill_in_middle, op13_spelling_groups)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard_join, op6_mixing, op7_token_counts, op8_exact_dedup, op9_token_files, op10_html_extraction, op11_nearest_neighbours, op12_fill_in_middle, op13_spelling_groups)}
 
 _WORDS = r"""w AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM w)"""
