@@ -399,6 +399,42 @@ def graph_deep_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.depths(*_chains(spark, sf_dir))
 
 
+_WITH_BACK = f"""ways AS (SELECT 'c' || c_custkey AS src, 'c' || (c_custkey + 1) AS dst FROM customer WHERE (c_custkey + 1) % {_STEPS} <> 0 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)
+UNION SELECT 'c' || c_custkey, 'c' || (c_custkey + 5) FROM customer WHERE c_custkey % 10 = 0 AND (c_custkey + 5) // {_STEPS} = c_custkey // {_STEPS} AND c_custkey + 5 IN (SELECT c_custkey FROM customer)
+UNION SELECT 'c' || c_custkey, 'c' || (c_custkey - 9) FROM customer WHERE c_custkey % {_STEPS} = 25 UNION SELECT 'c' || c_custkey, 'c' || c_custkey FROM customer WHERE c_custkey % 97 = 3)"""
+
+
+@query(f"""WITH RECURSIVE {_WITH_BACK}, walk AS (SELECT src AS a, dst AS b FROM ways UNION SELECT a, dst FROM walk JOIN ways ON src = b), ring AS (SELECT a FROM walk WHERE a = b)
+SELECT x.a AS name, min(x.b) AS cycle FROM walk x JOIN walk y ON y.a = x.b AND y.b = x.a WHERE x.a IN (SELECT a FROM ring) GROUP BY x.a""")
+def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains of customers with ways back and to themselves: what lies on cycles, and on which."""
+    nodes, edges = _chains(spark, sf_dir)
+    number = F.expr("CAST(substring(name, 2) AS BIGINT)")
+    back = nodes.withColumn("k", number).select(F.col("name").alias("src"), F.expr(f"CASE WHEN k % {_STEPS} = 25 THEN concat('c', k - 9) END").alias("dst"))
+    own = nodes.where(number % 97 == 3).select(F.col("name").alias("src"), F.col("name").alias("dst"))
+    return graph.cycles(edges.select("src", "dst").unionByName(back.where("dst IS NOT NULL")).unionByName(own))
+
+
+@query(f"SELECT name, depth, row_number() OVER (ORDER BY depth, name) AS number FROM (SELECT 'c' || c_custkey AS name, CAST(c_custkey % {_STEPS} - CASE WHEN c_custkey < {_STEPS} THEN (SELECT min(c_custkey) FROM customer) ELSE 0 END AS INTEGER) AS depth FROM customer)")
+def graph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.order_numbers(*_chains(spark, sf_dir))
+
+
+_PHASES = "p AS (SELECT name, CASE left(name, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS p FROM nodes)"
+
+
+@query(f"WITH {_NODES}, {_PHASES} SELECT a.name AS root, b.name AS name FROM p a JOIN p b ON b.p < a.p OR a.name = b.name")
+def graph_phase_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = _places(spark, sf_dir)
+    return graph.without_barriers(graph.closure(graph.phase_barriers(nodes), nodes.select("name")))
+
+
+@query(f"WITH {_NODES}, {_PHASES} SELECT name, CAST(p AS INTEGER) AS depth FROM p")
+def graph_phase_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = _places(spark, sf_dir)
+    return graph.without_barriers(graph.depths(graph.barrier_nodes(nodes), graph.phase_barriers(nodes)))
+
+
 # Logs.
 
 

@@ -8,52 +8,22 @@ result is a list by nature.
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEPENDENCY, ORDERING = "dependency", "ordering"
-
-
-class GraphError(ValueError):
-    """A graph that is none: unknown names, names given twice, or a cycle."""
-
-
-def ready_to_checkpoint(spark: SparkSession) -> None:
-    """Point the context at the cluster's checkpoint folder; where none is named, a local session gets one of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="blockloom-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed now and cut from its lineage, in the folder that the cluster names."""
-    ready_to_checkpoint(df.sparkSession)
-    return df.checkpoint(eager=True)
+from blockloom.operators.acyclic import GraphError, cycles, depths
+from blockloom.operators.common import checkpointed, ready_to_checkpoint
+from blockloom.operators.scans import numbered
 
+__all__ = ["GraphError", "checkpointed", "cycles", "depths", "ready_to_checkpoint"]
 
-#: Rounds after which what was found in all of them becomes one checkpoint, and levels of a graph that one job works out.
-MERGED_ROUNDS, LEVELS = 16, 6
-
-
-def written_by_depth(df: DataFrame) -> tuple[str, DataFrame]:
-    """df, which has a column depth, as a table with a folder for each depth, in the shared folder: a level reads its own rows only."""
-    ready_to_checkpoint(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/blockloom-{uuid.uuid4().hex}"
-    df.write.partitionBy("depth").parquet(path)
-    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+DEPENDENCY, ORDERING = "dependency", "ordering"
 
 
-def deleted(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+#: Rounds after which what was found in all of them becomes one checkpoint.
+MERGED_ROUNDS = 16
 
 
 def check_nodes(nodes: DataFrame) -> None:
@@ -86,6 +56,41 @@ def phase_edges(nodes: DataFrame) -> DataFrame:
     return before.join(ranked.withColumnRenamed("name", "dst"), "rank").select("src", "dst", F.lit(ORDERING).alias("kind"))
 
 
+#: Names of the two nodes that stand between the phases; no block's name has such a character.
+BARRIERS = ("\x01pre", "\x01default")
+
+
+def phase_barriers(nodes: DataFrame) -> DataFrame:
+    """What phase_edges says by two nodes between the phases, in two edges a node: pre > first > default > second > post.
+
+    Edges have a weight, 0 behind a barrier, so that depths are those of the pairs; closures and orders have the
+    barriers' names besides, which without_barriers leaves out.
+    """
+    first, second = map(F.lit, BARRIERS)
+    phase, name = F.coalesce("phase", F.lit("default")), F.col("name")
+    edge = lambda a, b, weight: F.struct(a.alias("src"), b.alias("dst"), F.lit(weight).alias("weight"))
+    ways = F.when(phase == "pre", F.array(edge(name, first, 1))).when(phase == "post", F.array(edge(second, name, 0))).otherwise(F.array(edge(first, name, 0), edge(name, second, 1)))
+    between = nodes.sparkSession.createDataFrame([(*BARRIERS, 0)], "src string, dst string, weight int")
+    return nodes.select(F.inline(ways)).unionByName(between).withColumn("kind", F.lit(ORDERING))
+
+
+def barrier_nodes(nodes: DataFrame) -> DataFrame:
+    """The names of nodes and of the barriers."""
+    return nodes.select("name").unionByName(nodes.sparkSession.createDataFrame([(b,) for b in BARRIERS], "name string"))
+
+
+def without_barriers(df: DataFrame) -> DataFrame:
+    """df without the rows in which a barrier is name or root."""
+    for c in {"name", "root"} & set(df.columns):
+        df = df.where(~F.col(c).isin(*BARRIERS))
+    return df
+
+
+def order_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """name, depth, number: an order with parents first, by depth and name, numbered from 1 without a list on the driver."""
+    return numbered(depths(nodes, edges), "depth", "name")
+
+
 def closure(edges: DataFrame, start: DataFrame | None = None, down: bool = False, most: int = 10_000) -> DataFrame:
     """root, name: what each start(name) depends on (or, down, what depends on it), itself included.
 
@@ -117,35 +122,6 @@ def transitive_dependents(edges: DataFrame, start: DataFrame) -> DataFrame:
     return closure(edges, start, down=True).select("name").distinct()
 
 
-def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, depth: the length of the longest path from a node without parents. Raises on a cycle.
-
-    LEVELS levels are worked out in one plan and written together, so a deep graph takes a job for so many of them.
-    """
-    step = checkpointed(edges.select("src", "dst").distinct())
-    level = checkpointed(nodes.select("name").join(step.select(F.col("dst").alias("name")), "name", "left_anti").withColumn("depth", F.lit(0)))
-    out, n, most = level, 0, nodes.count()
-    while n <= most:
-        some, front = [], level
-        for k in range(1, LEVELS + 1):
-            front = front.select(F.col("name").alias("src")).join(step, "src").select(F.col("dst").alias("name")).distinct().withColumn("depth", F.lit(n + k))
-            some.append(front)
-        n += LEVELS
-        next_ones = some[0]
-        for df in some[1:]:
-            next_ones = next_ones.unionByName(df)
-        next_ones = checkpointed(next_ones)
-        out = checkpointed(out.unionByName(next_ones).groupBy("name").agg(F.max("depth").alias("depth")))
-        level = next_ones.where(F.col("depth") == n)
-        if level.isEmpty():
-            break
-    else:
-        raise GraphError("the graph has a cycle")
-    if out.count() < most:
-        raise GraphError("the graph has a cycle")
-    return out
-
-
 def topological_order(names: list[str], edges: list[tuple[str, str]]) -> list[str]:
     """Names with parents first, and of those that are ready the least first. On the driver, for a pipeline's blocks."""
     waits, children = dict.fromkeys(names, 0), defaultdict(list)

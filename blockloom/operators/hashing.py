@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.operators.graph import DEPENDENCY, MERGED_ROUNDS, checkpointed, deleted, depths, written_by_depth
+from blockloom.operators.acyclic import depths
+from blockloom.operators.common import checkpointed, deleted, written_by_depth
+from blockloom.operators.graph import DEPENDENCY, MERGED_ROUNDS
 
 
 def canonical(col: Column, t: T.DataType) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.operators.scans import carried, counted
+
 EVENT = "Action STRING, Package STRING, Test STRING, Elapsed DOUBLE, Output STRING"
 
 
@@ -13,38 +15,13 @@ def test_events(lines: DataFrame) -> DataFrame:
     return lines.select("seq", F.from_json("line", EVENT).alias("e")).select("seq", "e.*").where("Action IS NOT NULL AND Package IS NOT NULL")
 
 
-#: Numbers of lines for which a running value is worked out at once; what it is before them comes from a table with a row for so many lines.
-RANGE = 1_000_000
-
-
-def carried(df: DataFrame, mark: Column, name: str, by: str | None = None) -> DataFrame:
-    """df with a column: the last mark that is not null, so far by seq (in each log of by).
-
-    No task gets a whole log: ranges of seq are worked out on their own, and start from the last mark of those before.
-    """
-    keys = [by] if by else []
-    df = df.withColumn("__part", F.floor(F.col("seq") / RANGE)).withColumn("__mark", mark)
-    ends = df.groupBy(*keys, "__part").agg(F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.col("seq"))).alias("__end"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(before)).drop("__end")
-    for k in keys:
-        ends = ends.withColumnRenamed(k, "__by")
-    same = F.col("l.__part") == F.col("r.__part")
-    met = df.alias("l").join(ends.alias("r"), same & F.col(f"l.{by}").eqNullSafe(F.col("r.__by")) if by else same, "left").select("l.*", "r.__before")
-    inside = Window.partitionBy(*keys, "__part").orderBy("seq")
-    out = met.withColumn(name, F.coalesce(F.last("__mark", ignorenulls=True).over(inside), F.col("__before")))
-    return out.drop("__part", "__mark", "__before")
-
-
 #: What ends a package's run; a package that is skipped as a whole has no counts.
 ENDS = ("pass", "fail", "skip")
 
 
 def _runs(events: DataFrame) -> DataFrame:
     """events with run: how many times the package has ended before."""
-    ends = F.col("Test").isNull() & F.col("Action").isin(*ENDS)
-    before = Window.partitionBy("Package").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("run", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)))
+    return counted(events, F.col("Test").isNull() & F.col("Action").isin(*ENDS), "run", "Package")
 
 
 def suite_summary(events: DataFrame) -> DataFrame:
@@ -67,8 +44,7 @@ def suite_summary(events: DataFrame) -> DataFrame:
 def failure_output(events: DataFrame) -> DataFrame:
     """Package, Test, seq, output: what each failed test had printed since it or its package last ended, without the runner's own lines."""
     ended = F.col("Action").isin("pass", "fail")
-    before = Window.partitionBy("Package", "run", "Test").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    tests = _runs(events).where("Test IS NOT NULL").withColumn("turn", F.coalesce(F.sum(ended.cast("int")).over(before), F.lit(0)))
+    tests = counted(_runs(events).where("Test IS NOT NULL"), ended, "turn", ["Package", "run", "Test"])
     text = F.regexp_replace(F.col("Output"), r"\n+$", "")
     own = (F.col("Action") == "output") & F.col("Output").isNotNull() & ~F.startswith(text, F.lit("--- ")) & ~F.startswith(text, F.lit("=== "))
     out = tests.groupBy("Package", "Test", "run", "turn").agg(F.array_sort(F.collect_list(F.when(own, F.struct("seq", text.alias("text"))))).alias("lines"), F.max(F.when(F.col("Action") == "fail", F.col("seq"))).alias("seq"))

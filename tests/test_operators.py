@@ -1,6 +1,6 @@
 import pytest
 
-from blockloom.operators import expansion, graph, hashing, logs, planning
+from blockloom.operators import expansion, graph, hashing, logs, planning, scans
 from blockloom.plans.engine import content_hash
 
 
@@ -174,7 +174,7 @@ def test_a_skipped_package_ends_its_run(spark):
 
 
 def test_logs_are_told_apart_and_carried_across_ranges(spark, monkeypatch):
-    monkeypatch.setattr(logs, "RANGE", 3)
+    monkeypatch.setattr(scans, "RANGE", 3)
     lines = ["Running unittests src/lib.rs (target/x)", "test a ... ok", "running 1 test", "test result: ok. 1 passed; 0 failed; 0 ignored; finished in 0.1s", "   Doc-tests crate", "x", "y", "z", "test result: FAILED. 0 passed; 1 failed; 2 ignored"]
     one = [(k, x, "one") for k, x in enumerate(lines)]
     two = [(k, x.replace("src/lib.rs", "tests/it.rs"), "two") for k, x in enumerate(lines[:4])]
