@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.functions import types
+from blockloom.functions.checks import departures
 from blockloom.functions.types import duration_column, duration_text
-from blockloom.operators import expansion, graph, hashing, logs, planning
+from blockloom.operators import expansion, graph, hashing, logs, planning, reach
 from blockloom.plans.compiler import select
 from blockloom.plans.engine import ApplyError, Engine
 from blockloom.plans.loader import load
@@ -17,6 +20,7 @@ from blockloom.plans.parser import parse_expression
 from blockloom.plans.providers import Custom, Registry, default_registry
 from blockloom.plans.state import MemoryStore
 from blockloom.sources import code, dockerfile, files, imports
+from blockloom.streaming.failures import stream_attributed, stream_failures, with_state_store
 from blockloom.streaming.suites import stream_suites
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,6 +217,32 @@ def pipeline_reruns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "run int, block string, action string, reason string")
 
 
+# Types.
+
+
+_SHAPES = "CASE event_id % 7 WHEN 0 THEN '1' WHEN 1 THEN '\"x\"' WHEN 2 THEN 'true' WHEN 3 THEN '[1, 2, \"y\"]' WHEN 4 THEN '{\"b\": 1, \"a\": \"s\"}' WHEN 5 THEN 'null' ELSE '[1, 2]' END"
+_GOT = "CASE event_id % 7 WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'bool' WHEN 4 THEN 'struct' WHEN 5 THEN 'null' ELSE 'list' END"
+
+
+@query(f"""SELECT event_id, shape, path, expected, got FROM (
+SELECT event_id, 'list' AS shape, CASE event_id % 7 WHEN 3 THEN '.v[2]' ELSE '.v' END AS path, CASE event_id % 7 WHEN 3 THEN 'number' ELSE '[number]' END AS expected, CASE event_id % 7 WHEN 3 THEN 'string' ELSE {_GOT} END AS got FROM events WHERE event_id % 7 <> 6
+UNION ALL SELECT event_id, 'map', CASE event_id % 7 WHEN 4 THEN '.v.a' ELSE '.v' END, CASE event_id % 7 WHEN 4 THEN 'number' ELSE '{{string = number}}' END, CASE event_id % 7 WHEN 4 THEN 'string' ELSE {_GOT} END FROM events
+UNION ALL SELECT event_id, 'union', '.v', 'number | [number]', {_GOT} FROM events WHERE event_id % 7 IN (1, 2, 3, 4, 5)
+UNION ALL SELECT event_id, 'optional', '.v', 'bool', {_GOT} FROM events WHERE event_id % 7 NOT IN (2, 5)
+UNION ALL SELECT event_id, 'struct', '.p.k', 'string', 'number' FROM events UNION ALL SELECT event_id, 'lacking', '.w', 'number', 'null' FROM events)""")
+def type_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' properties beside values of mixed shapes, held against declared types: where each departs first."""
+    text = F.concat(F.lit('{"p": '), "props", F.lit(', "v": '), F.expr(_SHAPES), F.lit("}"))
+    df = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    number = types.NUMBER
+    declared = {
+        "list": {"p": types.struct_of({"k": number}), "v": types.list_of(number)}, "map": {"v": types.map_of(number), "w": types.optional(number)}, "union": {"v": types.union_of(number, types.list_of(number))},
+        "optional": {"v": types.optional(types.BOOL)}, "struct": {"v": types.ANY, "p": types.struct_of({"k": types.STRING})}, "lacking": {"p": types.map_of(number), "w": number},
+    }
+    found = [departures(df.withColumn("shape", F.lit(k)), "text", types.struct_of(t)) for k, t in declared.items()]
+    return functools.reduce(DataFrame.unionByName, found).select("event_id", "shape", "path", "expected", "got")
+
+
 # Expansion.
 
 
@@ -284,6 +314,24 @@ def merkle_nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.merkle(blocks, spark.createDataFrame([], "block string, key string, hash string"), nodes, edges)
 
 
+_CHANGED = "CASE WHEN name IN ('r1', 'n3', 'n7') OR name LIKE 'c%9' THEN 'new' || name ELSE name END"
+
+
+@query(f"""WITH {_NODES}, {_EDGES}, o AS (SELECT name, sha256(name) AS was, sha256({_CHANGED}) AS now FROM nodes),
+r AS (SELECT name AS block, sha256(was || chr(30) || chr(30)) AS a, sha256(now || chr(30) || chr(30)) AS b FROM o WHERE name LIKE 'r%'),
+n AS (SELECT o.name AS block, sha256(was || chr(30) || chr(30) || r.block || chr(31) || r.a) AS a, sha256(now || chr(30) || chr(30) || r.block || chr(31) || r.b) AS b FROM o JOIN edges ON dst = o.name JOIN r ON r.block = src WHERE o.name LIKE 'n%'),
+c AS (SELECT o.name AS block, sha256(was || chr(30) || chr(30) || n.block || chr(31) || n.a) AS a, sha256(now || chr(30) || chr(30) || n.block || chr(31) || n.b) AS b FROM o JOIN edges ON dst = o.name AND kind = 'dependency' JOIN n ON n.block = src)
+SELECT block, a AS old_hash, b AS content_hash FROM (SELECT * FROM r UNION ALL SELECT * FROM n UNION ALL SELECT * FROM c) WHERE a <> b OR block IN ('r1', 'n3', 'n7') OR block LIKE 'c%9'""")
+def merkle_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some regions, nations and customers change: what is hashed again, without the rest of the graph."""
+    nodes, edges = _places(spark, sf_dir)
+    none = spark.createDataFrame([], "block string, key string, hash string")
+    blocks = nodes.select(F.col("name").alias("block"), F.sha2("name", 256).alias("input_hash"))
+    state, ways = map(graph.checkpointed, hashing.merkle_tree(blocks, none, nodes, edges))
+    new = nodes.where(F.col("name").isin("r1", "n3", "n7") | F.col("name").like("c%9")).select(F.col("name").alias("block"), F.sha2(F.expr(_CHANGED), 256).alias("input_hash"))
+    return hashing.merkle_changed(state, ways, hashing.owned(new, none)).select("block", "old_hash", "content_hash")
+
+
 _BEFORE, _AFTER = "o_orderkey % 11 <> 0", "o_orderkey % 13 <> 0"
 _SNAPSHOTS = f"b AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE {_BEFORE}), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS v FROM orders WHERE {_AFTER})"
 
@@ -420,6 +468,27 @@ def graph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.order_numbers(*_chains(spark, sf_dir))
 
 
+_KNOT = f"""ways AS (SELECT 'c' || c_custkey AS src, 'c' || (c_custkey + 1) AS dst FROM customer WHERE c_custkey % 7 <> 3 AND (c_custkey + 1) % {_STEPS} <> 0
+UNION SELECT 'c' || c_custkey, 'c' || (c_custkey + 5) FROM customer WHERE c_custkey % 10 = 0 AND (c_custkey + 5) // {_STEPS} = c_custkey // {_STEPS}
+UNION SELECT 'c' || c_custkey, 'c' || (c_custkey + 9) FROM customer WHERE c_custkey % 13 = 4 AND (c_custkey + 9) // {_STEPS} = c_custkey // {_STEPS}), known AS (SELECT 'c' || c_custkey AS name FROM customer),
+w AS (SELECT src, dst FROM ways WHERE dst IN (SELECT name FROM known))"""
+
+
+@query(f"""WITH RECURSIVE {_KNOT}, walk AS (SELECT name AS b, name AS a FROM known UNION SELECT b, dst FROM walk JOIN w ON src = a),
+q AS (SELECT 'c' || o_custkey AS a, 'c' || (o_custkey - l_partkey % 120) AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT q.a, q.b, q.n, CASE WHEN q.a IN (SELECT name FROM known) AND q.b IN (SELECT name FROM known) THEN walk.a IS NOT NULL END AS depends FROM q LEFT JOIN walk ON walk.a = q.a AND walk.b = q.b""")
+def graph_depends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every order line, whether its customer depends on one some places before it, by the index."""
+    c = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS k")
+    to = F.expr(f"filter(array(if(k % 7 <> 3 AND (k + 1) % {_STEPS} <> 0, k + 1, NULL), if(k % 10 = 0 AND (k + 5) div {_STEPS} = k div {_STEPS}, k + 5, NULL), if(k % 13 = 4 AND (k + 9) div {_STEPS} = k div {_STEPS}, k + 9, NULL)), x -> x IS NOT NULL)")
+    name = lambda x: F.concat(F.lit("c"), F.col(x).cast("string"))
+    edges = c.select("k", F.explode(to).alias("j")).join(c.select(F.col("k").alias("j")), "j", "left_semi").select(name("k").alias("src"), name("j").alias("dst"), F.lit("dependency").alias("kind"))
+    asked = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    asked = asked.select(name("o_custkey").alias("a"), F.concat(F.lit("c"), F.expr("CAST(o_custkey - l_partkey % 120 AS STRING)")).alias("b"))
+    answered = reach.depends(reach.reach_index(c.select(name("k").alias("name")), edges), asked)
+    return answered.groupBy("a", "b", "depends").agg(F.count(F.lit(1)).alias("n"))
+
+
 _PHASES = "p AS (SELECT name, CASE left(name, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS p FROM nodes)"
 
 
@@ -495,6 +564,23 @@ def stream_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_verdict(spark.read.parquet(f"{base}/out"))
 
 
+def _streamed(lines: DataFrame, schema: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What work makes of lines as a stream, with its state in RocksDB."""
+    spark = with_state_store(lines.sparkSession)
+    base = f"{graph_folder(spark)}/stream-{uuid.uuid4().hex}"
+    lines.write.parquet(f"{base}/in")
+    done = work(spark.readStream.schema(schema).parquet(f"{base}/in")).writeStream.format("parquet").option("checkpointLocation", f"{base}/at").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
+    done.awaitTermination()
+    if done.exception():
+        raise done.exception()
+    return lines.sparkSession.read.parquet(f"{base}/out")
+
+
+@query(ORACLES["suite_failures"])
+def stream_suite_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(_event_lines(spark, sf_dir), "seq long, line string", lambda lines: stream_failures(logs.test_events(lines)))
+
+
 def graph_folder(spark: SparkSession) -> str:
     """The cluster's shared folder."""
     graph.ready_to_checkpoint(spark)
@@ -520,6 +606,12 @@ def cargo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.cargo_summary(_cargo_lines(spark, sf_dir), "log")
 
 
+@query("""WITH l AS (SELECT *, CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'doc-tests u' || user_id WHEN event_type = 'signup' THEN 'src/u' || user_id || '.rs' END AS s FROM events)
+SELECT event_id % 16 AS log, event_id AS seq, last_value(s IGNORE NULLS) OVER (PARTITION BY event_id % 16 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suite FROM l""")
+def stream_cargo_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(_cargo_lines(spark, sf_dir), "seq long, line string, log long", lambda lines: stream_attributed(lines, "log")).select("log", "seq", "suite")
+
+
 @query("SELECT bool_and(event_id % 2 = 0) AS passed, count(*) > 0 AS had_events FROM events WHERE event_type = 'purchase'")
 def cargo_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.cargo_verdict(_cargo_lines(spark, sf_dir))
@@ -596,6 +688,18 @@ def cargo_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.cargo_sources(n.select(inner.alias("path")), n.where("n_regionkey < 3").select(F.col("n_name").alias("name"), F.concat(F.lit("w/"), F.col("n_name")).alias("folder")))
 
 
+@query("""SELECT n_name AS name, 'w/' || n_name AS folder, NULL AS target FROM nation UNION ALL SELECT n_name, 'w/' || n_name || '/src', 'w/' || n_name || '/src/lib.rs' FROM nation UNION ALL SELECT n_name, 'w/' || n_name || '/tests', 'w/' || n_name || '/tests/t' || n_regionkey || '.rs' FROM nation
+UNION ALL SELECT n_name, 'x/e' || n_regionkey, 'x/e' || n_regionkey || '/main.rs' FROM nation WHERE n_nationkey % 2 = 0""")
+def cargo_target_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.concat(F.lit("w/"), "n_name")
+    target = lambda name, path: F.struct(F.lit(name).alias("name"), path.alias("src_path"))
+    region = F.col("n_regionkey").cast("string")
+    own = F.array(target("lib", F.concat(at, F.lit("/src/lib.rs"))), target("t", F.concat(at, F.lit("/tests/t"), region, F.lit(".rs"))))
+    more = F.when(F.col("n_nationkey") % 2 == 0, F.array(target("e", F.concat(F.lit("x/e"), region, F.lit("/main.rs"))))).otherwise(F.array().cast("array<struct<name:string,src_path:string>>"))
+    package = F.struct(F.col("n_name").alias("name"), F.concat(at, F.lit("/Cargo.toml")).alias("manifest_path"), F.concat(own, more).alias("targets"))
+    return code.cargo_folders(table(spark, sf_dir, "nation").select(F.to_json(F.struct(F.array(package).alias("packages"))).alias("metadata")))
+
+
 @query(f"SELECT path FROM ({_TREE}) WHERE path LIKE 'm/a3/%' OR path = 'm/a/b7/f7.go' OR regexp_matches(path, '^m/[^/]*/f1[^/]*\\.txt$') GROUP BY path")
 def run_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.run_sources(_tree(spark, sf_dir), "m/a3", ("m/*/f1*.txt",), ("m/a/b7/f7.go",))

@@ -62,14 +62,16 @@ def dependency_hashes(edges: DataFrame, state: DataFrame) -> DataFrame:
     return edges.where(F.col("kind") == DEPENDENCY).select(F.col("dst").alias("block"), F.col("src").alias("parent")).distinct().join(stored, "parent").select("block", "parent", "hash")
 
 
-def merkle(blocks: DataFrame, resolved: DataFrame, nodes: DataFrame, edges: DataFrame, delimited: bool = True) -> DataFrame:
+def merkle(blocks: DataFrame, resolved: DataFrame, nodes: DataFrame, edges: DataFrame, delimited: bool = True, level: DataFrame | None = None) -> DataFrame:
     """block, content_hash for a whole graph, level by level: one join and one aggregation for each depth.
 
     Sources are put in order once, for all blocks; blocks and edges lie in a folder for each depth, so a level reads its own.
+    level(block, depth) is worked out where it is not given.
     """
     between = "\x1f" if delimited else ""
     spark = blocks.sparkSession
-    level = checkpointed(depths(nodes, edges).withColumnRenamed("name", "block"))
+    if level is None:
+        level = checkpointed(depths(nodes, edges).withColumnRenamed("name", "block"))
     deepest = level.agg(F.max("depth")).first()[0]
     if deepest is None:
         return blocks.select("block", F.col("input_hash").alias("content_hash")).limit(0)
@@ -92,3 +94,57 @@ def merkle(blocks: DataFrame, resolved: DataFrame, nodes: DataFrame, edges: Data
     deleted(spark, at)
     deleted(spark, ways_at)
     return done
+
+
+def merkle_tree(blocks: DataFrame, resolved: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What merkle_changed starts from: state(block, depth, own, content_hash) and ways(block, parent, depth), depth that of block.
+
+    own is the input hash and the sources, in order; keep both tables partitioned by depth.
+    """
+    level = checkpointed(depths(nodes, edges).withColumnRenamed("name", "block"))
+    state = owned(blocks, resolved).join(level, "block").join(merkle(blocks, resolved, nodes, edges, level=level), "block")
+    ways = edges.where(F.col("kind") == DEPENDENCY).select(F.col("dst").alias("block"), F.col("src").alias("parent")).distinct().join(level, "block")
+    return state.select("block", "depth", "own", "content_hash"), ways.select("block", "parent", "depth")
+
+
+def owned(blocks: DataFrame, resolved: DataFrame) -> DataFrame:
+    """block, own: what a block's content hash is made of besides its parents."""
+    sources = _ordered(resolved, "block", "key", "hash", "\x1f").withColumnRenamed("text", "sources")
+    return blocks.join(sources, "block", "left").select("block", F.concat("input_hash", F.lit("\x1e"), F.coalesce("sources", F.lit("")), F.lit("\x1e")).alias("own"))
+
+
+def merkle_changed(state: DataFrame, ways: DataFrame, changes: DataFrame) -> DataFrame:
+    """block, own, old_hash, content_hash of the blocks that had to be hashed again after changes(block, own), those whose hash came out the same too.
+
+    Level by level from the first change on: a level's blocks are hashed again if they changed themselves or the hash of one
+    of their parents did, and only they; so what is hashed is bounded by what depends on the changes, and ends where nothing new
+    comes out. Equal to merkle() over everything. The graph must be the one of state; blocks that are new or moved need merkle_tree().
+    """
+    spark = state.sparkSession
+    own = checkpointed(changes.join(state.select("block", "depth"), "block").select("block", "own", "depth"))
+    first, deepest = own.agg(F.min("depth")).first()[0], state.agg(F.max("depth")).first()[0]
+    out = moved = None
+    for d in range(first, deepest + 1) if first is not None else ():
+        here = ways.where(F.col("depth") == d).select("block", "parent")
+        dirty = own.where(F.col("depth") == d).select("block")
+        if moved is not None:
+            dirty = dirty.unionByName(here.join(moved.select(F.col("block").alias("parent")), "parent", "left_semi").select("block")).distinct()
+        dirty = checkpointed(dirty)
+        if dirty.isEmpty():
+            continue
+        mine = state.where(F.col("depth") == d).join(dirty, "block").select("block", F.col("own").alias("before"), F.col("content_hash").alias("old_hash"))
+        wanted = here.join(dirty, "block")
+        hashes = wanted.join(state.where(F.col("depth") < d).select(F.col("block").alias("parent"), F.col("content_hash").alias("was")), "parent")
+        if moved is None:
+            hashes = hashes.select("block", "parent", F.col("was").alias("hash"))
+        else:
+            hashes = hashes.join(moved.select(F.col("block").alias("parent"), F.col("content_hash").alias("now")), "parent", "left").select("block", "parent", F.coalesce("now", "was").alias("hash"))
+        above = _ordered(hashes, "block", "parent", "hash", "\x1f").withColumnRenamed("text", "above")
+        now = mine.join(own.select("block", "own"), "block", "left").select("block", F.coalesce("own", "before").alias("own"), "old_hash").join(above, "block", "left")
+        done = checkpointed(now.select("block", "own", "old_hash", F.sha2(F.concat("own", F.coalesce("above", F.lit(""))), 256).alias("content_hash")))
+        out = done if out is None else out.unionByName(done)
+        new = done.where("content_hash <> old_hash").select("block", "content_hash")
+        moved = new if moved is None else moved.unionByName(new)
+        if (d + 1) % MERGED_ROUNDS == 0:
+            out, moved = checkpointed(out), checkpointed(moved)
+    return out if out is not None else spark.createDataFrame([], "block string, own string, old_hash string, content_hash string")

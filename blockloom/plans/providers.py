@@ -9,6 +9,7 @@ import typing
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import timedelta
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,17 +137,22 @@ class File(Resource):
         return Applied({"path": inputs["path"], "format": inputs.get("format") or "parquet"})
 
 
+def interval(d: Duration) -> timedelta:
+    """A duration as a query's value, to the microsecond."""
+    return timedelta(microseconds=int(d) // 1_000)
+
+
 class Sql(Resource):
-    """A query over the files of other blocks, materialised as Parquet."""
+    """A query over the files of other blocks, materialised as Parquet. args are the values of its :named markers, typed and never part of its text."""
 
-    inputs = {"query": STRING, "tables": optional(map_of(STRING)), "format": optional(STRING), "partition_by": optional(union_of(STRING, list_of(STRING)))}
+    inputs = {"query": STRING, "args": optional(map_of(ANY)), "tables": optional(map_of(STRING)), "format": optional(STRING), "partition_by": optional(union_of(STRING, list_of(STRING)))}
     outputs = {"path": STRING, "columns": list_of(STRING)}
 
     def frame(self, ctx: Context, inputs: dict) -> DataFrame:
         session = ctx.spark.newSession()  # views of one block do not reach another
         for name, path in sorted((inputs.get("tables") or {}).items()):
             session.read.format(inputs.get("format") or "parquet").load(path).createOrReplaceTempView(name)
-        return session.sql(inputs["query"])
+        return session.sql(inputs["query"], args={k: interval(v) if isinstance(v, Duration) else v for k, v in (inputs.get("args") or {}).items()})
 
     def apply(self, ctx: Context, inputs: dict, prior: dict | None) -> Applied:
         df = self.frame(ctx, inputs)

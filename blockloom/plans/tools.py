@@ -65,15 +65,15 @@ def lines_of(spark: SparkSession, output: str) -> DataFrame:
 # What blocks read.
 
 
-#: Folders that hold what tools bring or make, never a project's own files.
+#: Folders that hold what tools bring or make, never a project's own files; an image may copy them all the same.
 NOT_SOURCES = ("node_modules", ".git")
 
 
-def project(spark: SparkSession, root: str, texts: str | None = None) -> DataFrame:
+def project(spark: SparkSession, root: str, texts: str | None = None, skipped: tuple[str, ...] = NOT_SOURCES) -> DataFrame:
     """path (from root) and text of a project's files on this machine, where its tools run; text only of names that end in texts."""
     rows = []
     for folder, inner, names in os.walk(root):
-        inner[:] = sorted(x for x in inner if x not in NOT_SOURCES)
+        inner[:] = sorted(x for x in inner if x not in skipped)
         for name in sorted(names):
             path, text = os.path.join(folder, name), None
             if texts and name.endswith(texts):
@@ -107,14 +107,15 @@ def go_inputs(ctx: Context, package: str, tests: bool) -> dict[str, str]:
 
 
 def cargo_inputs(ctx: Context) -> dict[str, str]:
-    """Rust files and manifests of the workspace's packages, with its lock file."""
+    """Rust files and manifests around all targets of the workspace's packages, with its lock file."""
     meta = run(["cargo", "metadata", "--format-version", "1", "--no-deps"])
     here = os.getcwd()
-    packages = code.cargo_packages(ctx.spark, meta).withColumn("folder", F.regexp_replace("folder", f"^{re.escape(here)}/?", ""))
+    relative = lambda c: F.regexp_replace(c, f"^{re.escape(here)}/?", "")
+    packages = code.cargo_folders(ctx.spark.createDataFrame([(meta,)], "metadata string")).select("name", relative("folder").alias("folder"), relative("target").alias("target"))
     every = project(ctx.spark, here)
-    inside = code.cargo_sources(every.select("path"), packages.where("folder <> ''"))
-    own = every.where(F.col("path").isin("Cargo.toml", "Cargo.lock") | F.startswith("path", F.lit("src/")) & F.endswith("path", F.lit(".rs")))
-    return hashed(here, inside.select("path").unionByName(own.select("path")))
+    inside = code.cargo_sources(every.select("path"), packages.where("folder <> ''"))  # what is built lies in the project's folder too
+    own = every.where(F.col("path").isin("Cargo.toml", "Cargo.lock")).select("path").unionByName(packages.where("target IS NOT NULL").select(F.col("target").alias("path")))
+    return hashed(here, inside.select("path").unionByName(own))
 
 
 def workspace(folder: str) -> dict[str, str]:
@@ -152,7 +153,7 @@ def install_inputs(ctx: Context, i: dict) -> dict[str, str]:
 def image_inputs(ctx: Context, i: dict) -> dict[str, str]:
     """The Dockerfile, and what it copies from the context, without what is ignored there."""
     context, name = i.get("context") or ".", i.get("dockerfile") or "Dockerfile"
-    every = project(ctx.spark, context)
+    every = project(ctx.spark, context, skipped=())
     with open(os.path.join(context, name), encoding="utf-8") as f:
         text = f.read()
     ignore = os.path.join(context, ".dockerignore")

@@ -91,6 +91,21 @@ def cargo_packages(spark: SparkSession, metadata: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, folder string, manifest string, target string, kind string")
 
 
+_METADATA = "packages ARRAY<STRUCT<name: STRING, manifest_path: STRING, targets: ARRAY<STRUCT<name: STRING, src_path: STRING>>>>"
+
+
+def cargo_folders(metadata: DataFrame) -> DataFrame:
+    """name, folder, target: each package's own folder, and the folders of its targets' files with the files, of `cargo metadata` output in metadata(metadata).
+
+    So integration tests, benches, examples and targets anywhere are sources, not only what lies in src.
+    """
+    package = metadata.select(F.inline(F.from_json("metadata", _METADATA)["packages"]))
+    up = lambda path: F.regexp_replace(path, "/?[^/]*$", "")
+    own = package.select("name", up(F.col("manifest_path")).alias("folder"), F.lit(None).cast("string").alias("target"))
+    inner = package.select(F.col("name").alias("package"), F.inline("targets")).where("src_path IS NOT NULL")
+    return own.unionByName(inner.select(F.col("package").alias("name"), up(F.col("src_path")).alias("folder"), F.col("src_path").alias("target"))).distinct()
+
+
 def cargo_sources(paths: DataFrame, packages: DataFrame) -> DataFrame:
     """path, name: Rust files and manifests of paths(path) in each package's folder, at any depth: joined by each folder around a file."""
     kept = paths.where(F.col("path").rlike(r"(\.rs|(^|/)Cargo\.(toml|lock))$"))

@@ -134,6 +134,16 @@ def test_tables_and_gate(spark, small, tmp_path):
     assert engine(spark, text, store, tmp=tmp_path).destroy("orders")[-1] == "orders" and not store.all()
 
 
+def test_arguments_of_a_query_are_no_text(spark, small, tmp_path):
+    """Strings with quotes, numbers and durations come in as values."""
+    text = 'param name = "x"\nq = table.sql { query = "SELECT :name AS name, :least + 1 AS more, :wait > INTERVAL 1 SECOND AS late, count(*) AS n FROM o WHERE o_totalprice > :least", args = { name = name, least = 1000.5, wait = 2s }, tables = { o = "%s/orders.parquet" } }\n' % small
+    e = engine(spark, text, tmp=tmp_path, name="it's \"one\" -- :least")
+    e.apply()
+    row = spark.read.parquet(e.store.all()["q"].outputs["path"]).first()
+    assert row.name == "it's \"one\" -- :least" and float(row.more) == 1001.5 and row.late
+    assert row.n == spark.read.parquet(f"{small}/orders.parquet").where("o_totalprice > 1000.5").count()
+
+
 def test_destroy(spark):
     store = MemoryStore()
     e = engine(spark, "a = value {}\nprotected b = value { depends_on = [a] }\nc = value { depends_on = [b] }\nd = value {}\n", store)

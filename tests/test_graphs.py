@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom.operators import acyclic, graph, scans
+from blockloom.operators import acyclic, graph, hashing, scans
+from blockloom.operators.reach import depends, reach_index
 
 
 def edges_of(spark, pairs):
@@ -94,3 +95,33 @@ def test_numbers_and_running_values(spark):
         assert sorted(map(tuple, out.select("seq", "last", "n").collect())) == want
     number = {x.seq: x.number for x in scans.numbered(df, "seq").collect()}
     assert number == {s: i for i, s in enumerate(sorted(s for _, s, _ in rows), 1)}
+
+
+def test_reach_index_answers_like_walks(spark):
+    r = random.Random(4)
+    names = [f"v{k:02}" for k in range(24)]
+    pairs = sorted({tuple(sorted(r.sample(names, 2))) for _ in range(40)}) + [("alone1", "alone2")]
+    edges = edges_of(spark, pairs).withColumn("kind", F.when(F.col("src") < "v12", "dependency").otherwise("ordering"))
+    nodes = spark.createDataFrame([(n,) for n in [*names, "alone1", "alone2"]], "name string")
+    asked = spark.createDataFrame([(a, b) for a in [*names, "alone2", "none"] for b in [*names, "alone1"]], "a string, b string")
+    reach = reach_of(pairs)
+    got = {(x.a, x.b): x.depends for x in depends(reach_index(nodes, edges), asked).collect()}
+    assert len(got) == 26 * 25
+    assert got == {(a, b): None if a == "none" else a == b or a in reach.get(b, ()) for a, b in got}
+
+
+def test_changed_hashes_equal_all_hashes(spark):
+    r = random.Random(8)
+    names = [f"v{k:02}" for k in range(16)]
+    pairs = sorted({tuple(sorted(r.sample(names, 2))) for _ in range(22)})
+    nodes, edges = spark.createDataFrame([(n,) for n in names], "name string"), edges_of(spark, pairs).withColumn("kind", F.lit("dependency"))
+    rows = lambda change: spark.createDataFrame([(n, change.get(n, "1")) for n in names], "block string, input_hash string")
+    sources = spark.createDataFrame([("v03", "k", "h")], "block string, key string, hash string")
+    state, ways = map(graph.checkpointed, hashing.merkle_tree(rows({}), sources, nodes, edges))
+    change = {"v05": "2", "v06": "1", "v11": "3"}  # v06 stays as it was: nothing above it is hashed again for its sake
+    again = hashing.merkle_changed(state, ways, hashing.owned(rows(change).where(F.col("block").isin(*change)), sources.where("block IN ('v05', 'v06', 'v11')")))
+    now = {x.block: x.content_hash for x in state.collect()} | {x.block: x.content_hash for x in again.collect()}
+    assert now == {x.block: x.content_hash for x in hashing.merkle(rows(change), sources, nodes, edges).collect()}
+    reach = reach_of(pairs)
+    assert {x.block for x in again.collect()} == {"v05", "v06", "v11"} | reach.get("v05", set()) | reach.get("v11", set())
+    assert hashing.merkle_changed(state, ways, hashing.owned(rows({}).limit(0), sources)).count() == 0

@@ -137,6 +137,18 @@ def test_rust(ctx, runner):
     assert t["rust", "exe"].apply(ctx, {"bin": "a"}, None).outputs == {"path": "/t/two"}
 
 
+def test_sources_of_all_targets(ctx, runner):
+    put(Cargo_DOT_toml="[package]", Cargo_DOT_lock="l", build_DOT_rs="b", src__lib_DOT_rs="s", tests__a_DOT_rs="t", tests__common__mod_DOT_rs="m", examples__e_DOT_rs="e", target__debug__made_DOT_rs="no", other__main_DOT_rs="o")
+    at = lambda *paths: [{"name": "x", "kind": ["test"], "src_path": f"{os.getcwd()}/{p}"} for p in paths]
+    runner.answers = {"cargo metadata": json.dumps({"packages": [{"id": "a", "name": "a", "manifest_path": f"{os.getcwd()}/Cargo.toml", "targets": at("src/lib.rs", "tests/a.rs", "examples/e.rs", "other/main.rs", "build.rs")}]})}
+    assert set(tools()["rust", "test"].resolve(ctx, {})) == {"Cargo.toml", "Cargo.lock", "build.rs", "src/lib.rs", "tests/a.rs", "tests/common/mod.rs", "examples/e.rs", "other/main.rs"}
+
+
+def test_an_image_copies_what_nothing_ignores(ctx, runner):
+    put(Dockerfile="FROM x\nCOPY . /app\n", main_DOT_js="m", node_modules__a__i_DOT_js="i", _DOT_git__HEAD="h", tmp__x="x", _DOT_dockerignore="tmp\n")
+    assert set(tools()["docker", "image"].resolve(ctx, {"tag": "t"})) == {"Dockerfile", "main.js", "node_modules/a/i.js", ".git/HEAD", ".dockerignore"}
+
+
 def test_workspace(ctx, runner):
     put(**{"package_DOT_json": '{"name": "root"}', "pnpm-lock_DOT_yaml": "l", "pnpm-workspace_DOT_yaml": "packages:\n  - 'apps/*'\n", "apps__web__package_DOT_json": '{"name": "web"}', "apps__web__src__x_DOT_ts": "x", "apps__web__dist__x_DOT_js": "o", "apps__web__vendor__v_DOT_ts": "v", "apps__api__package_DOT_json": '{"name": "api"}', "shared__s_DOT_css": "s"})
     t = tools()
