@@ -25,6 +25,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -45,6 +47,9 @@ RATIO, FLOOR = 2.0, 0.05
 EVIDENCE, GAMMA = 1.3, 0.9
 #: Low nodes and texts up to which their list is broadcast, and entries that a task adds up at a time.
 BROADCAST_LOW, HELD = 200_000, 2_000_000
+#: Open elements of a page, block elements around a style node and style nodes of a page at most. What lies deeper, or comes after so many, is
+#: part of the style node around it: its text is a block all the same. So a page's entries are bounded, whatever its markup.
+OPEN, DEPTH, NODES = 5_000, 64, 20_000
 #: Pages whose entries are made at once.
 AT_ONCE = 512
 
@@ -60,9 +65,11 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROLES = set("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 NOISE = set("ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars sidenav masthead footer comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar alert alerts announcement announcements toast paywall skip adsbygoogle".split())
+COMMENTS = set("comment comments commentlist reply replies respond disqus".split())
 NOT_AFTER = set("no has with without hide is".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(?=[/a-zA-Z!?])[^>]*\Z|[^<]+|<", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
+_NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Where a raw element ends; in scripts, also what opens and ends a comment in which a script may stand.
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW - {"script"}} | {"script": re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)}
@@ -95,36 +102,91 @@ NOISE_NODE, ARTICLE_NODE, PAGE_NODE = 1, 2, 4
 
 
 class Style:
-    """A style node on one page: its ancestors with itself at first, what it declares, its presentations, and its links and images."""
+    """A style node on one page: the one around it, what it declares, its presentations, and its links and images."""
 
-    __slots__ = ("above", "declared", "links", "shows")
+    __slots__ = ("declared", "depth", "links", "node", "shows", "up")
 
-    def __init__(self, above: tuple[int, ...], declared: int) -> None:
-        self.above, self.declared = above, declared
+    def __init__(self, node: int, up: Style | None, declared: int) -> None:
+        self.node, self.up, self.declared = node, up, declared
+        self.depth: int = up.depth + 1 if up else 0
         self.shows: set[int] = set()  # digests of sequences of children; 0 has none
         self.links: list[str] = []
 
+    @property
+    def above(self) -> tuple[int, ...]:
+        """Itself and those around it, from the inside out."""
+        out, at = [], self
+        while at:
+            out.append(at.node)
+            at = at.up
+        return tuple(out)
 
-def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
+
+class _Tags:
+    """The tags of a page, each found in time of its own length.
+
+    A tag ends at the first > outside quotes, and is none if there is no such. Whether there is one is looked at by trying; once
+    that has failed, which may take the whole page, it is worked out for all places at once, from the page's end.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.name_end = page, page.rfind(">"), -1
+        self.specials: list[int] | None = None
+        self.ends: list[bool] = []
+
+    def match(self, at: int) -> re.Match | None:
+        """The tag that begins at a place, if it ends anywhere."""
+        if at > self.last:
+            return None
+        if self.specials is None:
+            if m := _TAG.match(self.page, at):
+                return m
+            self._look()
+        if self.name_end <= at:
+            m = _NAME_END.search(self.page, at)
+            self.name_end = m.start() if m else len(self.page)
+        k = bisect_left(self.specials, self.name_end)
+        return _TAG.match(self.page, at) if k < len(self.ends) and self.ends[k] else None
+
+    def _look(self) -> None:
+        """Of each >, " and ', whether a > outside quotes follows for one who comes to it outside quotes."""
+        at = self.specials = [m.start() for m in _SPECIAL.finditer(self.page)]
+        self.ends = [False] * len(at)
+        later = {"'": -1, '"': -1}  # the next of its kind
+        for k in range(len(at) - 1, -1, -1):
+            c = self.page[at[k]]
+            if c == ">":
+                self.ends[k] = True
+            else:
+                twin = later[c]
+                self.ends[k] = 0 <= twin < len(at) - 1 and self.ends[twin + 1]
+                later[c] = k
+
+
+#: What an element's names say of it.
+PLAIN, NAMED, COMMENT = range(3)
+
+
+def _silent(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, str]:
     """Whether an element is noise by what it declares, whether its names say so, and its class for the style path."""
     if not attributes.strip():
-        return tag in SILENT or tag == "header" and not in_article, False, ""
+        return tag in SILENT or tag == "header" and not in_article, PLAIN, ""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     style = found.get("class", "")
     if tag in SILENT or tag == "header" and not in_article or "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
-        return True, False, style
+        return True, PLAIN, style
     if found.get("role", "").lower() in ROLES:
-        return True, False, style
+        return True, PLAIN, style
     if tag not in ("html", "body", "main", "article") and found.get("role", "").lower() not in ("main", "article"):
         for name in (*style.split(), found.get("id", "")):
             words = [w.lower() for w in _NAME_WORDS.findall(name)]
             for k, w in enumerate(words):
                 if (w in NOISE or w == "header" and not in_article) and NOT_AFTER.isdisjoint(words[:k]):
-                    return False, True, style
-    return False, False, style
+                    return False, COMMENT if w in COMMENTS else NAMED, style
+    return False, PLAIN, style
 
 
-def _raw_end(page: str, tag: str, at: int) -> int:
+def _raw_end(page: str, tag: str, at: int, tags: _Tags) -> int:
     """Where the raw element whose content begins at a place is over: behind its end tag, or the page's end.
 
     A script in a comment of a script has an end tag of its own, as the standard has it.
@@ -134,7 +196,8 @@ def _raw_end(page: str, tag: str, at: int) -> int:
     while m := find(page, at):
         at = m.end()
         if tag != "script" or m[1] and not inner:
-            return _TOKEN.match(page, m.start()).end()
+            end = tags.match(m.start())
+            return end.end() if end else m.start() + 1 if m.start() < tags.last else len(page)
         if m[0] == "-->":
             comment = inner = False
         elif m[0] == "<!--":
@@ -151,48 +214,96 @@ class _Open:
 
     def __init__(self, tag: str, node: int, block: bool, noise: bool, article: bool, low: int) -> None:
         self.tag, self.node, self.block, self.noise, self.article, self.low = tag, node, block, noise, article, low
-        self.kids: list[str] = []
+        self.kids: list[str] | None = [] if block else None
 
     def has(self, kid: str) -> None:
         if self.kids[-1:] != [kid]:
             self.kids.append(kid)
 
 
-def _weighed(blocks: list[Block], around: list[int]) -> None:
+class _Stack(list):
+    """The open elements of a page, with the places of those of each name, of blocks and of blocks but paragraphs."""
+
+    def __init__(self, top: _Open) -> None:
+        super().__init__([top])
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.solid, self.foreign = [0], [0], 0
+
+    def push(self, e: _Open) -> None:
+        self.places.setdefault(e.tag, []).append(len(self))
+        if e.block:
+            self.blocks.append(len(self))
+            if e.tag != "p":
+                self.solid.append(len(self))
+        self.foreign += e.tag in FOREIGN
+        self.append(e)
+
+    def cut(self, k: int) -> None:
+        """Take away the elements from place k on."""
+        for e in reversed(self[k:]):
+            if e.tag:
+                self.places[e.tag].pop()
+            self.foreign -= e.tag in FOREIGN
+        for places in (self.blocks, self.solid):
+            while places and places[-1] >= k:
+                places.pop()
+        del self[k:]
+
+    def around(self) -> _Open:
+        """The innermost block."""
+        return self[self.blocks[-1]]
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
+def _weighed(blocks: list[Block], around: list[tuple[int, int, bool]]) -> None:
     """Take from the blocks' texts the elements whose names lower them, but for those with most of the text.
 
-    around has for each such element, by number, the one around it; number 0 is the page.
+    around has for each such element, by number, the one around it, what its names say and whether an article is around it;
+    number 0 is the page. Where an article has text that no names lower, those outside it go whatever their size, and comments inside it
+    too, unless an article of their own is in them.
     """
     if len(around) == 1:
         return
-    size, gone = [0] * len(around), [False] * len(around)
+    size, gone, articles = [0] * len(around), [False] * len(around), [False] * len(around)
     for b in blocks:
         for part, low in b.parts if not b.noise else ():
-            size[low] += sum(map(len, part.split()))
+            n = sum(map(len, part.split()))
+            size[low] += n
+            articles[low] |= b.article and n > 0
+    marked = articles[0]
     for k in range(len(around) - 1, 0, -1):
-        size[around[k]] += size[k]
+        size[around[k][0]] += size[k]
+        if not around[k][2]:
+            articles[around[k][0]] |= articles[k]
     for k in range(1, len(around)):
-        gone[k] = gone[around[k]] or 2 * size[k] <= size[0]
+        up, says, inside = around[k]
+        gone[k] = gone[up] or 2 * size[k] <= size[0] or marked and (says == COMMENT if inside else not articles[k])
     for b in blocks:
         b.text = " ".join("".join(part for part, low in b.parts if not gone[low]).split())
 
 
 def parsed(page: str, site: str = "") -> tuple[list[Block], dict[int, Style]]:
-    """The page's blocks of text, and its style nodes in the site's tree.
+    """The page's blocks of text, and its style nodes in the site's tree, in time of the page's length.
 
     Elements left open end where the standard ends them: the head before what it may not hold, paragraphs before
     blocks, items before items, and everything else with the element around it. Inline elements are part of the block around them;
-    inline ones that are noise by declaration, and raw elements, have no text.
+    inline ones that are noise by declaration, and raw elements, have no text. What looks like a tag but never ends is text, or
+    nothing where no > follows; an end tag of nothing open is passed over; of elements nested deeper than OPEN only the text counts.
     """
     blocks: list[Block] = []
     top = _digest(site)
-    styles = {top: Style((top,), PAGE_NODE)}
-    stack, text, lows, seen = [_Open("", top, True, False, False, 0)], [], [0], []
+    styles = {top: Style(top, None, PAGE_NODE)}
+    stack = _Stack(_Open("", top, True, False, False, 0))
+    text, seen = [], []
+    lows: list[tuple[int, int, bool]] = [(0, PLAIN, False)]
+    too_deep: Counter = Counter()
 
     def end_block() -> None:
         if not text and not seen:
             return
-        around = next(e for e in reversed(stack) if e.block)
+        around = stack.around()
         if text:
             b = Block(around.node, around.noise, around.article, text.copy())
             if b.all:
@@ -205,65 +316,89 @@ def parsed(page: str, site: str = "") -> tuple[list[Block], dict[int, Style]]:
 
     def close(k: int) -> None:
         """Close the element at place k and all inside it."""
-        if any(e.block for e in stack[k:]):
+        if stack.blocks[-1] >= k:
             end_block()
         for e in stack[k:]:
             if e.block:
                 styles[e.node].shows.add(_digest(" ".join(e.kids)) if any(x != "#text" for x in e.kids) else 0)
-        del stack[k:]
-
-    def inner(tags: set[str], scope: set[str]) -> int:
-        """The place of the innermost open element of tags, if no element of scope is open inside it; or 0."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in scope:
-                break
-        return 0
-
-    at = 0
+        stack.cut(k)
+
+    def shown(token: str) -> None:
+        if stack[-1].tag == "head" and not token.isspace():
+            close(len(stack) - 1)
+        if stack[-1].block or not stack[-1].noise or stack.around().noise:
+            text.append((html.unescape(token) if "&" in token else token, stack[-1].low))
+
+    def begun(tag: str, attributes: str) -> bool:
+        """Open an element; whether it is a raw one, whose content is no markup."""
+        block = tag in BLOCKS
+        if block:
+            end_block()
+        if tag in CLOSES_P and (k := stack.innermost(("p",))) > stack.solid[-1]:
+            close(k)
+        elif tag in ENDED_BY and (k := stack.innermost(ENDED_BY[tag])) > stack.innermost(SCOPES[tag]):
+            close(k)
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
+        up = stack[-1]
+        foreign = stack.foreign > 0 and (tag in RAW or attributes.endswith("/"))
+        if tag in RAW and not foreign:
+            return True
+        if tag in ("a", "img"):
+            seen.extend(f"{x[1].lower()}={html.unescape(x[2] or x[3] or x[4] or '')}" for x in _ATTRIBUTE.finditer(attributes) if x[1].lower() in ("href", "src"))
+        if tag in VOID or foreign and attributes.endswith("/"):
+            return False
+        if len(stack) >= OPEN:
+            too_deep[tag] += 1
+            return False
+        silent, named, style = _silent(tag, attributes, up.article)
+        if named and not up.noise:
+            lows.append((up.low, named, up.article))
+        noise = up.noise or silent
+        article = up.article or not noise and (tag in ("article", "main") or _MAIN_ROLE.search(attributes) is not None)
+        node, kid = up.node, f"{tag}.{style}"
+        if block:
+            stack.around().has(kid)
+            inner = _digest(f"{up.node}>{kid}")
+            if inner in styles:
+                node = inner
+            elif styles[up.node].depth < DEPTH and len(styles) < NODES:
+                node = inner
+                styles[node] = Style(node, styles[up.node], NOISE_NODE * noise | ARTICLE_NODE * article | PAGE_NODE * (tag in ("html", "body")))
+        stack.push(_Open(tag, node, block, noise, article, len(lows) - 1 if named and not up.noise else up.low))
+        return False
+
+    at, tags = 0, _Tags(page)
     while at < len(page):
-        for m in _TOKEN.finditer(page, at):
-            at = m.end()
-            tag = m[2] and m[2].lower()
-            if not tag:
-                token = m[0]
-                shown = token[0] != "<" or token == "<"
-                if shown and stack[-1].tag == "head" and not token.isspace():
-                    close(len(stack) - 1)
-                if shown and (stack[-1].block or not stack[-1].noise or next(e for e in reversed(stack) if e.block).noise):
-                    text.append((html.unescape(token) if "&" in token else token, stack[-1].low))
-            elif m[1]:
-                if k := inner({tag}, set() if tag in BLOCKS else BLOCKS):
-                    close(k)
-            else:
-                block = tag in BLOCKS
-                if block:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = end if end >= 0 else len(page)
+            shown(page[at:end])
+            at = end
+            continue
+        second = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
+        elif second in ("!", "?"):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else len(page)
+        elif m := tags.match(at) if second == "/" or second.isascii() and second.isalpha() else None:
+            at, tag = m.end(), m[2].lower()
+            if not m[1]:
+                if begun(tag, m[3]):  # all is the element's text until its end tag
+                    at = _raw_end(page, tag, at, tags)
+            elif too_deep[tag]:
+                too_deep[tag] -= 1
+                if tag in BLOCKS:
                     end_block()
-                if tag in CLOSES_P and (k := inner({"p"}, BLOCKS - {"p"})) or tag in ENDED_BY and (k := inner(ENDED_BY[tag], SCOPES[tag])):
-                    close(k)
-                if stack[-1].tag == "head" and tag not in IN_HEAD:
-                    close(len(stack) - 1)
-                up = stack[-1]
-                foreign = (tag in RAW or m[3].endswith("/")) and any(e.tag in FOREIGN for e in stack)
-                if tag in RAW and not foreign:  # all is the element's text until its end tag
-                    at = _raw_end(page, tag, at)
-                    break
-                if tag in ("a", "img"):
-                    seen.extend(f"{x[1].lower()}={html.unescape(x[2] or x[3] or x[4] or '')}" for x in _ATTRIBUTE.finditer(m[3]) if x[1].lower() in ("href", "src"))
-                if tag not in VOID and not (foreign and m[3].endswith("/")):
-                    silent, lowered, style = _silent(tag, m[3], up.article)
-                    if lowered and not up.noise:
-                        lows.append(up.low)
-                    noise = up.noise or silent
-                    article = up.article or not noise and (tag in ("article", "main") or _MAIN_ROLE.search(m[3]) is not None)
-                    node, kid = up.node, f"{tag}.{style}"
-                    if block:
-                        next(e for e in reversed(stack) if e.block).has(kid)
-                        node = _digest(f"{up.node}>{kid}")
-                        if node not in styles:
-                            styles[node] = Style((node, *styles[up.node].above), NOISE_NODE * noise | ARTICLE_NODE * article | PAGE_NODE * (tag in ("html", "body")))
-                    stack.append(_Open(tag, node, block, noise, article, len(lows) - 1 if lowered and not up.noise else up.low))
+            elif (k := stack.innermost((tag,))) > (0 if tag in BLOCKS else stack.blocks[-1]):
+                close(k)
+        elif at > tags.last and (second == "/" or second.isascii() and second.isalpha()):
+            at = len(page)
+        else:
+            shown("<")
+            at += 1
     close(0)
     _weighed(blocks, lows)
     return blocks, styles
@@ -505,8 +640,12 @@ def _parse(keys: int) -> Callable:
                 site.append(_digest(host))
                 same.append(_digest("\n".join(b.text for b in found if not b.noise and b.text)))
                 blocks.append([{"node": b.node, "place": b.place(), "article": b.article, "noise": b.noise, "text": b.text, "whole": None if b.all == b.text else b.all} for b in found])
-                full = {w for n in {b.node for b in found} | {n for n, x in styles.items() if x.links} for w in styles[n].above}
-                nodes.append([{"node": n, "parent": x.above[1] if len(x.above) > 1 else None, "declared": x.declared, "shows": list(x.shows), "links": x.links} for n, x in styles.items() if n in full])
+                full: set[int] = set()
+                for x in (styles[n] for n in {b.node for b in found} | {n for n, x in styles.items() if x.links}):
+                    while x and x.node not in full:
+                        full.add(x.node)
+                        x = x.up  # noqa: PLW2901
+                nodes.append([{"node": n, "parent": x.up.node if x.up else None, "declared": x.declared, "shows": list(x.shows), "links": x.links} for n, x in styles.items() if n in full])
             numbers = np.arange(number, number + len(site))
             number += len(site)
             yield pa.record_batch([*batch.columns[:keys], pa.array(site, pa.int64()), pa.array(same, pa.int64()), pa.array(numbers), pa.array(blocks, _BLOCKS), pa.array(nodes, _STYLES)], names=[*batch.schema.names[:keys], "site", "same", "number", "blocks", "styles"])
