@@ -11,6 +11,8 @@ import zstandard
 
 #: Odd multipliers, one to join two hashes and one for each size of a window.
 _JOIN, _SIZE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+#: Turns the words' hashes into others, for a second hash of windows.
+_SECOND = np.uint64(0xA0761D6478BD642F)
 #: Bytes of a text that are split into words at once.
 _STEP = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -98,8 +100,11 @@ class Words:
         at, hashes = np.insert(at, place, self.first[short]), np.insert(hashes, place, all_words)
         return hashes, np.searchsorted(at, self.first)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first word of every window of size words that lies in one text, and the window's hash."""
+    def windows(self, size: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of every window of size words that lies in one text, and the window's hash.
+
+        second gives another hash of the windows, which shares no step with the first but those of single words.
+        """
         n = len(self.hashes)
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -108,7 +113,7 @@ class Words:
             cut = self.first[1:-1] - back
             inside[cut[(cut >= 0) & (cut < len(inside))]] = False
         at = np.flatnonzero(inside)
-        return at, rolled(self.hashes, size)[at]
+        return at, rolled(mixed(self.hashes ^ _SECOND) if second else self.hashes, size)[at]
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +21,11 @@ from blockloom.llm.token_counts import token_counts
 from blockloom.llm.token_files import read_token_files, write_token_files
 
 
-#: A public tokenizer's file; operators take it as a parameter.
-VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
+def vocabulary() -> str:
+    """A public tokenizer's file; operators take it as a parameter, and only their queries need the package that knows where it is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), VOCABULARY))
+    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,12 @@ class _Chunk:
         inner = self.window - self.block + 1  # so many probes lie in a window
         has = upto[start + inner] > upto[start]
         self.start = start[has]
-        self.hashes, self.first, self.hash_of = np.unique(hashes[has], return_index=True, return_inverse=True)
+        hashes, second = hashes[has], self.words.windows(self.window, second=True)[1][has]
+        order = np.lexsort((second, hashes))  # stable, so the first of equal ones is that of the first window
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(hashes[order]) != 0) | (np.diff(second[order]) != 0)
+        self.first = order[new]
+        self.hashes, self.second = hashes[self.first], second[self.first]
 
     def repeated(self, answers: dict[int, bytes]) -> np.ndarray:
         """Whether each word lies in a window that occurs earlier."""
@@ -136,7 +141,7 @@ def _extend(window: int, bits: int):  # noqa: ANN202
             c.candidates(_of_step(answers, 1))
             text = np.searchsorted(c.words.first, c.start[c.first], "right") - 1
             ids = c.ids[text]
-            sent += [(b, row["chunk"], 2, pack_sorted(c.hashes[p]), pack(ids[p])) for b, p in c.buckets(c.hashes)]
+            sent += [(b, row["chunk"], 2, pack_sorted(c.hashes[p]), pack(np.concatenate([ids[p].view(np.uint64), c.second[p]]))) for b, p in c.buckets(c.hashes)]
         return pa.table([pa.array(list(x), f.type) for x, f in zip(zip(*sent, strict=True), _SENT_ARROW, strict=True)] if sent else [pa.array([], f.type) for f in _SENT_ARROW], schema=_SENT_ARROW)
 
     return run
@@ -147,11 +152,12 @@ def _earlier(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
     each = [unpack_sorted(r["hashes"], np.uint64) for r in rows]
     sizes = [len(x) for x in each]
-    hashes, ids = np.concatenate(each), np.concatenate([unpack(r["extra"], np.int64) for r in rows])
-    order = np.lexsort((ids, hashes))  # stable: by chunk at last
-    h = hashes[order]
-    hit = np.empty(len(h), bool)
-    hit[order] = np.diff(h, prepend=h[:1] + np.uint64(1)) == 0
+    extra = [unpack(r["extra"], np.uint64) for r in rows]
+    hashes, ids, second = np.concatenate(each), np.concatenate([x[:n] for x, n in zip(extra, sizes, strict=True)]).view(np.int64), np.concatenate([x[n:] for x, n in zip(extra, sizes, strict=True)])
+    order = np.lexsort((ids, second, hashes))  # stable: by chunk at last
+    same = lambda x: np.diff(x[order], prepend=x[order][:1] + np.uint64(1)) == 0
+    hit = np.empty(len(order), bool)
+    hit[order] = same(hashes) & same(second)
     return _answers(rows, sizes, hit)
 
 
@@ -191,7 +197,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one counts as the earlier. A null text is empty; a null id sorts before all others. Texts shorter than
     a window lose nothing; other columns are ignored; an empty table gives an empty result.
 
-    Windows are told apart by the bits of a bucket and 64 bits in all.
+    Words are told apart by 64 bits, windows of full length by two hashes of 64 bits each.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words")

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose numbers a worker remembers at most.
-REMEMBERED = 400_000
+#: Words whose numbers a worker remembers at most, and bytes of a word that it remembers: texts without spaces have words of any length.
+REMEMBERED, LONGEST = 400_000, 100
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -88,9 +88,11 @@ class Automaton(dict):
         return n
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[word] = self.count(word)
+        n = self.count(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
         return n
 
 

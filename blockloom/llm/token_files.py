@@ -28,8 +28,8 @@ from blockloom.llm.token_counts import byte_alphabet
 
 #: Ids in a shard, and bytes of text that are encoded at once.
 SHARD_IDS, STEP_BYTES = 4 << 20, 4 << 20
-#: Distinct pieces that a worker remembers at most, with their bytes.
-REMEMBERED = 2_000_000
+#: Distinct pieces that a worker remembers at most, and their bytes: in texts without spaces a piece may be of any length.
+REMEMBERED, REMEMBERED_BYTES = 2_000_000, 32 << 20
 #: Shards up to which their directory (24 bytes each) is broadcast.
 BROADCAST_SHARDS = 500_000
 
@@ -170,7 +170,7 @@ class Encoder:
         starts = piece_starts(data, offsets, spans) if len(data) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         distinct, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > REMEMBERED:
+        if len(self.keys) + len(distinct) > REMEMBERED or len(self.raw) + len(data) > REMEMBERED_BYTES:
             self.forget()
         place = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)

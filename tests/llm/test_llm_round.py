@@ -229,3 +229,43 @@ def test_windows_find_what_they_promise():
         scores[q] = -2
         hits += len(set(np.argsort(-scores)[:5].tolist()) & set(best.ids.tolist()))
     assert hits >= 0.98 * 250
+
+
+# What earlier operators must stand.
+
+
+def test_windows_with_one_hash_alike_are_two():
+    """Windows that meet in the first 64 bits are told apart by the second, and keep their first occurrence each."""
+    import pyarrow as pa
+
+    from blockloom.llm import substring_dedup as sub
+    from blockloom.llm.hashing import pack, pack_sorted
+
+    def sent(chunk, hashes, ids, second):
+        extra = pack(np.concatenate([np.array(ids, np.int64).view(np.uint64), np.array(second, np.uint64)]))
+        return {"bucket": 1, "chunk": chunk, "step": 2, "hashes": pack_sorted(np.array(hashes, np.uint64)), "extra": extra}
+
+    rows = [sent(0, [5, 5, 9], [1, 1, 2], [7, 8, 1]), sent(1, [5, 9, 9], [3, 4, 4], [8, 2, 3]), sent(2, [5, 9], [0, 9], [7, 1])]
+    answers = {r["chunk"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8)).tolist() for r in sub._earlier(pa.Table.from_pylist(rows, schema=sub._SENT_ARROW)).to_pylist()}
+    assert answers[0][:3] == [1, 0, 0] and answers[1][:3] == [1, 0, 0] and answers[2][:2] == [0, 1]
+
+
+def test_texts_without_spaces_are_not_remembered(monkeypatch):
+    """Words and pieces of any length are counted and encoded, and a worker holds a bounded number of bytes of them."""
+    import public_tokenizers
+
+    from blockloom.llm import token_counts as counts
+    from blockloom.llm import token_files as files
+
+    r = random.Random(6)
+    texts = ["".join(r.choices("字文語編集漢", k=300)) for _ in range(40)] + ["QUJD" * 200 + str(k) for k in range(40)]
+    pieces = {bytes([b]) for b in range(256)} | {b"QU", b"JD", "字".encode()}
+    automaton = counts.Automaton(pieces, pieces)
+    assert [automaton[t.encode()] for t in texts] == [automaton.count(t.encode()) for t in texts] and not len(automaton)
+    monkeypatch.setattr(files, "REMEMBERED_BYTES", 5_000)
+    encoder = files.Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    plain = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for k in range(0, len(texts), 4):
+        ids, n = encoder.encode([t.encode() for t in texts[k : k + 4]])
+        assert ids.tolist() == [i for e in plain[k : k + 4] for i in [*e.ids, 0]] and len(n) == 4
+        assert len(encoder.raw) <= 5_000 + sum(len(t.encode()) for t in texts[k : k + 4])
