@@ -68,7 +68,8 @@ NOISE = set("ad ads advert adverts advertisement advertisements advertising adse
 COMMENTS = set("comment comments commentlist reply replies respond disqus".split())
 NOT_AFTER = set("no has with without hide is".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
+_TOKEN = re.compile(r"[^<]+|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Where a raw element ends; in scripts, also what opens and ends a comment in which a script may stand.
@@ -141,14 +142,14 @@ class _Tags:
         if self.specials is None:
             if m := _TAG.match(self.page, at):
                 return m
-            self._look()
+            self.look()
         if self.name_end <= at:
             m = _NAME_END.search(self.page, at)
             self.name_end = m.start() if m else len(self.page)
         k = bisect_left(self.specials, self.name_end)
         return _TAG.match(self.page, at) if k < len(self.ends) and self.ends[k] else None
 
-    def _look(self) -> None:
+    def look(self) -> None:
         """Of each >, " and ', whether a > outside quotes follows for one who comes to it outside quotes."""
         at = self.specials = [m.start() for m in _SPECIAL.finditer(self.page)]
         self.ends = [False] * len(at)
@@ -230,28 +231,31 @@ class _Stack(list):
         self.blocks, self.solid, self.foreign = [0], [0], 0
 
     def push(self, e: _Open) -> None:
-        self.places.setdefault(e.tag, []).append(len(self))
+        k, tag = len(self), e.tag
+        if tag in self.places:
+            self.places[tag].append(k)
+        else:
+            self.places[tag] = [k]
         if e.block:
-            self.blocks.append(len(self))
-            if e.tag != "p":
-                self.solid.append(len(self))
-        self.foreign += e.tag in FOREIGN
+            self.blocks.append(k)
+            if tag != "p":
+                self.solid.append(k)
+        elif tag in FOREIGN:
+            self.foreign += 1
         self.append(e)
 
     def cut(self, k: int) -> None:
         """Take away the elements from place k on."""
-        for e in reversed(self[k:]):
+        while len(self) > k:
+            e = self.pop()
             if e.tag:
                 self.places[e.tag].pop()
-            self.foreign -= e.tag in FOREIGN
-        for places in (self.blocks, self.solid):
-            while places and places[-1] >= k:
-                places.pop()
-        del self[k:]
-
-    def around(self) -> _Open:
-        """The innermost block."""
-        return self[self.blocks[-1]]
+            if e.block:
+                self.blocks.pop()
+                if e.tag != "p":
+                    self.solid.pop()
+            elif e.tag in FOREIGN:
+                self.foreign -= 1
 
     def innermost(self, tags: Iterable[str]) -> int:
         return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
@@ -301,9 +305,7 @@ def parsed(page: str, site: str = "") -> tuple[list[Block], dict[int, Style]]:
     too_deep: Counter = Counter()
 
     def end_block() -> None:
-        if not text and not seen:
-            return
-        around = stack.around()
+        around = stack[stack.blocks[-1]]
         if text:
             b = Block(around.node, around.noise, around.article, text.copy())
             if b.all:
@@ -316,7 +318,7 @@ def parsed(page: str, site: str = "") -> tuple[list[Block], dict[int, Style]]:
 
     def close(k: int) -> None:
         """Close the element at place k and all inside it."""
-        if stack.blocks[-1] >= k:
+        if (text or seen) and stack.blocks[-1] >= k:
             end_block()
         for e in stack[k:]:
             if e.block:
@@ -326,16 +328,17 @@ def parsed(page: str, site: str = "") -> tuple[list[Block], dict[int, Style]]:
     def shown(token: str) -> None:
         if stack[-1].tag == "head" and not token.isspace():
             close(len(stack) - 1)
-        if stack[-1].block or not stack[-1].noise or stack.around().noise:
-            text.append((html.unescape(token) if "&" in token else token, stack[-1].low))
+        e = stack[-1]
+        if e.block or not e.noise or stack[stack.blocks[-1]].noise:
+            text.append((html.unescape(token) if "&" in token else token, e.low))
 
     def begun(tag: str, attributes: str) -> bool:
         """Open an element; whether it is a raw one, whose content is no markup."""
         block = tag in BLOCKS
-        if block:
+        if block and (text or seen):
             end_block()
-        if tag in CLOSES_P and (k := stack.innermost(("p",))) > stack.solid[-1]:
-            close(k)
+        if tag in CLOSES_P and (p := places.get("p")) and p[-1] > stack.solid[-1]:
+            close(p[-1])
         elif tag in ENDED_BY and (k := stack.innermost(ENDED_BY[tag])) > stack.innermost(SCOPES[tag]):
             close(k)
         if stack[-1].tag == "head" and tag not in IN_HEAD:
@@ -355,10 +358,10 @@ def parsed(page: str, site: str = "") -> tuple[list[Block], dict[int, Style]]:
         if named and not up.noise:
             lows.append((up.low, named, up.article))
         noise = up.noise or silent
-        article = up.article or not noise and (tag in ("article", "main") or _MAIN_ROLE.search(attributes) is not None)
+        article = up.article or not noise and (tag in ("article", "main") or bool(attributes) and _MAIN_ROLE.search(attributes) is not None)
         node, kid = up.node, f"{tag}.{style}"
         if block:
-            stack.around().has(kid)
+            stack[stack.blocks[-1]].has(kid)
             inner = _digest(f"{up.node}>{kid}")
             if inner in styles:
                 node = inner
@@ -368,33 +371,52 @@ def parsed(page: str, site: str = "") -> tuple[list[Block], dict[int, Style]]:
         stack.push(_Open(tag, node, block, noise, article, len(lows) - 1 if named and not up.noise else up.low))
         return False
 
-    at, tags = 0, _Tags(page)
+    def ended(tag: str) -> None:
+        block = tag in BLOCKS
+        if too_deep and too_deep[tag]:
+            too_deep[tag] -= 1
+            if block:
+                end_block()
+        elif (p := places.get(tag)) and (block or p[-1] > stack.blocks[-1]):
+            close(p[-1])
+
+    at, tags, places = 0, _Tags(page), stack.places
+    while at < len(page) and tags.specials is None:
+        for m in _TOKEN.finditer(page, at):
+            at = m.end()
+            if tag := m[2]:
+                if m[1]:
+                    ended(tag.lower())
+                elif begun(tag := tag.lower(), m[3]):  # all is the element's text until its end tag
+                    at = _raw_end(page, tag, at, tags)
+                    break
+            elif m[0] == "<" and (page[at : at + 1] in ("/", "!", "?") or page[at : at + 1].isascii() and page[at : at + 1].isalpha()):
+                at -= 1
+                tags.look()  # a tag that does not end: from here on each is looked up before it is tried
+                break
+            elif m[0] == "<" or m[0][0] != "<":
+                shown(m[0])
     while at < len(page):
+        second = page[at + 1 : at + 2]
+        like = second == "/" or second.isascii() and second.isalpha()
         if page[at] != "<":
             end = page.find("<", at)
             end = end if end >= 0 else len(page)
             shown(page[at:end])
             at = end
-            continue
-        second = page[at + 1 : at + 2]
-        if page.startswith("<!--", at):
+        elif page.startswith("<!--", at):
             end = page.find("-->", at + 4)
             at = end + 3 if end >= 0 else len(page)
-        elif second in ("!", "?"):
+        elif second in ("!", "?") and second:
             end = page.find(">", at)
             at = end + 1 if end >= 0 else len(page)
-        elif m := tags.match(at) if second == "/" or second.isascii() and second.isalpha() else None:
+        elif m := tags.match(at) if like else None:
             at, tag = m.end(), m[2].lower()
-            if not m[1]:
-                if begun(tag, m[3]):  # all is the element's text until its end tag
-                    at = _raw_end(page, tag, at, tags)
-            elif too_deep[tag]:
-                too_deep[tag] -= 1
-                if tag in BLOCKS:
-                    end_block()
-            elif (k := stack.innermost((tag,))) > (0 if tag in BLOCKS else stack.blocks[-1]):
-                close(k)
-        elif at > tags.last and (second == "/" or second.isascii() and second.isalpha()):
+            if m[1]:
+                ended(tag)
+            elif begun(tag, m[3]):
+                at = _raw_end(page, tag, at, tags)
+        elif like and at > tags.last:
             at = len(page)
         else:
             shown("<")

@@ -54,9 +54,9 @@ def test_texts_made_to_collide(spark):
 
 
 def test_pieces_made_to_collide(tmp_path):
-    from blockloom.llm.queries import VOCABULARY
+    from blockloom.llm.queries import vocabulary
 
-    with open(VOCABULARY, encoding="utf-8") as f:
+    with open(vocabulary(), encoding="utf-8") as f:
         e = Encoder(f.read())
     x, y = ("".join(w) for w in opposites(2048, "a", "b"))
     ids, n = e.encode([x.encode(), y.encode()])
