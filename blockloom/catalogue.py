@@ -14,12 +14,12 @@ from blockloom.functions.checks import departures
 from blockloom.functions.types import duration_column, duration_text
 from blockloom.operators import expansion, graph, hashing, logs, planning, reach
 from blockloom.plans.compiler import select
-from blockloom.plans.engine import ApplyError, Engine
+from blockloom.plans.engine import Engine
 from blockloom.plans.loader import load
 from blockloom.plans.parser import parse_expression
-from blockloom.plans.providers import Custom, Registry, default_registry
+from blockloom.plans.providers import Registry, default_registry
 from blockloom.plans.state import MemoryStore
-from blockloom.sources import code, dockerfile, files, imports
+from blockloom.sources import code, digests, dockerfile, files, imports
 from blockloom.streaming.failures import stream_attributed, stream_failures, with_state_store
 from blockloom.streaming.suites import stream_suites
 
@@ -199,22 +199,19 @@ def pipeline_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(b, k, str(v)) for b, s in engine.store.all().items() for k, v in s.outputs.items()], "block string, field string, value string")
 
 
-@query("""SELECT * FROM (VALUES (1, 'base', 'create', ''), (1, 'gate', 'failed', ''), (2, 'base', 'none', ''), (2, 'gate', 'update', 'failed before'), (2, 'last', 'create', ''), (3, 'base', 'none', ''), (3, 'gate', 'none', ''), (3, 'last', 'none', ''),
-(4, 'base', 'update', 'inputs changed'), (4, 'gate', 'update', 'base changed'), (4, 'last', 'update', 'gate changed')) t(run, block, action, reason)""")
+@query("""WITH s AS (SELECT 'c' || c_custkey AS block, 'n' || c_nationkey AS up, c_acctbal >= 0 AS passed, c_custkey % 9 = 4 AS changed, c_custkey % 11 = 5 AS new FROM customer), n AS (SELECT 'n' || n_nationkey AS block, n_nationkey % 5 = 2 AS changed FROM nation)
+SELECT block, CASE WHEN new THEN 'create' WHEN dirty OR NOT passed THEN 'update' ELSE 'none' END AS action, dirty FROM (SELECT s.block, s.new, s.passed, s.changed OR s.new OR n.changed AS dirty FROM s JOIN n ON n.block = s.up)
+UNION ALL SELECT block, CASE WHEN changed THEN 'update' ELSE 'none' END, changed FROM n""")
 def pipeline_reruns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A test that fails once, is run again, rests, and follows a change of what it stands on."""
-    store, registry, failing, rows = MemoryStore(), default_registry(), [True], []
-    registry.add("check", "nations", Custom(lambda ctx, inputs: {"passed": table(spark, sf_dir, "nation").count() > 0 and not failing[0]}, "test"))
-    text = 'base = value { x = "%s" }\ngate = check.nations { of = base.x }\nlast = value { y = "end", depends_on = [gate] }\n'
-    for run, x in ((1, "1"), (2, "1"), (3, "1"), (4, "2")):
-        engine = _pipeline(spark, text % x, store, registry)
-        planned = {s.block: s for s in engine.plan()}
-        try:
-            rows += [(run, s.block, s.action, s.reason) for s in engine.apply()]
-        except ApplyError:
-            rows += [(run, "base", planned["base"].action, ""), (run, "gate", "failed", "")]
-        failing[0] = False
-    return spark.createDataFrame(rows, "run int, block string, action string, reason string")
+    """Customers as tests that stand on their nations: those that failed are run again though nothing changed, and those whose nation changed."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    blocks = c.select(name("c", "c_custkey").alias("block")).unionByName(n.select(name("n", "n_nationkey").alias("block"))).withColumn("content_hash", F.lit("now"))
+    stored = lambda changed: F.when(changed, "before").otherwise("now").alias("content_hash")
+    state = c.where("c_custkey % 11 <> 5").select(name("c", "c_custkey").alias("block"), stored(F.col("c_custkey") % 9 == 4), (F.col("c_acctbal") >= 0).alias("passed"))
+    state = state.unionByName(n.select(name("n", "n_nationkey").alias("block"), stored(F.col("n_nationkey") % 5 == 2), F.lit(None).cast("boolean").alias("passed")))
+    edges = c.select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst"), F.lit("dependency").alias("kind"))
+    return planning.plan_actions(blocks, state, edges, rerun_failed=True)
 
 
 # Types.
@@ -255,9 +252,16 @@ def matrix_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("n_nationkey", expansion.slice_name(F.col("n_name"), F.col("arch"), F.col("status")).alias("slice"))
 
 
-@query("SELECT a, b, (CASE a WHEN 'x' THEN 0 ELSE 1 END) * 2 + (CASE b WHEN 'p' THEN 0 ELSE 1 END) AS place FROM (VALUES ('x'), ('y')) u(a) CROSS JOIN (VALUES ('p'), ('q')) v(b)")
+@query("""WITH r AS (SELECT r_regionkey, r_name, dense_rank() OVER (ORDER BY r_name) - 1 AS i FROM region), g AS (SELECT DISTINCT c_mktsegment AS segment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS j FROM customer)
+SELECT r_name AS region, segment, i * (SELECT count(*) FROM g) + j AS place, count(c_custkey) AS n FROM r CROSS JOIN g LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) ON n_regionkey = r_regionkey AND c_mktsegment = segment GROUP BY 1, 2, 3""")
 def matrix_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expansion.cartesian(spark, {"a": ["x", "y"], "b": ["p", "q"]}).withColumn("place", F.col("place").cast("int"))
+    """A slice for each region and market segment, in its place, with the number of its customers."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    listed = lambda df, column: [x[0] for x in df.select(column).distinct().orderBy(column).collect()]  # noqa: E731 a pipeline's keys: regions and segments
+    slices = expansion.cartesian(spark, {"region": listed(r, "r_name"), "segment": listed(c, "c_mktsegment")})
+    at = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    counts = at.groupBy(F.col("r_name").alias("region"), F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    return slices.join(counts, ["region", "segment"], "left").select("region", "segment", "place", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT a.o_orderstatus AS status, a.o_orderpriority AS priority, a.n AS n, b.total AS total FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) a JOIN (SELECT o_orderstatus, o_orderpriority, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders GROUP BY 1, 2) b USING (o_orderstatus, o_orderpriority)")
@@ -733,3 +737,12 @@ def go_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dockerfile_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("concat('$V/', n_name, '/${D:-d}', if(n_nationkey % 2 = 0, '', '${V:+w}'))")
     return table(spark, sf_dir, "nation").select("n_nationkey", dockerfile.expand_column(text, {"V": "v1"}).alias("source"))
+
+
+@query("SELECT n_nationkey, length(n_name) + 1 AS length, sha256(n_name || chr(10)) AS hash FROM nation WHERE n_regionkey IN (1, 3)")
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation, in folders of regions, digested where a pattern matches."""
+    base = f"{graph_folder(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").write.partitionBy("n_regionkey", "n_nationkey").text(base)
+    found = digests.file_digests(spark, base, "n_regionkey=[13]/**/*.txt")
+    return found.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"), "length", "hash")

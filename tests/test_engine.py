@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -6,7 +7,7 @@ from blockloom.operators.graph import GraphError
 from blockloom.plans.engine import ApplyError, Engine
 from blockloom.plans.loader import LoadError, load, statements_df
 from blockloom.plans.providers import Custom, default_registry
-from blockloom.plans.state import MemoryStore, ParquetStore, from_json, to_json
+from blockloom.plans.state import BlockState, MemoryStore, ParquetStore, from_json, state_frame, to_json
 
 
 def engine(spark, text, store=None, registry=None, tmp=".", **params):
@@ -160,29 +161,50 @@ def test_parquet_store(spark, tmp_path):
     again = ParquetStore(spark, str(tmp_path / "s"))
     assert again.all() == store.all()
     assert actions(engine(spark, text, again).apply()) == {"a": "none"}
-    (tmp_path / "s" / "current").rename(tmp_path / "s" / "current.part")  # as a crash between writing and renaming leaves it
-    again = ParquetStore(spark, str(tmp_path / "s"))
-    assert again.all() == store.all()
-    (tmp_path / "s" / "log").mkdir(exist_ok=True)
-    (tmp_path / "s" / "log" / "000000000009.json.part").write_text('[["a"')  # as a crash within a change leaves it
+    (tmp_path / "s" / "commits" / "000000000009.json.x.part").write_text('{"block": "a"')  # as a crash within a change leaves it
+    assert ParquetStore(spark, str(tmp_path / "s")).all() == store.all()
+    (tmp_path / "s" / "commits" / f"{again.commits + 1:012d}.json").write_text('{"block": "z"\n')  # what cannot be decoded is no state
     assert ParquetStore(spark, str(tmp_path / "s")).all() == store.all()
     again.remove("a")
     assert ParquetStore(spark, str(tmp_path / "s")).all() == {}
 
 
 def test_a_change_of_state_is_a_small_file(spark, tmp_path):
-    from blockloom.plans.state import BlockState
-
-    store = ParquetStore(spark, str(tmp_path / "s"))
+    store, at = ParquetStore(spark, str(tmp_path / "s")), tmp_path / "s"
     for k in range(12):
-        store.save(BlockState(f"b{k}", {"x": "é"}, {"y": k}, f"h{k}", passed=k % 2 == 0))
+        store.save(BlockState(f"b{k}", {"x": "é"}, {"y": k}, f"h{k}", resolve_map={"p": "q"}, passed=k % 2 == 0))
     store.remove("b3")
     store.save(BlockState("b4", content_hash="new"))
-    assert not list((tmp_path / "s").glob("v*")) and len(list((tmp_path / "s" / "log").glob("*.json"))) == 14
-    again = ParquetStore(spark, str(tmp_path / "s"))
-    want = {k: v for k, v in store.all().items()}
-    assert {k: (v.content_hash, v.passed) for k, v in again.all().items()} == {k: (v.content_hash, v.passed) for k, v in want.items()} and "b3" not in again.all()
-    assert not list((tmp_path / "s" / "log").glob("*.json")) and again.version == 1
+    assert not (at / "base").exists() and len(list((at / "commits").glob("*.json"))) == 14
+    again = ParquetStore(spark, str(at))
+    said = lambda s: {k: (v.content_hash, v.state, v.resolve_map, v.dep_hashes, v.passed) for k, v in s.all().items()}
+    assert said(again) == said(store) and "b3" not in again.all()
+    assert again.base == 14 and {r.block: r.content_hash for r in state_frame(spark, str(at)).collect()} == {k: v.content_hash for k, v in store.all().items()}
+    for k in range(10):
+        again.save(BlockState("b0", content_hash=f"again{k}"))
+    third = ParquetStore(spark, str(at))
+    store.save(BlockState("late", content_hash="late"))  # whose next number others have merged and taken away
+    assert store.commits == 25 and said(ParquetStore(spark, str(at)))["late"][0] == "late"
+    store.remove("late")
+    (at / "commits" / "000000000025.json").unlink()
+    (at / "commits" / "000000000026.json").unlink()
+    assert third.base == 24 and third.load("b0").content_hash == "again9" and len(third.all()) == 11
+    assert sorted(int(p.stem) for p in (at / "commits").glob("*.json")) == list(range(15, 25))  # those of the base before are gone
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Two engines on one folder: each takes up what the other has written, and the later change of a block holds."""
+    first, second = (ParquetStore(spark, str(tmp_path / "s")) for _ in range(2))
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(store.save, BlockState(f"{name}{k}", content_hash=f"{name}{k}")) for k in range(8) for name, store in (("x", first), ("y", second))]
+        [j.result() for j in jobs]
+    second.save(BlockState("x0", content_hash="by the second"))
+    first.remove("y1")
+    want = {f"{n}{k}": f"{n}{k}" for n in "xy" for k in range(8)} | {"x0": "by the second"}
+    del want["y1"]
+    assert {k: v.content_hash for k, v in first.all().items()} == want and first.commits == 18
+    assert {k: v.content_hash for k, v in ParquetStore(spark, str(tmp_path / "s")).all().items()} == want
+    assert {r.block: r.content_hash for r in state_frame(spark, str(tmp_path / "s")).collect()} == want
 
 
 def test_json_keeps_types():

@@ -132,3 +132,30 @@ def test_folder_hashes_follow_names_lengths_and_times(spark, tmp_path):
     assert set(before) == {"a", "b"} and look() == before
     (tmp_path / "a/x").write_text("11")
     assert look()["a"] != before["a"] and look()["b"] == before["b"]
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    """Equal to the driver's hashes, by patterns, and a file of over 2 GB without it being in memory."""
+    import hashlib
+    import resource
+
+    from blockloom.sources import digests
+
+    for name, text in {"a.go": "x", "in/b.go": "y", "in/deep/c.go": "", "in/d.txt": "z", ".git/e.go": "no", "in/_f.go": "no"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    hashes = lambda *p, **k: {r.path: r.hash for r in digests.file_digests(spark, *p, **k).collect()}
+    want = lambda *names: files.list_hashes([str(tmp_path / n) for n in names])
+    assert hashes(str(tmp_path), "**/*.go") == want("a.go", "in/b.go", "in/deep/c.go")
+    assert hashes(f"file://{tmp_path}", "in/*") == want("in/b.go", "in/d.txt")
+    assert hashes(str(tmp_path), "**/*.go", hidden=True) == want("a.go", "in/b.go", "in/deep/c.go", ".git/e.go", "in/_f.go")
+    assert hashes(str(tmp_path / "none")) == {}
+    size = (2 << 30) + 5
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(size)
+    reader = digests.DigestReader({"path": str(tmp_path), "pattern": "*.bin"})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    [(path, length, found)] = [row for p in reader.partitions() for row in reader.read(p)]
+    assert length == size and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+    with open(path, "rb") as f:
+        assert found == hashlib.file_digest(f, "sha256").hexdigest()
