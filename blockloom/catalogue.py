@@ -157,6 +157,15 @@ def expr_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("event_id", F.col("event_id").cast("long"))
 
 
+@query("""SELECT p_partkey, 'part: ' || p_name || chr(10) || '  of ' || p_brand || chr(10) || 'end' AS text, p_size * 3 + CAST(0.5 AS DECIMAL(4, 1)) AS sum, CASE WHEN p_size % 2 = 0 THEN '1500ms' ELSE '1h' END AS wait FROM part""")
+def expr_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heredoc over lines, numbers, and durations in text."""
+    df = table(spark, sf_dir, "part").withColumn("even", F.col("p_size") % 2 == 0)
+    text = "<<-END\n    part: ${p_name}\n      of ${p_brand}\n    end\n    END\n"
+    out = expressions(df, p_partkey="p_partkey", text=text, sum="p_size + p_size + p_size + 0.5", wait='if even then "${1500ms}" else "${60m}"')
+    return out.select(F.col("p_partkey").cast("long"), "text", F.col("sum").cast("decimal(20,1)").alias("sum"), "wait")
+
+
 _UNITS = "CASE event_id % 7 WHEN 0 THEN 'ns' WHEN 1 THEN 'us' WHEN 2 THEN 'ms' WHEN 3 THEN 's' WHEN 4 THEN 'm' WHEN 5 THEN 'h' ELSE 'd' END"
 _SIZES = "CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 WHEN 3 THEN 1000000000 WHEN 4 THEN 60000000000 WHEN 5 THEN 3600000000000 ELSE 86400000000000 END"
 
@@ -502,6 +511,17 @@ def graph_phase_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.without_barriers(graph.closure(graph.phase_barriers(nodes), nodes.select("name")))
 
 
+_MEMBERS = "m AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'n' || c_nationkey || '[c' || c_custkey || ']' WHEN 1 THEN 'n' || c_nationkey || '.c' || c_custkey || '.x' ELSE 'n' || c_nationkey || 'c' || c_custkey END AS name FROM customer UNION ALL SELECT 'n' || n_nationkey FROM nation)"
+
+
+@query(f"""WITH {_MEMBERS}, t AS (SELECT 'r' || n_regionkey AS target, 'n' || n_nationkey AS block FROM nation)
+SELECT DISTINCT target, name FROM t JOIN m ON name = block OR starts_with(name, block || '.') OR starts_with(name, block || '[')""")
+def graph_target_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.sql(_MEMBERS.removeprefix("m AS (").removesuffix(")").replace("FROM customer", "FROM {customer}").replace("FROM nation", "FROM {nation}"), customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
+    targets = table(spark, sf_dir, "nation").select(F.expr("concat('r', n_regionkey)").alias("target"), F.expr("concat('n', n_nationkey)").alias("block"))
+    return graph.target_members(names, targets)
+
+
 @query(f"WITH {_NODES}, {_PHASES} SELECT name, CAST(p AS INTEGER) AS depth FROM p")
 def graph_phase_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = _places(spark, sf_dir)

@@ -152,11 +152,21 @@ def order_of(nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None)
     return [n for n in order if n in wanted]
 
 
+def target_members(nodes: DataFrame, targets: DataFrame, target: str | None = None) -> DataFrame:
+    """target, name: the nodes that a target's members mean; one that is a module instance or a matrix stands for all its blocks.
+
+    A name is met by each of its beginnings that a dot or a bracket ends, so members and names join by equality.
+    """
+    parts = F.split("name", r"(?=[.\[])")
+    beginnings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ""))
+    named = nodes.select("name", F.explode(beginnings).alias("block"))
+    wanted = targets if target is None else targets.where(F.col("target") == target)
+    return named.join(wanted.select("target", "block").distinct(), "block").select("target", "name").distinct()
+
+
 def target_order(nodes: DataFrame, edges: DataFrame, targets: DataFrame, target: str) -> list[str]:
-    """The order of what a target needs; a member that is a module instance stands for all its blocks."""
-    members = targets.where(F.col("target") == target).select("block")
-    hit = (F.col("name") == F.col("block")) | F.startswith(F.col("name"), F.concat("block", F.lit("."))) | F.startswith(F.col("name"), F.concat("block", F.lit("[")))
-    return order_of(nodes, edges, nodes.select("name").join(members, hit, "left_semi"))
+    """The order of what a target needs."""
+    return order_of(nodes, edges, target_members(nodes, targets, target).select("name"))
 
 
 def test_order(nodes: DataFrame, edges: DataFrame) -> list[str]:
