@@ -162,7 +162,10 @@ def _split(threshold: float) -> Callable:
 
 
 def _far_against_all(threshold: float) -> Callable:
-    """A tile of a node that no more choices divide: one block of the sets that are far from its leader against one block of all."""
+    """A tile of a node that no more choices divide: one block of the sets that are far from its leader against one block of all.
+
+    Of the pairs found near, those go out that join what was not yet joined in the tile, so links are no more than sets.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -170,9 +173,13 @@ def _far_against_all(threshold: float) -> Callable:
         ids, far = table["id"].to_numpy(), np.array(table["side"].to_pylist(), bool)
         sketch = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(-1, SKETCH)
         others, theirs = ids[~far], sketch[~far]
+        joined = np.arange(len(others))  # of each of the others, the number of those that it is joined with
         for i in np.flatnonzero(far).tolist():
-            near = np.flatnonzero((theirs == sketch[i]).sum(axis=1) >= least)
-            out += [(int(ids[i]), int(others[j])) for j in near.tolist() if others[j] != ids[i]]
+            near = np.flatnonzero(((theirs == sketch[i]).sum(axis=1) >= least) & (others != ids[i]))
+            groups, first = np.unique(joined[near], return_index=True)
+            out += [(int(ids[i]), int(others[j])) for j in near[first].tolist()]
+            if len(groups) > 1:
+                joined[np.isin(joined, groups)] = groups[0]
         return _arrow(out, schema)
 
     return run

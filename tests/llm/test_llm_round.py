@@ -269,3 +269,28 @@ def test_texts_without_spaces_are_not_remembered(monkeypatch):
         ids, n = encoder.encode([t.encode() for t in texts[k : k + 4]])
         assert ids.tolist() == [i for e in plain[k : k + 4] for i in [*e.ids, 0]] and len(n) == 4
         assert len(encoder.raw) <= 5_000 + sum(len(t.encode()) for t in texts[k : k + 4])
+
+
+def test_a_tile_of_near_sets_sends_a_forest():
+    """Sets that are all near to all others are as many links as sets, and join as before."""
+    import pyarrow as pa
+
+    from blockloom.llm import jaccard_join as jaccard
+
+    r = np.random.default_rng(7)
+    kinds = r.integers(0, 256, (3, jaccard.SKETCH), np.uint8)
+    n = 900
+    sketches = [bytes(kinds[k % 3]) for k in range(n)]
+    table = lambda far: [{"id": k, "side": far, "bytes": sketches[k]} for k in range(n)]
+    links = jaccard._far_against_all(0.8)(pa.Table.from_pylist(table(True) + table(False))).to_pylist()
+    assert len(links) <= 2 * n
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for e in links:
+        parent[root(e["a"])] = root(e["b"])
+    assert len({root(k) for k in range(n)}) == 3 and all(root(k) == root(k % 3) for k in range(n))
