@@ -39,9 +39,10 @@ def written_by_depth(df: DataFrame) -> tuple[str, DataFrame]:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, with true sizes for the optimizer; dropped() deletes it."""
+    """df as a table in the shared folder, with true sizes for the optimizer; dropped() deletes it, or the end of the session."""
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
+    _on_path(df.sparkSession, path, "deleteOnExit")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -54,5 +55,9 @@ def dropped(*tables: DataFrame | None) -> None:
 
 
 def deleted(spark: SparkSession, path: str) -> None:
+    _on_path(spark, path, "delete", True)
+
+
+def _on_path(spark: SparkSession, path: str, call: str, *more: bool) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    getattr(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), call)(at, *more)
