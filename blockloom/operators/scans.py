@@ -51,7 +51,7 @@ def in_ranges(df: DataFrame, seq: str, size: int | None = None) -> DataFrame:
 
 def _bytes(df: DataFrame) -> int:
     """What the optimizer takes df's size for: so few bytes are one range, and need no counting."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _running(df: DataFrame, keys: list[str], seq: str, ends: Column, before: Column, here: Column, name: str, together, size: int | None) -> DataFrame:  # noqa: ANN001
