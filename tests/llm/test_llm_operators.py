@@ -557,7 +557,7 @@ def test_oracles(spark, tables):
     con = connect(tables)
     for name, sql in ORACLES.items():
         assert_same(QUERIES[name](spark, tables), con, sql)
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_pipeline(spark, tables):
