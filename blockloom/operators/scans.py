@@ -30,17 +30,19 @@ def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     return rows.join(F.broadcast(offsets), part).withColumn(name, F.col("__before") + F.col(at).bitwiseAND(F.lit((1 << _PLACE) - 1)) + 1).drop(at, part, "__before")
 
 
-def in_ranges(df: DataFrame, seq: str, size: int | None = None) -> DataFrame:
-    """df with __part, a range of seq of about size rows; ranges ascend with seq. Null stands first."""
+def _bounds(df: DataFrame, seq: str, size: int | None) -> list:
+    """Where ranges of about size rows end; none if one is enough."""
     known = size is None and _bytes(df) <= 16 * RANGE
     size = size or RANGE
     n = 1 if known else min(RANGES, math.ceil(df.count() / size))
     if n < 2:
-        return df.withColumn("__part", F.lit(0))
+        return []
     found = df.select(F.percentile_approx(seq, [k / n for k in range(1, n)], 4 * n)).first()[0]
-    bounds = sorted(set(found or []))
-    if not bounds:
-        return df.withColumn("__part", F.lit(0))
+    return sorted(set(found or []))
+
+
+def in_ranges(df: DataFrame, seq: str, bounds: list) -> DataFrame:
+    """df with __part, the range of seq that a row lies in; ranges ascend with seq. Null stands first."""
     wide = math.isqrt(len(bounds)) + 1  # two short searches in place of one long
     groups = [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
     below = lambda values: F.size(F.filter(values, lambda b: b < F.col(seq)))
@@ -56,7 +58,10 @@ def _bytes(df: DataFrame) -> int:
 
 def _running(df: DataFrame, keys: list[str], seq: str, ends: Column, before: Column, here: Column, name: str, together, size: int | None) -> DataFrame:  # noqa: ANN001
     """A running value: of a range alone it is ends, of the ranges before it before, and of the rows in it here."""
-    df = in_ranges(df, seq, size)
+    bounds = _bounds(df, seq, size)
+    if not bounds:
+        return df.withColumn(name, together(here.over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(seq)), F.lit(None))).drop("__mark")
+    df = in_ranges(df, seq, bounds)
     told = df.groupBy(*keys, "__part").agg(ends.alias("__end"))
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     told = told.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__at"), before.over(earlier).alias("__before"))

@@ -80,7 +80,7 @@ def test_numbers_and_running_values(spark):
     r = random.Random(9)
     rows = [(r.choice(["a", "a", "a", "b", None]), s * 10**9, r.choice([None, None, "x", "y"])) for s in r.sample(range(5000), 700)]  # sparse seq
     df = spark.createDataFrame(rows, "k string, seq long, m string").repartition(5)
-    ranges = scans.in_ranges(df, "seq", 50)
+    ranges = scans.in_ranges(df, "seq", scans._bounds(df, "seq", 50))
     sizes = [x["count"] for x in ranges.groupBy("__part").count().collect()]
     assert len(sizes) >= 10 and max(sizes) <= 120
     for by in (None, "k", ["k", "m"]):
