@@ -170,10 +170,16 @@ _UNITS = "CASE event_id % 7 WHEN 0 THEN 'ns' WHEN 1 THEN 'us' WHEN 2 THEN 'ms' W
 _SIZES = "CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 WHEN 3 THEN 1000000000 WHEN 4 THEN 60000000000 WHEN 5 THEN 3600000000000 ELSE 86400000000000 END"
 
 
+def _fitting(df: DataFrame, c: str) -> DataFrame:
+    """df with c as the BIGINT that SQL makes of it; where some value is beyond one, and SQL fails, as the DECIMAL(38, 0) that it is."""
+    whole = F.col(c).between(-(1 << 63), (1 << 63) - 1)
+    return df.withColumn(c, F.col(c).cast("long")) if df.where(~whole).isEmpty() else df
+
+
 @query(f"SELECT event_id, CAST((user_id * 2 + 1) * ({_SIZES}) AS BIGINT) // 2 AS ns FROM events")
 def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").withColumn("text", F.expr(f"concat(user_id, '.5', {_UNITS})"))
-    return df.select("event_id", duration_column(F.col("text")).alias("ns"))
+    return _fitting(df.select("event_id", duration_column(F.col("text"), wide=True).alias("ns")), "ns")
 
 
 @query("""SELECT event_id, CASE WHEN ns = 0 THEN '0s' WHEN ns % 86400000000000 = 0 THEN (ns // 86400000000000) || 'd' WHEN ns % 3600000000000 = 0 THEN (ns // 3600000000000) || 'h' WHEN ns % 60000000000 = 0 THEN (ns // 60000000000) || 'm' WHEN ns % 1000000000 = 0 THEN (ns // 1000000000) || 's' WHEN ns % 1000000 = 0 THEN (ns // 1000000) || 'ms' WHEN ns % 1000 = 0 THEN (ns // 1000) || 'us' ELSE ns || 'ns' END AS shown
@@ -186,7 +192,7 @@ def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT user_id, CAST(sum(CAST((user_id * 2 + 1) * ({_SIZES}) AS BIGINT) // 2) AS BIGINT) AS ns FROM events GROUP BY user_id")
 def duration_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").withColumn("text", F.expr(f"concat(user_id, '.5', {_UNITS})"))
-    return df.groupBy("user_id").agg(F.sum(duration_column(F.col("text"))).cast("long").alias("ns"))
+    return _fitting(graph.checkpointed(df.groupBy("user_id").agg(F.sum(duration_column(F.col("text"), wide=True)).alias("ns"))), "ns")
 
 
 # Whole pipelines.

@@ -175,12 +175,16 @@ def format_duration(ns: int) -> str:
     return "0s" if ns == 0 else f"{ns // UNITS[unit]}{unit}"
 
 
-def duration_column(text: Column) -> Column:
-    """parse_duration of a column; null for malformed text."""
+#: Nanoseconds of any duration: seconds of 64 bits are 29 digits of them.
+NANOSECONDS = T.DecimalType(38, 0)
+
+
+def duration_column(text: Column, wide: bool = False) -> Column:
+    """parse_duration of a column; null for malformed text. wide leaves the nanoseconds in a DECIMAL(38, 0), as sums and long durations need."""
     number = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?|\.\d+)\s*(ns|us|ms|s|m|h|d)\s*$", 1)
     unit = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?|\.\d+)\s*(ns|us|ms|s|m|h|d)\s*$", 2)
     size = F.element_at(F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair)), F.nullif(unit, F.lit("")))
-    return F.when(number != "", F.floor(number.cast(T.DecimalType(38, 9)) * size.cast(T.DecimalType(18, 0))).cast("long"))
+    return F.when(number != "", F.floor(number.cast(T.DecimalType(38, 9)) * size.cast(T.DecimalType(18, 0))).cast(NANOSECONDS if wide else T.LongType()))
 
 
 def duration_text(ns: Column) -> Column:
