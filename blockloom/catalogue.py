@@ -185,7 +185,7 @@ def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, CASE WHEN ns = 0 THEN '0s' WHEN ns % 86400000000000 = 0 THEN (ns // 86400000000000) || 'd' WHEN ns % 3600000000000 = 0 THEN (ns // 3600000000000) || 'h' WHEN ns % 60000000000 = 0 THEN (ns // 60000000000) || 'm' WHEN ns % 1000000000 = 0 THEN (ns // 1000000000) || 's' WHEN ns % 1000000 = 0 THEN (ns // 1000000) || 'ms' WHEN ns % 1000 = 0 THEN (ns // 1000) || 'us' ELSE ns || 'ns' END AS shown
 FROM (SELECT event_id, event_id * 1500 * (CASE WHEN user_id % 3 = 0 THEN 1 WHEN user_id % 3 = 1 THEN 60000 ELSE 2400000000 END) AS ns FROM events)""")
 def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ns = F.expr("event_id * 1500 * (CASE WHEN user_id % 3 = 0 THEN 1L WHEN user_id % 3 = 1 THEN 60000L ELSE 2400000000L END)")
+    ns = F.expr("CAST(event_id AS DECIMAL(20, 0)) * 1500 * (CASE WHEN user_id % 3 = 0 THEN 1L WHEN user_id % 3 = 1 THEN 60000L ELSE 2400000000L END)")
     return table(spark, sf_dir, "events").select("event_id", duration_text(ns).alias("shown"))
 
 

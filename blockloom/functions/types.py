@@ -188,10 +188,11 @@ def duration_column(text: Column, wide: bool = False) -> Column:
 
 
 def duration_text(ns: Column) -> Column:
-    """format_duration of a column of nanoseconds."""
+    """format_duration of a column of nanoseconds, a BIGINT or a DECIMAL(38, 0)."""
+    ns = ns.cast(NANOSECONDS)  # a quotient of BIGINTs is a DOUBLE, which has 53 bits
     out = F.when(ns == 0, F.lit("0s"))
     for unit, size in reversed(UNITS.items()):
-        out = out.when(ns % size == 0, F.concat((ns / F.lit(size)).cast(T.DecimalType(20, 0)).cast("string"), F.lit(unit)))
+        out = out.when(ns % size == 0, F.concat((ns / F.lit(size)).cast(NANOSECONDS).cast("string"), F.lit(unit)))
     return out
 
 

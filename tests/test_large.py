@@ -1,9 +1,11 @@
 """Inputs beyond what the supplied tables have: long durations, hubs, long logs."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from blockloom import catalogue
-from blockloom.functions.types import duration_column
+from blockloom.functions.types import duration_column, duration_text, format_duration
 
 UNIT = [1, 1000, 10**6, 10**9, 60 * 10**9, 3600 * 10**9, 86400 * 10**9]
 
@@ -36,3 +38,12 @@ def test_durations_beyond_a_bigint_are_parsed(spark, tmp_path):
     out = catalogue.duration_parse(spark, _events(spark, tmp_path, rows))
     assert {r.event_id: int(r.ns) for r in out.collect()} == {e: _nanoseconds(e, u) for e, u in rows}
     assert spark.range(1).select(duration_column(F.lit("1.5h"))).first()[0] == 5400 * 10**9
+
+
+def test_long_durations_keep_all_digits(spark, tmp_path):
+    rows = [(event, user) for event in (1, 7, 2_562_048, 6_000_001, 10**12 + 1) for user in range(3)]
+    out = catalogue.duration_format(spark, _events(spark, tmp_path, rows)).collect()
+    assert sorted((r.event_id, r.shown) for r in out) == sorted((e, format_duration(e * 1500 * (1, 60_000, 2_400_000_000)[u % 3])) for e, u in rows)
+    longs = [(1 << 63) - 1, (1 << 53) + 1]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in longs], "n long").select(duration_text(F.col("n"))).collect()] == [f"{n}ns" for n in longs]
+    assert spark.createDataFrame([(Decimal(10**28),)], "n decimal(38,0)").select(duration_text(F.col("n"))).first()[0] == format_duration(10**28)
