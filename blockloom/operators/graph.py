@@ -8,13 +8,14 @@ result is a list by nature.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.operators.acyclic import GraphError, cycles, depths
-from blockloom.operators.common import checkpointed, ready_to_checkpoint
+from blockloom.operators.common import checkpointed, dropped, ready_to_checkpoint, written
 from blockloom.operators.scans import numbered
 
 __all__ = ["GraphError", "checkpointed", "cycles", "depths", "ready_to_checkpoint"]
@@ -24,6 +25,8 @@ DEPENDENCY, ORDERING = "dependency", "ordering"
 
 #: Rounds after which what was found in all of them becomes one checkpoint.
 MERGED_ROUNDS = 16
+#: Rows that a task of a closure's round makes, about, and the tasks of a round at most.
+CELL, MOST_TASKS = 1 << 18, 10_000
 
 
 def check_nodes(nodes: DataFrame) -> None:
@@ -95,18 +98,25 @@ def closure(edges: DataFrame, start: DataFrame | None = None, down: bool = False
     """root, name: what each start(name) depends on (or, down, what depends on it), itself included.
 
     Without start, of every node that has edges. A round joins the newest pairs to the edges and keeps what is
-    new, so diamonds are not walked twice and cycles end.
+    new, so diamonds are not walked twice and cycles end. A name that many reach, or that leads to many, is dealt to many tasks.
     """
     a, b = ("src", "dst") if down else ("dst", "src")
-    step = edges.select(F.col(a).alias("name"), F.col(b).alias("next")).distinct()
     if start is None:
         start = edges.select(F.explode(F.array("src", "dst")).alias("name"))
+    step = written(edges.select(F.col(a).alias("name"), F.col(b).alias("next")).distinct())
+    fans = step.groupBy("name").agg(F.count(F.lit(1)).alias("fan"))
+    widest = fans.agg(F.max("fan")).first()[0] or 0
     front = checkpointed(start.select(F.col("name").alias("root"), "name").distinct())
-    found = front
+    found, rows = front, front.count()
     for n in range(most):
-        new = front.join(step, "name").select("root", F.col("next").alias("name")).distinct()
+        if rows * widest <= CELL:
+            new = front.join(step, "name").select("root", F.col("next").alias("name")).distinct()
+        else:
+            new = _dealt(front, step, fans).repartition("root", "name").distinct()
         front = checkpointed(new.join(found, ["root", "name"], "left_anti"))
-        if front.isEmpty():
+        rows = front.count()
+        if not rows:
+            dropped(step)
             return found
         found = found.unionByName(front)
         if (n + 1) % MERGED_ROUNDS == 0:
@@ -114,6 +124,31 @@ def closure(edges: DataFrame, start: DataFrame | None = None, down: bool = False
     raise GraphError(f"the graph is deeper than {most}")
 
 
+def _dealt(front: DataFrame, step: DataFrame, fans: DataFrame) -> DataFrame:
+    """root, name: front(root, name) joined to step(name, next), in tasks of about CELL rows.
+
+    A name that makes more rows is cut into cells: its roots are dealt to parts, its next names to pieces, and each
+    part meets each piece.
+    """
+    load = front.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(fans, "name").withColumn("made", F.col("n") * F.col("fan"))
+    heavy = F.col("made") > CELL
+    made, many = load.agg(F.sum("made"), F.count_if(heavy)).first()
+    tasks = max(1, min(MOST_TASKS, math.ceil((made or 0) / CELL)))
+    if not many:
+        met = front.repartition(tasks, "name").join(step.repartition(tasks, "name"), "name")
+        return met.select("root", F.col("next").alias("name"))
+    roots = F.least("n", F.lit(CELL) / F.least("fan", F.lit(math.isqrt(CELL))))  # of a cell
+    cut = load.where(heavy).select("name", F.ceil(F.col("n") / roots).alias("parts"), F.ceil(F.col("fan") * roots / CELL).alias("pieces"))
+    cut = F.broadcast(checkpointed(cut))  # as many rows as the round makes, by CELL, at most
+    cells = lambda c: F.coalesce(c, F.lit(1))
+    one = lambda c, of: F.pmod(F.xxhash64(c), cells(of))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), cells(c) - 1))
+    left = front.join(cut, "name", "left").select("root", "name", one("root", F.col("parts")).alias("part"), each(F.col("pieces")).alias("piece"))
+    right = step.join(cut, "name", "left").select("name", "next", one("next", F.col("pieces")).alias("piece"), each(F.col("parts")).alias("part"))
+    keys = ["name", "part", "piece"]
+    return left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys).select("root", F.col("next").alias("name"))
+
+
 def transitive_dependencies(edges: DataFrame, start: DataFrame) -> DataFrame:
     return closure(edges, start).select("name").distinct()
 

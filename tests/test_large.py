@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from blockloom import catalogue
 from blockloom.functions.types import duration_column, duration_text, format_duration
+from blockloom.operators import graph
 
 UNIT = [1, 1000, 10**6, 10**9, 60 * 10**9, 3600 * 10**9, 86400 * 10**9]
 
@@ -47,3 +48,28 @@ def test_long_durations_keep_all_digits(spark, tmp_path):
     longs = [(1 << 63) - 1, (1 << 53) + 1]
     assert [r[0] for r in spark.createDataFrame([(n,) for n in longs], "n long").select(duration_text(F.col("n"))).collect()] == [f"{n}ns" for n in longs]
     assert spark.createDataFrame([(Decimal(10**28),)], "n decimal(38,0)").select(duration_text(F.col("n"))).first()[0] == format_duration(10**28)
+
+
+def _through_a_hub(spark, ins, outs):
+    return spark.createDataFrame([(f"a{k}", "hub") for k in range(ins)] + [("hub", f"z{k}") for k in range(outs)], "src string, dst string")
+
+
+def test_closures_through_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL", 50)
+    for ins, outs in ((300, 3), (3, 300), (60, 70)):
+        edges = _through_a_hub(spark, ins, outs)
+        a, z = [f"a{k}" for k in range(ins)], [f"z{k}" for k in range(outs)]
+        want = sorted([(x, x) for x in [*a, *z, "hub"]] + [(x, "hub") for x in a] + [("hub", x) for x in z] + [(x, y) for x in a for y in z])
+        assert sorted(map(tuple, graph.closure(edges, down=True).collect())) == want
+        assert sorted((y, x) for x, y in graph.closure(edges).collect()) == want
+
+
+def test_a_hub_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL", 1000)
+    for ins, outs in ((20_000, 3), (3, 20_000), (250, 240)):
+        front = spark.range(ins).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("root"), F.lit("hub").alias("name"))
+        step = spark.range(outs).select(F.lit("hub").alias("name"), F.col("id").cast("string").alias("next"))
+        met = graph._dealt(front, step, step.groupBy("name").agg(F.count(F.lit(1)).alias("fan")))
+        tasks = [r[1] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == ins * outs == met.distinct().count()
+        assert max(tasks) <= 8 * 1000
