@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.operators import scans
+from blockloom.operators.common import written
 from blockloom.operators.scans import carried, counted
 
 EVENT = "Action STRING, Package STRING, Test STRING, Elapsed DOUBLE, Output STRING"
@@ -19,9 +21,9 @@ def test_events(lines: DataFrame) -> DataFrame:
 ENDS = ("pass", "fail", "skip")
 
 
-def _runs(events: DataFrame) -> DataFrame:
+def _runs(events: DataFrame, size: int | None = None) -> DataFrame:
     """events with run: how many times the package has ended before."""
-    return counted(events, F.col("Test").isNull() & F.col("Action").isin(*ENDS), "run", "Package")
+    return counted(events, F.col("Test").isNull() & F.col("Action").isin(*ENDS), "run", "Package", size=size)
 
 
 def suite_summary(events: DataFrame) -> DataFrame:
@@ -44,7 +46,9 @@ def suite_summary(events: DataFrame) -> DataFrame:
 def failure_output(events: DataFrame) -> DataFrame:
     """Package, Test, seq, output: what each failed test had printed since it or its package last ended, without the runner's own lines."""
     ended = F.col("Action").isin("pass", "fail")
-    tests = counted(_runs(events).where("Test IS NOT NULL"), ended, "turn", ["Package", "run", "Test"])
+    # lines are parsed once; a turn is of the package's test in all its runs, so that both counts lie in one shuffle by package
+    events, size = (events, None) if scans.small(events) else (written(events), scans.RANGE)
+    tests = counted(_runs(events, size).where("Test IS NOT NULL"), ended, "turn", ["Package", "Test"], size=size)
     text = F.regexp_replace(F.col("Output"), r"\n+$", "")
     own = (F.col("Action") == "output") & F.col("Output").isNotNull() & ~F.startswith(text, F.lit("--- ")) & ~F.startswith(text, F.lit("=== "))
     out = tests.groupBy("Package", "Test", "run", "turn").agg(F.array_sort(F.collect_list(F.when(own, F.struct("seq", text.alias("text"))))).alias("lines"), F.max(F.when(F.col("Action") == "fail", F.col("seq"))).alias("seq"))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.operators.common import written
+from blockloom.operators.common import checkpointed, written
 
 #: Rows of a range, and ranges at most: a running value's table has so many rows a key.
 RANGE, RANGES = 1_000_000, 4_096
@@ -32,7 +32,7 @@ def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
 
 def _bounds(df: DataFrame, seq: str, size: int | None) -> list:
     """Where ranges of about size rows end; none if one is enough."""
-    known = size is None and _bytes(df) <= 16 * RANGE
+    known = size is None and small(df)
     size = size or RANGE
     n = 1 if known else min(RANGES, math.ceil(df.count() / size))
     if n < 2:
@@ -56,20 +56,51 @@ def _bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def small(df: DataFrame) -> bool:
+    """Whether df is one range by what is known of its size."""
+    return _bytes(df) <= 16 * RANGE
+
+
+def _same(keys: list[str], start: Column | None = None) -> Column:
+    """Whether each key equals the column of its name after two underscores, null as well."""
+    out = F.lit(True) if start is None else start
+    for k in keys:
+        out &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return out
+
+
+def _long(df: DataFrame, keys: list[str], size: int) -> DataFrame | None:
+    """The keys of more than size rows, each after two underscores, and __long; so few that they are broadcast. None if there are none."""
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > size)
+    found = checkpointed(found.select(*(F.col(k).alias(f"__{k}") for k in keys), F.lit(True).alias("__long")))
+    return None if found.isEmpty() else found
+
+
 def _running(df: DataFrame, keys: list[str], seq: str, ends: Column, before: Column, here: Column, name: str, together, size: int | None) -> DataFrame:  # noqa: ANN001
-    """A running value: of a range alone it is ends, of the ranges before it before, and of the rows in it here."""
-    bounds = _bounds(df, seq, size)
+    """A running value: of a range alone it is ends, of the ranges before it before, and of the rows in it here.
+
+    Only keys of more rows than a range are cut into ranges; any other key is one window.
+    """
+    known = size is None and small(df)
+    long = None if known or not keys else _long(df, keys, size or RANGE)
+    if known or (keys and long is None):
+        bounds = []
+    elif keys:
+        df = df.join(F.broadcast(long), _same(keys), "left").drop(*(f"__{k}" for k in keys))
+        bounds = _bounds(df.where("__long"), seq, size or RANGE)
+    else:
+        bounds = _bounds(df, seq, size)
     if not bounds:
-        return df.withColumn(name, together(here.over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(seq)), F.lit(None))).drop("__mark")
+        return df.withColumn(name, together(here.over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(seq)), F.lit(None))).drop("__mark", "__long")
     df = in_ranges(df, seq, bounds)
-    told = df.groupBy(*keys, "__part").agg(ends.alias("__end"))
+    if keys:
+        df = df.withColumn("__part", F.when(F.col("__long"), F.col("__part")))
+    told = df.where("__part IS NOT NULL").groupBy(*keys, "__part").agg(ends.alias("__end"))
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     told = told.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__at"), before.over(earlier).alias("__before"))
-    same = F.col("__part") == F.col("__at")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    same = _same(keys, F.col("__part") == F.col("__at"))
     met = df.join(told, same, "left").drop(*(f"__{k}" for k in keys), "__at")
-    return met.withColumn(name, together(here.over(Window.partitionBy(*keys, "__part").orderBy(seq)), F.col("__before"))).drop("__part", "__before", "__mark")
+    return met.withColumn(name, together(here.over(Window.partitionBy(*keys, "__part").orderBy(seq)), F.col("__before"))).drop("__part", "__before", "__mark", "__long")
 
 
 def carried(df: DataFrame, mark: Column, name: str, by: str | list[str] | None = None, seq: str = "seq", size: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from blockloom import catalogue
 from blockloom.functions.types import duration_column, duration_text, format_duration
-from blockloom.operators import graph
+from blockloom.operators import graph, scans
 
 UNIT = [1, 1000, 10**6, 10**9, 60 * 10**9, 3600 * 10**9, 86400 * 10**9]
 
@@ -73,3 +73,28 @@ def test_a_hub_is_dealt_to_many_tasks(spark, monkeypatch):
         tasks = [r[1] for r in met.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(tasks) == ins * outs == met.distinct().count()
         assert max(tasks) <= 8 * 1000
+
+
+def _ordered(spark, counts):
+    """(seq, key, mark) in rows dealt to the keys by turns, as long as each has some left."""
+    left, rows = dict(counts), []
+    while any(left.values()):
+        for k in [k for k, n in left.items() if n]:
+            left[k] -= 1
+            rows.append((len(rows), k, len(rows) % 3 == 0))
+    return rows, spark.createDataFrame(rows, "seq long, key string, mark boolean")
+
+
+def test_keys_that_are_short_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(scans, "in_ranges", lambda *_: 1 / 0)
+    rows, df = _ordered(spark, {f"k{k}": 10 for k in range(30)})
+    want = {s: sum(m for t, j, m in rows if j == k and t < s) for s, k, _ in rows}
+    assert {r.seq: r.n for r in scans.counted(df, F.col("mark"), "n", "key", size=20).collect()} == want
+
+
+def test_long_keys_beside_short_ones(spark):
+    rows, df = _ordered(spark, {"long": 200, None: 90, "a": 5, "b": 1})
+    out = scans.carried(scans.counted(df, F.col("mark"), "n", "key", size=20), F.when(F.col("mark"), F.col("seq")), "last", "key", size=20)
+    assert sorted(out.columns) == ["key", "last", "mark", "n", "seq"]
+    got = {r.seq: (r.n, r["last"]) for r in out.collect()}
+    assert got == {s: (sum(m for t, j, m in rows if j == k and t < s), max((t for t, j, m in rows if j == k and m and t <= s), default=None)) for s, k, _ in rows}
