@@ -70,12 +70,9 @@ class _Failures(_Waiting):
         self.texts.clear()
         self.pieces.clear()
 
-    def _kept(self, test: str) -> int:
-        return self.pieces.getValue((test,))[0] if self.pieces.containsKey((test,)) else 0
-
-    def _taken(self, test: str) -> list[str]:
+    def _taken(self, kept: dict[str, int], test: str) -> list[str]:
         """The pieces of a test, which are then no longer kept."""
-        n = self._kept(test)
+        n = kept.pop(test, 0)
         out = [self.texts.getValue((test, k))[0] for k in range(n)]
         for k in range(n):
             self.texts.removeKey((test, k))
@@ -85,20 +82,22 @@ class _Failures(_Waiting):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         events, out, here = _in_order(rows), [], {}
+        kept = {test: n for (test,), (n,) in self.pieces.iterator()}  # asked once: each look at the state is a call to the JVM
         for e in events.itertuples(index=False) if events is not None else ():
             if not isinstance(e.Test, str):
                 if e.Action in ENDS:
-                    self.forget()
-                    here = {}
+                    if kept:
+                        self.forget()
+                    kept, here = {}, {}
             elif e.Action in ("pass", "fail"):
-                before = self._taken(e.Test)
+                before = self._taken(kept, e.Test)
                 if e.Action == "fail":
                     out.append((key[0], e.Test, e.seq, "\n".join([*before, *here.get(e.Test, ())])))
                 here.pop(e.Test, None)
             elif isinstance(e.text, str):
                 here.setdefault(e.Test, []).append(e.text)
         for test, lines in here.items():
-            n = self._kept(test)
+            n = kept.get(test, 0)
             self.texts.updateValue((test, n), ("\n".join(lines),))
             self.pieces.updateValue((test,), (n + 1,))
         self.wait(timerValues)

@@ -2,11 +2,13 @@
 
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from blockloom import catalogue
 from blockloom.functions.types import duration_column, duration_text, format_duration
 from blockloom.operators import graph, scans
+from blockloom.streaming.failures import _Failures
 
 UNIT = [1, 1000, 10**6, 10**9, 60 * 10**9, 3600 * 10**9, 86400 * 10**9]
 
@@ -98,3 +100,35 @@ def test_long_keys_beside_short_ones(spark):
     assert sorted(out.columns) == ["key", "last", "mark", "n", "seq"]
     got = {r.seq: (r.n, r["last"]) for r in out.collect()}
     assert got == {s: (sum(m for t, j, m in rows if j == k and t < s), max((t for t, j, m in rows if j == k and m and t <= s), default=None)) for s, k, _ in rows}
+
+
+class _State(dict):
+    """A map state that counts the calls."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("containsKey", "getValue", "updateValue", "removeKey", "iterator", "clear"):
+            type(self).calls += 1
+        return super().__getattribute__(name)
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    def iterator(self):
+        return iter(self.items())
+
+
+class _Handle:
+    def getMapState(self, *_):  # noqa: N802
+        return _State()
+
+
+def test_a_package_without_open_tests_asks_its_state_once(monkeypatch):
+    monkeypatch.setattr(_State, "calls", 0)
+    work = _Failures(None)
+    work.init(_Handle())
+    lines = [("output", "A", "x"), ("fail", "A", None), ("pass", "B", None), ("pass", None, None)] * 20
+    rows = pd.DataFrame([(k, *x) for k, x in enumerate(lines)], columns=["seq", "Action", "Test", "text"])
+    out = pd.concat(work.handleInputRows(("p",), iter([rows]), None))
+    assert list(out["output"]) == ["x"] * 20
+    assert _State.calls == 1
