@@ -502,10 +502,12 @@ def graph_depends(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = F.expr(f"filter(array(if(k % 7 <> 3 AND (k + 1) % {_STEPS} <> 0, k + 1, NULL), if(k % 10 = 0 AND (k + 5) div {_STEPS} = k div {_STEPS}, k + 5, NULL), if(k % 13 = 4 AND (k + 9) div {_STEPS} = k div {_STEPS}, k + 9, NULL)), x -> x IS NOT NULL)")
     name = lambda x: F.concat(F.lit("c"), F.col(x).cast("string"))
     edges = c.select("k", F.explode(to).alias("j")).join(c.select(F.col("k").alias("j")), "j", "left_semi").select(name("k").alias("src"), name("j").alias("dst"), F.lit("dependency").alias("kind"))
-    asked = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    tasks = graph.tasks_of(spark, lines.count())
+    asked = lines.repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     asked = asked.select(name("o_custkey").alias("a"), F.concat(F.lit("c"), F.expr("CAST(o_custkey - l_partkey % 120 AS STRING)")).alias("b"))
-    answered = reach.depends(reach.reach_index(c.select(name("k").alias("name")), edges), asked)
-    return answered.groupBy("a", "b", "depends").agg(F.count(F.lit(1)).alias("n"))
+    asked = asked.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return reach.depends(reach.reach_index(c.select(name("k").alias("name")), edges), asked)
 
 
 _PHASES = "p AS (SELECT name, CASE left(name, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS p FROM nodes)"

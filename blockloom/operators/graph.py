@@ -29,6 +29,11 @@ MERGED_ROUNDS = 16
 CELL, MOST_TASKS = 1 << 18, 10_000
 
 
+def tasks_of(spark: SparkSession, rows: int) -> int:
+    """As many tasks as rows need, of about CELL each, but no fewer than run at once."""
+    return max(spark.sparkContext.defaultParallelism, min(MOST_TASKS, math.ceil(rows / CELL)))
+
+
 def check_nodes(nodes: DataFrame) -> None:
     twice = nodes.groupBy("name").count().where("count > 1").select("name").limit(3).collect()
     if twice:

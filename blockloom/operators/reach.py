@@ -10,9 +10,10 @@ logarithm of the number of nodes and of the depth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.operators import graph
 from blockloom.operators.common import checkpointed, dropped, written
 from blockloom.operators.graph import closure, primary_parents
 from blockloom.operators.scans import numbered
@@ -78,15 +79,47 @@ def reach_index(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return places, hops
 
 
+def _shared(asked: DataFrame, tasks: int) -> DataFrame | None:
+    """name, parts of the names in more questions than a task gets, so few that they are broadcast. None if there are none."""
+    found = asked.select(F.explode(F.array("a", "b")).alias("name")).repartition(tasks, "name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    found = checkpointed(found.where(F.col("n") > graph.CELL).select("name", F.ceil(F.col("n") / graph.CELL).alias("parts")))
+    return None if found.isEmpty() else F.broadcast(found)
+
+
+def _parted(df: DataFrame, by: str, shared: DataFrame | None, part: Column) -> DataFrame:
+    """df with __part, made of parts, which is 1 for names that are not shared; df as it is where none are."""
+    if shared is None:
+        return df
+    cut = shared.select(F.col("name").alias("__shared"), "parts")
+    df = df.join(cut, F.col(by).eqNullSafe(F.col("__shared")), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return df.withColumn("__part", part).drop("__shared", "parts")
+
+
 def depends(index: tuple[DataFrame, DataFrame], questions: DataFrame) -> DataFrame:
-    """questions(a, b) with depends: whether a is b or a way leads from b to a. Null where one of them is no node; other columns stay."""
+    """questions(a, b) with depends: whether a is b or a way leads from b to a. Null where one of them is no node; other columns stay.
+
+    Questions are dealt to tasks of about CELL rows, whatever the session's number of partitions; a name in more of them is shared by tasks.
+    """
     places, hops = index
+    asked = written(questions)
+    tasks = graph.tasks_of(asked.sparkSession, asked.count())
+    shared = _shared(asked, tasks)
+    if shared is not None:
+        asked = asked.withColumn("__row", F.monotonically_increasing_id())
+    part = [] if shared is None else ["__part"]
+    asks = lambda df, by: _parted(df, by, shared, F.pmod("__row", "parts"))
+    each = lambda df, by: _parted(df, by, shared, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = lambda df, keys: df.repartition(tasks, *keys)
     a = places.select(F.col("name").alias("a"), F.col("root").alias("__of"), F.col("low").alias("__at"))
     b = places.select(F.col("name").alias("b"), F.col("root").alias("__root"), F.col("low").alias("__low"), F.col("high").alias("__high"))
-    met = questions.join(a, "a", "left").join(b, "b", "left")
-    below = (F.col("__of") == F.col("__root")) & F.col("__at").between(F.col("__low"), F.col("__high"))
-    hop = hops.select(F.col("name").alias("__name"), F.col("root").alias("__to"), F.col("low").alias("__from"), F.col("high").alias("__until"))
+    hop = hops.select(F.col("name").alias("b"), F.col("root").alias("__of"), F.col("low").alias("__from"), F.col("high").alias("__until"))
+    on_a, on_b, on_hop = ["a", *part], ["b", *part], ["b", *part, "__of"]
+    met = dealt(asks(asked, "a"), on_a).join(dealt(each(a, "a"), on_a), on_a, "left").drop(*part)
+    met = dealt(asks(met, "b"), on_b).join(dealt(each(b, "b"), on_b), on_b, "left")
     # outermost intervals are apart, so a question meets one at most
-    met = met.join(hop, (F.col("b") == F.col("__name")) & (F.col("__of") == F.col("__to")) & F.col("__at").between(F.col("__from"), F.col("__until")), "left")
-    known = F.col("__of").isNotNull() & F.col("__root").isNotNull()
-    return met.select(*questions.columns, F.when(known, below | F.col("__name").isNotNull()).alias("depends"))
+    met, hop = dealt(met, on_hop).alias("m"), dealt(each(hop, "b"), on_hop).alias("h")
+    same = [F.col(f"m.{c}") == F.col(f"h.{c}") for c in on_hop]
+    met = met.join(hop, [*same, F.col("__at").between(F.col("__from"), F.col("__until"))], "left")
+    below = (F.col("m.__of") == F.col("__root")) & F.col("__at").between(F.col("__low"), F.col("__high"))
+    known = F.col("m.__of").isNotNull() & F.col("__root").isNotNull()
+    return met.select(*(F.col(f"m.{c}") for c in questions.columns), F.when(known, below | F.col("h.b").isNotNull()).alias("depends"))

@@ -1,5 +1,6 @@
 """Inputs beyond what the supplied tables have: long durations, hubs, long logs."""
 
+from collections import Counter
 from decimal import Decimal
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from blockloom import catalogue
 from blockloom.functions.types import duration_column, duration_text, format_duration
 from blockloom.operators import graph, scans
+from blockloom.operators.reach import depends, reach_index
 from blockloom.streaming.failures import _Failures
 
 UNIT = [1, 1000, 10**6, 10**9, 60 * 10**9, 3600 * 10**9, 86400 * 10**9]
@@ -132,3 +134,23 @@ def test_a_package_without_open_tests_asks_its_state_once(monkeypatch):
     out = pd.concat(work.handleInputRows(("p",), iter([rows]), None))
     assert list(out["output"]) == ["x"] * 20
     assert _State.calls == 1
+
+
+def test_questions_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    ways = [(f"v{k}", f"v{k + d}") for k in range(40) for d in ((1, 7) if k % 5 else (3,)) if k + d < 40]
+    edges = spark.createDataFrame(ways, "src string, dst string").withColumn("kind", F.lit("dependency"))
+    nodes = spark.createDataFrame([(f"v{k}",) for k in range(40)], "name string")
+    below = {k: {k} for k in range(40)}
+    for k in reversed(range(40)):
+        below[k] |= {x for s, d in ways if s == f"v{k}" for x in below[int(d[1:])]}
+    pairs = [(f"v{k % 41}", "v2") for k in range(1000)] + [("v39", f"v{k % 41}") for k in range(1000)] + [("v39", "v2")] * 1000 + [(None, "v2")] * 1000
+    asked = spark.createDataFrame([(*p, n) for n, p in enumerate(pairs)], "a string, b string, n int").coalesce(1)
+    index = reach_index(nodes, edges)
+    monkeypatch.setattr(graph, "CELL", 200)
+    out = depends(index, asked).withColumn("task", F.spark_partition_id()).collect()
+    known = {f"v{k}" for k in range(40)}
+    want = [(a, b, n, None if not {a, b} <= known else int(a[1:]) in below[int(b[1:])]) for n, (a, b) in enumerate(pairs)]
+    assert sorted(((x.a, x.b, x.n, x.depends) for x in out), key=lambda x: x[2]) == want
+    assert max(Counter(x.task for x in out).values()) <= 4 * graph.CELL
+    few = depends(index, asked.where("n % 200 = 0")).collect()  # no name is in more than a task gets
+    assert sorted(((x.a, x.b, x.n, x.depends) for x in few), key=lambda x: x[2]) == want[::200]
